@@ -42,14 +42,13 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int) -
     return big.join(small, on, how)
 
 
-def bucket(n: int, *cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(n))
+def as_key(col: Column) -> Column:
+    """A value as a text that is never null: pandas would turn whole numbers with a null among them into floats."""
+    return F.when(col.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), col.cast("string")))
 
 
-def parts_for(df: DataFrame, column: str, target: int = 64 << 20) -> int:
-    """Groups of about ``target`` bytes of a text column, from a sum over all rows."""
-    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(1, -(-total // target))
+def from_key(col: Column, kind: str) -> Column:
+    return F.when(col != "-", F.substring(col, 2, 1 << 30)).cast(kind)
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -85,9 +84,9 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than space and 0x09-0x0D."""
+def word_spans(data: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that ``word_byte`` (256 booleans) marks."""
     word = np.zeros(len(data) + 2, np.int8)
-    word[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    word[1:-1] = word_byte[data]
     edge = np.diff(word)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

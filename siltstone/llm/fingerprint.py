@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, range_hashes, small_batches
+from .common import as_key, from_key, mix64, range_hashes, small_batches
 
 SMALLEST, NORMAL, LARGEST = 16, 32, 128
 STRICT_BITS, LOOSE_BITS = 6, 3
@@ -124,6 +124,8 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     rows = with_successors(rows, "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_g")
     rows = rows.sortWithinPartitions("_g", "_copy", F.col("id").asc_nulls_first(), "text")
 
+    rows = rows.withColumn("id", as_key(F.col("id")))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for b in batches:
@@ -139,9 +141,9 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame(out, columns=COLUMNS)
 
     out = rows.mapInPandas(
-        run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        run, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", from_key(F.col("id"), kind)).withColumnRenamed("id", id_col)
 
 
 COLUMNS = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import fingerprint, packing, sharding, simhash
+from . import ctw, decontaminate, fingerprint, langid, license_scan, line_dedup, packing, pii, sharding, simhash
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,16 +16,34 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbour_fingerprints(docs(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs(spark, sf_dir))
+    return out.select(
+        "doc_id", "lines_total", "lines_cut", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5")
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(docs(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.held_out("doc_id", 3, 1)
+    rows = docs(spark, sf_dir)
+    net = langid.fit(rows.filter(~held))
+    return langid.identify(rows.select("doc_id", "text", held.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave_shards(docs(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,5 +53,40 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op3_simhash, op5_sharding, op7_packing)}
-ORACLES: dict[str, str] = {}
+def document_path() -> Column:
+    """A tree of files for documents, which have no paths: source, block of 2,000 ids, and for longer texts a block of 100."""
+    block = lambda n: (F.col("doc_id") / n).cast("long").cast("string")
+    short = F.coalesce(F.col("n_chars"), F.lit(0)) < 600
+    parts = [F.col("source"), F.concat(F.lit("part"), block(2000)), F.when(~short, F.concat(F.lit("set"), block(100))), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))]
+    return F.concat_ws("/", *parts)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(docs(spark, sf_dir), document_path())
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.size("pii_kinds").cast("long").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"), "text")
+
+
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(docs(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fingerprint,
+        op2_line_dedup,
+        op3_simhash,
+        op4_langid,
+        op5_sharding,
+        op6_decontaminate,
+        op7_packing,
+        op8_license_scan,
+        op9_pii,
+        op10_ctw,
+    )
+}
+ORACLES = {"op2_line_dedup": line_dedup.SQL}

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import as_key, from_key
+
 #: Buckets of a ranking; a task sorts the rows of some buckets. The tables of counts have at most this many rows a stratum.
 BUCKETS = 8192
 
@@ -52,7 +54,7 @@ def interleave_shards(
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = df.select(
         F.col(id_col).alias("_id"),
-        F.when(F.col(stratum_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(stratum_col).cast("string"))).alias("_s"),
+        as_key(F.col(stratum_col)).alias("_s"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     ).withColumn("_h", F.xxhash64(F.lit(seed), "_id", "text_crc32", "size"))
@@ -72,7 +74,7 @@ def interleave_shards(
         F.col("_id").alias(id_col),
         "size",
         "text_crc32",
-        F.when(F.col("_s") != "-", F.substring("_s", 2, 1 << 30)).alias("stratum"),
+        from_key(F.col("_s"), "string").alias("stratum"),
         F.col("_shard").cast("int").alias("shard"),
         (at - first(F.col("_shard"))).cast("long").alias("slot"),
     )

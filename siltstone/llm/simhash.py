@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import as_key, from_key, materialize, small_batches
 
 DISTANCE = 4
 BLOCKS = 6
@@ -57,7 +57,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame({"id": b["_id"], "fp": fp.view(np.int64)})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(run, f"id {kind}, fp long")
+    rows = df.select(as_key(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(run, "id string, fp long")
+    return rows.select(from_key(F.col("id"), kind).alias("id"), "fp")
 
 
 def trie_pairs(fp: np.ndarray, a0, a1, b0, b1, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
