@@ -9,6 +9,7 @@ only, and its output depends on its rows and their order alone, so a lost task i
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,19 +19,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import as_key, from_key, small_batches
 
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; others are encoded again. It bounds memory, not results.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: A control character that is a token by itself.
+MARK = "\x01"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
     """Token ids of whole texts, encoded word by word with a bounded cache.
 
-    It holds for tokenizers that squeeze white space and never join tokens across it, as those with word-end marks do.
+    It holds for lower-casing tokenizers that squeeze white space, part letters from punctuation and never join tokens
+    across either, as those with word-end marks do.
     """
 
     def __init__(self, path: str):
@@ -39,9 +43,11 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
@@ -49,17 +55,48 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         cache = self.cache
-        texts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for t in texts for w in t if w not in cache})
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (cache if len(cache) < CACHE_WORDS and len(w) <= 64 else extra)[w] = ids
-        if extra:
-            return [b"".join([cache[w] if w in cache else extra[w] for w in t]) for t in texts]
-        return [b"".join([cache[w] for w in t]) for t in texts]
+        texts = [_lower(t or "").replace("\n", " ").split(" ") for t in texts]
+        parts = [list(map(cache.get, words)) for words in texts]
+        lacking = [k for k, ids in enumerate(parts) if None in ids]
+        fresh = {w for k in lacking for w, ids in zip(texts[k], parts[k]) if ids is None}
+        if fresh:
+            marked = {w for w in fresh if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
+            bare = {w[:-1] for w in marked} | {".", ","}
+            found = self._encoded([*(fresh - marked), *(w for w in bare - fresh if w not in cache)])
+            for w in marked:
+                a, b = w[:-1], w[-1]
+                found[w] = (found.get(a) or cache[a]) + (found.get(b) or cache[b])
+            for k in lacking:
+                parts[k] = [found[w] if ids is None else ids for w, ids in zip(texts[k], parts[k])]
+            if len(cache) + len(found) <= CACHE_WORDS:
+                cache.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+        return [b"".join(ids) for ids in parts]
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids by word, many in one call with a mark between them that no word has."""
+        plain, out = [w for w in words if MARK not in w], {}
+        cuts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        done = self.tokenizer.encode_batch_fast([f" {MARK} ".join(part) for part in cuts], add_special_tokens=False)
+        for part, encoding in zip(cuts, done):
+            ids = np.array(encoding.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                out[w] = raw[4 * at : 4 * end]
+                at = end + 1
+        for w in words:
+            if MARK in w:
+                out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+def _lower(text: str) -> str:
+    """In lower case where that changes no id: these 256 characters have no composed forms or context rules."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class SumOfSquares:
@@ -166,10 +203,10 @@ def pack(
                 yield emit(rest[k : k + 256])
 
     kind = df.schema[id_col].dataType.simpleString()
-    pieces = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(
-        run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    pieces = df.select(as_key(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(
+        run, "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
-    return pieces.withColumnRenamed("id", id_col)
+    return pieces.withColumn("id", from_key(F.col("id"), kind)).withColumnRenamed("id", id_col)
 
 
 def ids_crc32(ids: bytes) -> int:

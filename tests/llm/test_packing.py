@@ -71,3 +71,13 @@ def after(p, level, n):
     if level + n < 64:
         count[level + n] += 1
     return count[1:]
+
+
+def test_word_by_word_ids_are_whole_text_ids():
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = True
+    texts = ["Don't STOP, it's 4.0. É È é, é. Σίσυφος ΣΑΣ\n x\x01y \x01 ...!! a,. I'll. <|endoftext|> " + "z" * 300, "\tA\r\nB\x0bc  d.", ".", ",", "", None]
+    words = packing.WordTokenizer(PATH)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
