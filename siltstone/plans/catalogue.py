@@ -1,4 +1,484 @@
-"""Registered queries of the artifact-corpus operators and their SQL."""
+"""Registered queries of the artifact-corpus operators over the driver's tables, each beside its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import classify as C
+from ..operators import relations as R
+from ..sources import sinks as K
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A neutral rule table for text: priority, label, the word a text must have, and the pattern that must be found.
+TEXT_RULES = [
+    (1, "gpl", "gnu", "GNU General Public License, version ([0-9])"),
+    (2, "apache", "apache", "Apache License, Version ([0-9.]+)"),
+    (3, "mit", "mit", "the MIT License"),
+    (4, "cc", "cc", "CC BY-[A-Z]+ ([0-9.]+)"),
+    (5, "german", "und", "[Uu]nd "),
+    (6, "french", "les", "[Ll]es "),
+    (7, "spanish", "los", "[Ll]os "),
+    (8, "english", "the", "[Tt]he "),
+]
+RULES_SQL = "(VALUES " + ", ".join(f"({p}, '{n}', '{t}', '{x}')" for p, n, t, x in TEXT_RULES) + ") AS r(priority, label, token, pattern)"
+FIRST_MATCH_SQL = f"""
+SELECT doc_id, priority, label FROM (
+  SELECT d.doc_id, r.priority, r.label, row_number() OVER (PARTITION BY d.doc_id ORDER BY r.priority) AS k
+  FROM documents d JOIN {RULES_SQL}
+    ON list_contains(regexp_split_to_array(lower(d.text), '\\s+'), r.token) AND regexp_matches(d.text, r.pattern)
+) WHERE k = 1
+"""
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.broadcast(spark.createDataFrame(TEXT_RULES, "priority int, label string, token string, pattern string"))  # TEXT_RULES, whatever the input
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.array_intersect(F.split(F.lower("text"), r"\s+"), F.array(*[F.lit(t) for *_, t, _ in TEXT_RULES]))
+    hits = docs.withColumn("token", F.explode(words)).join(rules, "token").filter(F.expr("text rlike pattern"))
+    best = hits.groupBy("doc_id").agg(F.min(F.struct("priority", "label")).alias("b"))
+    return best.select("doc_id", "b.priority", "b.label")
+
+
+@query(FIRST_MATCH_SQL)
+def rule_first_match(spark, sf_dir):
+    return matched(spark, sf_dir)
+
+
+@query(f"""
+WITH hits AS (SELECT d.doc_id, r.priority, r.label, regexp_extract(d.text, r.pattern, 1) AS version
+  FROM documents d JOIN {RULES_SQL} ON regexp_matches(d.text, r.pattern) WHERE r.priority IN (1, 2, 4))
+SELECT doc_id, label, version FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority) AS k FROM hits WHERE version <> '') WHERE k = 1
+""")
+def rule_fallthrough(spark, sf_dir):
+    """A rule that holds but yields no version leaves the artifact to the next."""
+    text = F.col("text")
+    tries = [F.when(text.rlike(x) & (F.regexp_extract(text, x, 1) != ""), F.struct(F.lit(n).alias("label"), F.regexp_extract(text, x, 1).alias("version"))) for p, n, _, x in TEXT_RULES if p in (1, 2, 4)]
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(*tries).alias("f")).filter("f is not null").select("doc_id", "f.label", "f.version")
+
+
+@query(f"""
+SELECT m.label, l.quality, count(*) AS n, count(DISTINCT m.doc_id) AS docs FROM ({FIRST_MATCH_SQL}) m JOIN labels l USING (doc_id) GROUP BY ALL
+""")
+def rule_summary(spark, sf_dir):
+    found = matched(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return found.groupBy("label", "quality").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("SELECT doc_id, substr(text, 1, 64) AS head, length(text)::BIGINT AS size FROM documents")
+def head_probe(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 64).alias("head"), F.length("text").cast("long").alias("size"))
+
+
+@query("SELECT page_id, regexp_matches(html, '^(<(![Dd][Oo][Cc][Tt][Yy][Pp][Ee]|[Hh][Tt][Mm][Ll])[ >]|%PDF|BM|GIF8)') AS discarded FROM pages")
+def discard_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.is_discarded(F.col("html")).alias("discarded"))
+
+
+@query("""
+SELECT doc_id, n_chars, floor(log2(n_chars))::INT AS exponent, n_chars > 1 << floor(log2(n_chars))::INT AND n_chars <= (1 << floor(log2(n_chars))::INT) + 64 AS in_window
+FROM documents WHERE n_chars > 0
+""")
+def pow2_window(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("n_chars > 0")
+    e = F.floor(F.log2("n_chars")).cast("int")
+    low = F.expr("shiftleft(1L, cast(floor(log2(n_chars)) as int))")
+    return docs.select("doc_id", "n_chars", e.alias("exponent"), ((F.col("n_chars") > low) & (F.col("n_chars") <= low + 64)).alias("in_window"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[Tt]he ') AND regexp_matches(text, ' of ') AND regexp_matches(text, '[a-z]ing') AS all_found FROM documents")
+def all_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.all_match(F.col("text"), ["[Tt]he ", " of ", "[a-z]ing"]).alias("all_found"))
+
+
+@query("""
+SELECT a.p_partkey, count(*) AS alike FROM part a JOIN part b
+ON regexp_replace(lower(a.p_brand || a.p_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b.p_brand || '-' || b.p_name), '[^a-z0-9]', '', 'g') GROUP BY 1
+""")
+def compare_alnum(spark, sf_dir):
+    """Counting by key first keeps equal names from being paired."""
+    part = table(spark, sf_dir, "part")
+    counts = part.groupBy(S.alnum_key(F.concat("p_brand", F.lit("-"), "p_name")).alias("k")).agg(F.count(F.lit(1)).alias("alike"))
+    return part.select("p_partkey", S.alnum_key(F.concat("p_brand", "p_name")).alias("k")).join(counts, "k").select("p_partkey", "alike")
+
+
+@query("SELECT doc_id, split_part(text, chr(10), 1) AS first_line FROM documents")
+def read_string_cut(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.cut_at(F.col("text"), "\n").alias("first_line"))
+
+
+@query("SELECT page_id, regexp_replace(url, '\\.[^.]*$', '') AS stem FROM pages")
+def remove_extension(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.remove_extension(F.col("url")).alias("stem"))
+
+
+URL_PATH = "regexp_replace(url, '^https?://', '')"
+
+
+@query(f"SELECT page_id, CASE WHEN contains(split_part({URL_PATH}, '/', 1), '.') THEN 'http://' || replace({URL_PATH}, '#', '%23') ELSE '' END AS link FROM pages")
+def derive_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.derive_url(F.regexp_replace("url", "^https?://", "")).alias("link"))
+
+
+@query("""
+SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'NSC' WHEN 1 THEN 'Sup' || s_suppkey WHEN 2 THEN 'Texas' || s_suppkey ELSE 'Plain ' || s_suppkey END AS vendor FROM supplier
+""")
+def vendor_clean(spark, sf_dir):
+    name = F.expr(
+        "CASE s_suppkey % 4 WHEN 0 THEN 'National Semiconductor Corporation' WHEN 1 THEN concat('Supplier Works [Sup', s_suppkey, ']') "
+        "WHEN 2 THEN concat('Texas', s_suppkey, ' Semiconductor Corp., Ltd.') ELSE concat('Plain ', s_suppkey, ' Computer Products, Inc.') END"
+    )
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.clean_vendor(name).alias("vendor"))
+
+
+@query("""
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(p_name || ' ' || p_type, 'ECONOMY', 'Econ.'), '\\b(STANDARD|PROMO)\\b', '', 'g'), 'small', 'S', 'g'), ' +', ' ', 'g')) AS device FROM part
+""")
+def device_clean(spark, sf_dir):
+    rules = [("ECONOMY", "Econ."), (r"\b(STANDARD|PROMO)\b", ""), ("small", "S")]
+    return table(spark, sf_dir, "part").select("p_partkey", S.clean_name(F.concat_ws(" ", "p_name", "p_type"), rules).alias("device"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '([\\x20-\\x7E\\t]{8,})', 1)) AS run FROM pages")
+def strings_n8(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(S.printable_runs(F.col("html"))).alias("run"))
+
+
+@query("SELECT doc_id, substr(text, 1, 40) AS back FROM documents")
+def hex_dump_parse(spark, sf_dir):
+    """A dump of two digits a byte, parsed back."""
+    dump = F.regexp_replace(F.hex(F.encode(F.substring("text", 1, 40), "UTF-8")), "(..)", "$1 ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.decode(F.unhex(F.array_join(F.regexp_extract_all(dump, F.lit("([0-9A-F]{2})"), F.lit(1)), "")), "UTF-8").alias("back"))
+
+
+@query("""
+SELECT doc_id, b[1] + 256 * b[2] AS u16, b[1] + 256 * b[2] + 65536 * b[3] + 16777216 * b[4] AS u32
+FROM (SELECT doc_id, list_transform(range(1, 9, 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT) AS b FROM documents WHERE strlen(text) >= 4)
+""")
+def le_u32_fields(spark, sf_dir):
+    data = F.encode("text", "UTF-8")
+    return table(spark, sf_dir, "documents").filter(F.octet_length("text") >= 4).select("doc_id", S.le_uint(data, 0, 2).alias("u16"), S.le_uint(data, 0, 4).alias("u32"))
+
+
+@query("""
+SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, strlen(t) + 1), lambda i: ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 40961) ELSE x >> 1 END))::INT AS crc
+FROM (SELECT doc_id, regexp_extract(text, '^[\\x01-\\x7F]{0,32}') AS t FROM documents)
+""")
+def crc16(spark, sf_dir):
+    """Of the ASCII beginning, at most 32 bytes: a header checksum."""
+    head = F.regexp_extract("text", r"^[\x01-\x7F]{0,32}", 0)
+    return table(spark, sf_dir, "documents").select("doc_id", S.crc16(F.encode(head, "UTF-8")).alias("crc"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1, 2), lambda i: substr(p_name, i, 1)), '') AS even,
+  array_to_string(list_transform(range(2, length(p_name) + 1, 2), lambda i: substr(p_name, i, 1)), '') AS odd FROM part
+""")
+def deinterleave2(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", S.every_nth(F.col("p_name"), 2, 0).alias("even"), S.every_nth(F.col("p_name"), 2, 1).alias("odd"))
+
+
+@query("SELECT p_partkey, p_name AS joined FROM part WHERE length(p_name) % 4 = 0")
+def interleave4(spark, sf_dir):
+    """Four parts put together again."""
+    part = table(spark, sf_dir, "part").filter("length(p_name) % 4 = 0")
+    return part.select("p_partkey", S.interleave([S.every_nth(F.col("p_name"), 4, k) for k in range(4)]).alias("joined"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_transform(c, lambda x: ((((255 - x) >> 3) | ((255 - x) << 5)) & 127)::VARCHAR), ',') AS inverted,
+  array_to_string(list_transform(c, lambda x: ((((256 - x) << 1) | ((256 - x) >> 7)) & 127)::VARCHAR), ',') AS negated
+FROM (SELECT p_partkey, list_transform(string_split(p_name, ''), lambda x: ord(x)) AS c FROM part)
+""")
+def cipher_text(spark, sf_dir):
+    shown = lambda invert: F.array_join(F.transform(S.rotated_text(F.col("p_name"), invert), lambda x: x.cast("string")), ",")
+    return table(spark, sf_dir, "part").select("p_partkey", shown(True).alias("inverted"), shown(False).alias("negated"))
+
+
+@query("SELECT 128 + i AS code, substr('" + S.CP437 + "', i + 1, 1) AS letter FROM range(128) t(i)")
+def cp437_decode(spark, sf_dir):
+    return spark.range(128, 256).select(F.col("id").alias("code"), S.decode_cp437(F.unhex(F.hex("id"))).alias("letter"))
+
+
+@query("""
+SELECT event_id, chr((64 + ((x >> 26) & 31))::INT) || chr((64 + ((x >> 21) & 31))::INT) || chr((64 + ((x >> 16) & 31))::INT) || lpad(hex(x & 65535), 4, '0') AS pnp
+FROM (SELECT event_id, (user_id * 7919 + event_id * 104729) % 2147483647 AS x FROM events)
+""")
+def pnp_decode(spark, sf_dir):
+    x = F.expr("(user_id * 7919 + event_id * 104729) % 2147483647")
+    return table(spark, sf_dir, "events").select("event_id", S.pnp_id(x).alias("pnp"))
+
+
+@query("""
+SELECT event_id, '#' || lpad(hex(((event_id >> 12) & 63) << 2), 2, '0') || lpad(hex(((event_id >> 6) & 63) << 2), 2, '0') || lpad(hex((event_id & 63) << 2), 2, '0') AS colour FROM events
+""")
+def palette_6to8(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.widen_palette(F.col("event_id")).alias("colour"))
+
+
+@query("""
+SELECT o_orderkey, y AS year, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS day
+FROM (SELECT *, CASE WHEN year(o_orderdate) % 100 < 80 THEN 2000 + year(o_orderdate) % 100 ELSE 1900 + year(o_orderdate) % 100 END::INT AS y FROM orders)
+""")
+def date_pivot(spark, sf_dir):
+    d = S.pivot_date(F.date_format("o_orderdate", "MM/dd/yy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"))
+
+
+@query("""
+SELECT user_id, string_agg(DISTINCT '[' || event_type || '] ' || (value::INT % 3)::VARCHAR, chr(10) ORDER BY '[' || event_type || '] ' || (value::INT % 3)::VARCHAR) AS metadata
+FROM (SELECT user_id, event_type, floor(value) AS value FROM events) GROUP BY user_id
+""")
+def metadata_rollup(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("v", F.floor("value").cast("int") % 3)
+    return R.metadata_lines(events, "user_id", "event_type", "v")
+
+
+@query("SELECT o_custkey, strftime(max(o_orderdate), '%m/%d/%Y') AS newest FROM orders GROUP BY 1")
+def newest_date(spark, sf_dir):
+    d = F.date_format("o_orderdate", "MM/dd/yyyy")
+    best = F.max(F.struct(S.pivot_date(d).alias("k"), d.alias("d")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", F.col("b.d").alias("newest"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC) AS k FROM lineitem) WHERE k = 1
+""")
+def largest_body(spark, sf_dir):
+    return R.largest(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS codes, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
+def distinct_codes(spark, sf_dir):
+    code = F.concat("l_returnflag", "l_linestatus")
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set(code)), ",").alias("codes"), F.countDistinct("l_partkey").alias("parts"))
+
+
+@query("""
+WITH per AS (SELECT p_brand, p_type, string_agg(DISTINCT p_size::VARCHAR, ', ' ORDER BY p_size::VARCHAR) AS c FROM part GROUP BY ALL)
+SELECT p_brand, string_agg(p_type || ' (' || c || ')', chr(10) ORDER BY p_type || ' (' || c || ')') AS names FROM per GROUP BY 1
+""")
+def regtable_group(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("string"))
+    return R.grouped_names(part, "p_brand", "size", "p_type")
+
+
+@query("""
+SELECT d.doc_id, min(b.item_id) AS item_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 3) AS s FROM benchmark WHERE length(text) >= 3) b ON starts_with(d.text, b.s) GROUP BY 1
+""")
+def signature_match(spark, sf_dir):
+    """Signatures at a fixed place: an equi-join on the bytes there; the first signature wins."""
+    items = table(spark, sf_dir, "benchmark").filter("length(text) >= 3").groupBy(F.substring("text", 1, 3).alias("s")).agg(F.min("item_id").alias("item_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 3).alias("s")).join(items, "s").select("doc_id", "item_id")
+
+
+@query("""
+SELECT s.s_suppkey, coalesce(n.n_name, '[Unknown]') AS vendor, coalesce(r.r_name, CASE WHEN n.n_name IS NULL THEN '' ELSE '[Unknown]' END) AS device
+FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey + 2 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey AND r.r_regionkey <> 3
+""")
+def pci_lookup(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").filter("r_regionkey <> 3")
+    out = table(spark, sf_dir, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey") + 2, "left")
+    out = out.join(region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    device = F.coalesce("r_name", F.when(F.col("n_name").isNull(), "").otherwise("[Unknown]"))
+    return out.select("s_suppkey", F.coalesce("n_name", F.lit("[Unknown]")).alias("vendor"), device.alias("device"))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN lag(n) OVER w = n THEN '↖' ELSE n END AS nation
+FROM (SELECT s_suppkey, s_suppkey // 10 AS g, n_name AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey % 3) WINDOW w AS (PARTITION BY g ORDER BY s_suppkey)
+""")
+def vendor_dedupe(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey") % 3)
+    s = s.select("s_suppkey", F.floor(F.col("s_suppkey") / 10).alias("g"), F.col("n_name").alias("nation"))
+    return R.blank_repeats(s, ["g"], ["s_suppkey"], "nation").select("s_suppkey", "nation")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)
+SELECT doc_id, place, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY place) AS b FROM l) WHERE regexp_matches(b, '[0-9]{3}')
+""")
+def next_line_trap(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    return R.after_match(lines, "doc_id", "place", "line", "[0-9]{3}").select("doc_id", F.col("place").cast("long").alias("place"), "line")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT p_brand AS g, p_type AS base FROM part), c AS (SELECT DISTINCT p_brand AS g, upper(p_name) AS name FROM part),
+m AS (SELECT b.g, b.base, c.name, (SELECT max(k) FROM range(1, 60) t(k) WHERE k <= length(b.base) AND k <= length(c.name) AND substr(b.base, 1, k) = substr(c.name, 1, k)) AS shared FROM b JOIN c USING (g))
+SELECT g, base, name, shared::INT AS shared FROM (SELECT *, row_number() OVER (PARTITION BY g, base ORDER BY shared DESC, name) AS r FROM m WHERE shared IS NOT NULL) WHERE r = 1
+""")
+def closest_prefix(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("name", F.upper("p_name"))
+    return R.closest_name(part, part, "p_brand", "p_type", "name")
+
+
+@query("""
+SELECT a.source AS g, a.doc_id AS a, b.doc_id AS b, a.n_chars AS size_a, b.n_chars AS size_b, a.n_chars + b.n_chars AS whole
+FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars >= b.n_chars AND (a.n_chars > b.n_chars OR a.doc_id < b.doc_id)
+AND b.n_chars > 0 AND 2 ^ round(log2(a.n_chars + b.n_chars)) = a.n_chars + b.n_chars
+""")
+def size_pair(spark, sf_dir):
+    return R.size_pairs(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
+
+
+@query("SELECT * FROM (SELECT source AS g, n_chars AS size, doc_id AS a, lead(doc_id) OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS b FROM documents) WHERE b IS NOT NULL")
+def equal_size_pair(spark, sf_dir):
+    return R.equal_size_pairs(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
+
+
+RANGES = "SELECT o_orderkey AS segment, o_orderkey * 37 AS start, o_orderkey * 37 + 20 + o_custkey % 30 AS stop FROM orders"
+
+
+@query(f"SELECT e.event_id, s.segment, e.at - s.start AS inside FROM (SELECT event_id, event_id * 11 AS at FROM events) e JOIN ({RANGES}) s ON e.at >= s.start AND e.at < s.stop")
+def offset_in_segment(spark, sf_dir):
+    points = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 11).alias("at"))
+    start = F.col("o_orderkey") * 37
+    ranges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"), start.alias("start"), (start + 20 + F.col("o_custkey") % 30).alias("stop"))
+    return R.offsets_in_ranges(points, ranges, "at", "start", "stop", 64).select("event_id", "segment", (F.col("at") - F.col("start")).alias("inside"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def consumed_anti(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(used, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def sibling_semi(spark, sf_dir):
+    there = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(there, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT a.r_name || ',' || b.r_name || ',' || c.r_name AS parts FROM region a, region b, region c WHERE a.r_regionkey NOT IN (b.r_regionkey, c.r_regionkey) AND b.r_regionkey <> c.r_regionkey")
+def permutations(spark, sf_dir):
+    """All orders of three of a group's few parts, from one row that lists them."""
+    names = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list("r_name")).alias("n"))
+    one = names.select("n", F.explode("n").alias("a")).select("n", "a", F.explode("n").alias("b")).filter("a <> b")
+    return one.select("a", "b", F.explode("n").alias("c")).filter("c <> a and c <> b").select(F.concat_ws(",", "a", "b", "c").alias("parts"))
+
+
+@query("""
+SELECT doc_id, n.needle, (strpos(text, n.needle) - 1)::BIGINT AS at FROM documents, (VALUES ('tion'), ('ing '), ('ß'), ('@')) n(needle) WHERE strpos(text, n.needle) > 0
+""")
+def needle_search(spark, sf_dir):
+    """Every needle of a short list in every text."""
+    docs = table(spark, sf_dir, "documents").withColumn("needle", F.explode(F.array(*[F.lit(x) for x in ("tion", "ing ", "ß", "@")])))
+    return docs.select("doc_id", "needle", (F.expr("instr(text, needle)") - 1).cast("long").alias("at")).filter("at >= 0")
+
+
+@query("SELECT year(o_orderdate)::INT AS generation, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def generation_union(spark, sf_dir):
+    """Generations, here the orders of odd and of even months, put together again."""
+    orders = table(spark, sf_dir, "orders")
+    odd, even = orders.filter("month(o_orderdate) % 2 = 1"), orders.filter("month(o_orderdate) % 2 = 0")
+    return odd.unionByName(even).groupBy(F.year("o_orderdate").alias("generation")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, string_split({URL_PATH}, '/') AS s FROM pages),
+k AS (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS depth FROM p)
+SELECT array_to_string(s[1:depth], '/') AS folder, depth::INT AS depth, count(*) AS pages FROM k GROUP BY ALL
+""")
+def path_tree(spark, sf_dir):
+    path = F.regexp_replace("url", "^https?://", "")
+    folders = table(spark, sf_dir, "pages").select(F.posexplode(R.ancestors(path)).alias("k", "folder"))
+    return folders.groupBy("folder", (F.col("k") + 1).alias("depth")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS g, (l_partkey % 1000) * 4 AS b, (l_partkey % 1000) * 4 + l_quantity::BIGINT * 8 AS e FROM lineitem),
+m AS (SELECT g, b, e FROM i UNION ALL SELECT DISTINCT g, 4800, 4800 FROM i),
+o AS (SELECT g, b, coalesce(max(e) OVER (PARTITION BY g ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM m)
+SELECT g, f AS "from", b AS "to" FROM o WHERE b > f
+""")
+def interval_complement(spark, sf_dir):
+    b = (F.col("l_partkey") % 1000) * 4
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), b.alias("b"), (b + F.col("l_quantity").cast("long") * 8).alias("e"))
+    return R.gaps(i, "g", "b", "e", F.lit(4800).cast("long"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS x FROM documents WHERE contains(text, '|'))
+SELECT doc_id, pos::BIGINT AS begin, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), -1)::BIGINT AS until FROM c WHERE x = '|'
+""")
+def candidate_ranges(spark, sf_dir):
+    """From each mark to the next."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("|"))
+    parts = F.transform(F.split("text", r"\|", -1), lambda p: F.length(p) + 1)
+    sums = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    marks = docs.select("doc_id", sums.alias("s")).select("doc_id", F.slice("s", 2, F.size("s") - 2).alias("m"))
+    return marks.select("doc_id", F.posexplode("m").alias("k", "begin"), "m").select("doc_id", "begin", F.coalesce(F.get("m", F.col("k") + 1), F.lit(-1)).alias("until"))
+
+
+SUMMARY = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL"
+
+
+def summary(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT '\"' || status || '\",\"' || priority || '\",\"' || n || '\"' AS line FROM ({SUMMARY})")
+def csv_rows(spark, sf_dir):
+    df = summary(spark, sf_dir)
+    return df.select(K.xsv_row(df).alias("line"))
+
+
+@query(f"SELECT '{{\"status\":\"' || status || '\"' || CASE WHEN starts_with(priority, '5') THEN '' ELSE ',\"priority\":\"' || priority || '\"' END || ',\"n\":' || n || '}}' AS line FROM ({SUMMARY})")
+def json_rows(spark, sf_dir):
+    df = summary(spark, sf_dir).withColumn("priority", F.when(F.col("priority").startswith("5"), "").otherwise(F.col("priority")))
+    return df.select(K.json_object(df).alias("line"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type)::INT AS lines FROM events GROUP BY 1")
+def array_mode(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("v", F.lit("x"))
+    return K.as_lists(R.metadata_lines(events, "user_id", "event_type", "v"), "metadata").select("user_id", F.size("metadata").alias("lines"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def rle_expand(spark, sf_dir):
+    """Runs written as count and character, expanded again: the text itself."""
+    packed = F.regexp_extract_all("text", F.lit(r"(?s)((.)\2{0,254})"), F.lit(1))
+    pairs = F.transform(packed, lambda r: F.struct(F.length(r).alias("n"), F.substring(r, 1, 1).alias("c")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(pairs, lambda p: F.repeat(p["c"], p["n"])), "").alias("text"))
+
+
+#: One artifact of each vendor below, in bytes, by the number of the document that stands for it.
+SAMPLES = [
+    ("Tandon", "NOT COPR. IBM 1984 BIOS VERSION 3.61"),
+    ("Zenith", "05/13/87 (C)ZDS CORP"),
+    ("Mylex", "MYLEX 386/20 BIOS Version 6.2 04/11/90"),
+    ("Schneider", "Schneider Rdf. AG EURO PC  BIOS V2.06"),
+]
+
+
+@query("SELECT doc_id, ['Tandon', 'Zenith', 'Mylex', 'Schneider'][doc_id % 5 + 1] AS vendor, ['3.61', '05/13/87', '6.2', 'V2.06'][doc_id % 5 + 1] AS version FROM documents WHERE doc_id % 5 < 4")
+def rom_classify(spark, sf_dir):
+    """Documents with a vendor's banner put behind their text, or none for every fifth, classified by the rule chain."""
+    banner = F.get(F.array(*[F.lit(b) for _, b in SAMPLES]), (F.col("doc_id") % 5).cast("int"))
+    blob = F.encode(F.concat(F.col("text"), F.lit("\0"), F.coalesce(banner, F.lit(""))), "UTF-8")
+    found = C.classify(table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob")), C.as_latin1(F.col("blob")))
+    return found.filter("finding is not null").select("doc_id", "finding.vendor", "finding.version")
