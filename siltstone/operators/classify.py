@@ -7,48 +7,121 @@ priority that is satisfied and has a version wins. No Python runs on the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import all_match, pivot_date
+from ..functions.scalar import all_match, every_nth, pivot_date
+
+
+Take = tuple[str, int] | str | Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
+    """version, string and signon are each a pattern and a group, a fixed text, or a column made of the artifact's text."""
+
     priority: int
-    vendor: str
-    version: tuple[str, int] | str  # pattern and group, or a fixed version
+    vendor: str | Callable[[Column], Column]
+    version: Take
     needs: tuple[str, ...] = ()
-    string: tuple[str, int] | None = None
-    signon: tuple[str, int] | None = None
+    string: Take | None = None
+    signon: Take | None = None
     prefix: str = ""
     least_size: int = 0
-    newest_date: bool = False  # string: the newest date behind an entry-point jump
+    also: Callable[[Column], Column] | None = None  # a further condition
+    header: str | None = None  # what the artifact's header must be
+
+
+def newest_entry_date(text: Column) -> Column:
+    """The newest date behind an entry-point jump."""
+    dates = F.regexp_extract_all(text, F.lit(ENTRY_DATE), F.lit(1))
+    return F.array_max(F.transform(dates, lambda d: F.struct(pivot_date(d).alias("k"), d.alias("d"))))["d"]
+
+
+def part_numbers(text: Column) -> Column:
+    """The distinct part numbers before a copyright, sorted; those of two interleaved images are taken apart."""
+    plain = F.regexp_extract_all(text, F.lit(IBM_PART), F.lit(1))
+    twice = F.regexp_extract_all(text, F.lit(IBM_PART_TWICE), F.lit(1))
+    parts = F.flatten(F.transform(twice, lambda x: F.array(every_nth(x, 2, 0), every_nth(x, 2, 1))))
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.concat(plain, parts))), "\n"), F.lit(""))
+
+
+def text_at(from_end: Callable[[Column], Column], size: int) -> Callable[[Column], Column]:
+    """The text up to a zero byte, of at most ``size``, that begins so far before the end."""
+    return lambda t: F.substring_index(F.substring(t, F.length(t) - from_end(F.length(t)) + 1, F.lit(size)), "\0", 1)
+
+
+def coreboot(part: int) -> Callable[[Column], Column]:
+    """Vendor (0) or version (1) by the newer form of the version, or else by the older."""
 
+    def take(t: Column) -> Column:
+        new = F.regexp_extract(t, COREBOOT_NEW, 1)
+        old = F.nullif(F.regexp_extract(t, COREBOOT_OLD, 1 + part), F.lit(""))
+        return F.when(new != "", F.substring_index(new, "-", 1) if part else F.lit("coreboot")).otherwise(old)
+
+    return take
+
+
+#: Patterns that more than one rule needs, or that its functions use.
+ENTRY_DATE = r"(?s)(?:\xEA..\x00\xF0|\xE9..)((?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/[0-9]{2})"
+IBM_PART = r"([0-9]{2}[A-Z0-9][0-9]{4})  ?(?:COPR\. IBM|\(C\) COPYRIGHT IBM CORPORATION) 19[89][0-9]"
+IBM_PART_TWICE = r"(([0-9])\2([0-9])\3([A-Z0-9])\4[0-9]{8})  (?:CCOOPPRR\.\.  IIBBMM|\(\(CC\)\)  CCOOPPYYRRIIGGHHTT  IIBBMM  CCOORRPPOORRAATTIIOONN)  1199([89])\5([0-9])\6"
+IBM_LONG = r"\(C\) COPYRIGHT IBM CORPORATION 19[89]|\(\(CC\)\)  CCOOPPYYRRIIGGHHTT  IIBBMM  CCOORRPPOORRAATTIIOONN  1199"
+COREBOOT_NEW = r"(?:#(?: This image was built using coreboot |define COREBOOT_VERSION \")|COREBOOT_VERSION: )([\x20-\x21\x23-\x7E]+)"
+COREBOOT_OLD = r"(LinuxBIOS|coreboot)-([^_ ]+)[_ ](?:Normal |Fallback )?(?:.* )?starting\.\.\."
+UEFI_HEADER = "\x00\xFFUEFIExtract\xFF\x00"
+INTEL_CODE = (
+    r"(?:\$(?:IBIOSI\$|FID|UBI)|Load Error\x00{2}Success\x00|S\x00l\x00o\x00t\x00 \x00\x30\x00:\x00 \x00+)([0-9A-Z]{8}\.[0-9A-Z]{3}(?:\.[0-9]{4}){4})",
+    r"([A-Z]{2}[0-9A-Z]{3}[0-9]{2}[A-Z]\.[0-9]{2}[A-Z](?:\.[0-9]{4}){4})",
+)
+TOSHIBA = (
+    r"This BASIC was aborted,\x0Dbecause this machine has\x0Dno ROM BASIC\.\x0D\x0D Use Toshiba's BASIC\.\x0D|Toshiba Corporation\.( & Award Software Inc|ALL RIGHTS RESERVED)\.",
+    r"(?s)(?:([\x21-\x7F]+\s*V[\x21-\x7F]{1,16}\s*)TOSHIBA |\x00{3}BIOS.{4}([\x20-\x7E]{16}))",
+)
+GENERAL = (
+    r"General Software (?:\x00 )?([^\\\x0D\x0A]+)(?:rel\.|Revision)",
+    r"([0-9]{2}/[0-9]{2}/[0-9]{2})\(C\) [0-9]+ General Software, Inc\. ([^\x00]{0,256})",
+)
+COMPAQ = (
+    r"Copyright ([0-9]+ by )?COMPAQ Computer Corporation",
+    r"Insert (?:DIAGNOSTIC diskette in Drive |COMPAQ DOS diskette)|You must load COMPAQ BASIC|[0-9]{2}/[0-9]{2}/[0-9]{2} +[^ ]+ +Copyright [0-9]+ by COMPAQ Computer Corporation",
+    r"(?s)[0-9]{2}COMPAQ\xEA..\x00\xF0(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/[0-9]{2} ",
+)
+ICL = r"(?:ROM|System) BIOS (#[\x20-\x7E]+) Version ([\x20-\x7E]+)\x0D\x0A\(c\) Copyright [\x20-\x7E]+(?:\x0D\x0A\x0A\x00([\x20-\x7E]+))?"
 
 #: The signatures by which firmware of these vendors is known, in their order of precedence.
 RULES = (
+    Rule(3, "Award", "Toshiba", needs=TOSHIBA[:1], string=lambda t: F.right(F.concat(F.regexp_extract(t, TOSHIBA[1], 1), F.regexp_extract(t, TOSHIBA[1], 2)), F.lit(16))),
     Rule(10, "MR", (r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 1), string=(r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 2), least_size=2048),
     Rule(12, "Acer", "Multitech", needs=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)",), string=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)", 1)),
     Rule(13, "AMPRO", (r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 2), signon=(r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 1)),
-    Rule(14, "Amstrad", "?", needs=(r"A(?:MSTRAD|mstrad(?: Consumer Electronics)?) plc", r"IBMUS NON CARBORUNDUM|fit new batteries|Veuillez mettre des piles neuves|Batterie da sostituire|ponga piles nuevas|neue Batterien einsetzen"), newest_date=True),
+    Rule(14, "Amstrad", "?", needs=(r"A(?:MSTRAD|mstrad(?: Consumer Electronics)?) plc", r"IBMUS NON CARBORUNDUM|fit new batteries|Veuillez mettre des piles neuves|Batterie da sostituire|ponga piles nuevas|neue Batterien einsetzen"), string=newest_entry_date),
+    Rule(15, "CDI", lambda t: F.when(t.rlike(r"NCR'S VERSION IBM(?: CORP\.)? [AX]T ROM"), "NCR").when(t.contains(" COMPUTER DEVICES INC. "), ""), string=newest_entry_date),
     Rule(16, "CPS", (r"(?s)BIOS [Vv]([\x21-\x7E]+). Copyright [\x21-\x7E]+ +Central Point Software, Inc\.", 1), prefix="v"),
-    Rule(17, "C&T", "?", needs=(r" Chips & Technologies",), signon=(r"\x0D\x0A\x00((?:[\x01-\xFF]+ )?BIOS Version [\x01-\xFF]+)", 1)),
-    Rule(20, "Copam", "?", needs=(r"THIS IS NOT IBM BIOS COPAM\(C\) [0-9]{4}",), newest_date=True),
+    Rule(17, "C&T", "?", needs=(r" Chips & Technologies", r"\x0D\x0A\x00((?:[\x01-\xFF]+ )?BIOS Version [\x01-\xFF]+)"), signon=(r"\x0D\x0A\x00((?:[\x01-\xFF]+ )?BIOS Version [\x01-\xFF]+)", 1)),
+    Rule(18, "Commodore", (r"Commodore [\x20-\x7E]+ Rom Bios Version ([\x20-\x7E]+)[\x0D\x0A\x20-\x7E]*", 1), signon=lambda t: F.substring_index(F.regexp_extract(t, r"\xDA\xC4+\xBF[\x01-\xFF]+", 0), "\r\n\r\n", 1)),
+    Rule(19, "Compaq", "?", also=lambda t: (t.rlike(COMPAQ[0]) & t.rlike(COMPAQ[1])) | t.rlike(COMPAQ[2]), string=newest_entry_date),
+    Rule(20, "Copam", "?", needs=(r"THIS IS NOT IBM BIOS COPAM\(C\) [0-9]{4}",), string=newest_entry_date),
+    Rule(21, coreboot(0), coreboot(1), needs=(r"coreboot-%s%s |Sage_coreboot-|Jumping to LinuxBIOS\.",)),
     Rule(22, "DTK", (r"(?:(?:DTK|GoldStar) [\x20-\x7E]+ BIOS Ver(?:sion)? |(?:DTK)/[\x21-\x2E\x30-\x7E]+/BIOS )([\x21-\x7E]+)(?: [\x20-\x7E]+)?", 1), needs=(r"Datatech Enterprises Co\., Ltd\.|DATATECH ENTERPRISES CO\., LTD\.|\x0ADTK Corp\.|\(C\) Copyright by GoldStar Co\.,Ltd\.|GOLDSTAR  SYSTEM  SETUP",)),
+    Rule(23, "General", lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(t, GENERAL[0], 1), r"\(R\)|\(tm\)", ""), " BIOS ", " ")), needs=GENERAL, string=lambda t: F.concat_ws("\n", F.regexp_extract(t, GENERAL[1], 2), F.regexp_extract(t, GENERAL[1], 1))),
+    Rule(25, "IBM", lambda t: F.when(part_numbers(t).isNotNull(), F.when(t.rlike(IBM_LONG), "PS/2 or PS/1").otherwise("PC series")), string=part_numbers),
+    Rule(26, "ICL", lambda t: F.when(t.startswith("OKICL1\x01\x00"), "").otherwise(F.nullif(F.regexp_extract(t, ICL, 2), F.lit(""))), string=(ICL, 1), signon=(ICL, 3)),
+    Rule(27, "Insyde", "?", needs=(r"InsydeH2O Version ",), header=UEFI_HEADER),
+    Rule(28, "Intel", "UEFI", also=lambda t: t.rlike("|".join(INTEL_CODE)), header=UEFI_HEADER, signon=lambda t: F.coalesce(F.nullif(F.regexp_extract(t, INTEL_CODE[0], 1), F.lit("")), F.regexp_extract(t, INTEL_CODE[1], 1))),
     Rule(29, "Juko", (r"(?d)Juko (.+) BIOS ver (.+)", 2), needs=(r"Juko Electronics Industrial Co\.,Ltd\.",), string=(r"(?d)Juko (.+) BIOS ver (.+)", 1)),
     Rule(31, "Mylex", (r"MYLEX [\x20-\x7E]+ BIOS Version ([\x20-\x7E]+) ([0-9]{2}/[0-9]{2}/[0-9]{2})", 1), string=(r"MYLEX [\x20-\x7E]+ BIOS Version ([\x20-\x7E]+) ([0-9]{2}/[0-9]{2}/[0-9]{2})", 2)),
     Rule(33, "Philips", (r"\x0DPhilips ROM BIOS Version ([\x21-\x7E]+) ", 1)),
     Rule(34, "Promag", (r"\(C\) PROMAG SYSTEM BOARD VER\. ([^ ]+) [^\n]+\n([\r\n\x20-\x7E]+)", 1), signon=(r"\(C\) PROMAG SYSTEM BOARD VER\. ([^ ]+) [^\n]+\n([\r\n\x20-\x7E]+)", 2)),
     Rule(35, "Schneider", (r"EURO PC\s+BIOS (V[\x20-\x7E]+)", 1), needs=(r"Schneider (?:Rundfunkwerke|Rdf\.) AG",)),
     Rule(37, "Tandon", (r"NOT COPR. IBM 1984 BIOS VERSION ([\x20-\x7E]+)", 1)),
+    Rule(38, "tinyBIOS", (r"(?<!\")tinyBIOS (V(?:[^\s]+))", 1), needs=(r" PC Engines",), signon=(r"([\x0A-\x7E]{1,256})[\x00\x0A\x0D]*tinyBIOS V", 1)),
+    Rule(39, "Whizpro", text_at(lambda n: F.lit(0x0B), 8), needs=(r"\$PREPOST", r"\$BOOTBLK"), string=text_at(lambda n: F.shiftright(n, 2) + 0x30, 0x20), signon=text_at(lambda n: F.shiftright(n, 2) + 0x110, 0x20)),
     Rule(40, "Zenith", (r"([0-9]{2}/[0-9]{2}/[0-9]{2}) \(C\)ZDS CORP", 1), signon=(r"(?<![\x20-\x7E])[\x20-\x7E]+ Monitor, Version [\x20-\x7E]+", 0)),
 )
-#: Fixed value: a month-first date right behind a far or near jump.
-ENTRY_DATE = r"(?s)(?:\xEA..\x00\xF0|\xE9..)((?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/[0-9]{2})"
 #: The beginnings of files that are of no use here.
 DISCARD = (
     r"(?s)^(?:\x0A[\x00-\x05][\x00-\x01][\x01\x02\x04\x08]|BM|\xFF\xD8\xFF|GIF8|\x89PNG|%PDF|\xD0\xCF\x11\xE0\xA1\xB1\x1A\xE1|\x3F\x5F\x03\x00|"
@@ -68,26 +141,35 @@ def is_discarded(head: Column) -> Column:
     return head.rlike(DISCARD)
 
 
-def newest_entry_date(text: Column) -> Column:
-    dates = F.regexp_extract_all(text, F.lit(ENTRY_DATE), F.lit(1))
-    return F.array_max(F.transform(dates, lambda d: F.struct(pivot_date(d).alias("k"), d.alias("d"))))["d"]
+def _finding(rule: Rule, text: Column, header: Column | None) -> Column:
+    """The rule's finding, or null where it does not hold or has no version."""
 
+    def take(what: Take | None) -> Column:
+        if what is None:
+            return F.lit(None).cast("string")
+        if isinstance(what, str):
+            return F.lit("" if what == "?" else what)
+        return F.nullif(F.regexp_extract(text, *what), F.lit("")) if isinstance(what, tuple) else what(text)
 
-def _finding(rule: Rule, text: Column) -> Column:
-    """The rule's finding, or null where it does not hold or has no version."""
-    take = lambda p: F.nullif(F.regexp_extract(text, *p), F.lit("")) if p else F.lit(None).cast("string")
-    version = F.lit(rule.version) if isinstance(rule.version, str) else F.concat(F.lit(rule.prefix), take(rule.version))
+    version = take(rule.version)
+    if rule.prefix:
+        version = F.concat(F.lit(rule.prefix), version)
     holds = all_match(text, rule.needs) & (F.length(text) >= rule.least_size) & version.isNotNull()
-    if rule.priority == 17:
-        holds &= take(rule.signon).isNotNull()  # nothing but the sign-on tells this vendor's versions
-    string = newest_entry_date(text) if rule.newest_date else take(rule.string)
+    if rule.also:
+        holds &= rule.also(text)
+    if rule.header:
+        holds &= F.lit(False) if header is None else F.coalesce(header == F.encode(F.lit(rule.header), "ISO-8859-1"), F.lit(False))
+    vendor = F.lit(rule.vendor) if isinstance(rule.vendor, str) else rule.vendor(text)
     return F.when(
         holds,
-        F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.vendor).alias("vendor"), (F.lit("") if rule.version == "?" else version).alias("version"), string.alias("string"), F.replace(take(rule.signon), F.lit("\r"), F.lit("")).alias("signon")),
-    )
+        F.struct(
+            F.lit(rule.priority).alias("priority"), vendor.alias("vendor"), version.alias("version"),
+            take(rule.string).alias("string"), F.replace(take(rule.signon), F.lit("\r"), F.lit("")).alias("signon"),
+        ),
+    )
 
 
-def classify(df: DataFrame, text: Column, rules: Sequence[Rule] = RULES) -> DataFrame:
+def classify(df: DataFrame, text: Column, rules: Sequence[Rule] = RULES, header: Column | None = None) -> DataFrame:
     """``df`` with ``finding``: the winning rule's priority, vendor, version, string and sign-on; null where none holds.
 
     Rules are tried in order of priority and later ones are not evaluated for an artifact once one wins. An unknown
@@ -95,4 +177,4 @@ def classify(df: DataFrame, text: Column, rules: Sequence[Rule] = RULES) -> Data
     """
     ordered = sorted(rules, key=lambda r: r.priority)
     # A generator, so that the text is decoded and the chain walked once a row however often the finding is used.
-    return df.withColumn("finding", F.explode(F.transform(F.array(text), lambda t: F.coalesce(*[_finding(r, t) for r in ordered]))))
+    return df.withColumn("finding", F.explode(F.transform(F.array(text), lambda t: F.coalesce(*[_finding(r, t, header) for r in ordered]))))

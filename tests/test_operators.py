@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalar as S
+from siltstone.operators import assemble as A
 from siltstone.operators import classify as C
+from siltstone.operators import features as X
 from siltstone.operators import relations as R
 from siltstone.operators.unpack import open_one, unpack
 from siltstone.sources import files, sinks
@@ -25,6 +27,17 @@ ROMS = [
     ("mr", b"Ver: V1.65-B123" + b"\0" * 2048, ("MR", "V1.65", "B123", None)),
     ("both", b"NOT COPR. IBM 1984 BIOS VERSION 9\0\rPhilips ROM BIOS Version 1 ", ("Philips", "1", None, None)),
     ("schneider", b"EURO PC BIOS V2.06 but no maker", None),
+    ("toshiba", b"Toshiba Corporation.ALL RIGHTS RESERVED.\0\0\0\0BIOS1234T1000 V4.00 xyz!", ("Award", "Toshiba", "T1000 V4.00 xyz!", None)),
+    ("ncr", b"NCR'S VERSION IBM CORP. AT ROM", ("CDI", "NCR", None, None)),
+    ("commodore", b"Commodore PC-10 Rom Bios Version 4.38\r\n", ("Commodore", "4.38", None, "")),
+    ("compaq", b"01COMPAQ\xea\x5b\xe0\x00\xf003/04/88 ", ("Compaq", "", "03/04/88", None)),
+    ("coreboot", b"coreboot-%s%s starting\0# This image was built using coreboot 4.12-20\0", ("coreboot", "4.12", None, None)),
+    ("linuxbios", b"Jumping to LinuxBIOS.\0LinuxBIOS-1.1.8_Fallback Tue starting...", ("LinuxBIOS", "1.1.8", None, None)),
+    ("ibm", b"61X8940  COPR. IBM 1987 and 33F4498 COPR. IBM 1988, 33F4498 COPR. IBM 1988", ("IBM", "PC series", "33F4498\n61X8940", None)),
+    ("ibm2", b"0099FF33445566\x00" + b"1122AA33445566  ((CC))  CCOOPPYYRRIIGGHHTT  IIBBMM  CCOORRPPOORRAATTIIOONN  11998877", ("IBM", "PS/2 or PS/1", "12A3456", None)),
+    ("icl", b"System BIOS #7 Version 1.04\r\n(c) Copyright ICL\r\n\n\0Hello", ("ICL", "1.04", "#7", "Hello")),
+    ("tiny", b"x\0Board 1\r\0tinyBIOS V1.4a (C) PC Engines", ("tinyBIOS", "V1.4a", None, "Board 1")),
+    ("insyde without header", b"InsydeH2O Version 3", None),
     ("none", b"", None),
     ("null", None, None),
 ]
@@ -40,6 +53,35 @@ def test_rules(spark):
             assert (f["vendor"], f["version"], f["string"], f["signon"]) == want, name
 
 
+def test_rules_of_a_header(spark):
+    df = spark.createDataFrame([(bytearray(h) if h else None, bytearray(b)) for h, b in [
+        (b"\0\xffUEFIExtract\xff\0", b"InsydeH2O Version 3"), (b"\0\xffUEFIExtract\xff\0", b"$FIDABCDEFGH.86A.0001.2002.0003.0004"), (None, b"InsydeH2O Version 3"), (b"x", b"InsydeH2O Version 3")
+    ]], "h binary, c binary")
+    got = [r["finding"] and (r["finding"]["vendor"], r["finding"]["signon"]) for r in C.classify(df, C.as_latin1(F.col("c")), header=F.col("h")).collect()]
+    assert got == [("Insyde", None), ("Intel", "ABCDEFGH.86A.0001.2002.0003.0004"), None, None]
+
+
+def test_features(spark, tmp_path):
+    data = b"..FACP\x74\0\0\0" + b"x" * 20 + b"MSFT" + b"DSDT\x10\0\0\0" + b"x" * 20 + b"MSFT" + b"FACP\x75\0\0\0" + b"x" * 20 + b"MSFT"
+    sli = b"123456789012Genuine NVIDIA Certified SLI Ready Motherboard for BoardABCD-Copyright 2007 NVIDIA"
+    df = spark.createDataFrame([(bytearray(data + sli),)], "c binary").withColumn("t", C.as_latin1(F.col("c")))
+    assert df.select(X.acpi_tables(F.col("t"))).first()[0] == ["FACP"]
+    assert df.select(X.combined_metadata(df, ("SLI", X.sli_board(F.col("t"))), ("ACPI", F.array_join(X.acpi_tables(F.col("t")), " ")), ("Build", F.lit("")))).first()[0] == "[ACPI] FACP\n[SLI] Board"
+    names = spark.createDataFrame([("amipci_10DE_0020.rom",), ("amipci_1.rom",)], "n string").select(X.rom_ids(F.col("n"))).collect()
+    assert tuple(names[0][0]) == (0x10DE, 0x20) and names[1][0] is None
+    signs = spark.createDataFrame([("B", 0, -4, bytearray(b"wxyz")), ("A", 0, -4, bytearray(b"wxyz")), ("A", 1, -8, bytearray(b"no")), ("C", 0, -4, bytearray(b"other"[:4]))], "key string, place int, from_end long, pattern binary")
+    blobs = spark.createDataFrame([("p", bytearray(b"12345678wxyz")), ("q", bytearray(b"12nowxyz"[:4] + b"wxyz")), ("r", bytearray(b"y"))], "path string, content binary")
+    assert {r.path: r.signature for r in X.signature_hits(blobs, signs).collect()} == {"p": "B", "q": "B"}
+
+
+def test_assembly(spark):
+    text = b"The quick brown fox jumps over the lazy dog!"
+    rows = [("d", "a.bio", text[::2]), ("d", "b.bin", text[1::2]), ("e", "X.BIO", b"12"), ("e", "x.bi1", b"34"), ("e", "y.bio", b"5")]
+    df = spark.createDataFrame([(f, n, len(c), bytearray(c)) for f, n, c in rows], "folder string, name string, size int, content binary")
+    assert {r.image: bytes(r.content) for r in A.by_stem(df.filter("folder = 'e'")).collect()} == {"e/x": b"1234", "e/y": b"5"}
+    assert text in [bytes(r.content) for r in A.interleaved(df.filter("folder = 'd'")).collect()]
+
+
 def test_discard(spark):
     rows = [(b"\x89PNG...", True), (b"<html >", True), (b"\x7fELF" + bytes(200), True), (b"\x7fELF" + bytes(124) + b"ELFBoot\0", False), (b"plain", False), (b" BM", False)]
     df = spark.createDataFrame([(bytearray(b), w) for b, w in rows], "c binary, want boolean")
