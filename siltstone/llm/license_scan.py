@@ -44,6 +44,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+TERM = r"[a-z0-9]+(?:[.+-]+[a-z0-9]+)*"
 #: What makes a line a statement.
 STATEMENT = r"(?i)\b(licen[cs]e[ds]?|licensing|copyright|spdx|public domain|permission (is hereby|to use)|redistribution and use|redistribute it)\b"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
@@ -51,7 +52,7 @@ THRESHOLD = 0.6
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.+-]+|[.-]+(?![a-z0-9])"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
 def weights(spark) -> tuple[DataFrame, float]:
@@ -111,3 +112,38 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
         F.when(~own, F.col("near.declared_in")).alias("declared_in"),
         "cosine",
     )
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL over ``documents``, laid out in paths; none of them is a licence file."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(n)}, {quoted(t)})" for k, (n, t) in enumerate(TEMPLATES))
+    folder = "regexp_replace(path, '/[^/]*$', '')"
+    return f"""
+WITH t(template, licence, t) AS (VALUES {values}),
+tok AS (SELECT template, licence, unnest(regexp_extract_all(lower(t), '{TERM}')) AS term FROM t),
+tf AS (SELECT template, licence, term, count(*) AS tf FROM tok GROUP BY ALL),
+idf AS (SELECT term, ln({len(TEMPLATES) + 1} / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT template, licence, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY template)) AS w FROM tf JOIN idf USING (term)),
+paths AS (SELECT doc_id, concat_ws('/', source, 'part' || (doc_id // 2000), CASE WHEN coalesce(n_chars, 0) >= 600 THEN 'set' || (doc_id // 100) END,
+          'doc' || doc_id || '.txt') AS path FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line
+          FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{STATEMENT}')) AS ls FROM documents)),
+dtok AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM lines) GROUP BY ALL),
+v AS (SELECT doc_id, n, term, tf * coalesce(idf, ln({len(TEMPLATES) + 1}) + 1) AS v FROM dtok LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, n, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL),
+dots AS (SELECT doc_id, n, licence, template, sum(v * w) AS dot FROM v JOIN w USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS r
+         FROM (SELECT doc_id, licence, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, n)) WHERE cosine >= {THRESHOLD}) WHERE r = 1),
+stated AS (SELECT {folder} AS folder, licence, count(*) AS n FROM best JOIN paths USING (doc_id) GROUP BY ALL),
+declared AS (SELECT folder AS declared_in, licence AS from_folder FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, licence) AS r FROM stated) WHERE r = 1),
+near AS (SELECT folder, declared_in, from_folder FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY length(declared_in) DESC) AS r
+         FROM (SELECT DISTINCT {folder} AS folder FROM paths) JOIN declared ON folder = declared_in OR starts_with(folder, declared_in || '/')) WHERE r = 1)
+SELECT p.doc_id, p.path, coalesce(b.licence, n.from_folder) AS licence,
+  CASE WHEN b.licence IS NOT NULL THEN 'header' WHEN n.folder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN b.licence IS NULL THEN n.declared_in END AS declared_in, b.cosine
+FROM paths p LEFT JOIN best b USING (doc_id) LEFT JOIN near n ON n.folder = regexp_replace(p.path, '/[^/]*$', '')
+"""
+
+
+SQL = _sql()

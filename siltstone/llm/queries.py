@@ -89,4 +89,4 @@ QUERIES = {
         op10_ctw,
     )
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}

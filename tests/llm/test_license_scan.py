@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from siltstone.llm import license_scan as ls
@@ -9,7 +10,7 @@ from siltstone.llm.queries import document_path
 
 
 def brute(rows):
-    cut = lambda t: [x for x in re.split(r"[^a-z0-9.+-]+|[.-]+(?![a-z0-9])", t.lower()) if x]
+    cut = lambda t: re.findall(ls.TERM, t.lower())
     counts = [Counter(cut(t)) for _, t in ls.TEMPLATES]
     df = Counter(w for c in counts for w in c)
     n = len(counts)
@@ -62,6 +63,12 @@ def test_against_brute_force(documents):
     assert {"MIT", "GPL-3.0", "Apache-2.0", "CC-BY-NC-4.0"} <= {x[2] for x in got}
 
 
+def test_against_sql(documents):
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert sorted(map(tuple, ls.scan(documents, document_path()).collect()), key=str) == sorted(duck.sql(ls.SQL).fetchall(), key=str)
+
+
 def test_folders(spark):
     rows = [
         (1, "r/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
