@@ -165,10 +165,10 @@ def strings_n8(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(S.printable_runs(F.col("html"))).alias("run"))
 
 
-@query("SELECT doc_id, substr(text, 1, 40) AS back FROM documents")
+@query("SELECT doc_id, text AS back FROM documents")
 def hex_dump_parse(spark, sf_dir):
     """A dump of two digits a byte, parsed back."""
-    dump = F.regexp_replace(F.hex(F.encode(F.substring("text", 1, 40), "UTF-8")), "(..)", "$1 ")
+    dump = F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "$1 ")
     return table(spark, sf_dir, "documents").select("doc_id", F.decode(F.unhex(F.array_join(F.regexp_extract_all(dump, F.lit("([0-9A-F]{2})"), F.lit(1)), "")), "UTF-8").alias("back"))
 
 
@@ -182,14 +182,12 @@ def le_u32_fields(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, strlen(t) + 1), lambda i: ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::BIGINT)),
+SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, strlen(t) + 1), lambda i: ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::BIGINT)),
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 40961) ELSE x >> 1 END))::INT AS crc
-FROM (SELECT doc_id, regexp_extract(text, '^[\\x01-\\x7F]{0,32}') AS t FROM documents)
+FROM (SELECT p_partkey, p_name AS t FROM part)
 """)
 def crc16(spark, sf_dir):
-    """Of the ASCII beginning, at most 32 bytes: a header checksum."""
-    head = F.regexp_extract("text", r"^[\x01-\x7F]{0,32}", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", S.crc16(F.encode(head, "UTF-8")).alias("crc"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.crc16(F.encode("p_name", "UTF-8")).alias("crc"))
 
 
 @query("""
@@ -200,11 +198,11 @@ def deinterleave2(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.every_nth(F.col("p_name"), 2, 0).alias("even"), S.every_nth(F.col("p_name"), 2, 1).alias("odd"))
 
 
-@query("SELECT p_partkey, p_name AS joined FROM part WHERE length(p_name) % 4 = 0")
+@query("SELECT p_partkey, rpad(p_name, (4 * ceil(length(p_name) / 4))::INT, ' ') AS joined FROM part")
 def interleave4(spark, sf_dir):
-    """Four parts put together again."""
-    part = table(spark, sf_dir, "part").filter("length(p_name) % 4 = 0")
-    return part.select("p_partkey", S.interleave([S.every_nth(F.col("p_name"), 4, k) for k in range(4)]).alias("joined"))
+    """Names, padded to four parts of one length, taken apart and put together again."""
+    name = F.expr("rpad(p_name, int(4 * ceil(length(p_name) / 4)), ' ')")
+    return table(spark, sf_dir, "part").select("p_partkey", S.interleave([S.every_nth(name, 4, k) for k in range(4)]).alias("joined"))
 
 
 @query("""
@@ -466,19 +464,22 @@ def rle_expand(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(pairs, lambda p: F.repeat(p["c"], p["n"])), "").alias("text"))
 
 
-#: One artifact of each vendor below, in bytes, by the number of the document that stands for it.
-SAMPLES = [
-    ("Tandon", "NOT COPR. IBM 1984 BIOS VERSION 3.61"),
-    ("Zenith", "05/13/87 (C)ZDS CORP"),
-    ("Mylex", "MYLEX 386/20 BIOS Version 6.2 04/11/90"),
-    ("Schneider", "Schneider Rdf. AG EURO PC  BIOS V2.06"),
-]
+#: Banners of vendors, by the language of the document that they are put behind.
+BANNERS = {
+    "en": "NOT COPR. IBM 1984 BIOS VERSION 3.61",
+    "fr": "05/13/87 (C)ZDS CORP",
+    "de": "MYLEX 386/20 BIOS Version 6.2 04/11/90",
+    "es": "Schneider Rdf. AG EURO PC  BIOS V2.06",
+}
 
 
-@query("SELECT doc_id, ['Tandon', 'Zenith', 'Mylex', 'Schneider'][doc_id % 5 + 1] AS vendor, ['3.61', '05/13/87', '6.2', 'V2.06'][doc_id % 5 + 1] AS version FROM documents WHERE doc_id % 5 < 4")
+@query("""
+SELECT doc_id, CASE lang WHEN 'en' THEN 'Tandon' WHEN 'fr' THEN 'Zenith' WHEN 'de' THEN 'Mylex' WHEN 'es' THEN 'Schneider' END AS vendor,
+  CASE lang WHEN 'en' THEN '3.61' WHEN 'fr' THEN '05/13/87' WHEN 'de' THEN '6.2' WHEN 'es' THEN 'V2.06' END AS version FROM documents
+""")
 def rom_classify(spark, sf_dir):
-    """Documents with a vendor's banner put behind their text, or none for every fifth, classified by the rule chain."""
-    banner = F.get(F.array(*[F.lit(b) for _, b in SAMPLES]), (F.col("doc_id") % 5).cast("int"))
+    """Documents with a vendor's banner behind their text, classified by the rule chain."""
+    banner = F.try_element_at(F.create_map(*[F.lit(x) for kv in BANNERS.items() for x in kv]), F.col("lang"))
     blob = F.encode(F.concat(F.col("text"), F.lit("\0"), F.coalesce(banner, F.lit(""))), "UTF-8")
     found = C.classify(table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob")), C.as_latin1(F.col("blob")))
-    return found.filter("finding is not null").select("doc_id", "finding.vendor", "finding.version")
+    return found.select("doc_id", "finding.vendor", "finding.version")
