@@ -1,7 +1,7 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
 A chunk ends after a line where a rolling hash over the hashes of this line and the one before it is a multiple of
-``DIVISOR``, so the chunks of a passage are the same wherever it stands. A line of more than ``LONG_LINE`` spaces is a
+``DIVISOR``, so the chunks of a passage are the same wherever it stands. A line of ``LONG_LINE`` spaces or more is a
 chunk by itself. Chunks of several lines, and long lines, that occur more than once anywhere are compared byte by byte;
 all but the first occurrence, by document and place, are cut. DataFrame functions only.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialize, sized_join
 
 DIVISOR = 3
-LONG_LINE = 50
+LONG_LINE = 20
 
 
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -95,7 +95,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 SQL = """
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split),
-marks AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 50 AS long FROM lines),
+marks AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 20 AS long FROM lines),
 ends AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, true) AS e
          FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
