@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import carve as V
 from ..operators import classify as C
 from ..operators import relations as R
 from ..sources import sinks as K
@@ -483,3 +484,22 @@ def rom_classify(spark, sf_dir):
     blob = F.encode(F.concat(F.col("text"), F.lit("\0"), F.coalesce(banner, F.lit(""))), "UTF-8")
     found = C.classify(table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob")), C.as_latin1(F.col("blob")))
     return found.select("doc_id", "finding.vendor", "finding.version")
+
+
+@query("""
+WITH c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS pos, text FROM documents WHERE contains(text, 'tion'))
+SELECT doc_id, (pos - 1)::INT AS place FROM c WHERE substr(text, pos, 4) = 'tion'
+""")
+def mark_places(spark, sf_dir):
+    """The offsets of a mark."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(V.places(F.col("text"), "tion")).alias("place"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN extra > 0 AND extra <= 256 THEN extra END::INT AS header_bytes, (CASE WHEN extra > 0 AND extra <= 256 THEN n - extra ELSE n END)::INT AS image_bytes
+FROM (SELECT doc_id, strlen(text) AS n, strlen(text) - (2 ^ (length(bin(strlen(text))) - 1))::BIGINT AS extra FROM documents WHERE strlen(text) > 0)
+""")
+def power_header(spark, sf_dir):
+    """Contents up to 256 bytes longer than a power of two, parted into header and image."""
+    header, image = V.strip_to_power(F.encode("text", "UTF-8"), 256)
+    return table(spark, sf_dir, "documents").filter("octet_length(text) > 0").select("doc_id", F.octet_length(header).alias("header_bytes"), F.octet_length(image).alias("image_bytes"))
