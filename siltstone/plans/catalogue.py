@@ -496,10 +496,10 @@ def mark_places(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE WHEN extra > 0 AND extra <= 256 THEN extra END::INT AS header_bytes, (CASE WHEN extra > 0 AND extra <= 256 THEN n - extra ELSE n END)::INT AS image_bytes
+SELECT doc_id, (CASE WHEN extra > 0 AND extra <= 256 THEN extra ELSE 0 END)::INT AS header_bytes, (CASE WHEN extra > 0 AND extra <= 256 THEN n - extra ELSE n END)::INT AS image_bytes
 FROM (SELECT doc_id, strlen(text) AS n, strlen(text) - (2 ^ (length(bin(strlen(text))) - 1))::BIGINT AS extra FROM documents WHERE strlen(text) > 0)
 """)
 def power_header(spark, sf_dir):
     """Contents up to 256 bytes longer than a power of two, parted into header and image."""
     header, image = V.strip_to_power(F.encode("text", "UTF-8"), 256)
-    return table(spark, sf_dir, "documents").filter("octet_length(text) > 0").select("doc_id", F.octet_length(header).alias("header_bytes"), F.octet_length(image).alias("image_bytes"))
+    return table(spark, sf_dir, "documents").filter("octet_length(text) > 0").select("doc_id", F.coalesce(F.octet_length(header), F.lit(0)).alias("header_bytes"), F.octet_length(image).alias("image_bytes"))
