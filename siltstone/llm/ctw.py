@@ -6,8 +6,10 @@ and the product of its children's; the share of the latter is how far a predicti
 gathered from all training texts and then stand still, so every text is scored by one model. A context without
 training counts adds nothing: the mixture ends at the longest one seen.
 
-Texts are cut into blocks, and a block's distinct context strings meet the model in joins; no model is held whole
-anywhere. The only tables that reach the driver are those of contexts of at most one byte: 257 times 255 nodes.
+Texts are cut into blocks. A block's distinct context strings, and its words, are dealt into fixed buckets and packed,
+one row for each block and bucket; these rows meet the bucket's part of the model, and come back to the block with its
+values. No model is held whole anywhere. The only tables that reach the driver are those of contexts of at most one
+byte: 257 times 255 nodes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, materialize, small_batches
+from .common import as_key, from_key, materialize, mix64, range_hashes, small_batches
 from .langid import held_out
 
 DEPTH = 5
@@ -31,7 +33,11 @@ DEPTH = 5
 BLOCK_BYTES = 24 << 20
 #: The end of a document, and what stands before one; words have no line feed.
 END = b"\n"
-ROWS = 100_000
+#: Buckets of context strings, by their nearest two bytes, and of words; blocks whose rows of a bucket meet in one task.
+BUCKETS, FAN_IN = 256, 64
+#: Bytes of text whose context strings are sorted at once.
+CHUNK_BYTES = 2 << 20
+PACKED = "block long, kind int, bucket int, keys binary, n binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -108,10 +114,14 @@ class Subtree:
                 b["trust"] = 1 / (1 + np.exp(np.clip(b["own"] - below, -700, 700)))
 
     def roots(self) -> pd.DataFrame:
-        """The nodes of the shortest contexts: node (1 to 255), zeros, ones, weighted."""
-        level = self.level[self.top]
-        out = [((1 << j) | (level["rows"][b["first"]] >> np.uint64(8 - j) & np.uint64((1 << j) - 1)).astype(np.int64), b) for j, b in enumerate(level["bits"])]
-        return pd.DataFrame({"node": np.concatenate([n for n, _ in out])} | {k: np.concatenate([b[k] for _, b in out]) for k in ("zeros", "ones", "weighted")})
+        """The nodes of the shortest contexts: near (the byte before), node (1 to 255), zeros, ones, weighted."""
+        level, out = self.level[self.top], []
+        for j, b in enumerate(level["bits"]):
+            rows = level["rows"][b["first"]]
+            node = (1 << j) | (rows >> np.uint64(8 - j) & np.uint64((1 << j) - 1)).astype(np.int64)
+            near = (rows >> np.uint64(8 * self.top) & np.uint64(255)).astype(np.int64)
+            out.append(pd.DataFrame({"near": near, "node": node} | {k: b[k] for k in ("zeros", "ones", "weighted")}))
+        return pd.concat(out)
 
     def log10(self, above: Top) -> np.ndarray:
         """The log10 probability of the last byte of each key after the others."""
@@ -184,11 +194,106 @@ class Lookup:
         return self.values[at]
 
 
-def _frames(**columns) -> Iterator[pd.DataFrame]:
-    n = len(next(iter(columns.values())))
-    names = [k for k, v in columns.items() if hasattr(v, "__len__") and not isinstance(v, (str, bytes))]
-    for k in range(0, n, ROWS):
-        yield pd.DataFrame({c: columns[c][k : k + ROWS] if c in names else columns[c] for c in columns})
+def squeeze(a: np.ndarray) -> bytes:
+    """An array's bytes by place value, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+
+
+def expand(z: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(z), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def rising(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def risen(z: bytes) -> np.ndarray:
+    return np.cumsum(expand(z, "u8"), dtype=np.uint64)
+
+
+def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    out, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return out, np.bincount(back, np.concatenate(n), len(out)).astype(np.int64)
+
+
+def merged_words(words: list[list[bytes]], n: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    total: dict[bytes, int] = {}
+    for some, counts in zip(words, n):
+        for w, c in zip(some, counts.tolist()):
+            total[w] = total.get(w, 0) + c
+    return list(total), np.fromiter(total.values(), np.int64, len(total))
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words, none of which has a line feed but the end mark, which is written as an empty one."""
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join([b"" if w == END else w for w in words]))
+
+
+def unpack_words(z: bytes) -> list[bytes]:
+    return [w or END for w in zstandard.decompress(z).split(b"\n")]
+
+
+def block_grams(docs: list[bytes], held: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct context strings of a block, and how often each is in its training texts."""
+    keys, n, part, size = [], [], {False: [], True: []}, 0
+
+    def count() -> None:
+        for h, some in part.items():
+            if some:
+                k, c = np.unique(grams(some, depth)[0], return_counts=True)
+                keys.append(k)
+                n.append(np.zeros(len(k), np.int64) if h else c)
+                some.clear()
+
+    for doc, h in zip(docs, held):
+        part[bool(h)].append(doc)
+        size += len(doc)
+        if size >= CHUNK_BYTES:
+            count()
+            size = 0
+            if len(keys) >= 16:
+                keys, n = ([x] for x in merged(keys, n))
+    count()
+    return merged(keys, n)
+
+
+def _of_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, with its positions in order."""
+    order = np.argsort(buckets, kind="stable")
+    cuts = np.flatnonzero(np.diff(buckets[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(buckets[at[0]]), at
+
+
+def packed_block(docs: list[bytes], held: list[bool], depth: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(kind, bucket, keys, counts) of a block: kind 0 for context strings, 1 for words."""
+    keys, n = block_grams(docs, held, depth)
+    near = mix64(keys >> np.uint64(8 * (depth - 1))) % np.uint64(BUCKETS)
+    for bucket, at in _of_bucket(near.astype(np.int64)):
+        yield 0, bucket, rising(keys[at]), squeeze(n[at])
+    counts: dict[bytes, int] = Counter()
+    seen: set[bytes] = set()
+    for doc, h in zip(docs, held):
+        (seen if h else counts).update(_words(doc))
+    words = [*counts, *(w for w in seen if w not in counts)]
+    n = np.array([counts.get(w, 0) for w in words], np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    hashes = range_hashes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    for bucket, at in _of_bucket((hashes % np.uint64(BUCKETS)).astype(np.int64)):
+        yield 1, bucket, pack_words([words[k] for k in at]), squeeze(n[at])
+
+
+def _packed_sum(rows: pd.DataFrame) -> tuple[bytes, bytes]:
+    n = [expand(z, "i8") for z in rows["n"]]
+    if rows["kind"].iloc[0] == 0:
+        keys, n = merged([risen(z) for z in rows["keys"]], n)
+        return rising(keys), squeeze(n)
+    words, n = merged_words([unpack_words(z) for z in rows["keys"]], n)
+    return pack_words(words), squeeze(n)
 
 
 def _unpacked(row) -> list[bytes]:
@@ -207,7 +312,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         number, ids, held, docs, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def block() -> pd.DataFrame:
-            z = zstandard.ZstdCompressor(level=1).compress(b"".join(docs))
+            z = zstandard.ZstdCompressor(level=3).compress(b"".join(docs))
             return pd.DataFrame({"block": [number], "ids": [list(ids)], "held": [list(held)], "sizes": [list(map(len, docs))], "z": [z]})
 
         for b in batches:
@@ -240,64 +345,80 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     stored = materialize(blocks(df, id_col, text_col))
-    small_batches(spark, 1)
+    small_batches(spark, 1)  # a row is a block
 
-    def own_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, row in b.iterrows():
-                docs = _unpacked(row)
-                held = np.array(row["held"], bool)
-                keys, n = np.unique(grams([d for d, h in zip(docs, held) if not h] or [b""], depth)[0], return_counts=True)
-                rest = np.unique(grams([d for d, h in zip(docs, held) if h] or [b""], depth)[0])
-                rest = np.setdiff1d(rest, keys, assume_unique=True)
-                keys, n = np.concatenate([keys, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])
-                yield from _frames(gram=keys.view(np.int64), block=row["block"], n=n)
-
-    def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                rows = packed_block(_unpacked(row), row["held"], depth)
+                yield pd.DataFrame([(row["block"], *r) for r in rows], columns=["block", "kind", "bucket", "keys", "n"])
+
+    found = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(count, PACKED))
+    small_batches(spark, 64)
+    salts = max(1, stored.count() // FAN_IN)
+    found = found.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, n = _packed_sum(rows)
+        return pd.DataFrame({"kind": rows["kind"].iloc[:1], "bucket": rows["bucket"].iloc[:1], "keys": [keys], "n": [n]})
+
+    whole = found
+    for by in (["kind", "bucket", "salt"], ["kind", "bucket"])[0 if salts > 1 else 1 :]:
+        whole = whole.groupBy(*by).applyInPandas(summed, "kind int, bucket int, keys binary, n binary")
+    whole = materialize(whole)
+
+    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, row in b.iterrows():
-                counts: Counter = Counter()
-                seen: set[bytes] = set()
-                for doc, h in zip(_unpacked(row), row["held"]):
-                    (seen if h else counts).update(_words(doc))
-                words = [*counts, *(w for w in seen if w not in counts)]
-                yield from _frames(word=words, block=row["block"], n=np.array([counts.get(w, 0) for w in words], np.int64))
-
-    near2 = F.shiftrightunsigned("gram", 8 * (depth - 1))
-    found = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(own_grams, "gram long, block long, n long"))
-    small_batches(spark, 65536)
-    whole = materialize(found.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("near", near2.cast("int")))
-
-    def roots(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = Subtree(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(), depth, 2)
-        return tree.roots().assign(near=int(rows["near"].iloc[0]) >> 8)
-
-    tops = whole.groupBy("near").applyInPandas(roots, "node long, zeros double, ones double, weighted double, near int")
+            for keys, n in zip(b["keys"], b["n"]):
+                yield Subtree(risen(keys), expand(n, "i8"), depth, 2).roots()
+
+    tops = whole.filter("kind = 0").select("keys", "n").mapInPandas(roots, "near int, node long, zeros double, ones double, weighted double")
     sums = tops.groupBy("near", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
     above = Top(sums.toPandas())  # at most 256 * 255 rows
 
-    def value(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = Subtree(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(), depth, 2)
-        return pd.DataFrame({"gram": tree.keys.view(np.int64), "value": tree.log10(above)})
-
-    model = whole.groupBy("near").applyInPandas(value, "gram long, value double")
-    found = found.select("gram", "block").join(model, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = [expand(z, "i8") for z in b["n"]]
+            yield pd.DataFrame({"train": [int(x.sum()) for x in n], "kinds": [int((x > 0).sum()) for x in n]})
 
-    small_batches(spark, 1)
-    words = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(own_words, "word binary, block long, n long"))
-    small_batches(spark, 65536)
-    counts = materialize(words.groupBy("word").agg(F.sum("n").cast("double").alias("value")))
-    train, kinds = counts.agg(F.sum("value"), F.sum((F.col("value") > 0).cast("long"))).first()
+    train, kinds = whole.filter("kind = 1").select("n").mapInPandas(totals, "train long, kinds long").agg(F.sum("train"), F.sum("kinds")).first()
     train, kinds = int(train or 0), int(kinds or 0)
-    words = words.select("word", "block").join(counts, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "value")
-
-    def scores(key, block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        docs = _unpacked(block.iloc[0])
-        is_word = rows["word"].notna().to_numpy()
-        known = dict(zip(rows["word"][is_word], rows["value"][is_word]))
-        rows = rows[~is_word]
-        model = Lookup(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["value"].to_numpy())
-        out = []
+
+    def modelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The values of a bucket's keys: log10 probabilities of context strings, counts of words."""
+        for b in batches:
+            out = []
+            for kind, bucket, keys, n in zip(b["kind"], b["bucket"], b["keys"], b["n"]):
+                if kind == 0:
+                    tree = Subtree(risen(keys), expand(n, "i8"), depth, 2)
+                    n = squeeze(tree.log10(above))
+                out.append((kind, bucket, keys, n))
+            yield pd.DataFrame(out, columns=["kind", "bucket", "keys", "n"])
+
+    model = whole.mapInPandas(modelled, "kind int, bucket int, keys binary, n binary")
+    model = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def answer(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        """The model's values for the rows of some blocks of a bucket."""
+        if not len(rows):
+            return rows.assign(value=None)[["block", "kind", "keys", "value"]]
+        if rows["kind"].iloc[0] == 0:
+            known, values = risen(part["keys"].iloc[0]), expand(part["n"].iloc[0], "f8")
+            got = [squeeze(values[np.searchsorted(known, risen(z))]) for z in rows["keys"]]
+        else:
+            table = dict(zip(unpack_words(part["keys"].iloc[0]), expand(part["n"].iloc[0], "i8").tolist()))
+            got = [squeeze(np.array([table[w] for w in unpack_words(z)], np.int64)) for z in rows["keys"]]
+        return rows[["block", "kind", "keys"]].assign(value=got)
+
+    by = ["kind", "bucket", "salt"]
+    back = found.groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(answer, "block long, kind int, keys binary, value binary")
+
+    def scores(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        docs, out, known = _unpacked(block.iloc[0]), [], {}
+        for z, v in zip(rows["keys"][rows["kind"] == 1], rows["value"][rows["kind"] == 1]):
+            known.update(zip(unpack_words(z), expand(v, "i8").tolist()))
+        near = rows[rows["kind"] == 0]
+        model = Lookup(np.concatenate([risen(z) for z in near["keys"]]), np.concatenate([expand(z, "f8") for z in near["value"]]))
         for k in range(0, len(docs), 256):
             part = docs[k : k + 256]
             keys, lengths = grams(part, depth)
@@ -309,5 +430,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
         return out.assign(id=list(block["ids"].iloc[0]), held_out=list(block["held"].iloc[0]), train_tokens=train)
 
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = stored.groupBy("block").cogroup(found.union(words).groupBy("block")).applyInPandas(scores, schema)
+    out = stored.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(scores, schema)
     return out.withColumn("id", from_key(F.col("id"), kind)).withColumnRenamed("id", id_col)
