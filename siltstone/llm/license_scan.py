@@ -139,9 +139,9 @@ stated AS (SELECT {folder} AS folder, licence, count(*) AS n FROM best JOIN path
 declared AS (SELECT folder AS declared_in, licence AS from_folder FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, licence) AS r FROM stated) WHERE r = 1),
 near AS (SELECT folder, declared_in, from_folder FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY length(declared_in) DESC) AS r
          FROM (SELECT DISTINCT {folder} AS folder FROM paths) JOIN declared ON folder = declared_in OR starts_with(folder, declared_in || '/')) WHERE r = 1)
-SELECT p.doc_id, p.path, coalesce(b.licence, n.from_folder) AS licence,
+SELECT p.doc_id, p.path, coalesce(b.licence, n.from_folder, 'none') AS licence,
   CASE WHEN b.licence IS NOT NULL THEN 'header' WHEN n.folder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-  CASE WHEN b.licence IS NULL THEN n.declared_in END AS declared_in, b.cosine
+  CASE WHEN b.licence IS NULL THEN coalesce(n.declared_in, '') ELSE '' END AS declared_in, coalesce(b.cosine, 0) AS cosine
 FROM paths p LEFT JOIN best b USING (doc_id) LEFT JOIN near n ON n.folder = regexp_replace(p.path, '/[^/]*$', '')
 """
 

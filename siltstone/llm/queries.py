@@ -62,7 +62,8 @@ def document_path() -> Column:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(docs(spark, sf_dir), document_path())
+    out = license_scan.scan(docs(spark, sf_dir), document_path())
+    return out.fillna({"licence": "none", "declared_in": "", "cosine": 0.0})
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from siltstone.llm import license_scan as ls
-from siltstone.llm.queries import document_path
+from siltstone.llm.queries import document_path, op8_license_scan
 
 
 def brute(rows):
@@ -66,7 +66,7 @@ def test_against_brute_force(documents):
 def test_against_sql(documents):
     duck = duckdb.connect()
     duck.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
-    assert sorted(map(tuple, ls.scan(documents, document_path()).collect()), key=str) == sorted(duck.sql(ls.SQL).fetchall(), key=str)
+    assert sorted(map(tuple, op8_license_scan(documents.sparkSession, "/root/testdata/sf0.01").collect()), key=str) == sorted(duck.sql(ls.SQL).fetchall(), key=str)
 
 
 def test_folders(spark):
