@@ -35,10 +35,39 @@ class Rule:
     header: str | None = None  # what the artifact's header must be
 
 
+def newest_date(text: Column, pattern: str) -> Column:
+    """The newest of the dates that are the pattern's group."""
+    dates = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_max(F.transform(dates, lambda d: F.struct(pivot_date(d).alias("k"), d.alias("d"))))["d"]
+
+
 def newest_entry_date(text: Column) -> Column:
     """The newest date behind an entry-point jump."""
-    dates = F.regexp_extract_all(text, F.lit(ENTRY_DATE), F.lit(1))
-    return F.array_max(F.transform(dates, lambda d: F.struct(pivot_date(d).alias("k"), d.alias("d"))))["d"]
+    return newest_date(text, ENTRY_DATE)
+
+
+def quadtel(offset: int, size: int) -> Callable[[Column], Column]:
+    """The text so far behind the copyright, up to a zero byte."""
+    return lambda t: F.substring_index(F.substring(t, F.regexp_instr(t, F.lit(QUADTEL)) + offset, F.lit(size)), "\0", 1)
+
+
+def quadtel_version(text: Column) -> Column:
+    found = F.nullif(F.regexp_extract(quadtel(0xC8, 0xC8)(text), r"(?d).+ BIOS Version ([^\r\n]+)", 1), F.lit(""))
+    bare = F.regexp_replace(F.trim(F.regexp_replace(found, r"\.+$", "")), r"\.+$", "")
+    return F.when(bare.startswith("Q"), F.concat(F.substring(bare, 2, 256), F.lit(" (Phoenix)"))).otherwise(bare)
+
+
+def surepath(text: Column) -> Column:
+    """The version where there is one, else the name alone if a variant or product data shows it."""
+    own = F.trim(F.regexp_extract(text, SUREPATH, 1))
+    return F.when(own != "", F.concat(F.lit("SurePath "), own)).when(text.rlike(APRICOT) | text.rlike(SUREPATH_ID), "SurePath")
+
+
+def surepath_signon(text: Column) -> Column:
+    variant = F.trim(F.substring(F.regexp_extract(text, APRICOT, 0), 5, 256))
+    version = F.trim(F.substring(F.regexp_extract(text, r"@\(#\)Version [\x20-\x7E]+", 0), 5, 256))
+    other = F.nullif(F.concat_ws("\n", F.nullif(variant, F.lit("")), F.nullif(version, F.lit(""))), F.lit(""))
+    return F.when(text.rlike(SUREPATH), F.nullif(F.regexp_extract(text, SUREPATH, 2), F.lit(""))).when(variant != "", other)
 
 
 def part_numbers(text: Column) -> Column:
@@ -77,6 +106,14 @@ INTEL_CODE = (
     r"(?:\$(?:IBIOSI\$|FID|UBI)|Load Error\x00{2}Success\x00|S\x00l\x00o\x00t\x00 \x00\x30\x00:\x00 \x00+)([0-9A-Z]{8}\.[0-9A-Z]{3}(?:\.[0-9]{4}){4})",
     r"([A-Z]{2}[0-9A-Z]{3}[0-9]{2}[A-Z]\.[0-9]{2}[A-Z](?:\.[0-9]{4}){4})",
 )
+QUADTEL = r"Copyright 19..-.... Quadtel Corp\. Version"
+SUREPATH = r"SurePath BIOS Version ([\x20-\x7E]+)(?:[\x0D\x0A\x00]+([\x20-\x7E]+)?)?"
+SUREPATH_ID = r"\xAA\x55VPD0RESERVE([0-9A-Z]{7})"
+APRICOT = r"(?d)@\(#\)(?:Apricot .*|XEN-PC) BIOS [\x20-\x7E]+"
+IBM_RIGHTS = (
+    r"\(\(CC\)\)  CCOOPPYYRRIIGGHHTT  (?:IIBBMM  CCOORRPPOORRAATTIIOONN  11998811,,  ([0-9])\1([0-9])\2([0-9])\3([0-9])\4|11998811,,  ([0-9])\5([0-9])\6([0-9])\7([0-9])\8  IIBBMM  CCOORRPPOORRAATTIIOONN)  (?:--  )?AALLLL  RRIIGGHHTTSS  RREESSEERRVVEEDD|"
+    r"\(C\) COPYRIGHT (?:IBM CORPORATION 1981, [0-9]{4}|1981, [0-9]{4} IBM CORPORATION) (?:- )?ALL RIGHTS RESERVED[ \x0D\x0A]*(?:[\x00\xFF]|US Government Users)"
+)
 TOSHIBA = (
     r"This BASIC was aborted,\x0Dbecause this machine has\x0Dno ROM BASIC\.\x0D\x0D Use Toshiba's BASIC\.\x0D|Toshiba Corporation\.( & Award Software Inc|ALL RIGHTS RESERVED)\.",
     r"(?s)(?:([\x21-\x7F]+\s*V[\x21-\x7F]{1,16}\s*)TOSHIBA |\x00{3}BIOS.{4}([\x20-\x7E]{16}))",
@@ -95,6 +132,7 @@ ICL = r"(?:ROM|System) BIOS (#[\x20-\x7E]+) Version ([\x20-\x7E]+)\x0D\x0A\(c\)
 #: The signatures by which firmware of these vendors is known, in their order of precedence.
 RULES = (
     Rule(3, "Award", "Toshiba", needs=TOSHIBA[:1], string=lambda t: F.right(F.concat(F.regexp_extract(t, TOSHIBA[1], 1), F.regexp_extract(t, TOSHIBA[1], 2)), F.lit(16))),
+    Rule(5, "Quadtel", quadtel_version, needs=(r" Quadtel Corp\. Version ", QUADTEL), string=lambda t: newest_date(t, r"([0-9]{2}/[0-9]{2}/[0-9]{2})[^0-9]"), signon=lambda t: F.trim(quadtel(0x190, 0x100)(t))),
     Rule(10, "MR", (r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 1), string=(r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 2), least_size=2048),
     Rule(12, "Acer", "Multitech", needs=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)",), string=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)", 1)),
     Rule(13, "AMPRO", (r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 2), signon=(r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 1)),
@@ -108,6 +146,7 @@ RULES = (
     Rule(21, coreboot(0), coreboot(1), needs=(r"coreboot-%s%s |Sage_coreboot-|Jumping to LinuxBIOS\.",)),
     Rule(22, "DTK", (r"(?:(?:DTK|GoldStar) [\x20-\x7E]+ BIOS Ver(?:sion)? |(?:DTK)/[\x21-\x2E\x30-\x7E]+/BIOS )([\x21-\x7E]+)(?: [\x20-\x7E]+)?", 1), needs=(r"Datatech Enterprises Co\., Ltd\.|DATATECH ENTERPRISES CO\., LTD\.|\x0ADTK Corp\.|\(C\) Copyright by GoldStar Co\.,Ltd\.|GOLDSTAR  SYSTEM  SETUP",)),
     Rule(23, "General", lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(t, GENERAL[0], 1), r"\(R\)|\(tm\)", ""), " BIOS ", " ")), needs=GENERAL, string=lambda t: F.concat_ws("\n", F.regexp_extract(t, GENERAL[1], 2), F.regexp_extract(t, GENERAL[1], 1))),
+    Rule(24, "IBM", surepath, needs=(IBM_RIGHTS,), string=lambda t: F.nullif(F.concat_ws("\n", F.nullif(F.regexp_extract(t, SUREPATH_ID, 1), F.lit("")), newest_entry_date(t)), F.lit("")), signon=surepath_signon),
     Rule(25, "IBM", lambda t: F.when(part_numbers(t).isNotNull(), F.when(t.rlike(IBM_LONG), "PS/2 or PS/1").otherwise("PC series")), string=part_numbers),
     Rule(26, "ICL", lambda t: F.when(t.startswith("OKICL1\x01\x00"), "").otherwise(F.nullif(F.regexp_extract(t, ICL, 2), F.lit(""))), string=(ICL, 1), signon=(ICL, 3)),
     Rule(27, "Insyde", "?", needs=(r"InsydeH2O Version ",), header=UEFI_HEADER),

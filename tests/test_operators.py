@@ -37,6 +37,9 @@ ROMS = [
     ("ibm2", b"0099FF33445566\x00" + b"1122AA33445566  ((CC))  CCOOPPYYRRIIGGHHTT  IIBBMM  CCOORRPPOORRAATTIIOONN  11998877", ("IBM", "PS/2 or PS/1", "12A3456", None)),
     ("icl", b"System BIOS #7 Version 1.04\r\n(c) Copyright ICL\r\n\n\0Hello", ("ICL", "1.04", "#7", "Hello")),
     ("tiny", b"x\0Board 1\r\0tinyBIOS V1.4a (C) PC Engines", ("tinyBIOS", "V1.4a", None, "Board 1")),
+    ("quadtel", b"..Copyright 1985-1992 Quadtel Corp. Version 3.05".ljust(2 + 0xC8, b".") + b"QUADTEL 386 BIOS Version Q3.05.\0".ljust(0xC8, b"\0") + b" Hello 04/05/91 \0", ("Quadtel", "3.05 (Phoenix)", "04/05/91", "Hello 04/05/91")),
+    ("surepath", b"(C) COPYRIGHT IBM CORPORATION 1981, 1996 ALL RIGHTS RESERVED\0SurePath BIOS Version 1.02 \r\nPC 300\0\xaa\x55VPD0RESERVEABC1234", ("IBM", "SurePath 1.02", "ABC1234", "PC 300")),
+    ("apricot", b"(C) COPYRIGHT 1981, 1996 IBM CORPORATION ALL RIGHTS RESERVED\0@(#)XEN-PC BIOS v2\0@(#)Version 2.1\0\xea\x5b\xe0\0\xf001/02/96", ("IBM", "SurePath", "01/02/96", "XEN-PC BIOS v2\nVersion 2.1")),
     ("insyde without header", b"InsydeH2O Version 3", None),
     ("none", b"", None),
     ("null", None, None),
