@@ -144,14 +144,19 @@ def train(words: list[bytes], target: np.ndarray, languages: list[str], steps: i
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network trained on ``rows`` labelled rows, the first by a hash of the id, and SAMPLE_WORDS words spread over each.
+    """A network trained on ``rows`` labelled rows, the first by a hash, and SAMPLE_WORDS words spread over each.
 
-    Rows with a null text or language teach nothing. None if nothing can be learned.
+    Repeated rows count once; rows with a null text or language teach nothing. None if nothing can be learned.
     """
     small_batches(labelled.sparkSession)
     some = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     some = some.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_l"))
-    some = some.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_t"), "_l").limit(rows)
+    # The hash of the last row of the sample is found first, so that no texts are sorted or sent around.
+    some = some.withColumn("_h", F.xxhash64("_id", "_t", "_l"))
+    last = some.select("_h").distinct().orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
+    if last is None:
+        return None
+    some = some.filter(F.col("_h") <= last).dropDuplicates(["_h"])
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
