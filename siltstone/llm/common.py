@@ -35,9 +35,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
-    """Join with a written table, broadcasting it only when rows times ``row_bytes`` is within BROADCAST_BYTES."""
-    if small.count() * row_bytes <= BROADCAST_BYTES:
+def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int | Column) -> DataFrame:
+    """Join with a written table, broadcasting it only when the sum of its rows' ``row_bytes`` is within BROADCAST_BYTES."""
+    row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    if (small.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

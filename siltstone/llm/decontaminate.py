@@ -129,7 +129,7 @@ def contaminated(
     hits = runs.select("run", F.explode(F.arrays_zip("at", "h")).alias("x")).select("run", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     pairs = sized_join(hits, tests.select("h", "p", "item"), "h", "inner", 40)
     pairs = pairs.select("run", "item", (F.col("at") - F.col("p")).alias("shift")).distinct()
-    pairs = sized_join(pairs, tests.groupBy("item").agg(F.max("item_tokens").alias("item_tokens")), "item", "inner", 2048)
+    pairs = sized_join(pairs, tests.groupBy("item").agg(F.max("item_tokens").alias("item_tokens")), "item", "inner", F.octet_length("item_tokens") + 64)
     pairs = pairs.join(runs.select("run", "id", "begin", "tokens"), "run")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,9 +73,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     often = materialize(parts.groupBy("_hash", "_size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
     maybe = materialize(sized_join(parts, often, ["_hash", "_size"], "left_semi", 24))
     same = maybe.groupBy("_hash", "_chunk").agg(F.min(F.struct("_key", "_place")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    gone = maybe.join(same, ["_hash", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
+    # Written first: the aggregate's partitions would bind the join to them, and a chunk of very many places to one task.
+    gone = maybe.join(materialize(same), ["_hash", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
     gone = materialize(gone.groupBy("_key").agg(F.collect_set("_place").alias("_gone")))
-    out = sized_join(df.drop("lines_total", "lines_cut").withColumn("_key", key), gone, "_key", "left", 96)
+    out = sized_join(df.drop("lines_total", "lines_cut").withColumn("_key", key), gone, "_key", "left", F.size("_gone") * 8 + 96)
 
     def rest(c: Column) -> Column:
         stay = F.filter(c, lambda x, i: ~F.array_contains("_gone", i))
