@@ -41,3 +41,11 @@ def test_odd_rows(spark, odd, empty):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_run(spark):
+    rows = cp.run(spark, "/root/testdata/sf0.001").collect()
+    fill = {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert rows and max(fill.values()) <= 2048 and set(rows[0].asDict()) >= {"doc_id", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"}
