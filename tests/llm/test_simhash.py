@@ -61,3 +61,57 @@ def test_trie_and_salted_groups(spark, monkeypatch):
     for k, x in enumerate(fp.view(np.int64).tolist()):
         classes.setdefault(nodes.get(x, x), set()).add(label[k])
     assert all(len(v) == 1 for v in classes.values()) and len(classes) == len(set(label.tolist()))
+
+
+def shingle_sets(rows):
+    words = {i: (t or "").lower().split() for i, t in rows}
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+
+
+def test_wide_fingerprints():
+    words = [f"w{k * k % 1009}" for k in range(70_000)]
+    text = " ".join(words)
+    one, two = simhash.wide_fingerprint(text, (5, 2))
+    assert (one == simhash.wide_fingerprint("\n".join(words).upper(), (5,))[0]).all() and (one != two).any()
+    for a, b in ((None, ""), (" \t", ""), ("A b", "a  b")):
+        assert (simhash.wide_fingerprint(a, (5,))[0] == simhash.wide_fingerprint(b, (5,))[0]).all()
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 5001, dtype=np.uint64)
+    bits = np.unpackbits(np.stack([simhash.mix64(hashes + np.uint64(w)) for w in range(simhash.WIDE)], axis=1).view(np.uint8), axis=1)
+    assert (np.unpackbits(simhash.wide_bits(hashes).view(np.uint8)) == (bits.sum(0, dtype=int) * 2 > 5001)).all()
+
+
+def test_wide_trie():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (60, simhash.WIDE), dtype=np.uint64)
+    fp = base[rng.integers(0, 60, 900)] ^ (rng.integers(0, 1 << 63, (900, simhash.WIDE), dtype=np.uint64) & rng.integers(0, 1 << 63, (900, simhash.WIDE), dtype=np.uint64) & rng.integers(0, 1 << 63, (900, simhash.WIDE), dtype=np.uint64))
+    fp = fp[np.lexsort(fp.T[::-1])]
+    i, j = simhash.trie_pairs(fp, [0], [900], [0], [900], simhash.WIDE_DISTANCE)
+    close = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(2, dtype=int) <= simhash.WIDE_DISTANCE
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1)))))
+
+
+def test_near_texts_against_shingle_sets(spark, documents, monkeypatch):
+    rng, rows = np.random.default_rng(5), [(r.doc_id, r.text) for r in documents.collect()]
+    whole = [t for _, t in rows if t and len(t.split()) >= 100][:80]
+    for k, t in enumerate(whole):  # one word in 60 replaced
+        rows.append((10_000_000 + k, " ".join(f"new{n}" if rng.random() < 1 / 60 else w for n, w in enumerate(t.split()))))
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == {i for i, _ in rows}
+    sets, ids = shingle_sets(rows), [i for i, _ in rows]
+    found, missed = 0, 0
+    for x, a in enumerate(ids):
+        assert got[a] <= a and got[got[a]] == got[a]
+        for b in ids[x + 1 :]:
+            if not sets[a].isdisjoint(sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                found, missed = found + (got[a] == got[b]), missed + (got[a] != got[b])
+    assert found > 60 and missed <= 0.05 * found
+    prints = {i: simhash.wide_fingerprint(t, (5,))[0] for i, t in rows}
+    for a in ids:
+        assert got[a] == a or any(int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= simhash.WIDE_DISTANCE for b in ids if b != a and got[b] == got[a])
+
+
+def test_near_texts_odd_rows(odd, empty):
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_texts(odd).collect())
+    assert got == [(1, 1), (1, 1), (2, 2), (3, 2), (5, 5), (6, 5), (7, 2), (8, 8), (9, 9), (10, 1)]
+    assert simhash.near_texts(empty).count() == 0
