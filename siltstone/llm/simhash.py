@@ -29,9 +29,11 @@ from .common import as_key, from_key, materialize, mix64, range_hashes, sized_jo
 DISTANCE = 4
 BLOCKS = 6
 #: Fingerprints of one trie in a task; a key with more is salted.
-GROUP = 2048
+GROUP = 1024
 #: Node pairs with no more leaf pairs than this are compared outright.
 LEAF_PAIRS = 64
+#: Leaf pairs compared at once: some 30 MB for wide fingerprints.
+COMPARE = 1 << 18
 #: Words of 64 bits in a wide fingerprint.
 WIDE = 4
 #: Differing bits of 256 at a Jaccard similarity of 0.8 have a mean of 39 and a deviation of 6.
@@ -148,7 +150,7 @@ def _leaves(fp, a0, a1, b0, b1, distance):
     out, begin = [], 0
     ends = np.cumsum(size)
     while begin < len(size):
-        upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 22))))
+        upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COMPARE)))
         n = size[begin:upto]
         which = np.repeat(np.arange(begin, upto), n)
         at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
