@@ -7,14 +7,14 @@ differing bits and drop a pair of nodes once the budget is passed. A key with ve
 salted blocks and every pair of blocks is joined, so no task holds an unbounded group. Tasks return a spanning
 forest of the links they find, never all pairs; large-star/small-star rounds join the forests.
 
-``near_texts`` links texts with a similarity of about 0.8 or more of their five-word shingles, which are further apart
-than 4 bits of 64. Its fingerprints have 256 bits, enough to estimate the similarity; the tops of its tries are
-choices of bits of a second fingerprint over word pairs, of which an edit changes fewer.
+``near_texts`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more and whose wide
+fingerprints are within a limit. Candidates share a band of minimum hashes, which depends on the similarity only and not on where a text was edited; the candidates'
+components are then compared by their fingerprints and whole shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -38,8 +38,10 @@ COMPARE = 1 << 18
 WIDE = 4
 #: Differing bits of 256 at a Jaccard similarity of 0.8 have a mean of 39 and a deviation of 6.
 WIDE_DISTANCE = 46
-#: Tries of a wide self-join, and bits at the top of each: two texts of similarity 0.8 share a top with probability 0.96.
-TOPS, TOP_BITS = 24, 20
+#: Bands of minimum hashes, and hashes in each: two texts of similarity 0.8 share one with probability 0.9998.
+BANDS, BAND_ROWS = 36, 7
+#: Bytes of text of a component in a task; one with more is salted.
+GROUP_BYTES = 8 << 20
 #: Words hashed at once, so that a very long text takes no more memory than its bytes.
 SLICE = 1 << 16
 _WORD_BYTE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
@@ -90,12 +92,12 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
 
 
-def wide_fingerprint(text: str | None, shingles: tuple[int, ...]) -> list[np.ndarray]:
-    """A wide fingerprint of a text for each number of words in a shingle; all zero without words."""
+def shingle_hashes(text: str | None, shingles: tuple[int, ...]) -> list[np.ndarray]:
+    """64-bit hashes of the shingles of a text, in order, for each number of words in a shingle; none without words."""
     data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
     starts, ends = word_spans(data, _WORD_BYTE)
     if not len(starts):
-        return [np.zeros(WIDE, np.uint64) for _ in shingles]
+        return [np.zeros(0, np.uint64) for _ in shingles]
     words = []
     for k in range(0, len(starts), SLICE):
         a, b = starts[k : k + SLICE], ends[k : k + SLICE]
@@ -106,10 +108,15 @@ def wide_fingerprint(text: str | None, shingles: tuple[int, ...]) -> list[np.nda
         h = np.full(len(words) - n + 1, n, np.uint64)
         for k in range(n):
             h = mix64(h) + words[k : k + len(h)]
-        out.append(wide_bits(mix64(h)))
+        out.append(mix64(h))
     return out
 
 
+def wide_fingerprint(text: str | None, shingles: tuple[int, ...]) -> list[np.ndarray]:
+    """A wide fingerprint of a text for each number of words in a shingle; all zero without words."""
+    return [wide_bits(h) if len(h) else np.zeros(WIDE, np.uint64) for h in shingle_hashes(text, shingles)]
+
+
 def trie_pairs(fp: np.ndarray, a0, a1, b0, b1, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``distance`` bits between ranges [a0, a1) and [b0, b1) of ``fp``, each range sorted.
 
@@ -222,16 +229,6 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return _join_tries(rows.join(sizes.filter("n > 1"), "key"), ["fp"], "fp", distance)
 
 
-def linked_wide(nodes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """Links (u, v) between the nodes of one wide fingerprint each: node, f0 to f3, and tops, the keys of its tries."""
-    small_batches(nodes.sparkSession, 16384)
-    keys = nodes.select("node", F.explode("tops").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = materialize(keys.join(shared, "key"))
-    rows = met.join(nodes.drop("tops"), "node")
-    return _join_tries(rows, [f"f{w}" for w in range(WIDE)], "node", distance)
-
-
 def _join_tries(rows: DataFrame, prints: list[str], node: str, distance: int) -> DataFrame:
     """Self-join of the tries below each ``key``, with ``n`` rows, of fingerprints in the columns ``prints``."""
     rows = rows.withColumn("m", F.ceil(F.col("n") / GROUP).cast("int"))
@@ -244,30 +241,34 @@ def _join_tries(rows: DataFrame, prints: list[str], node: str, distance: int) ->
     rows = rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", *unsigned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            last = b[["key", "lo", "hi"]].iloc[-1] if len(b) else None
-            if last is None:
-                continue
-            tail = ((b["key"] == last["key"]) & (b["lo"] == last["lo"]) & (b["hi"] == last["hi"])).to_numpy()
-            cut = len(b) - int(tail.sum())
-            if cut == 0 and held:
-                first = held[-1][["key", "lo", "hi"]].iloc[-1]
-                if (first != last).any():
-                    yield _link_groups(pd.concat(held), prints, node, distance)
-                    held = []
-                held.append(b)
-                continue
-            if cut:
-                held.append(b.iloc[:cut])
-                yield _link_groups(pd.concat(held), prints, node, distance)
-            held = [b.iloc[cut:]]
-        if held:
-            yield _link_groups(pd.concat(held), prints, node, distance)
+        return whole_groups(batches, ["key", "lo", "hi"], lambda rows: _link_groups(rows, prints, node, distance))
 
     return rows.mapInPandas(run, "u long, v long").distinct()
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str], link: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``link`` of frames of whole groups, from batches sorted by the columns ``by``."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        last = b[by].iloc[-1] if len(b) else None
+        if last is None:
+            continue
+        cut = len(b) - int((b[by] == last).all(axis=1).sum())
+        if cut == 0 and held:
+            first = held[-1][by].iloc[-1]
+            if (first != last).any():
+                yield link(pd.concat(held))
+                held = []
+            held.append(b)
+            continue
+        if cut:
+            held.append(b.iloc[:cut])
+            yield link(pd.concat(held))
+        held = [b.iloc[cut:]]
+    if held:
+        yield link(pd.concat(held))
+
+
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (u, v) reaches, by large-star and small-star rounds."""
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
@@ -302,40 +303,108 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 @cache
-def _places() -> np.ndarray:
+def _factors() -> np.ndarray:
     rng = np.random.default_rng(0)
-    return np.stack([rng.permutation(64 * WIDE)[:TOP_BITS] for _ in range(TOPS)])
+    return rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text; one value of its own without words."""
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the minimum hashes of a set."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 256):
+        least = np.minimum(least, (hashes[k : k + 256, None] * _factors()).min(0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        key = mix64(key) + mix64(least[k::BAND_ROWS])
+    return mix64(key)
+
+
+def similar(hashes: list[np.ndarray], similarity: float, distance: int) -> np.ndarray:
+    """For the shingle hashes of each text, the first index reached over pairs that are similar and within ``distance`` bits."""
+    sets = [distinct(h) for h in hashes]
+    fp = np.stack([wide_bits(h) if len(h) else np.zeros(WIDE, np.uint64) for h in hashes])
+    size = np.array([len(x) for x in sets], np.int64)
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    label, mark = np.full(len(sets), -1, np.int64), np.zeros(len(names), np.int32)
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], queue = first, [first]
+        while queue and (label < 0).any():
+            x = queue.pop()
+            own = codes[begin[x] : begin[x] + size[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[codes], begin)
+            mark[own] = 0
+            near = (label < 0) & (both >= similarity * (size[x] + size - both) - 1e-9)
+            near = np.flatnonzero(near & (np.bitwise_count(fp ^ fp[x]).sum(1, dtype=np.int64) <= distance))
+            label[near] = first
+            queue += near.tolist()
+    return label
+
+
+def verified(members: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
+    """Links (u, v) that connect all nodes of a ``root`` whose texts are similar; ``members`` has root, node and text."""
+    members = members.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("bytes") / GROUP_BYTES, F.lit(1.0))).cast("int").alias("m"))
+    rows = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("root", F.least("side", "t").alias("lo"), F.greatest("side", "t").alias("hi"), "node", "text")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, group = rows["node"].to_numpy(np.int64), rows[["root", "lo", "hi"]].to_numpy(np.int64)
+        texts, label = rows["text"].tolist(), np.arange(len(rows))
+        cuts = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+            if b - a > 1:
+                label[a:b] = a + similar([shingle_hashes(t, (shingle,))[0] for t in texts[a:b]], similarity, distance)
+        apart = nodes != nodes[label]
+        return pd.DataFrame({"u": nodes[apart], "v": nodes[label[apart]]})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return whole_groups(batches, ["root", "lo", "hi"], link)
 
-def _tops(fp: np.ndarray) -> list[int]:
-    """The keys of a text's tries: for each, its number and the bits at fixed random places of the fingerprint."""
-    bits = np.unpackbits(fp.view(np.uint8)).astype(np.int64)
-    return ((bits[_places()] << np.arange(TOP_BITS)).sum(1) + (np.arange(TOPS) << TOP_BITS)).tolist()
+    return rows.mapInPandas(run, "u long, v long").distinct()
 
 
-def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+def near_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, similarity: float = 0.8
+) -> DataFrame:
     """One row per row of ``df`` with a whole number as id: id and component_id, the smallest id reachable over links.
 
-    Texts are linked where their wide fingerprints over ``shingle`` words differ in at most ``distance`` bits, which
-    finds nearly all with a similarity of 0.8 or more, some down to 0.7 and hardly any below 0.6. Texts without words
-    are linked with each other, and texts of fewer words are one shingle. Repeated rows keep a row each; rows with a
-    null id take no part and are left out. An empty table gives no rows; other columns are not read.
+    Texts are linked where their sets of shingles of ``shingle`` words have a Jaccard similarity of ``similarity`` or
+    more, counted on the whole sets, and their wide fingerprints differ in at most ``distance`` bits; such a pair is
+    missed only if no chain of shared bands leads from one to the other. Texts without words are linked with each other, and texts of fewer words are one shingle. Repeated rows keep a row each;
+    rows with a null id take no part and are left out. An empty table gives no rows; other columns are not read.
     """
     small_batches(df.sparkSession)
-    prints = [f"f{w}" for w in range(WIDE)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = [wide_fingerprint(t, (shingle, 2)) for t in b["text"]]
-            fp = np.array([x for x, _ in both], np.uint64).reshape(-1, WIDE).view(np.int64)
-            out = pd.DataFrame(fp, columns=prints)
-            out.insert(0, "id", b["id"].to_numpy(np.int64))
-            out["tops"] = [_tops(x) for _, x in both]
+            sets = [distinct(shingle_hashes(t, (shingle,))[0]) for t in b["text"]]
+            out = pd.DataFrame({"id": b["id"].to_numpy(np.int64), "digest": [xxhash.xxh128_digest(x.tobytes()) for x in sets]})
+            out["bands"] = [band_keys(x).view(np.int64) for x in sets]
             yield out
 
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = materialize(rows.mapInPandas(run, f"id long, {', '.join(f'{c} long' for c in prints)}, tops array<long>"))
-    nodes = materialize(docs.groupBy(*prints).agg(F.min("id").alias("node"), F.min_by("tops", "id").alias("tops")))
-    roots = connected(linked_wide(nodes, distance))
-    classes = nodes.drop("tops").join(roots, "node", "left").select(*prints, F.coalesce("root", "node").alias("component_id"))
-    return docs.select("id", *prints).join(classes, prints, "left").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "component_id")
+    docs = materialize(rows.mapInPandas(run, "id long, digest binary, bands array<long>"))
+    nodes = materialize(docs.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1").select("key", "low"))
+    met = materialize(sized_join(keys, shared, "key", "inner", 24).filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
+    maybe = connected(met)
+    maybe = materialize(maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct()))
+    # Written with their texts once, as the rows are then read for the sizes and for the sets.
+    members = sized_join(rows.withColumnRenamed("id", "node"), maybe, "node", "inner", 32).dropDuplicates(["node", "text"])
+    small_batches(df.sparkSession)
+    roots = connected(verified(materialize(members), shingle, similarity, distance))
+    classes = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return docs.select("id", "digest").join(classes, "digest", "left").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "component_id")

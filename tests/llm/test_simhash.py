@@ -115,3 +115,22 @@ def test_near_texts_odd_rows(odd, empty):
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_texts(odd).collect())
     assert got == [(1, 1), (1, 1), (2, 2), (3, 2), (5, 5), (6, 5), (7, 2), (8, 8), (9, 9), (10, 1)]
     assert simhash.near_texts(empty).count() == 0
+
+
+def test_near_texts_edited_in_blocks(spark):
+    rng, rows, want = np.random.default_rng(8), [], {}
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    for k in range(240):
+        w, kind = word(300), k % 4
+        # replaced, cut off, appended: similarities of 0.80 to 0.82; the last is replaced down to 0.72
+        other = (w[:120] + word(28) + w[148:], w[:244], w + word(70), w[:120] + word(44) + w[164:])[kind]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other))
+        similarity = len(a & b) / len(a | b)
+        assert 0.8 <= similarity < 0.83 if kind < 3 else 0.7 < similarity < 0.75
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        one, two = (simhash.wide_fingerprint(t, (5,))[0] for _, t in rows[-2:])
+        near = similarity >= 0.8 and int(np.bitwise_count(one ^ two).sum()) <= simhash.WIDE_DISTANCE
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (not near)}
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert sum(want[2 * k + 1] == 2 * k for k in range(240)) >= 0.85 * 180
