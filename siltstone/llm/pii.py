@@ -1,7 +1,8 @@
 """Replacement of personal data and secrets by keyed surrogates.
 
 Entities are found by form and checks, and reduced to a canonical value, so that spellings of one entity share a
-surrogate in every document (coreference). A surrogate is drawn from a keyed hash of the kind and the canonical
+surrogate in every document (coreference). A name is found behind a title; all other mentions of it or of its parts in
+the same document are parts of the same surrogate. A surrogate is drawn from a keyed hash of the kind and the canonical
 value: digits stay digits, letters stay letters of their script, valid checksums stay valid, and names are drawn from
 pools of the same gender and script; the text's own layout and case are then put on it. All canonical values of the
 corpus are gathered to find surrogates that two values share or that are values of the corpus themselves; those are
@@ -11,8 +12,10 @@ drawn again until none is left, so distinct entities stay distinct.
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,20 +45,25 @@ FAMILY = {
     "cyrillic": "Абраменко Бондаренко Василенко Гончаренко Дудник Ермоленко Журавель Захаренко Игнатенко Коваль Литвин Мельник Назаренко Остапенко Павленко Романюк Савчук Ткач Усенко Шевченко".split(),
 }
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+_GENDER = {t.casefold(): g for t, g in TITLES.items()}
+#: Titles that in small letters are mostly other words: there they need a name of two words.
+_WORDLIKE = {"miss", "ms"}
 _NAME = r"[^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_a-zа-яё][^\W\d_]+)*"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+)"
-    r"|(?P<secret>(?:password|passwd|pwd|secret|token|api_?key)\"?\s*[:=]\s*[\"']?(?P<secret_value>[^\s\"',;]{6,}))"
+    r"|(?P<secret>(?i:password|passwd|pwd|secret|token|api[-_ ]?key)[\"']?\s*[:=]\s*[\"']?(?P<secret_value>[^\s\"',;]{6,}))"
     r"|(?P<awskey>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d[\d .-]{5,13}\d(?!\d)|(?<![\d-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    rf"|(?P<name>(?<!\w)(?P<title>{_TITLE}) (?P<who>{_NAME}(?: {_NAME})?))"
+    rf"|(?P<name>(?<!\w)(?P<title>(?i:{_TITLE})) (?P<who>{_NAME}(?: {_NAME})?))"
 )
-_LIKELY = re.compile(r"[@0-9]")
-_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", *TITLES)
+_CAPITAL = re.compile(rf"(?<!\w){_NAME}")
+_LIKELY, _COLONS = re.compile(r"[@0-9]"), re.compile(r"[0-9A-Fa-f:]:[0-9A-Fa-f:]")
+_WORDS = ("password", "passwd", "pwd", "secret", "token", "key")
 
 
 def luhn(digits: str) -> int:
@@ -66,12 +74,40 @@ def iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+def address6(text: str) -> str | None:
+    """The canonical form of an IPv6 address; None for other texts, and for words of hexadecimal letters between colons."""
+    try:
+        value = str(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return value if re.search(r"\d", text) or len(re.findall(r"\w+", text)) > 2 else None
+
+
+def _likely(text: str) -> bool:
+    """Whether a text can have entities; cheap, and true for every text that has some."""
+    if _LIKELY.search(text) or ":" in text and _COLONS.search(text):
+        return True
+    lower = text.casefold()
+    if (":" in text or "=" in text) and any(w in lower for w in _WORDS):
+        return True
+    for title in _GENDER:
+        at = lower.find(f"{title} ")
+        while at >= 0:
+            if at == 0 or not (lower[at - 1].isalnum() or lower[at - 1] == "_"):
+                return True
+            at = lower.find(f"{title} ", at + 1)
+    return False
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the entities of a text, in order and apart."""
-    if not text or not (_LIKELY.search(text) or any(w in text for w in _WORDS)):
+    if not text:
         return []
-    out = []
-    for m in PATTERN.finditer(text):
+    if not _likely(text):
+        return []
+    out, names, at = [], [], 0
+    while m := PATTERN.search(text, at):
+        at = m.end()
         kind = m.lastgroup
         begin, end = m.span("secret_value") if kind == "secret" else m.span("who") if kind == "name" else m.span()
         value = text[begin:end]
@@ -81,6 +117,12 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             if max(map(int, value.split("."))) > 255:
                 continue
             value = ".".join(str(int(x)) for x in value.split("."))
+        elif kind == "ip6":
+            kind, value = "ip", address6(value)
+            if value is None:
+                # what begins inside may be another entity
+                at = m.start() + 1
+                continue
         elif kind == "iban":
             value = value.replace(" ", "")
             if iban_rest(value) != 1:
@@ -88,10 +130,63 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind in ("phone", "card", "ssn"):
             plus = "+" * (kind == "phone" and value.startswith("+"))
             value = plus + re.sub(r"\D", "", value)
+            if plus and value.startswith("+1") and len(value) == 12:
+                value = value[2:]
         elif kind == "name":
-            script = "cyrillic" if re.search("[А-яЁё]", value) else "latin"
-            value = f"{TITLES[m['title']]}|{script}|{value.casefold()}"
+            if m["title"] in _WORDLIKE and " " not in value:
+                at = m.end("title")
+                continue
+            names.append((begin, end, _GENDER[m["title"].casefold()], value))
+            continue
         out.append((begin, end, kind, value))
+    return sorted(out + _mentions(text, names, out)) if names else out
+
+
+def _mentions(text: str, names: list[tuple[int, int, str, str]], others: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The names behind titles, (start, end, gender, text), and all mentions of them or their parts apart from ``others``.
+
+    A title without gender joins the person whose name has one. A part stands for the last person with it before that
+    place, or the first after it, and behind a title for one whose gender fits.
+    """
+    genders: dict[str, set[str]] = {}
+    for _, _, g, who in names:
+        if " " in who:
+            genders.setdefault(who.casefold(), set()).add(g)
+    persons: dict[str, list[tuple[int, str, str]]] = {}  # words of a name: (place, gender, canonical value)
+
+    def known(key: str, place: int, gender: str) -> str | None:
+        fit = [p for p in persons.get(key, ()) if "n" in (gender, p[1]) or gender == p[1]]
+        return max((p for p in fit if p[0] <= place), default=min(fit, default=None))[2] if fit else None
+
+    def add(keys, place: int, gender: str, who: str) -> str:
+        script = "cyrillic" if re.search("[А-яЁё]", who) else "latin"
+        value = f"{gender}|{script}|{who}"
+        for k in keys:
+            persons.setdefault(k, []).append((place, gender, value))
+        return value
+
+    out = []
+    for begin, end, g, who in names:
+        if " " in (key := who.casefold()):
+            sure = genders[key] - {"n"}
+            g = next(iter(sure)) if g == "n" and len(sure) == 1 else g
+            out.append((begin, end, "name", add((key, *key.split(" ")), begin, g, key)))
+    for begin, end, g, who in names:
+        if " " not in (key := who.casefold()):
+            out.append((begin, end, "name", known(key, begin, g) or add((key,), begin, g, key)))
+    taken = sorted([(a, b) for a, b, *_ in (*out, *others)])
+    words = [m for m in _CAPITAL.finditer(text) if not (k := bisect_right(taken, (m.start(), len(text)))) or taken[k - 1][1] <= m.start()]
+    starts = [a for a, _ in taken]
+    words = [m for m in words if (k := bisect_left(starts, m.start())) == len(starts) or starts[k] >= m.end()]
+    skip = -1
+    for m, after in zip(words, [*words[1:], None]):
+        if m.start() <= skip:
+            continue
+        if after and text[m.end() : after.start()] == " " and (value := known(f"{m[0]} {after[0]}".casefold(), m.start(), "n")):
+            skip = after.start()
+            out.append((m.start(), after.end(), "name", value))
+        elif value := known(m[0].casefold(), m.start(), "n"):
+            out.append((m.start(), m.end(), "name", value))
     return out
 
 
@@ -140,6 +235,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         host, dot, top = domain.rpartition(".")
         d = Stream(key, "domain", domain, 0)  # one domain stays one domain
         return "".join(_like(c, s, False) for c in local) + "@" + "".join(_like(c, d, False) for c in host) + dot + top
+    if kind == "ip" and ":" in value:
+        return str(ipaddress.IPv6Address((0x2000 + s.below(0x2000) << 112) + sum(s.below(1 << 16) << 16 * k for k in range(7))))
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "iban":
@@ -157,21 +254,28 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "name":
         gender, script, who = value.split("|", 2)
-        family = FAMILY[script]
+        # no part of a name stands for itself
+        given, family = ([x for x in pool if x.casefold() not in re.split("[ -]", who)] for pool in (GIVEN[gender, script], FAMILY[script]))
         last = s.pick(family) + "".join("-" + s.pick(family) for _ in range(attempt))
-        return f"{gender}|{script}|" + (f"{s.pick(GIVEN[gender, script])} {last}" if " " in who else last).casefold()
+        return f"{gender}|{script}|" + (f"{s.pick(given)} {last}" if " " in who else last).casefold()
     if kind == "awskey":
         return value[:4] + "".join(s.pick(string.ascii_uppercase + "234567") for _ in value[4:])
     hexa = len(value) >= 8 and all(c in string.hexdigits for c in value)
     return "".join(_like(c, s, hexa) for c in value)
 
 
-def render(found: str, kind: str, value: str) -> str:
-    """A canonical surrogate in the layout of the text it stands for."""
+def render(found: str, kind: str, value: str, of: str) -> str:
+    """A canonical surrogate in the layout of the text it stands for, whose canonical value is ``of``."""
     if kind == "name":
-        return " ".join("-".join(x.capitalize() for x in w.split("-")) for w in value.split("|", 2)[2].split(" "))
+        words, whole = value.split("|", 2)[2].split(" "), of.split("|", 2)[2]
+        if " " in whole and " " not in found:
+            words = words[-1:] if found.casefold() == whole.split(" ")[1] else words[:1]
+        return " ".join("-".join(x.capitalize() for x in w.split("-")) for w in words)
     if kind in ("phone", "card", "ssn", "iban"):
-        rest = iter(value.lstrip("+"))
+        value = value.lstrip("+")
+        if kind == "phone" and found.startswith("+") and not of.startswith("+"):
+            value = "1" + value
+        rest = iter(value)
         return "".join(next(rest, "") if c.isalnum() else c for c in found)
     if kind == "email":
         return "".join(v.upper() if c.isupper() else v for c, v in zip(found, value)) if len(found) == len(value) else value
@@ -185,7 +289,7 @@ def replace(text: str | None, chosen: Callable[[str, str], str]) -> tuple[str |
         return text, []
     out, at = [], 0
     for begin, end, kind, value in found:
-        out += [text[at:begin], render(text[begin:end], kind, chosen(kind, value))]
+        out += [text[at:begin], render(text[begin:end], kind, chosen(kind, value), value)]
         at = end
     return "".join([*out, text[at:]]), [kind for _, _, kind, _ in found]
 
@@ -211,7 +315,14 @@ def settled(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
     def drawn(rows: DataFrame) -> DataFrame:
         return rows.select("kind", "value", "attempt").mapInPandas(draw, "kind string, value string, attempt int, surrogate string")
 
+    # A name seen behind a title without gender is the one of its only gender elsewhere.
+    bare = F.substring("value", 3, 1 << 30)
+    sides = found.filter("kind = 'name'").select(F.substring("value", 1, 1).alias("g"), bare.alias("who"))
+    sure = sides.filter("g <> 'n'").groupBy("who").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g")).filter("c = 1")
+    twins = sides.filter("g = 'n'").select("who").join(sure.select("who", F.concat_ws("|", "g", "who").alias("_as")), "who")
+    twins = materialize(twins.select(F.lit("name").alias("kind"), F.concat(F.lit("n|"), "who").alias("value"), "_as"))
     values = found.select("kind", F.col("value").alias("surrogate"))
+    found = found.join(twins, ["kind", "value"], "left_anti")
     now = materialize(drawn(found.withColumn("attempt", F.lit(0))))
     for _ in range(rounds):
         taken = now.join(values, ["kind", "surrogate"], "left_semi").select("kind", "value")
@@ -219,7 +330,8 @@ def settled(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
         second = now.withColumn("r", F.row_number().over(order)).filter("r > 1").select("kind", "value")
         again = materialize(taken.union(second).distinct())
         if again.isEmpty():
-            return now.filter("attempt > 0").select("kind", "value", "surrogate")
+            same = twins.join(now.filter("kind = 'name'").select(F.col("value").alias("_as"), "surrogate"), "_as")
+            return now.filter("attempt > 0").select("kind", "value", "surrogate").union(same.select("kind", "value", "surrogate"))
         moved = drawn(now.join(again, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1))
         now = materialize(now.join(again, ["kind", "value"], "left_anti").union(moved))
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")

@@ -52,3 +52,29 @@ def test_odd_rows(odd, empty):
     assert sorted(map(str, ((r.doc_id, r.text) for r in rows))) == sorted(map(str, ((r.doc_id, r.text) for r in odd.collect())))
     assert all(r.pii_kinds == [] for r in rows) and set(odd.columns) < set(rows[0].asDict())
     assert pii.pseudonymize(empty).count() == 0
+
+
+def test_case_and_ipv6():
+    for text in ('TOKEN = "9233ABCDEF01"', "PASSWORD=hunter22", "Password: hunter22", "API_KEY=hunter22", "api-key: hunter22", "'Api Key': 'hunter22'"):
+        assert [k for _, _, k, _ in pii.find(text)] == ["secret"]
+        assert not re.search("9233ABCDEF01|hunter22", pii.replace(text, pii.surrogate)[0])
+    text = "from 2001:DB8::8a2e:370:7334, fe80::1%eth0 and 2001:db8:0:0:0:8a2e:370:7334 at 12:30:45 by std::cafe and 00:1a:2b:3c:4d:5e"
+    found = pii.find(text)
+    assert [v for _, _, _, v in found] == ["2001:db8::8a2e:370:7334", "fe80::1", "2001:db8::8a2e:370:7334"]
+    out = pii.replace(text, pii.surrogate)[0]
+    assert "12:30:45" in out and "2001" not in out.lower() and len(pii.find(out)) == 3
+    assert [k for _, _, k, _ in pii.find("FRAU ANNA SCHMIDT, mr. Stone")] == ["name", "name"] and not pii.find("I miss London, 5 ms Delay")
+
+
+def test_mentions_share_a_surrogate(spark):
+    text = "Frau Anna Schmidt came. Anna Schmidt left; Frau Schmidt and Dr. Anna Schmidt, or Schmidt's Anna. Herr Schmidt: +1 (988) 555-2485, 988-555-2485"
+    out, kinds = pii.replace(text, pii.surrogate)
+    assert not re.search("Anna(?!-)|555-2485", out) and out.count("Schmidt") == 0
+    given, family = re.match(r"Frau (\S+) (\S+) came", out).groups()
+    assert f"{given} {family} left; Frau {family} and Dr. {given} {family}, or {family}'s {given}." in out
+    assert f"Herr {family}:" not in out and kinds.count("name") == 7
+    a, b = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", out)
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and "+1 (" in out
+    rows = spark.createDataFrame([(1, "Frau Anna Schmidt"), (2, "Dr. Anna Schmidt")], "doc_id long, text string")
+    one, two = (r.text.split(" ", 1)[1] for r in pii.pseudonymize(rows).orderBy("doc_id").collect())
+    assert one == two
