@@ -6,7 +6,8 @@ the same document are parts of the same surrogate. A surrogate is drawn from a k
 value: digits stay digits, letters stay letters of their script, valid checksums stay valid, and names are drawn from
 pools of the same gender and script; the text's own layout and case are then put on it. All canonical values of the
 corpus are gathered to find surrogates that two values share or that are values of the corpus themselves; those are
-drawn again until none is left, so distinct entities stay distinct.
+drawn again, from some attempt on with further characters, and at last told apart by their rank, so distinct entities
+stay distinct.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import BROADCAST_BYTES, materialize, small_batches
 
 KEY = b"siltstone surrogates"
 ROUNDS = 40
+#: From this attempt on, mail addresses and secrets get a further character at each.
+GROW = 4
 #: Titles, with the gender they show, and pools of names by gender and script.
 TITLES = {
     "Mr": "m", "Mr.": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr.": "m", "Господин": "m",
@@ -227,14 +230,19 @@ def _like(c: str, s: Stream, hexa: bool) -> str:
     return c
 
 
+def _any(s: Stream, n: int, of: str = string.ascii_letters + string.digits) -> str:
+    return "".join(s.pick(of) for _ in range(n))
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical surrogate of a canonical value; another for each attempt."""
     s = Stream(key, kind, value, attempt)
+    more = max(0, attempt - GROW + 1)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, dot, top = domain.rpartition(".")
         d = Stream(key, "domain", domain, 0)  # one domain stays one domain
-        return "".join(_like(c, s, False) for c in local) + "@" + "".join(_like(c, d, False) for c in host) + dot + top
+        return "".join(_like(c, s, False) for c in local) + _any(s, more, string.ascii_lowercase + string.digits) + "@" + "".join(_like(c, d, False) for c in host) + dot + top
     if kind == "ip" and ":" in value:
         return str(ipaddress.IPv6Address((0x2000 + s.below(0x2000) << 112) + sum(s.below(1 << 16) << 16 * k for k in range(7))))
     if kind == "ip":
@@ -261,7 +269,17 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "awskey":
         return value[:4] + "".join(s.pick(string.ascii_uppercase + "234567") for _ in value[4:])
     hexa = len(value) >= 8 and all(c in string.hexdigits for c in value)
-    return "".join(_like(c, s, hexa) for c in value)
+    if not any(map(str.isalnum, value)):
+        return _any(s, len(value) + more)
+    return "".join(_like(c, s, hexa) for c in value) + _any(s, more)
+
+
+def ranked(kind: str, value: str, last: str, rank: int) -> str:
+    """A surrogate of a value by its rank among those of its kind that no draw could place: ``last`` with 20 digits more."""
+    if kind == "email":
+        local, _, domain = last.rpartition("@")
+        return f"{local}{rank:020d}@{domain}"
+    return f"{last}.{rank:020d}" if kind == "ip" else f"{last}{rank:020d}"
 
 
 def render(found: str, kind: str, value: str, of: str) -> str:
@@ -276,7 +294,7 @@ def render(found: str, kind: str, value: str, of: str) -> str:
         if kind == "phone" and found.startswith("+") and not of.startswith("+"):
             value = "1" + value
         rest = iter(value)
-        return "".join(next(rest, "") if c.isalnum() else c for c in found)
+        return "".join(next(rest, "") if c.isalnum() else c for c in found) + "".join(rest)
     if kind == "email":
         return "".join(v.upper() if c.isupper() else v for c, v in zip(found, value)) if len(found) == len(value) else value
     return value
@@ -315,6 +333,16 @@ def settled(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
     def drawn(rows: DataFrame) -> DataFrame:
         return rows.select("kind", "value", "attempt").mapInPandas(draw, "kind string, value string, attempt int, surrogate string")
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(attempt=b["attempt"] + 1, surrogate=[ranked(*x) for x in zip(b["kind"], b["value"], b["surrogate"], b["rank"])]).drop(columns="rank")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        # ranked within what shares a surrogate, so that no task holds all; longer than any drawn or found value of its form
+        order = Window.partitionBy("kind", "surrogate").orderBy("value")
+        rows = rows.withColumn("rank", F.row_number().over(order)).select("kind", "value", "attempt", "surrogate", "rank")
+        return rows.mapInPandas(place, "kind string, value string, attempt int, surrogate string")
+
     # A name seen behind a title without gender is the one of its only gender elsewhere.
     bare = F.substring("value", 3, 1 << 30)
     sides = found.filter("kind = 'name'").select(F.substring("value", 1, 1).alias("g"), bare.alias("who"))
@@ -324,17 +352,18 @@ def settled(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
     values = found.select("kind", F.col("value").alias("surrogate"))
     found = found.join(twins, ["kind", "value"], "left_anti")
     now = materialize(drawn(found.withColumn("attempt", F.lit(0))))
-    for _ in range(rounds):
+    for n in range(rounds + 1):
         taken = now.join(values, ["kind", "surrogate"], "left_semi").select("kind", "value")
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
         second = now.withColumn("r", F.row_number().over(order)).filter("r > 1").select("kind", "value")
         again = materialize(taken.union(second).distinct())
         if again.isEmpty():
-            same = twins.join(now.filter("kind = 'name'").select(F.col("value").alias("_as"), "surrogate"), "_as")
-            return now.filter("attempt > 0").select("kind", "value", "surrogate").union(same.select("kind", "value", "surrogate"))
-        moved = drawn(now.join(again, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1))
+            break
+        lost = now.join(again, ["kind", "value"], "left_semi")
+        moved = drawn(lost.withColumn("attempt", F.col("attempt") + 1)) if n < rounds else numbered(lost)
         now = materialize(now.join(again, ["kind", "value"], "left_anti").union(moved))
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
+    same = twins.join(now.filter("kind = 'name'").select(F.col("value").alias("_as"), "surrogate"), "_as")
+    return now.filter("attempt > 0").select("kind", "value", "surrogate").union(same.select("kind", "value", "surrogate"))
 
 
 def pseudonymize(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:

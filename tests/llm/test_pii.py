@@ -78,3 +78,16 @@ def test_mentions_share_a_surrogate(spark):
     rows = spark.createDataFrame([(1, "Frau Anna Schmidt"), (2, "Dr. Anna Schmidt")], "doc_id long, text string")
     one, two = (r.text.split(" ", 1)[1] for r in pii.pseudonymize(rows).orderBy("doc_id").collect())
     assert one == two
+
+
+def test_small_spaces_settle(spark):
+    values = [("email", f"{c}@full.example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("secret", "********"), ("secret", "------"), ("secret", "a-----"), ("secret", "b-----")]
+    for rounds in (0, 1, 12):
+        found = spark.createDataFrame(values, "kind string, value string")
+        new = {(r.kind, r.value): r.surrogate for r in pii.settled(found, rounds=rounds).collect()}
+        got = [(k, new.get((k, v)) or pii.surrogate(k, v)) for k, v in values]
+        assert len(set(got)) == len(got) and not set(got) & set(values)
+    text = "password: ******** token=------ " + " ".join(v for k, v in values if k == "email")
+    out = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(out.pii_kinds) == 38 and "***" not in out.text and "---" not in out.text
+    assert pii.render("123-45-6789", "ssn", pii.ranked("ssn", "123456789", "987654321", 1), "123456789") == "987-65-432100000000000000000001"
