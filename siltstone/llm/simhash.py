@@ -215,7 +215,7 @@ def _link_groups(rows: pd.DataFrame, prints: list[str], node: str, distance: int
 
 def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (u, v) that connect all fingerprints within ``distance`` bits; ``fps`` has distinct ``fp``."""
-    small_batches(fps.sparkSession, 65536)
+    small_batches(fps.sparkSession)
     edges = np.linspace(0, 64, BLOCKS + 1).round().astype(int).tolist()
     blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
     keys = []
