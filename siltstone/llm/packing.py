@@ -10,6 +10,7 @@ only, and its output depends on its rows and their order alone, so a lost task i
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,25 +25,30 @@ from .common import as_key, from_key, small_batches
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; others are encoded again. It bounds memory, not results.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 60_000
+#: Texts are encoded together up to so many characters; longer ones are cut between ASCII words.
+ENCODE_CHARS = 1 << 20
 #: A control character that is a token by itself.
 MARK = "\x01"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+#: Long stretches of a text that end between two ASCII letters or digits with a space between them, or at its end.
+_STRETCH = re.compile(rf"(?s).{{{ENCODE_CHARS - 1}}}.*?(?:(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])|\Z)|.+\Z")
 
 
 class WordTokenizer:
-    """Token ids of whole texts, encoded word by word with a bounded cache.
+    """Token ids of whole texts as the tokenizer gives them, encoded word by word with a bounded cache.
 
-    It holds for lower-casing tokenizers that squeeze white space, part letters from punctuation and never join tokens
-    across either, as those with word-end marks do.
+    It holds for lower-casing tokenizers that squeeze white space and part letters from punctuation, as those with
+    word-end marks do. What is not safe to take apart is encoded as it is: texts with the beginning of a special
+    token, and the words with other than ASCII characters whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     @classmethod
@@ -54,13 +60,34 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        out, held, size = [], [], 0
+        for t in texts:
+            t = t or ""
+            if any(x in t for x in self.specials):
+                out += [*self._words(held), np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+                held, size = [], 0
+                continue
+            parts = [t]
+            if len(t) > ENCODE_CHARS:
+                parts = [m[0] for m in _STRETCH.finditer(t)]
+            if len(parts) > 1 or size + len(t) > ENCODE_CHARS:
+                out += self._words(held)
+                held, size = [], 0
+            if len(parts) > 1:
+                out.append(b"".join(self._words([p])[0] for p in parts))
+            else:
+                held.append(t)
+                size += len(t)
+        return out + self._words(held)
+
+    def _words(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
-        texts = [_lower(t or "").replace("\n", " ").split(" ") for t in texts]
+        texts = [_lower(t).replace("\n", " ").split(" ") for t in texts]
         parts = [list(map(cache.get, words)) for words in texts]
         lacking = [k for k, ids in enumerate(parts) if None in ids]
         fresh = {w for k in lacking for w, ids in zip(texts[k], parts[k]) if ids is None}
         if fresh:
-            marked = {w for w in fresh if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
+            marked = {w for w in fresh if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w.isascii()}
             bare = {w[:-1] for w in marked} | {".", ","}
             found = self._encoded([*(fresh - marked), *(w for w in bare - fresh if w not in cache)])
             for w in marked:
@@ -68,8 +95,9 @@ class WordTokenizer:
                 found[w] = (found.get(a) or cache[a]) + (found.get(b) or cache[b])
             for k in lacking:
                 parts[k] = [found[w] if ids is None else ids for w, ids in zip(texts[k], parts[k])]
-            if len(cache) + len(found) <= CACHE_WORDS:
-                cache.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+            if len(cache) + len(found) > CACHE_WORDS:
+                self.cache = {"": b""}  # begun anew, so that it follows the texts
+            self.cache.update((w, ids) for w, ids in list(found.items())[: CACHE_WORDS // 2] if len(w) <= 64)
         return [b"".join(ids) for ids in parts]
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
@@ -91,7 +119,8 @@ class WordTokenizer:
 
 
 def _lower(text: str) -> str:
-    """In lower case where that changes no id: these 256 characters have no composed forms or context rules."""
+    """In lower case where that changes no id: characters up to 255 have no composed forms or context rules. It only lets
+    more words be found in the cache; the tokenizer lower-cases by itself."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -171,36 +200,41 @@ def pack(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, packer = WordTokenizer.get(tokenizer_path), SumOfSquares(window)
         base, made, row = TaskContext.get().partitionId() << 32, 0, 0
-        docs: dict[int, list] = {}  # row: id, ids, tokens not yet given out
+        tails: dict[int, list] = {}  # row: id, where its tail starts, the tail's ids, all tokens, tokens not yet given out
+        columns = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-        def emit(windows: list[list[tuple]]) -> pd.DataFrame:
+        def emit(windows: list[list[tuple]]) -> list[tuple]:
             nonlocal made
             out = []
             for w in windows:
                 for key, start, length, offset in w:
-                    doc = docs[key]
-                    out.append((doc[0], start, length, doc[1][4 * start : 4 * (start + length)], len(doc[1]) // 4, base + made, offset))
-                    doc[2] -= length
-                    if not doc[2]:
-                        del docs[key]
+                    tail = tails[key]
+                    at = start - tail[1]
+                    out.append((tail[0], start, length, tail[2][4 * at : 4 * (at + length)], tail[3], base + made, offset))
+                    tail[4] -= length
+                    if not tail[4]:
+                        del tails[key]
                 made += 1
-            return pd.DataFrame(out, columns=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            return out
 
         for b in batches:
-            full = []
+            out = []
             for k, ids in zip(b["_id"], words.encode(b["_t"].tolist())):
                 ids += end
                 n, row = len(ids) // 4, row + 1
-                docs[row] = [k, ids, n]
                 whole = n - n % window
-                full += [[(row, s, window, 0)] for s in range(0, whole, window)]
-                if n > whole and (done := packer.place(n - whole, (row, whole))):
-                    full.append(done)
-            if full:
-                yield emit(full)
+                for s in range(0, whole, window):
+                    out.append((k, s, window, ids[4 * s : 4 * (s + window)], n, base + made, 0))
+                    made += 1
+                if n > whole:
+                    tails[row] = [k, whole, ids[4 * whole :], n, n - whole]
+                    if done := packer.place(n - whole, (row, whole)):
+                        out += emit([done])
+            if out:
+                yield pd.DataFrame(out, columns=columns)
         if rest := list(packer.close()):
             for k in range(0, len(rest), 256):
-                yield emit(rest[k : k + 256])
+                yield pd.DataFrame(emit(rest[k : k + 256]), columns=columns)
 
     kind = df.schema[id_col].dataType.simpleString()
     pieces = df.select(as_key(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(

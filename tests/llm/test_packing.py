@@ -1,5 +1,10 @@
+import re
+from functools import cache
+
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from siltstone.llm import packing
@@ -9,7 +14,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def check(df, padding):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     want = sorted([(r.doc_id or -1, tuple(whole.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in df.select("doc_id", "text").collect()])
     rows = packing.pack(df, PATH).collect()
     pieces, windows = {}, {}
@@ -73,11 +77,50 @@ def after(p, level, n):
     return count[1:]
 
 
-def test_word_by_word_ids_are_whole_text_ids():
+TEXTS = ["Don't STOP, it's 4.0. É È é, é. Σίσυφος ΣΑΣ\n x\x01y \x01 ...!! a,. I'll. <|endoftext|> " + "z" * 300, "\tA\r\nB\x0bc  d.", ".", ",", "", None,
+         "hello <|endoftext|> world", "<|ENDOFTEXT|>, a<|startoftext|>b.", "İ. ß. é. ", "x İ, Ǆ. ﬁ. ÅA\u030a. \u0301a \u00a0\u3000b"]
+
+
+def whole_ids(texts):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
-    texts = ["Don't STOP, it's 4.0. É È é, é. Σίσυφος ΣΑΣ\n x\x01y \x01 ...!! a,. I'll. <|endoftext|> " + "z" * 300, "\tA\r\nB\x0bc  d.", ".", ",", "", None]
+    return [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def ids_of(words, texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
+
+
+def test_ids_are_the_tokenizers(monkeypatch):
     words = packing.WordTokenizer(PATH)
     for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
-        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids_of(words, TEXTS) == whole_ids(TEXTS)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
+    assert ids_of(packing.WordTokenizer(PATH), TEXTS) == whole_ids(TEXTS)
+
+
+ODD_PIECES = st.sampled_from(["İ", ".", ",", " ", "\n", "é", "e\u0301", "\u0301", "<|endoftext|>", "<|", "'s", "Σ", "\x01", "a", "Z", "9", "\u00a0", "ﬁ", "日本", "\u1e9e", "\x85", "Ⅷ", "\u0345"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=6), ODD_PIECES), max_size=25).map("".join))
+def test_ids_of_any_unicode(text):
+    words = packing.WordTokenizer.get(PATH)
+    assert ids_of(words, [text]) == whole_ids_cached([text])
+
+
+@cache
+def plain():
+    return Tokenizer.from_file(PATH)
+
+
+def whole_ids_cached(texts):
+    return [plain().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = " ".join(f"word{k}, é{k} {k}" for k in range(4000)) + "x" * 3000
+    stretch = re.compile(packing._STRETCH.pattern.replace(str(packing.ENCODE_CHARS - 1), "500"))
+    monkeypatch.setattr(packing, "ENCODE_CHARS", 501)
+    monkeypatch.setattr(packing, "_STRETCH", stretch)
+    assert len(stretch.findall(text)) > 50 and "".join(stretch.findall(text)) == text
+    assert ids_of(packing.WordTokenizer(PATH), [text, "a b", text]) == whole_ids([text, "a b", text])
