@@ -32,7 +32,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``materialize`` that nothing will read again."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

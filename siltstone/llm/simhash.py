@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, materialize, mix64, range_hashes, sized_join, small_batches, word_spans
+from .common import as_key, discard, from_key, materialize, mix64, range_hashes, sized_join, small_batches, word_spans
 
 DISTANCE = 4
 BLOCKS = 6
@@ -36,8 +36,8 @@ LEAF_PAIRS = 64
 COMPARE = 1 << 18
 #: Words of 64 bits in a wide fingerprint.
 WIDE = 4
-#: Differing bits of 256 at a Jaccard similarity of 0.8 have a mean of 39 and a deviation of 6.
-WIDE_DISTANCE = 46
+#: Differing bits of 256 at a Jaccard similarity of 0.8 have a mean of 39 and a deviation of 6, so this leaves out no pair of it.
+WIDE_DISTANCE = 72
 #: Bands of minimum hashes, and hashes in each: two texts of similarity 0.8 share one with probability 0.9998.
 BANDS, BAND_ROWS = 36, 7
 #: Bytes of text of a component in a task; one with more is salted.
@@ -270,7 +270,11 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str], link: Callable[
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of ``links`` (u, v) reaches, by large-star and small-star rounds."""
+    """(node, root): the smallest node that each node of ``links`` (u, v) reaches, by large-star and small-star rounds.
+
+    The rounds needed grow with the square of the logarithm of a component's longest path at most, and in practice with
+    the logarithm; 60 are far beyond any table, and more is an error rather than a wrong result.
+    """
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
     for _ in range(rounds):
@@ -279,7 +283,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        edges, old = materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()), edges
+        discard(old)
         was, mark = mark, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if was == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -330,6 +335,7 @@ def similar(hashes: list[np.ndarray], similarity: float, distance: int) -> np.nd
     fp = np.stack([wide_bits(h) if len(h) else np.zeros(WIDE, np.uint64) for h in hashes])
     size = np.array([len(x) for x in sets], np.int64)
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = codes.astype(np.int32)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     label, mark = np.full(len(sets), -1, np.int64), np.zeros(len(names), np.int32)
     for first in range(len(sets)):
@@ -360,51 +366,91 @@ def verified(members: DataFrame, shingle: int, similarity: float, distance: int)
     rows = rows.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, group = rows["node"].to_numpy(np.int64), rows[["root", "lo", "hi"]].to_numpy(np.int64)
-        texts, label = rows["text"].tolist(), np.arange(len(rows))
-        cuts = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+        nodes, texts, label = rows["node"].to_numpy(), rows["text"].tolist(), np.arange(len(rows))
+        group = rows[["root", "lo", "hi"]].ne(rows[["root", "lo", "hi"]].shift()).any(axis=1).to_numpy()
+        cuts = [*np.flatnonzero(group).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:]):
             if b - a > 1:
                 label[a:b] = a + similar([shingle_hashes(t, (shingle,))[0] for t in texts[a:b]], similarity, distance)
-        apart = nodes != nodes[label]
+        apart = label != np.arange(len(rows))
         return pd.DataFrame({"u": nodes[apart], "v": nodes[label[apart]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_groups(batches, ["root", "lo", "hi"], link)
 
-    return rows.mapInPandas(run, "u long, v long").distinct()
-
+    return rows.mapInPandas(run, "u string, v string").distinct()
 
-def near_texts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, similarity: float = 0.8
-) -> DataFrame:
-    """One row per row of ``df`` with a whole number as id: id and component_id, the smallest id reachable over links.
 
-    Texts are linked where their sets of shingles of ``shingle`` words have a Jaccard similarity of ``similarity`` or
-    more, counted on the whole sets, and their wide fingerprints differ in at most ``distance`` bits; such a pair is
-    missed only if no chain of shared bands leads from one to the other. Texts without words are linked with each other, and texts of fewer words are one shingle. Repeated rows keep a row each;
-    rows with a null id take no part and are left out. An empty table gives no rows; other columns are not read.
-    """
+def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, similarity: float) -> DataFrame:
+    """(key, hash, digest, class): for each row of ``df``, its id as a key, its text's hash, that of its set of shingles, and the
+    smallest digest of the class that it belongs to."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [distinct(shingle_hashes(t, (shingle,))[0]) for t in b["text"]]
-            out = pd.DataFrame({"id": b["id"].to_numpy(np.int64), "digest": [xxhash.xxh128_digest(x.tobytes()) for x in sets]})
+            out = pd.DataFrame({"key": b["key"], "hash": b["hash"], "digest": [xxhash.xxh128_hexdigest(x.tobytes()) for x in sets]})
             out["bands"] = [band_keys(x).view(np.int64) for x in sets]
             yield out
 
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = materialize(rows.mapInPandas(run, "id long, digest binary, bands array<long>"))
-    nodes = materialize(docs.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1").select("key", "low"))
-    met = materialize(sized_join(keys, shared, "key", "inner", 24).filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
+    text = F.col(text_col)
+    rows = df.select(as_key(F.col(id_col)).alias("key"), F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("-")).alias("hash"), text.alias("text"))
+    docs = materialize(rows.mapInPandas(run, "key string, hash string, digest string, bands array<long>"))
+    first = F.min(F.struct("key", "hash")).alias("first")
+    nodes = materialize(docs.groupBy("digest").agg(first, F.any_value("bands").alias("bands")).select("digest", "first.*", "bands"))
+    keys = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("band"))
+    shared = materialize(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1").select("band", "low"))
+    met = materialize(sized_join(keys, shared, "band", "inner", 48).filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
     maybe = connected(met)
-    maybe = materialize(maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct()))
-    # Written with their texts once, as the rows are then read for the sizes and for the sets.
-    members = sized_join(rows.withColumnRenamed("id", "node"), maybe, "node", "inner", 32).dropDuplicates(["node", "text"])
-    small_batches(df.sparkSession)
-    roots = connected(verified(materialize(members), shingle, similarity, distance))
-    classes = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return docs.select("id", "digest").join(classes, "digest", "left").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "component_id")
+    maybe = maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct())
+    # One row for each node, with its text: written once, as the rows are then read for the sizes and for the sets.
+    maybe = materialize(nodes.select(F.col("digest").alias("node"), "key", "hash").join(maybe, "node"))
+    members = sized_join(rows, maybe, ["key", "hash"], "inner", 160).select("node", "root", "text").dropDuplicates(["node"])
+    roots = materialize(connected(verified(materialize(members), shingle, similarity, distance)))
+    roots = roots.select(F.col("node").alias("digest"), F.col("root").alias("class"))
+    return sized_join(docs.drop("bands"), roots, "digest", "left", 80).withColumn("class", F.coalesce("class", "digest"))
+
+
+def near_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, similarity: float = 0.8
+) -> DataFrame:
+    """One row per row of ``df``: id and component_id, the smallest id reachable over links.
+
+    Texts are linked where their sets of shingles of ``shingle`` words have a Jaccard similarity of ``similarity`` or
+    more, counted on the whole sets, and their wide fingerprints differ in at most ``distance`` bits; such a pair is
+    missed only if no chain of shared bands leads from one to the other. Texts without words are linked with each other,
+    and texts of fewer words are one shingle. Repeated rows keep a row each; rows with a null id take part, and a class
+    of such rows only has a null component_id. An empty table gives no rows; other columns are not read.
+    """
+    docs = materialize(near_classes(df, id_col, text_col, shingle, distance, similarity))
+    kind = df.schema[id_col].dataType
+    docs = docs.select(from_key(F.col("key"), kind.simpleString()).alias(id_col), "class")
+    lows = materialize(docs.groupBy("class").agg(F.min(id_col).alias("component_id")))
+    return docs.join(lows, "class").select(id_col, "component_id")
+
+
+def one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, similarity: float = 0.8
+) -> DataFrame:
+    """``df`` with one row of each class of ``near_texts``: that of the smallest id, null ids last, and then of the least text hash.
+
+    Of rows that repeat both id and text one stays. A row alone in its class stays whatever its id or text. Columns of
+    ``df`` stay as they are. An empty table gives no rows.
+    """
+    docs = materialize(near_classes(df, id_col, text_col, shingle, distance, similarity))
+    kind = df.schema[id_col].dataType.simpleString()
+    place = F.struct(F.col("key") == "-", from_key(F.col("key"), kind).alias("id"), "hash")
+    stay = docs.groupBy("class").agg(F.min(place).alias("stay"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    rows = docs.withColumn("place", place)
+    # Classes of one row need no look; of the others all rows but the first go, and repeats of the first are told apart below.
+    many = materialize(sized_join(rows, materialize(stay), "class", "inner", 160).select("key", "hash", (F.col("place") == F.col("stay")).alias("first")))
+    gone = materialize(many.filter("not first").select("key", "hash").distinct())
+    twice = materialize(many.filter("first").groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hash"))
+    marks = [f"_{c}" + "_" * max(map(len, df.columns)) for c in ("key", "hash")]
+    text_hash = F.coalesce(F.md5(F.encode(F.col(text_col), "UTF-8")), F.lit("-"))
+    marked = df.withColumn(marks[0], as_key(F.col(id_col))).withColumn(marks[1], text_hash)
+    out = sized_join(marked, gone.toDF(*marks), marks, "left_anti", 80)
+    if not twice.isEmpty():
+        twice = twice.toDF(*marks)
+        out = sized_join(out, twice, marks, "left_anti", 80).unionByName(sized_join(out, twice, marks, "left_semi", 80).dropDuplicates(marks))
+    return out.select(*df.columns)
