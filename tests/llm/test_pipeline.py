@@ -49,6 +49,18 @@ def test_odd_rows(spark, odd, empty):
     assert docs.count() == 0
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, "clean words of a first text"), (1, "clean words of a first text"), (1, f"and {leak} here"), (None, leak), (None, "another clean text without an id"), (3, f"{leak} again")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.benchmark_leaks(spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(i), t) for i, t in rows if leak not in t)
+    left = cp.near_duplicates(spark, docs, sf).collect()
+    # the three texts around the passage are one class
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted({(str(i), t) for i, t in rows if leak not in t or t.startswith("and")})
+
+
 def test_run(spark):
     rows = cp.run(spark, "/root/testdata/sf0.001").collect()
     fill = {}
