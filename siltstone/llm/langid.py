@@ -23,7 +23,7 @@ from .common import small_batches
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 HIDDEN, STEPS, BATCH, SPAN, RATE = 12, 500, 192, 40, 0.02
 #: Bytes that a window labels, and those before and behind it that it reads too.
-WINDOW, AROUND = 256, 32
+WINDOW, AROUND = 512, 24
 #: Windows read together, and bytes of text cut into windows at once.
 BLOCK, BLOCK_BYTES = 512, 2 << 20
 UNKNOWN = "und"
@@ -86,12 +86,14 @@ class Network:
     def labels(self, x: np.ndarray, keep: dict | None = None, live: np.ndarray | None = None) -> np.ndarray:
         """Language probabilities (time, row, language) of every position of bytes (time, row); see ``_run`` for ``live``."""
         kept = {way: [] if keep is not None else None for way in "fb"}
-        states = np.concatenate([self._run(x, way, kept[way], live) for way in "fb"], axis=2)
-        logits = states @ self.weights["o"] + self.weights["c"]
-        p = np.exp(logits - logits.max(2, keepdims=True))
-        p /= p.sum(2, keepdims=True)
+        states, o, n = [self._run(x, way, kept[way], live) for way in "fb"], self.weights["o"], len(self.weights["hf"])
+        p = states[0] @ o[:n]
+        p += states[1] @ o[n:]
+        p += self.weights["c"]
+        np.exp(np.clip(p, -60, 60, out=p), out=p)
+        p /= p @ np.ones((p.shape[2], 1), p.dtype)
         if keep is not None:
-            keep |= kept | {"states": states}
+            keep |= kept | {"states": np.concatenate(states, axis=2)}
         return p
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
