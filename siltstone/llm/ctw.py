@@ -6,10 +6,12 @@ and the product of its children's; the share of the latter is how far a predicti
 gathered from all training texts and then stand still, so every text is scored by one model. A context without
 training counts adds nothing: the mixture ends at the longest one seen.
 
-Texts are cut into blocks. A block's distinct context strings, and its words, are dealt into fixed buckets and packed,
-one row for each block and bucket; these rows meet the bucket's part of the model, and come back to the block with its
-values. No model is held whole anywhere. The only tables that reach the driver are those of contexts of at most one
-byte: 257 times 255 nodes.
+Texts are cut into blocks. A block's distinct context strings, and its words, are dealt into buckets and packed, one row
+for each block and bucket; these rows meet the bucket's part of the model once, and come back to the block with its
+values. There are as many buckets as blocks, so what a task holds of either does not grow with the corpus, and a bucket
+has the trees of contexts that agree in their nearest three bytes. The
+nodes above a bucket's trees are summed over all buckets by key and joined to the trees' roots. No model is held whole
+anywhere. The only tables that reach the driver are those of contexts of at most one byte: 257 times 255 nodes.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ DEPTH = 5
 BLOCK_BYTES = 24 << 20
 #: The end of a document, and what stands before one; words have no line feed.
 END = b"\n"
-#: Buckets of context strings, by their nearest two bytes, and of words; blocks whose rows of a bucket meet in one task.
-BUCKETS, FAN_IN = 256, 64
+#: Fewest buckets of context strings and of words, and the nearest bytes that the trees of a bucket have in common.
+BUCKETS, TOP = 64, 3
+#: Packed rows whose counts are summed at once.
+FAN_IN = 32
 #: Bytes of text whose context strings are sorted at once.
 CHUNK_BYTES = 2 << 20
 PACKED = "block long, kind int, bucket int, keys binary, n binary"
@@ -114,20 +118,22 @@ class Subtree:
                 b["trust"] = 1 / (1 + np.exp(np.clip(b["own"] - below, -700, 700)))
 
     def roots(self) -> pd.DataFrame:
-        """The nodes of the shortest contexts: near (the byte before), node (1 to 255), zeros, ones, weighted."""
+        """The nodes of the shortest contexts, by bit: near (its bytes), node (1 to 255), zeros, ones, weighted."""
         level, out = self.level[self.top], []
         for j, b in enumerate(level["bits"]):
             rows = level["rows"][b["first"]]
             node = (1 << j) | (rows >> np.uint64(8 - j) & np.uint64((1 << j) - 1)).astype(np.int64)
-            near = (rows >> np.uint64(8 * self.top) & np.uint64(255)).astype(np.int64)
+            near = (rows >> np.uint64(8)).astype(np.int64)
             out.append(pd.DataFrame({"near": near, "node": node} | {k: b[k] for k in ("zeros", "ones", "weighted")}))
         return pd.concat(out)
 
-    def log10(self, above: Top) -> np.ndarray:
-        """The log10 probability of the last byte of each key after the others."""
+    def log10(self, above: Top, between: list[pd.DataFrame] = ()) -> np.ndarray:
+        """The log10 probability of the last byte of each key after the others; ``between`` has zeros, ones and trust of the nodes
+        above each of ``roots``, for each length of context between those and ``above``."""
         total = np.zeros(len(self.keys))
         symbol = (self.keys & np.uint64(255)).astype(np.int64)
         near = (self.keys >> np.uint64(8 * self.depth) & np.uint64(255)).astype(np.int64)
+        between, passed = [[r[c].to_numpy() for c in ("zeros", "ones", "trust")] for r in between], 0
         for j in range(8):
             one = (symbol >> (7 - j) & 1).astype(bool)
             p, seen = None, None
@@ -135,6 +141,10 @@ class Subtree:
                 level, b = self.level[d], self.level[d]["bits"][j]
                 at = b["of"][level["up"]]
                 p, seen = _mixed(b["zeros"][at], b["ones"][at], b["trust"][at], one, p, seen)
+            at = at + passed
+            for zeros, ones, trust in between:
+                p, seen = _mixed(zeros[at], ones[at], trust[at], one, p, seen)
+            passed += len(b["zeros"])
             p = above.mixed(near, (1 << j) | (symbol >> (8 - j)), one, p, seen)
             total += np.log10(p)
         return total
@@ -149,6 +159,15 @@ def _mixed(zeros, ones, trust, one, p, seen):
     return own, n > 0
 
 
+def folded(nodes: pd.DataFrame) -> pd.DataFrame:
+    """``nodes`` with trust and their own weighted probability, from zeros, ones and below, the sum of their children's."""
+    own = _kt(nodes["zeros"].to_numpy(), nodes["ones"].to_numpy())
+    below = nodes["below"].to_numpy()
+    weighted = np.logaddexp(own, below) - math.log(2)
+    weighted[(nodes["zeros"] + nodes["ones"]).to_numpy() == 0] = 0
+    return nodes.assign(trust=1 / (1 + np.exp(np.clip(own - below, -700, 700))), weighted=weighted)
+
+
 class Top:
     """The nodes of contexts of one byte and of none."""
 
@@ -159,10 +178,8 @@ class Top:
         at = rows["near"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
         for k, c in (("zeros", "zeros"), ("ones", "ones"), ("below", "weighted")):
             self.one[k][at] = rows[c]
-        own = _kt(self.one["zeros"], self.one["ones"])
-        self.one["trust"] = 1 / (1 + np.exp(np.clip(own - self.one["below"], -700, 700)))
-        weighted = np.logaddexp(own, self.one["below"]) - math.log(2)
-        weighted[self.one["zeros"] + self.one["ones"] == 0] = 0
+        done = folded(pd.DataFrame({k: v.ravel() for k, v in self.one.items()}))
+        self.one["trust"], weighted = (done[k].to_numpy().reshape(shape) for k in ("trust", "weighted"))
         self.none = {"zeros": self.one["zeros"].sum(0), "ones": self.one["ones"].sum(0)}
         own = _kt(self.none["zeros"], self.none["ones"])
         self.none["trust"] = 1 / (1 + np.exp(np.clip(own - weighted.sum(0), -700, 700)))
@@ -269,10 +286,10 @@ def _of_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(buckets[at[0]]), at
 
 
-def packed_block(docs: list[bytes], held: list[bool], depth: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+def packed_block(docs: list[bytes], held: list[bool], depth: int, buckets: int, top: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(kind, bucket, keys, counts) of a block: kind 0 for context strings, 1 for words."""
     keys, n = block_grams(docs, held, depth)
-    near = mix64(keys >> np.uint64(8 * (depth - 1))) % np.uint64(BUCKETS)
+    near = mix64(keys >> np.uint64(8 * (depth + 1 - top))) % np.uint64(buckets)
     for bucket, at in _of_bucket(near.astype(np.int64)):
         yield 0, bucket, rising(keys[at]), squeeze(n[at])
     counts: dict[bytes, int] = Counter()
@@ -283,17 +300,22 @@ def packed_block(docs: list[bytes], held: list[bool], depth: int) -> Iterator[tu
     n = np.array([counts.get(w, 0) for w in words], np.int64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     hashes = range_hashes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-    for bucket, at in _of_bucket((hashes % np.uint64(BUCKETS)).astype(np.int64)):
+    for bucket, at in _of_bucket((hashes % np.uint64(buckets)).astype(np.int64)):
         yield 1, bucket, pack_words([words[k] for k in at]), squeeze(n[at])
 
 
 def _packed_sum(rows: pd.DataFrame) -> tuple[bytes, bytes]:
-    n = [expand(z, "i8") for z in rows["n"]]
-    if rows["kind"].iloc[0] == 0:
-        keys, n = merged([risen(z) for z in rows["keys"]], n)
-        return rising(keys), squeeze(n)
-    words, n = merged_words([unpack_words(z) for z in rows["keys"]], n)
-    return pack_words(words), squeeze(n)
+    """Of packed rows of one kind, FAN_IN at a time."""
+    words, parts = rows["kind"].iloc[0] == 1, []
+    for k in range(0, len(rows), FAN_IN):
+        some = rows.iloc[k : k + FAN_IN]
+        parts.append(([unpack_words(z) if words else risen(z) for z in some["keys"]], [expand(z, "i8") for z in some["n"]]))
+        keys, n = parts.pop()
+        if parts:
+            keys, n = [parts[0][0], *keys], [parts[0][1], *n]
+        parts = [(merged_words if words else merged)(keys, n)]
+    keys, n = parts[0]
+    return (pack_words(keys) if words else rising(keys)), squeeze(n)
 
 
 def _unpacked(row) -> list[bytes]:
@@ -336,44 +358,56 @@ def _words(doc: bytes) -> list[bytes]:
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Rows whose CRC-32 of the id as text leaves 2 when divided by 7 are held out; the others train. score is the model's log10 probability of the tokens, words joined by spaces and an end mark;
-    base_score that of add-one word counts. A null text is an empty one, which is the end mark alone. Repeated rows
+    bits_per_byte the code length that this is for each byte of the words, the spaces between them and the end; base_score
+    that of add-one word counts. A null text is an empty one, which is the end mark alone. Repeated rows
     train and are scored each. An empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     stored = materialize(blocks(df, id_col, text_col))
-    small_batches(spark)
+    count = stored.count()
+    buckets = max(BUCKETS, 1 << (count - 1).bit_length()) if count else BUCKETS
+    top = min(depth, TOP)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, row in b.iterrows():
-                rows = packed_block(_unpacked(row), row["held"], depth)
+                rows = packed_block(_unpacked(row), row["held"], depth, buckets, top)
                 yield pd.DataFrame([(row["block"], *r) for r in rows], columns=["block", "kind", "bucket", "keys", "n"])
 
-    found = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(count, PACKED))
-    small_batches(spark)
-    salts = max(1, stored.count() // FAN_IN)
-    found = found.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    found = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(counted, PACKED))
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = _packed_sum(rows)
         return pd.DataFrame({"kind": rows["kind"].iloc[:1], "bucket": rows["bucket"].iloc[:1], "keys": [keys], "n": [n]})
 
-    whole = found
-    for by in (["kind", "bucket", "salt"], ["kind", "bucket"])[0 if salts > 1 else 1 :]:
-        whole = whole.groupBy(*by).applyInPandas(summed, "kind int, bucket int, keys binary, n binary")
-    whole = materialize(whole)
+    whole = materialize(found.groupBy("kind", "bucket").applyInPandas(summed, "kind int, bucket int, keys binary, n binary"))
 
     def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for keys, n in zip(b["keys"], b["n"]):
-                yield Subtree(risen(keys), expand(n, "i8"), depth, 2).roots()
+            for bucket, keys, n in zip(b["bucket"], b["keys"], b["n"]):
+                yield Subtree(risen(keys), expand(n, "i8"), depth, top).roots().assign(bucket=bucket)
 
-    tops = whole.filter("kind = 0").select("keys", "n").mapInPandas(roots, "near int, node long, zeros double, ones double, weighted double")
-    sums = tops.groupBy("near", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
+    nodes = "near long, node long, zeros double, ones double"
+    tops = whole.filter("kind = 0").select("bucket", "keys", "n").mapInPandas(roots, f"bucket int, {nodes}, weighted double")
+    if top > 2:
+        tops = materialize(tops)  # read for each level and for the trees
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield folded(b)
+
+    level, between, ups = tops, [], tops.select("bucket", "near", "node")
+    for d in range(top - 1, 1, -1):
+        level = level.groupBy(F.shiftright("near", 8).alias("near"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        level = materialize(level.mapInPandas(fold, f"{nodes}, below double, trust double, weighted double"))
+        names = [f"{c}{d}" for c in ("zeros", "ones", "trust")]
+        ups = ups.withColumn("_near", F.shiftright("near", 8 * (top - d))).join(level.select(F.col("near").alias("_near"), "node", *[F.col(c[:-1]).alias(c) for c in names]), ["_near", "node"]).drop("_near")
+        between.append(names)
+    sums = level.groupBy(F.shiftright("near", 8).alias("near"), "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
     above = Top(sums.toPandas())  # at most 256 * 255 rows
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -384,51 +418,56 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     train, kinds = whole.filter("kind = 1").select("n").mapInPandas(totals, "train long, kinds long").agg(F.sum("train"), F.sum("kinds")).first()
     train, kinds = int(train or 0), int(kinds or 0)
 
-    def modelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The values of a bucket's keys: log10 probabilities of context strings, counts of words."""
-        for b in batches:
-            out = []
-            for kind, bucket, keys, n in zip(b["kind"], b["bucket"], b["keys"], b["n"]):
-                if kind == 0:
-                    tree = Subtree(risen(keys), expand(n, "i8"), depth, 2)
-                    n = squeeze(tree.log10(above))
-                out.append((kind, bucket, keys, n))
-            yield pd.DataFrame(out, columns=["kind", "bucket", "keys", "n"])
+    def modelled(rows: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
+        """The values of a bucket's keys: log10 probabilities of context strings."""
+        tree = Subtree(risen(rows["keys"].iloc[0]), expand(rows["n"].iloc[0], "i8"), depth, top)
+        order = tree.roots()[["near", "node"]].merge(up, "left", ["near", "node"]) if between else None
+        value = tree.log10(above, [order[names].set_axis(["zeros", "ones", "trust"], axis=1) for names in between])
+        return rows[["kind", "bucket", "keys"]].assign(n=[squeeze(value.astype("f4"))])
+
+    model = whole.filter("kind = 0")
+    fields = "kind int, bucket int, keys binary, n binary"
+    if between:
+        model = model.groupBy("bucket").cogroup(ups.groupBy("bucket")).applyInPandas(modelled, fields)
+    else:
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for k in range(len(b)):
+                    yield modelled(b.iloc[k : k + 1], None)
 
-    model = whole.mapInPandas(modelled, "kind int, bucket int, keys binary, n binary")
-    model = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        model = model.mapInPandas(each, fields)
+    model = model.union(whole.filter("kind = 1"))
 
     def answer(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        """The model's values for the rows of some blocks of a bucket."""
-        if not len(rows):
-            return rows.assign(value=None)[["block", "kind", "keys", "value"]]
+        """The model's values for the rows of all blocks of a bucket."""
         if rows["kind"].iloc[0] == 0:
-            known, values = risen(part["keys"].iloc[0]), expand(part["n"].iloc[0], "f8")
+            known, values = risen(part["keys"].iloc[0]), expand(part["n"].iloc[0], "f4")
             got = [squeeze(values[np.searchsorted(known, risen(z))]) for z in rows["keys"]]
         else:
             table = dict(zip(unpack_words(part["keys"].iloc[0]), expand(part["n"].iloc[0], "i8").tolist()))
             got = [squeeze(np.array([table[w] for w in unpack_words(z)], np.int64)) for z in rows["keys"]]
         return rows[["block", "kind", "keys"]].assign(value=got)
 
-    by = ["kind", "bucket", "salt"]
-    back = found.groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(answer, "block long, kind int, keys binary, value binary")
+    by = ["kind", "bucket"]
+    back = found.drop("n").groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(answer, "block long, kind int, keys binary, value binary")
 
     def scores(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         docs, out, known = _unpacked(block.iloc[0]), [], {}
         for z, v in zip(rows["keys"][rows["kind"] == 1], rows["value"][rows["kind"] == 1]):
             known.update(zip(unpack_words(z), expand(v, "i8").tolist()))
         near = rows[rows["kind"] == 0]
-        model = Lookup(np.concatenate([risen(z) for z in near["keys"]]), np.concatenate([expand(z, "f8") for z in near["value"]]))
+        model = Lookup(np.concatenate([risen(z) for z in near["keys"]]), np.concatenate([expand(z, "f4") for z in near["value"]]))
         for k in range(0, len(docs), 256):
             part = docs[k : k + 256]
             keys, lengths = grams(part, depth)
-            total = np.add.reduceat(model[keys], np.cumsum(lengths) - lengths)
-            for doc, x in zip(part, total):
+            total = np.add.reduceat(model[keys].astype("f8"), np.cumsum(lengths) - lengths)
+            for doc, x in zip(part, total.tolist()):
                 c = np.fromiter([known[w] for w in _words(doc)], np.float64)
-                out.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (train + kinds + 1)).sum()), float(x)))
-        out = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
+                out.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (train + kinds + 1)).sum()), x, -x / math.log10(2) / len(doc)))
+        out = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
         return out.assign(id=list(block["ids"].iloc[0]), held_out=list(block["held"].iloc[0]), train_tokens=train)
 
-    schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     out = stored.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(scores, schema)
     return out.withColumn("id", from_key(F.col("id"), kind)).withColumnRenamed("id", id_col)

@@ -67,7 +67,8 @@ def brute(rows, depth):
     for i, t in rows:
         w = ctw.tokens(t)
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, base, model.score(line(t))))
+        score = model.score(line(t))
+        out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, base, score, -score / math.log10(2) / len(line(t))))
     return sorted(out, key=str)
 
 
@@ -83,6 +84,13 @@ def test_against_brute_force(documents):
     check(documents.filter("doc_id < 40 and n_chars < 1500"), 3)
 
 
+def test_other_trees_against_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(ctw, "TOP", 2)
+    check(documents.filter("doc_id < 30 and n_chars < 1000"), 3)
+    monkeypatch.setattr(ctw, "TOP", 4)
+    check(documents.filter("doc_id < 20 and n_chars < 1000"), 5)
+
+
 def test_odd_rows(odd, empty):
     check(odd.filter("length(text) < 1000 or text is null"), 3)
     assert ctw.score(odd).count() == odd.count()
@@ -93,8 +101,12 @@ def test_blocks_do_not_matter(documents, monkeypatch):
     some = documents.filter("doc_id < 60")
     one = {r.doc_id: r.score for r in ctw.score(some, depth=4).collect()}
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(ctw, "FAN_IN", 2)
     many = {r.doc_id: r.score for r in ctw.score(some.repartition(3), depth=4).collect()}
     assert many == pytest.approx(one)
+    for top in (2, 4):  # trees below two and four bytes
+        monkeypatch.setattr(ctw, "TOP", top)
+        assert {r.doc_id: r.score for r in ctw.score(some.repartition(3), depth=4).collect()} == pytest.approx(one)
 
 
 def test_probabilities_sum_to_one():
