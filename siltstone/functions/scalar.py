@@ -2,23 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def found(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match; null if it is empty or nothing matches."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def place(text: Column, pattern: str) -> Column:
+    """The place from 1 of the first match, 0 without one."""
+    return F.regexp_instr(text, F.lit(pattern))
+
+
+def places_of(text: Column, pattern: str) -> Column:
+    """The places from 1 of all matches, in order."""
+    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(between) - 1), hits, lambda b, h: F.struct(F.length(b).alias("b"), F.length(h).alias("h")))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    step = lambda a, x: F.struct((a["next"] + x["b"] + x["h"]).alias("next"), F.concat(a["at"], F.array(a["next"] + x["b"])).alias("at"))
+    return F.when(F.size(hits) > 0, F.aggregate(steps, start, step)["at"]).otherwise(F.array().cast("array<int>"))
+
+
+def at_offset(text: Column, at: Column, offset: int, size: int) -> Column:
+    """``size`` characters from so far behind a place, or before it; empty where that is before the beginning."""
+    begin = at + offset
+    return F.when(begin >= 1, F.substring(text, begin.cast("int"), F.lit(size))).otherwise("")
+
+
+def read_string(text: Column) -> Column:
+    """A Latin-1 text up to its first zero byte, in code page 437; a backspace takes the character before it."""
+    cut = F.substring_index(text, "\0", 1)
+
+    def struck(s: Column) -> Column:
+        return F.aggregate(F.split(s, ""), F.lit(""), lambda a, c: F.when((c == "\b") & (a != ""), F.substring(a, F.lit(1), F.length(a) - 1)).otherwise(F.concat(a, c)))
+
+    return F.translate(F.when(cut.contains("\b"), struck(cut)).otherwise(cut), "".join(map(chr, range(128, 256))), CP437)
+
+
+def tidy_lines(text: Column) -> Column:
+    """Lines, also those parted by carriage returns or vertical tabs, without outer blanks and empty ones."""
+    lines = F.split(F.regexp_replace(text, r"[\r\x0B]", "\n"), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), "\n")
+
+
+def fold_lines(lines: Column, start: Column, checks: Sequence[tuple[Callable, Callable]], stop: Callable | None = None) -> Column:
+    """A state after all lines: for each line the first of the ``checks`` whose condition(state, line) holds gives the next
+    state by its update(state, line). From where ``stop(state)`` holds on, further lines change nothing."""
+
+    def step(state: Column, line: Column) -> Column:
+        after = reduce(lambda rest, c: F.when(c[0](state, line), c[1](state, line)).otherwise(rest), reversed(checks), state)
+        return F.when(stop(state), state).otherwise(after) if stop else after
+
+    return F.aggregate(lines, start, step)
+
+
 def all_match(col: Column, patterns: Sequence[str]) -> Column:
     """Whether every pattern is found."""
     return reduce(lambda a, p: a & col.rlike(p), patterns, F.lit(True))
 
 
-def alnum_key(col: Column) -> Column:
+def compare_key(col: Column) -> Column:
     """The lower-case letters and digits alone; two names are alike if their keys are equal."""
     return F.regexp_replace(F.lower(col), "[^a-z0-9]", "")
 
 
+def alnum_key(col: Column, difference: Column | int = 0) -> Column:
+    """(number, rest): sorts names by the number that they begin with, as far as it is from ``difference``; names without one come last."""
+    number = F.regexp_extract(col, "^[0-9]+", 0)
+    difference = F.lit(difference) if isinstance(difference, int) else difference
+    far = F.when(number != "", F.abs(number.cast("decimal(38,0)") - difference).cast("double")).otherwise(F.lit(float("inf")))
+    return F.struct(far.alias("number"), F.substring(col, F.length(number) + 1, F.length(col)).alias("rest"))
+
+
 def cut_at(col: Column, mark: str) -> Column:
     """The text before the first mark."""
     return F.substring_index(col, mark, 1)
@@ -121,28 +187,102 @@ def power_of_two(col: Column) -> Column:
 
 
 #: Company suffixes that a short vendor name drops, and names with a short form.
-VENDOR_SUFFIXES = r"(?i)([ ,.]+(Semiconductors?|(Micro)?electronics?|Interactive|Technolog(y|ies)|(Micro)?systems|Computer|Products|Group|and subsidiaries|of( America)?|Co(rp(oration)?|mpany)?|Inc|LLC|Ltd|GmbH|AB|AG|SA)[ ,.]*)+$"
+VENDOR_SUFFIXES = (
+    r"(?i)([ ,.]+(Semiconductors?|(Micro)?electronics?|Interactive|Technolog(y|ies)|(Micro)?systems|Computer( works)?|Products|Group|and subsidiaries|"
+    r"of( America)?|Co(rp(oration)?|mpany)?|Inc|LLC|Ltd|GmbH( & .+)?|AB|AG|SA|[(\[{].*)[ ,.]*)+$"
+)
+VENDOR_FORCED = {"National Semiconductor Corporation": "NSC"}
 VENDOR_NAMES = {
-    "National Semiconductor Corporation": "NSC",
     "Chips and": "C&T",
     "Digital Equipment": "DEC",
     "Integrated Technology Express": "ITE",
+    "Microchip Technology/SMSC": "Microchip/SMSC",
+    "NVidia/SGS Thomson": "NVIDIA/ST",
+    "S3 Graphics": "S3",
     "Silicon Integrated": "SiS",
     "Silicon Motion": "SMI",
     "STMicroelectronics": "ST",
     "Texas Instruments": "TI",
     "VMWare": "VMware",
 }
+#: How words of device names are shortened, in this order; $2 on are the groups of the pattern itself.
+DEVICE_WORDS = (
+    (r"([A-Z])[^- ]+[- ]([A-Z])[^ ]+ (?:\(|\[|\{|/)\2\3(?:$|\)|\]|\})", "$2$3"),
+    (r"([A-Z])[^- ]+[- ]([A-Z])[^- ]+[- ]([A-Z])[^ ]+ (?:\(|\[|\{|/)\2\3\4(?:$|\)|\]|\})", "$2$3$4"),
+    (r"([A-Z])[^- ]+[- ]([A-Z])[^- ]+[- ]([A-Z])[^- ]+[- ]([A-Z])[^ ]+ (?:\(|\[|\{|/)\2\3\4\5(?:$|\)|\]|\})", "$2$3$4$5"),
+    (r"100Base-TX?", "FE"),
+    (r"1000Base-T", "GbE"),
+    (r"Accelerat(?:ion|or)", "Accel."),
+    (r"Alert on LAN", "AoL"),
+    (r"\((.+) applications?\)", "($2)"),
+    (r"Chipset Family", "Chipset"),
+    (r"Chipset Graphics", "iGPU"),
+    (r"Connection", "Conn."),
+    (r"DECchip", ""),
+    (r"Dual (Lane|Port)", "2-$2"),
+    (r"Fast Ethernet", "FE"),
+    (r"Fibre Channel", "FC"),
+    (r"Function", "Func."),
+    (r"([0-9]{1,3})G Ethernet", "$2GbE"),
+    (r"(?:([0-9]{1,3}) ?)?(?:G(?:bit|ig) Ethernet|GbE)", "$2GbE"),
+    (r"Graphics Processor", "GPU"),
+    (r"High Definition Audio", "HDA"),
+    (r"Host Adapter", "HBA"),
+    (r"Host Bus Adapter", "HBA"),
+    (r"Host[- ]Controller", "HC"),
+    (r"Input/Output", "I/O"),
+    (r"Integrated ([^\s]+) (?:Graphics|GPU)", "$2 iGPU"),
+    (r"Integrated (?:Graphics|GPU)", "iGPU"),
+    (r"([0-9]) (lane|port)", "$2-$3"),
+    (r"Local Area Network", "LAN"),
+    (r"Low Pin Count", "LPC"),
+    (r"Memory Controller Hub", "MCH"),
+    (r"Network (?:Interface )?(?:Adapter|Card|Controller)", "NIC"),
+    (r"NVM Express", "NVMe"),
+    (r"Parallel ATA", "PATA"),
+    (r"PCI(?:-E|[- ]Express)", "PCIe"),
+    (r"([^- ]+)[- ]to[- ]([^- ]+)", "$2-$3"),
+    (r"Platform Controller Hub", "PCH"),
+    (r"Processor Graphics", "iGPU"),
+    (r"Quad (Lane|Port)", "4-$2"),
+    (r"Serial ATA", "SATA"),
+    (r"Serial Attached SCSI", "SAS"),
+    (r"Single (Lane|Port)", "1-$2"),
+    (r"USB ?([0-9])\.0", "USB$2"),
+    (r"USB ?([0-9])\.[0-9] ?Gen([0-9x]+)", "USB$2.$3"),
+    (r"USB ?([0-9]\.[0-9])", "USB$2"),
+    (r"Virtual Machine", "VM"),
+    (r"Wake on LAN", "WoL"),
+    (r"Wireless LAN", "WLAN"),
+    (r"([^ \(\[\{/]+) (?: |\(|\[|\{|/)\2(?: |\)|\]|\})", "$2"),
+)
+DEVICE_BITS = r"(?i)( |^|\(|\[|\{|/)(?:([0-9]{1,4}) )?(?:(K)(?:ilo)?|(M)(?:ega)?|(G)(?:iga)?)bit( |$|\)|\]|\})"
+DEVICE_SUFFIX = r"(?i) (?:Adapter|Card|Device|(?:Host )?Controller)( (?: [0-9#]+)?|$|\)|\]|\})"
 
 
 def clean_vendor(col: Column) -> Column:
     """A short vendor name: a known one, or the abbreviation in brackets, or the name without company suffixes."""
-    names = F.create_map(*[F.lit(x) for kv in VENDOR_NAMES.items() for x in kv])
-    short = F.regexp_extract(col, r" \[([^\]]+)\]", 1)
-    bare = F.regexp_replace(col, VENDOR_SUFFIXES, "")
-    return F.coalesce(F.try_element_at(names, col), F.when(short != "", short), F.try_element_at(names, bare), F.regexp_replace(F.trim(bare), " +", " "))
+    table = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    name = F.replace(col, F.lit(" / "), F.lit("/"))
+    bare = F.regexp_replace(F.regexp_replace(name, VENDOR_SUFFIXES, ""), r"[ ,.]+$", "")
+    known = F.coalesce(F.try_element_at(table(VENDOR_FORCED), col), found(name, r" \[([^\]]+)\]", 1), F.try_element_at(table(VENDOR_NAMES), bare))
+    return F.coalesce(known, F.regexp_replace(F.trim(bare), " +", " "))
 
 
 def clean_name(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Rewrite rules one after the other, then single spaces."""
     return F.trim(F.regexp_replace(reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, col), " +", " "))
+
+
+def _groups(pattern: str) -> int:
+    """The groups of a pattern, of which none is opened in brackets or behind a backslash but those that are none."""
+    return len(re.findall(r"(?<!\\)\((?!\?)", re.sub(r"\[[^\]]*\]", "", pattern)))
+
+
+def clean_device(col: Column, vendor: Column | None = None) -> Column:
+    """A short device name: words and whole phrases shortened wherever they stand apart, without its vendor's name in front."""
+    apart = [(rf"(?i)( |^|\(|\[|\{{|/){p}( |$|\)|\]|\}})", f"$1{to}${_groups(p) + 2}") for p, to in DEVICE_WORDS]
+    name = reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), [(DEVICE_BITS, "$1$2$3$4$5bit$6"), *apart, (DEVICE_SUFFIX, "$1")], col)
+    if vendor is not None:
+        name = F.when((vendor != "") & F.startswith(name, vendor), F.substring(name, F.length(vendor) + 1, F.length(name))).otherwise(name)
+    return F.trim(F.regexp_replace(name, " +", " "))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import le_uint, power_of_two
+from ..functions.scalar import at_offset, bind, found, le_uint, place, power_of_two
 
 #: Sizes of the headers that are stripped.
 CAPSULE_BYTES, APRICOT_MOST = 2048, 4096
@@ -36,6 +36,74 @@ def strip_to_power(content: Column, most: int = APRICOT_MOST) -> tuple[Column, C
     return header, F.when(fits, F.substring(content, extra.cast("int") + 1, F.lit(1 << 30))).otherwise(content)
 
 
+#: The marks of packed updates and reports.
+INTEL_MARK = r"(?s)\$IBI[\x00-\x4E\x50-\xFF][\x00-\x52\x54-\xFF][\x00-\x23\x25-\xFF].(.{8})"
+INTEL_VOID, INTEL_HEADER_MOST, INTEL_MOST = "\xAA\x55\xAA\x55\x55\xAA\x55\xAA", 65_536, 16_777_216
+OMF_HEAD, OMF_BYTES = r"(?s)^.(.{4})([\x1A\x20-\x7E]{32}).{14}([\x00\x20-\x7E]{8})", 112
+RUN_MARK = r"(?s)SNIPAC([0-9A-F]{2})(.{4})"
+AST_MARK, AST_AT, AST_PAYLOAD, AST_HEAD, AST_TEXT = "This is a flash update from AST Research, Inc.", 0x4200, 0x9000, 0x83, "AST FLASH UPDATE"
+DUMP_VERSION, DUMP_ROW = r"CPU-Z version\t+([^\r\n]+)", r"[0-9A-F]+\t((?:[0-9A-F]{2} ){16})\t"
+
+
+def _number(text: Column) -> Column:
+    """A little-endian number of up to four Latin-1 characters."""
+    codes = F.transform(F.split(F.reverse(text), ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a * 256 + c)
+
+
+def _rest(text: Column, begin: Column) -> Column:
+    return F.substring(text, begin.cast("int"), F.length(text))
+
+
+def strip_intel(text: Column) -> Column:
+    """The payload behind an update header that gives both sizes; null for other texts of one character a byte."""
+    sizes, at = F.regexp_extract(text, INTEL_MARK, 1), place(text, INTEL_MARK)
+    header, payload = _number(F.substring(sizes, 1, 4)), _number(F.substring(sizes, 5, 4))
+    fits = (at > 0) & (sizes != INTEL_VOID) & (header <= INTEL_HEADER_MOST) & (payload <= INTEL_MOST)
+    return F.when(fits, F.substring(text, (at + header).cast("int"), payload.cast("int")))
+
+
+def strip_omf(text: Column) -> Column:
+    """The payload behind a header at the beginning or right after one, of an even number of bytes; null for other texts."""
+    second = F.substring(text, OMF_BYTES + 1, OMF_BYTES)
+    at = F.when(text.rlike(OMF_HEAD), 0).when(second.rlike(OMF_HEAD), OMF_BYTES)
+    head = F.when(at == 0, F.substring(text, 1, OMF_BYTES)).otherwise(second)
+    body = _rest(text, at + OMF_BYTES + 1)
+    even = F.substring(body, F.lit(1), F.length(body) - F.length(body) % 2)
+    return F.when((F.length(text) > OMF_BYTES) & at.isNotNull() & (_number(F.substring(head, 2, 4)) <= F.length(text)), even)
+
+
+def expand_runs(text: Column) -> Column:
+    """The text with each run mark replaced by the run it stands for; null without any."""
+    hits, between = F.regexp_extract_all(text, F.lit(RUN_MARK), F.lit(0)), F.split(text, RUN_MARK, -1)
+    run = lambda h: F.repeat(F.char(F.conv(F.substring(h, 7, 2), 16, 10).cast("int")), _number(F.substring(h, 9, 4)).cast("int"))
+    whole = F.array_join(F.zip_with(between, hits, lambda b, h: F.concat(b, F.coalesce(run(h), F.lit("")))), "")
+    return F.when(F.size(hits) > 0, whole)
+
+
+def strip_strides(text: Column) -> Column:
+    """The payload of a flash floppy: 15 sectors of every 18, of the length that its header tells; null for other texts."""
+    at = F.lit(1)
+    head = at_offset(text, at, AST_PAYLOAD, AST_HEAD)
+    size = _number(F.substring(head, AST_HEAD - 4, 4))
+    tracks = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - AST_PAYLOAD) / (18 * 512)).cast("int") - 1, F.lit(0)))
+    data = F.array_join(F.transform(tracks, lambda k: F.substring(text, k * (18 * 512) + AST_PAYLOAD + 1, F.lit(15 * 512))), "")
+    fits = (F.length(text) > AST_PAYLOAD + AST_HEAD) & (at_offset(text, at, AST_AT, len(AST_MARK)) == AST_MARK) & head.startswith(AST_TEXT)
+    return F.when(fits, F.substring(data, F.lit(AST_HEAD + 1), size.cast("int")))
+
+
+def hex_dump(text: Column) -> Column:
+    """(version, content) of a report with a dump of 16 bytes a row; null for other texts."""
+    rows = F.regexp_extract_all(text, F.lit(DUMP_ROW), F.lit(1))
+    content = F.unhex(F.replace(F.array_join(rows, ""), F.lit(" "), F.lit("")))
+    return F.when(text.rlike(DUMP_VERSION), F.struct(found(text, DUMP_VERSION).alias("version"), content.alias("content")))
+
+
+def ranges(text: Column, mark: str) -> Column:
+    """(begin, until) from each mark to the next, until null for the last."""
+    return bind(places(text, mark), lambda p: F.transform(p, lambda x, k: F.struct(x.alias("begin"), F.get(p, k + 1).alias("until"))))
+
+
 def partitions(files: DataFrame, content: str = "content", sector: int = 512) -> DataFrame:
     """(path, partition, type, content) of the four entries of a boot sector that hold something."""
     data = F.col(content)
@@ -73,42 +141,64 @@ def pnp_headers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: ((code(x, 1) * 256 + code(x, 2)) * 256 + code(x, 3)) * 256 + code(x, 4))))
 
 
-def _zlib(bits: int) -> Callable[[bytes], bytes]:
-    return lambda d: zlib.decompressobj(bits).decompress(d, 16 << 20)
-
-
-ALGORITHMS: dict[str, Callable[[bytes], bytes]] = {
-    "zlib": _zlib(15),
-    "deflate": _zlib(-15),
-    "gzip": _zlib(31),
-    "lzma": lambda d: lzma.LZMADecompressor(lzma.FORMAT_ALONE).decompress(d, 16 << 20),
-    "xz": lambda d: lzma.LZMADecompressor(lzma.FORMAT_XZ).decompress(d, 16 << 20),
+#: Bytes that a decoder takes and gives at a time.
+PIECE = 1 << 16
+DECODERS: dict[str, Callable] = {f"zlib{bits}": (lambda b: lambda: zlib.decompressobj(b))(bits) for bits in (15, -15, 31, -8, 47)} | {
+    "lzma": lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE),
+    "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ),
 }
-
-
-def search_streams(files: DataFrame, needle: bytes, content: str = "content", least: int = 0, stretch: int = 4096, reach: int = 1 << 20) -> DataFrame:
+#: The bytes with which a stream of a format begins, where it has any.
+MAGIC = {"zlib31": b"\x1f\x8b", "zlib47": b"\x1f\x8b", "xz": b"\xfd7zXZ\0"}
+
+
+def decoded(data: memoryview, name: str, needle: bytes) -> tuple[int, bool]:
+    """How many bytes the stream at the beginning of ``data`` makes before it ends or breaks, and whether ``needle`` is among
+    them. It is decoded in pieces, of which only the last bytes are held, however long it is."""
+    coder, size, there, tail, at = DECODERS[name](), 0, False, b"", 0
+    try:
+        while not coder.eof:
+            if name.startswith("zlib"):
+                given = coder.unconsumed_tail or data[at : at + PIECE]
+                at += 0 if coder.unconsumed_tail else len(given)
+                made = coder.decompress(given, PIECE)
+            else:
+                given = data[at : at + PIECE] if coder.needs_input else b""
+                at += len(given)
+                made = coder.decompress(given, PIECE)
+            if not made and not len(given):
+                break
+            size += len(made)
+            there = there or needle in tail + made
+            tail = (tail + made)[-len(needle) :]
+    except (zlib.error, lzma.LZMAError, EOFError, ValueError, MemoryError):
+        pass
+    return size, there
+
+
+def search_streams(files: DataFrame, needle: bytes, content: str = "content", least: int = 1, stretch: int = 4096) -> DataFrame:
     """(path, offset, algorithm, size): the places from which an algorithm makes at least ``least`` bytes that hold ``needle``.
 
-    Every offset is tried with every algorithm. An artifact is cut into stretches of offsets, each with the ``reach``
-    bytes that a stream from there may take, so that many tasks search a large one.
+    Every offset is tried with every algorithm whose streams begin with the bytes there, and each stream is read to its
+    end. An artifact is cut into at most 32 stretches of offsets, so that several tasks search a large one; each has the
+    bytes from its first offset to the artifact's end.
     """
     size = F.octet_length(content)
-    rows = files.filter(size > 0).select("path", F.col(content).alias("c"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(stretch))).alias("start"))
-    rows = rows.select("path", "start", F.substring("c", F.col("start") + 1, F.lit(stretch + reach)).alias("c"))
+    step = F.greatest(F.lit(stretch), F.ceil(size / 32).cast("int"))
+    rows = files.filter(size > 0).select("path", F.col(content).alias("c"), step.alias("n"), F.explode(F.sequence(F.lit(0), size - 1, step)).alias("start"))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "path", "start").select("path", "start", "n", F.expr("substring(c, start + 1)").alias("c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, start, data in zip(b["path"], b["start"], b["c"]):
-                data = bytes(data)
-                for at in range(min(stretch, len(data))):
-                    for name, decode in ALGORITHMS.items():
-                        try:
-                            made = decode(data[at : at + reach])
-                        except (zlib.error, lzma.LZMAError, EOFError, ValueError, MemoryError):
-                            continue
-                        if len(made) >= least and needle in made:
-                            out.append((path, start + at, name, len(made)))
+            for path, start, n, data in zip(b["path"], b["start"], b["n"], b["c"]):
+                data = memoryview(bytes(data))
+                for at in range(min(n, len(data))):
+                    for name in DECODERS:
+                        if data[at : at + len(MAGIC.get(name, b""))] == MAGIC.get(name, b""):
+                            made, there = decoded(data[at:], name, needle)
+                            if there and made >= least:
+                                out.append((path, start + at, name, made))
             yield pd.DataFrame(out, columns=["path", "offset", "algorithm", "size"])
 
-    return rows.repartition("path", "start").mapInPandas(run, "path string, offset long, algorithm string, size long")
+    return rows.mapInPandas(run, "path string, offset long, algorithm string, size long")

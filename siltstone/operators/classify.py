@@ -13,19 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import all_match, every_nth, pivot_date
-
+from . import vendors as V
+from ..functions.scalar import all_match, every_nth, found, pivot_date
 
 Take = tuple[str, int] | str | Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """version, string and signon are each a pattern and a group, a fixed text, or a column made of the artifact's text."""
+    """version, string, signon and the values of metadata are each a pattern and a group, a fixed text, or a column made
+    of the artifact's text; ``find`` makes the whole finding of text and header instead."""
 
     priority: int
     vendor: str | Callable[[Column], Column]
-    version: Take
+    version: Take = "?"
     needs: tuple[str, ...] = ()
     string: Take | None = None
     signon: Take | None = None
@@ -33,6 +34,8 @@ class Rule:
     least_size: int = 0
     also: Callable[[Column], Column] | None = None  # a further condition
     header: str | None = None  # what the artifact's header must be
+    metadata: tuple[tuple[str, Take], ...] = ()
+    find: Callable[[Column, Column | None], Column] | None = None
 
 
 def newest_date(text: Column, pattern: str) -> Column:
@@ -94,14 +97,21 @@ def coreboot(part: int) -> Callable[[Column], Column]:
     return take
 
 
+def coreboot_id(t: Column) -> Column:
+    """The whole version, as it is written."""
+    new = found(t, COREBOOT_NEW)
+    return F.coalesce(F.concat(F.lit("coreboot "), new), F.regexp_replace(found(t, COREBOOT_OLD, 0), r"starting\.\.\.$", ""))
+
+
 #: Patterns that more than one rule needs, or that its functions use.
 ENTRY_DATE = r"(?s)(?:\xEA..\x00\xF0|\xE9..)((?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/[0-9]{2})"
 IBM_PART = r"([0-9]{2}[A-Z0-9][0-9]{4})  ?(?:COPR\. IBM|\(C\) COPYRIGHT IBM CORPORATION) 19[89][0-9]"
 IBM_PART_TWICE = r"(([0-9])\2([0-9])\3([A-Z0-9])\4[0-9]{8})  (?:CCOOPPRR\.\.  IIBBMM|\(\(CC\)\)  CCOOPPYYRRIIGGHHTT  IIBBMM  CCOORRPPOORRAATTIIOONN)  1199([89])\5([0-9])\6"
 IBM_LONG = r"\(C\) COPYRIGHT IBM CORPORATION 19[89]|\(\(CC\)\)  CCOOPPYYRRIIGGHHTT  IIBBMM  CCOORRPPOORRAATTIIOONN  1199"
 COREBOOT_NEW = r"(?:#(?: This image was built using coreboot |define COREBOOT_VERSION \")|COREBOOT_VERSION: )([\x20-\x21\x23-\x7E]+)"
+COREBOOT_BUILD = r"#define COREBOOT_BUILD \"([^\"]+?)\""
+DTK = r"(?:(?:DTK|GoldStar) [\x20-\x7E]+ BIOS Ver(?:sion)? |(?:DTK)/[\x21-\x2E\x30-\x7E]+/BIOS )([\x21-\x7E]+)(?: [\x20-\x7E]+)?"
 COREBOOT_OLD = r"(LinuxBIOS|coreboot)-([^_ ]+)[_ ](?:Normal |Fallback )?(?:.* )?starting\.\.\."
-UEFI_HEADER = "\x00\xFFUEFIExtract\xFF\x00"
 INTEL_CODE = (
     r"(?:\$(?:IBIOSI\$|FID|UBI)|Load Error\x00{2}Success\x00|S\x00l\x00o\x00t\x00 \x00\x30\x00:\x00 \x00+)([0-9A-Z]{8}\.[0-9A-Z]{3}(?:\.[0-9]{4}){4})",
     r"([A-Z]{2}[0-9A-Z]{3}[0-9]{2}[A-Z]\.[0-9]{2}[A-Z](?:\.[0-9]{4}){4})",
@@ -131,9 +141,15 @@ ICL = r"(?:ROM|System) BIOS (#[\x20-\x7E]+) Version ([\x20-\x7E]+)\x0D\x0A\(c\)
 
 #: The signatures by which firmware of these vendors is known, in their order of precedence.
 RULES = (
+    Rule(2, "Award", find=V.award_power),
     Rule(3, "Award", "Toshiba", needs=TOSHIBA[:1], string=lambda t: F.right(F.concat(F.regexp_extract(t, TOSHIBA[1], 1), F.regexp_extract(t, TOSHIBA[1], 2)), F.lit(16))),
+    Rule(4, "Award", find=V.award),
     Rule(5, "Quadtel", quadtel_version, needs=(r" Quadtel Corp\. Version ", QUADTEL), string=lambda t: newest_date(t, r"([0-9]{2}/[0-9]{2}/[0-9]{2})[^0-9]"), signon=lambda t: F.trim(quadtel(0x190, 0x100)(t))),
+    Rule(7, "AMI", find=V.ami_uefi),
+    Rule(8, "AMI", find=V.ami),
+    Rule(9, "Intel", find=V.ami_intel),
     Rule(10, "MR", (r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 1), string=(r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 2), least_size=2048),
+    Rule(11, "Acer", find=V.acer),
     Rule(12, "Acer", "Multitech", needs=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)",), string=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)", 1)),
     Rule(13, "AMPRO", (r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 2), signon=(r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 1)),
     Rule(14, "Amstrad", "?", needs=(r"A(?:MSTRAD|mstrad(?: Consumer Electronics)?) plc", r"IBMUS NON CARBORUNDUM|fit new batteries|Veuillez mettre des piles neuves|Batterie da sostituire|ponga piles nuevas|neue Batterien einsetzen"), string=newest_entry_date),
@@ -143,19 +159,21 @@ RULES = (
     Rule(18, "Commodore", (r"Commodore [\x20-\x7E]+ Rom Bios Version ([\x20-\x7E]+)[\x0D\x0A\x20-\x7E]*", 1), signon=lambda t: F.substring_index(F.regexp_extract(t, r"\xDA\xC4+\xBF[\x01-\xFF]+", 0), "\r\n\r\n", 1)),
     Rule(19, "Compaq", "?", also=lambda t: (t.rlike(COMPAQ[0]) & t.rlike(COMPAQ[1])) | t.rlike(COMPAQ[2]), string=newest_entry_date),
     Rule(20, "Copam", "?", needs=(r"THIS IS NOT IBM BIOS COPAM\(C\) [0-9]{4}",), string=newest_entry_date),
-    Rule(21, coreboot(0), coreboot(1), needs=(r"coreboot-%s%s |Sage_coreboot-|Jumping to LinuxBIOS\.",)),
-    Rule(22, "DTK", (r"(?:(?:DTK|GoldStar) [\x20-\x7E]+ BIOS Ver(?:sion)? |(?:DTK)/[\x21-\x2E\x30-\x7E]+/BIOS )([\x21-\x7E]+)(?: [\x20-\x7E]+)?", 1), needs=(r"Datatech Enterprises Co\., Ltd\.|DATATECH ENTERPRISES CO\., LTD\.|\x0ADTK Corp\.|\(C\) Copyright by GoldStar Co\.,Ltd\.|GOLDSTAR  SYSTEM  SETUP",)),
+    Rule(21, coreboot(0), coreboot(1), needs=(r"coreboot-%s%s |Sage_coreboot-|Jumping to LinuxBIOS\.",), metadata=(("ID", coreboot_id), ("Build", lambda t: F.when(t.rlike(COREBOOT_NEW), found(t, COREBOOT_BUILD))))),
+    Rule(22, "DTK", (DTK, 1), needs=(r"Datatech Enterprises Co\., Ltd\.|DATATECH ENTERPRISES CO\., LTD\.|\x0ADTK Corp\.|\(C\) Copyright by GoldStar Co\.,Ltd\.|GOLDSTAR  SYSTEM  SETUP",), metadata=(("ID", (DTK, 0)),)),
     Rule(23, "General", lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(t, GENERAL[0], 1), r"\(R\)|\(tm\)", ""), " BIOS ", " ")), needs=GENERAL, string=lambda t: F.concat_ws("\n", F.regexp_extract(t, GENERAL[1], 2), F.regexp_extract(t, GENERAL[1], 1))),
     Rule(24, "IBM", surepath, needs=(IBM_RIGHTS,), string=lambda t: F.nullif(F.concat_ws("\n", F.nullif(F.regexp_extract(t, SUREPATH_ID, 1), F.lit("")), newest_entry_date(t)), F.lit("")), signon=surepath_signon),
     Rule(25, "IBM", lambda t: F.when(part_numbers(t).isNotNull(), F.when(t.rlike(IBM_LONG), "PS/2 or PS/1").otherwise("PC series")), string=part_numbers),
     Rule(26, "ICL", lambda t: F.when(t.startswith("OKICL1\x01\x00"), "").otherwise(F.nullif(F.regexp_extract(t, ICL, 2), F.lit(""))), string=(ICL, 1), signon=(ICL, 3)),
-    Rule(27, "Insyde", "?", needs=(r"InsydeH2O Version ",), header=UEFI_HEADER),
-    Rule(28, "Intel", "UEFI", also=lambda t: t.rlike("|".join(INTEL_CODE)), header=UEFI_HEADER, signon=lambda t: F.coalesce(F.nullif(F.regexp_extract(t, INTEL_CODE[0], 1), F.lit("")), F.regexp_extract(t, INTEL_CODE[1], 1))),
+    Rule(27, "Insyde", "?", needs=(r"InsydeH2O Version ",), header=V.UEFI_HEADER),
+    Rule(28, "Intel", "UEFI", also=lambda t: t.rlike("|".join(INTEL_CODE)), header=V.UEFI_HEADER, signon=lambda t: F.coalesce(F.nullif(F.regexp_extract(t, INTEL_CODE[0], 1), F.lit("")), F.regexp_extract(t, INTEL_CODE[1], 1))),
     Rule(29, "Juko", (r"(?d)Juko (.+) BIOS ver (.+)", 2), needs=(r"Juko Electronics Industrial Co\.,Ltd\.",), string=(r"(?d)Juko (.+) BIOS ver (.+)", 1)),
     Rule(31, "Mylex", (r"MYLEX [\x20-\x7E]+ BIOS Version ([\x20-\x7E]+) ([0-9]{2}/[0-9]{2}/[0-9]{2})", 1), string=(r"MYLEX [\x20-\x7E]+ BIOS Version ([\x20-\x7E]+) ([0-9]{2}/[0-9]{2}/[0-9]{2})", 2)),
+    Rule(32, "Olivetti", find=V.olivetti),
     Rule(33, "Philips", (r"\x0DPhilips ROM BIOS Version ([\x21-\x7E]+) ", 1)),
     Rule(34, "Promag", (r"\(C\) PROMAG SYSTEM BOARD VER\. ([^ ]+) [^\n]+\n([\r\n\x20-\x7E]+)", 1), signon=(r"\(C\) PROMAG SYSTEM BOARD VER\. ([^ ]+) [^\n]+\n([\r\n\x20-\x7E]+)", 2)),
     Rule(35, "Schneider", (r"EURO PC\s+BIOS (V[\x20-\x7E]+)", 1), needs=(r"Schneider (?:Rundfunkwerke|Rdf\.) AG",)),
+    Rule(36, "SystemSoft", find=V.systemsoft),
     Rule(37, "Tandon", (r"NOT COPR. IBM 1984 BIOS VERSION ([\x20-\x7E]+)", 1)),
     Rule(38, "tinyBIOS", (r"(?<!\")tinyBIOS (V(?:[^\s]+))", 1), needs=(r" PC Engines",), signon=(r"([\x0A-\x7E]{1,256})[\x00\x0A\x0D]*tinyBIOS V", 1)),
     Rule(39, "Whizpro", text_at(lambda n: F.lit(0x0B), 8), needs=(r"\$PREPOST", r"\$BOOTBLK"), string=text_at(lambda n: F.shiftright(n, 2) + 0x30, 0x20), signon=text_at(lambda n: F.shiftright(n, 2) + 0x110, 0x20)),
@@ -188,8 +206,13 @@ def _finding(rule: Rule, text: Column, header: Column | None) -> Column:
             return F.lit(None).cast("string")
         if isinstance(what, str):
             return F.lit("" if what == "?" else what)
-        return F.nullif(F.regexp_extract(text, *what), F.lit("")) if isinstance(what, tuple) else what(text)
+        return found(text, *what) if isinstance(what, tuple) else what(text)
 
+    if rule.find:
+        done = rule.find(text, header)
+        version = F.when(done["version"] == "?", "").otherwise(done["version"])
+        rest = [done[c].alias(c) for c in ("string", "signon", "metadata")]
+        return F.when(version.isNotNull(), F.struct(F.lit(rule.priority).alias("priority"), done["vendor"].alias("vendor"), version.alias("version"), *rest))
     version = take(rule.version)
     if rule.prefix:
         version = F.concat(F.lit(rule.prefix), version)
@@ -204,12 +227,13 @@ def _finding(rule: Rule, text: Column, header: Column | None) -> Column:
         F.struct(
             F.lit(rule.priority).alias("priority"), vendor.alias("vendor"), version.alias("version"),
             take(rule.string).alias("string"), F.replace(take(rule.signon), F.lit("\r"), F.lit("")).alias("signon"),
+            F.filter(F.array(*[V.entry(k, take(w)) for k, w in rule.metadata]).cast("array<string>"), lambda m: m.isNotNull()).alias("metadata"),
         ),
     )
 
 
 def classify(df: DataFrame, text: Column, rules: Sequence[Rule] = RULES, header: Column | None = None) -> DataFrame:
-    """``df`` with ``finding``: the winning rule's priority, vendor, version, string and sign-on; null where none holds.
+    """``df`` with ``finding``: the winning rule's priority, vendor, version, string, sign-on and metadata; null where none holds.
 
     Rules are tried in order of priority and later ones are not evaluated for an artifact once one wins. An unknown
     version, ``?``, wins like any other and is blank in the result.

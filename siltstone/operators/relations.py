@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import power_of_two
+from ..functions.scalar import alnum_key, power_of_two
 
 
 def size_pairs(df: DataFrame, group: str, key: str, size: str) -> DataFrame:
@@ -40,6 +40,62 @@ def closest_name(bases: DataFrame, candidates: DataFrame, group: str, base: str,
     return hits.groupBy("g", "base").agg(F.min(F.struct((-F.col("shared")).alias("s"), "name")).alias("m")).select("g", "base", F.col("m.name").alias("name"), (-F.col("m.s")).alias("shared"))
 
 
+def closest_prefix(bases: DataFrame, candidates: DataFrame, group: str, base: str, name: str) -> DataFrame:
+    """(g, base, name): the candidate that is found by shortening the base letter by letter until just one begins with what is left.
+
+    A group's only candidate is taken as it is. Where the letters never leave just one, the candidate whose leading
+    number is nearest to the base's is taken, of those that share the first letter if there are some, and then the
+    first by the rest of its name. Candidates are counted by prefix, so a group's rows are never all paired; only where
+    numbers must decide do bases meet the candidates of their first letter.
+    """
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(c, 1, k))
+    left = bases.select(F.col(group).alias("g"), F.col(base).alias("base")).distinct()
+    right = candidates.select(F.col(group).alias("g"), F.col(name).alias("name")).distinct()
+    only = right.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("name").alias("one"))
+    left = left.join(only, "g")
+    counts = right.withColumn("p", F.explode(prefixes(F.col("name")))).groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+    unique = left.filter("all > 1").withColumn("p", F.explode(prefixes(F.col("base")))).join(counts.filter("n = 1"), ["g", "p"])
+    unique = unique.groupBy("g", "base").agg(F.max_by("name", F.length("p")).alias("name"))
+    rest = left.filter("all > 1").join(unique, ["g", "base"], "left_anti").withColumn("p", F.substring("base", 1, 1))
+    number = F.coalesce(F.regexp_extract("base", "^[0-9]+", 0).try_cast("decimal(38,0)"), F.lit(0))
+    near = rest.join(right.withColumn("p", F.substring("name", 1, 1)), ["g", "p"]).groupBy("g", "base").agg(F.min(F.struct(alnum_key(F.col("name"), number).alias("k"), "name")).alias("m"))
+    out = left.filter("all = 1").select("g", "base", F.col("one").alias("name")).unionByName(unique)
+    return out.unionByName(near.select("g", "base", F.col("m.name").alias("name")))
+
+
+def common_prefixes(df: DataFrame, group: str, words: str) -> DataFrame:
+    """(g, prefix, rest): names, as arrays of words, below the first words that they share with a neighbour in order.
+
+    Names are sorted without regard to case; one that shares words with the next opens a group of those words, which
+    the following ones join as long as they begin with them all; a name that shares none stands alone, with no rest.
+    """
+
+    def fold(names: Column) -> Column:
+        lower = lambda x: F.transform(x, lambda w: F.lower(w))
+        shared = lambda a, b: F.coalesce(F.array_position(F.zip_with(lower(a), lower(b), lambda x, y: F.coalesce(x == y, F.lit(False))), False) - 1, F.lit(0))
+        shared_all = lambda a, b: F.when(F.size(a) == 0, 0).otherwise(F.when(shared(a, b) < 0, F.least(F.size(a), F.size(b))).otherwise(shared(a, b)))
+        empty = F.array().cast("array<string>")
+        start = F.struct(empty.alias("open"), F.array().cast("array<struct<prefix:string,rest:string>>").alias("out"))
+
+        def step(state: Column, pair: Column) -> Column:
+            name, after = pair["name"], pair["after"]
+            joins = (F.size(state["open"]) > 0) & (F.slice(lower(name), F.lit(1), F.greatest(F.size(state["open"]), F.lit(1))) == lower(state["open"]))
+            k = F.when(after.isNull(), 0).otherwise(shared_all(name, after)).cast("int")
+            opened = F.when(joins, state["open"]).when(k > 0, F.slice(name, F.lit(1), F.greatest(k, F.lit(1)))).otherwise(empty)
+            row = F.struct(
+                F.when(F.size(opened) > 0, F.array_join(opened, " ")).otherwise(F.array_join(name, " ")).alias("prefix"),
+                F.when(F.size(opened) > 0, F.array_join(F.slice(name, F.size(opened) + 1, F.greatest(F.size(name), F.lit(1))), " ")).otherwise("").alias("rest"),
+            )
+            return F.struct(opened.alias("open"), F.concat(state["out"], F.array(row)).alias("out"))
+
+        pairs = F.transform(names, lambda x, i: F.struct(x.alias("name"), F.get(names, i + 1).alias("after")))
+        return F.aggregate(pairs, start, step)["out"]
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.transform(F.col(words), lambda w: F.lower(w)).alias("k"), F.col(words).alias("w")))), lambda x: x["w"])
+    per = df.groupBy(F.col(group).alias("g")).agg(ordered.alias("names"))
+    return per.select("g", F.explode(fold(F.col("names"))).alias("x")).select("g", "x.prefix", "x.rest")
+
+
 def gaps(intervals: DataFrame, group: str, begin: str, end: str, whole: Column) -> DataFrame:
     """The parts of [0, whole) that no interval of the group covers."""
     rows = intervals.select(F.col(group).alias("g"), F.col(begin).alias("b"), F.col(end).alias("e"), whole.alias("w"))
@@ -54,11 +110,12 @@ def after_match(lines: DataFrame, group: str, place: str, line: str, pattern: st
     return lines.withColumn("_before", before).filter(F.col("_before").rlike(pattern)).drop("_before")
 
 
-def offsets_in_ranges(points: DataFrame, ranges: DataFrame, point: str, begin: str, end: str, width: int) -> DataFrame:
-    """Points with the ranges [begin, end) they fall into: both are cut into cells of ``width`` and meet cell by cell."""
+def offsets_in_ranges(points: DataFrame, ranges: DataFrame, point: str, begin: str, end: str, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points with the ranges [begin, end) of the same ``keys`` they fall into: both are cut into cells of ``width`` and meet
+    key by key and cell by cell."""
     left = points.withColumn("_cell", F.floor(F.col(point) / width))
     right = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))))
-    return left.join(right, "_cell").filter((F.col(point) >= F.col(begin)) & (F.col(point) < F.col(end))).drop("_cell")
+    return left.join(right, [*keys, "_cell"]).filter((F.col(point) >= F.col(begin)) & (F.col(point) < F.col(end))).drop("_cell")
 
 
 def blank_repeats(df: DataFrame, group: list[str], order: list[str], value: str, mark: str = "↖") -> DataFrame:

@@ -17,38 +17,46 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import carve as V
+from ..functions.scalar import bind
 from .classify import HEAD_BYTES, as_latin1, is_discarded
 
-#: Limits against hostile input; what passes them is reported as an event, not dropped silently.
+#: Limits against hostile input. What passes them is reported: a member as a row with an event and no content, beside the
+#: container itself, which then stays.
 DEPTH, MEMBER_BYTES, MEMBERS = 16, 64 << 20, 100_000
+TOO_LARGE, TOO_MANY = "too large", "too many members"
 SCHEMA = "path string, parent string, depth int, content binary, event string"
+Member = tuple[str, bytes | None]
 
 
-def _zip(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _zip(data: bytes) -> Iterator[Member]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in z.infolist()[:MEMBERS]:
-            if not info.is_dir() and info.file_size <= MEMBER_BYTES:
-                yield info.filename, z.read(info, pwd=b"password" if info.flag_bits & 1 else None)
+        for info in z.infolist():
+            if not info.is_dir():
+                yield info.filename, z.read(info, pwd=b"password" if info.flag_bits & 1 else None) if info.file_size <= MEMBER_BYTES else None
 
 
-def _tar(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _tar(data: bytes) -> Iterator[Member]:
     with tarfile.open(fileobj=io.BytesIO(data)) as t:
         for info in t:
-            if info.isfile() and info.size <= MEMBER_BYTES:
-                yield info.name, t.extractfile(info).read()
+            if info.isfile():
+                yield info.name, t.extractfile(info).read() if info.size <= MEMBER_BYTES else None
 
 
-def _one(opened) -> Iterator[tuple[str, bytes]]:
+def _one(opened) -> Iterator[Member]:
     with opened as f:
-        yield "content", f.read(MEMBER_BYTES)
+        data = f.read(MEMBER_BYTES + 1)
+        yield "content", data if len(data) <= MEMBER_BYTES else None
 
 
-def _records(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _records(data: bytes) -> Iterator[Member]:
     """Intel hex data records at their 16-bit addresses; a later record wins."""
     out = bytearray()
     for m in re.finditer(rb":([0-9A-Fa-f]{2})([0-9A-Fa-f]{4})00([0-9A-Fa-f]*?)[0-9A-Fa-f]{2}\s", data):
@@ -69,28 +77,49 @@ OPENERS = (
 )
 #: Beginnings of containers that are known but have no opener here.
 UNSUPPORTED = {"rar": b"Rar!", "7z": b"7z\xbc\xaf\x27\x1c", "cab": b"MSCF", "installshield": b"ISc("}
+#: What only a container begins with; other artifacts never reach Python.
+CONTAINER = r"(?s)^(?:PK\x03\x04|\x1F\x8B|BZh|\xFD7zXZ\x00|Rar!|7z\xBC\xAF\x27\x1C|MSCF|ISc\(|.{257}ustar|:[0-9A-Fa-f]{10,}\r?\n)"
+STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
 
 
-def open_one(data: bytes) -> tuple[str | None, list[tuple[str, bytes]]]:
-    """(event, members) of one artifact; no event if it is no container."""
+def open_one(data: bytes) -> tuple[str | None, list[Member]]:
+    """(event, members) of one artifact, a member over the limit without its bytes; no event if it is no container."""
     for name, start in UNSUPPORTED.items():
         if data.startswith(start):
             return f"unsupported {name}", []
     for test, name, opener in OPENERS:
         if test(data):
             try:
-                members = list(opener(data))
+                members = list(islice(opener(data), MEMBERS + 1))
                 return (name if members else f"empty {name}"), members
             except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, NotImplementedError) as e:
                 return f"failed {name}: {type(e).__name__}", []
     return None, []
 
 
+def opened(path: str, parent: str | None, level: int, data: bytes) -> list[tuple]:
+    """The rows that a container gives: members without event, members over the limit with one, and itself where it must stay."""
+    event, members = open_one(data)
+    rows = [(f"{path}:/{n}", path, level + 1, d, None if d is not None else TOO_LARGE) for n, d in members[:MEMBERS]]
+    if not members:
+        return [(path, parent, level, data, event or "leaf")]
+    lost = TOO_MANY if len(members) > MEMBERS else TOO_LARGE if any(d is None for _, d in members) else None
+    return rows + ([(path, parent, level, data, lost)] if lost else [])
+
+
+def stripped(content: Column) -> Column:
+    """The payload of an artifact that is packed by layout alone, as binary; null for others."""
+    text = as_latin1(content)
+    return F.encode(bind(text, lambda t: F.coalesce(*[strip(t) for _, strip in STRIPS])), "ISO-8859-1")
+
+
 def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
     """All artifacts that remain: (path, parent, depth, content, event), of ``files`` (path, content).
 
     A container that opens is replaced by its members, at ``path:/member``; one that does not stays, with the event
-    that says why. Files of no use are dropped by their beginnings. ``work`` is a folder that all executors share.
+    that says why, as does one with members over a limit, which are rows without content. Artifacts with a header or
+    runs to strip are replaced by their payload, at ``path:/payload``. Files of no use are dropped by their beginnings;
+    null contents give no rows. ``work`` is a folder that all executors share.
     """
     spark = files.sparkSession
     folder = f"{work.rstrip('/')}/unpack-{uuid.uuid4().hex}"
@@ -98,16 +127,21 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, parent, level, data in zip(b["path"], b["parent"], b["depth"], b["content"]):
-                event, members = open_one(bytes(data))
-                rows = [(f"{path}:/{n}", path, level + 1, d, None) for n, d in members] or [(path, parent, level, bytes(data), event or "leaf")]
-                yield pd.DataFrame(rows, columns=["path", "parent", "depth", "content", "event"])
+                yield pd.DataFrame(opened(path, parent, level, bytes(data)), columns=["path", "parent", "depth", "content", "event"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content").filter("content is not null")
     done = []
     for level in range(depth + 1):
-        kept = now.filter(~is_discarded(as_latin1(F.substring("content", 1, HEAD_BYTES))))
-        kept.mapInPandas(step, SCHEMA).write.parquet(f"{folder}/{level}")
+        head = as_latin1(F.substring("content", 1, HEAD_BYTES))
+        kept = now.filter(~is_discarded(head)).withColumn("_box", head.rlike(CONTAINER)).withColumn("_inner", F.when(~F.col("_box"), stripped(F.col("content"))))
+        boxes = kept.filter("_box").drop("_box", "_inner").mapInPandas(step, SCHEMA)
+        inner = F.col("_inner").isNotNull()
+        plain = kept.filter("not _box").select(
+            F.when(inner, F.concat("path", F.lit(":/payload"))).otherwise(F.col("path")).alias("path"), F.when(inner, F.col("path")).otherwise(F.col("parent")).alias("parent"),
+            (F.col("depth") + inner.cast("int")).alias("depth"), F.coalesce("_inner", "content").alias("content"), F.when(~inner, "leaf").alias("event"),
+        )
+        boxes.unionByName(plain).write.parquet(f"{folder}/{level}")
         made = spark.read.schema(SCHEMA).parquet(f"{folder}/{level}")
         done.append(made.filter("event is not null"))
         now = made.filter("event is null").select("path", "parent", "depth", "content")
@@ -115,7 +149,4 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
             break
     else:
         done.append(now.withColumn("event", F.lit("too deep")))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, done)

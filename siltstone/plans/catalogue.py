@@ -120,8 +120,8 @@ ON regexp_replace(lower(a.p_brand || a.p_name), '[^a-z0-9]', '', 'g') = regexp_r
 def compare_alnum(spark, sf_dir):
     """Counting by key first keeps equal names from being paired."""
     part = table(spark, sf_dir, "part")
-    counts = part.groupBy(S.alnum_key(F.concat("p_brand", F.lit("-"), "p_name")).alias("k")).agg(F.count(F.lit(1)).alias("alike"))
-    return part.select("p_partkey", S.alnum_key(F.concat("p_brand", "p_name")).alias("k")).join(counts, "k").select("p_partkey", "alike")
+    counts = part.groupBy(S.compare_key(F.concat("p_brand", F.lit("-"), "p_name")).alias("k")).agg(F.count(F.lit(1)).alias("alike"))
+    return part.select("p_partkey", S.compare_key(F.concat("p_brand", "p_name")).alias("k")).join(counts, "k").select("p_partkey", "alike")
 
 
 @query("SELECT doc_id, split_part(text, chr(10), 1) AS first_line FROM documents")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of an artifact that are looked at; longer ones are cut.
-CONTENT_CAP = 16 << 20
 #: Names of the files that mark a folder as one artifact, and that hold its header. Hadoop opens no names with a colon in front.
 COMBINED, HEADER = "combined.mark", "header.mark"
 
 
-def scan_tree(spark: SparkSession, root: str, cap: int = CONTENT_CAP) -> DataFrame:
-    """(path, folder, name, size, mtime, content) of every file below ``root``."""
+def scan_tree(spark: SparkSession, root: str, cap: int | None = None) -> DataFrame:
+    """(path, folder, name, size, mtime, content, cut) of every file below ``root``, or of that file; contents are whole, or
+    with a ``cap`` their first bytes, and then ``cut`` says of which."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(
         "path",
@@ -20,18 +19,18 @@ def scan_tree(spark: SparkSession, root: str, cap: int = CONTENT_CAP) -> DataFra
         F.regexp_extract("path", r"[^/]*$", 0).alias("name"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-        F.substring("content", 1, cap).alias("content"),
+        (F.substring("content", 1, cap) if cap else F.col("content")).alias("content"),
+        (F.col("length") > cap if cap else F.lit(False)).alias("cut"),
     )
 
 
 def grouped(files: DataFrame) -> DataFrame:
     """``files`` with ``group_id``: the folder if it holds a mark file, else the file itself; a mark's size of two or
-    more is the number of interleaved parts."""
-    marked = F.max(F.col("name").isin(COMBINED, HEADER).cast("int")).over(Window.partitionBy("folder")) == 1
-    mode = F.max(F.when(F.col("name") == COMBINED, F.col("size"))).over(Window.partitionBy("folder"))
-    return files.withColumn("group_id", F.when(marked, F.col("folder")).otherwise(F.col("path"))).withColumn(
-        "interleave_parts", F.when(mode >= 2, mode.cast("int"))
-    )
+    more is the number of interleaved parts. Folders are marked by names and sizes alone, so no contents are moved."""
+    marks = files.filter(F.col("name").isin(COMBINED, HEADER)).groupBy("folder")
+    marks = marks.agg(F.max(F.when(F.col("name") == COMBINED, F.col("size"))).alias("_mode"), F.lit(True).alias("_marked"))
+    out = files.join(marks, "folder", "left").withColumn("group_id", F.when(F.col("_marked"), F.col("folder")).otherwise(F.col("path")))
+    return out.withColumn("interleave_parts", F.when(F.col("_mode") >= 2, F.col("_mode").cast("int"))).drop("_mode", "_marked")
 
 
 def signatures(spark: SparkSession, path: str) -> DataFrame:
@@ -46,23 +45,48 @@ def signatures(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("key", "place", (F.conv(address, 16, 10).cast("long") - 0x100000).alias("from_end"), pattern.alias("pattern")).filter("length(pattern) > 0")
 
 
-def pci_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(vendor_id, device_id, vendor, device) of a pci.ids file; vendors have a row without device.
-
-    An entry's vendor is the last one above it. The file is one small table, read whole as a row so that its lines
-    keep their order.
-    """
+def pci_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line, top, mid) of a pci.ids file, comments and empty lines left out: the last lines without and with one tab up to
+    each. The file is one small table, read whole as a row so that its lines keep their order."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
     lines = lines.filter(~F.col("line").startswith("#") & (F.trim("line") != ""))
-    # Classes follow the vendors and start with "C ".
     order = Window.partitionBy(F.spark_partition_id()).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = r"^([0-9a-f]{4})  (.*)$"
-    vendor = F.last(F.when(F.col("line").rlike(r"^\S"), F.col("line")), ignorenulls=True).over(order)
-    rows = lines.withColumn("v", vendor).filter(F.col("v").rlike(head) & ~F.col("line").rlike(r"^\t\t"))
-    device = r"^\t([0-9a-f]{4})  (.*)$"
-    take = lambda c, p, k: F.when(F.col(c).rlike(p), F.regexp_extract(c, p, k))
-    number = lambda c, p: F.conv(take(c, p, 1), 16, 10).cast("int")
-    return rows.select(number("v", head).alias("vendor_id"), number("line", device).alias("device_id"), take("v", head, 2).alias("vendor"), take("line", device, 2).alias("device"))
+    last = lambda p: F.last(F.when(F.col("line").rlike(p), F.col("line")), ignorenulls=True).over(order)
+    return lines.withColumn("top", last(r"^\S")).withColumn("mid", last(r"^\t[^\t]"))
+
+
+def _name(c: str, pattern: str, k: int) -> Column:
+    return F.when(F.col(c).rlike(pattern), F.regexp_extract(c, pattern, k))
+
+
+def _id(c: str, pattern: str, k: int = 1) -> Column:
+    return F.conv(_name(c, pattern, k), 16, 10).cast("int")
+
+
+def pci_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(vendor_id, device_id, vendor, device) of a pci.ids file; vendors have a row without device."""
+    head, device = r"^([0-9a-f]{4})  (.*)$", r"^\t([0-9a-f]{4})  (.*)$"
+    # Classes follow the vendors and start with "C ".
+    rows = pci_lines(spark, path).filter(F.col("top").rlike(head) & ~F.col("line").rlike(r"^\t\t"))
+    return rows.select(_id("top", head).alias("vendor_id"), _id("line", device).alias("device_id"), _name("top", head, 2).alias("vendor"), _name("line", device, 2).alias("device"))
+
+
+def pci_subsystems(spark: SparkSession, path: str) -> DataFrame:
+    """(vendor_id, device_id, subvendor_id, subdevice_id, name) of a pci.ids file."""
+    head, device, sub = r"^([0-9a-f]{4})  (.*)$", r"^\t([0-9a-f]{4})  (.*)$", r"^\t\t([0-9a-f]{4}) ([0-9a-f]{4})  (.*)$"
+    rows = pci_lines(spark, path).filter(F.col("top").rlike(head) & F.col("line").rlike(sub))
+    return rows.select(_id("top", head).alias("vendor_id"), _id("mid", device).alias("device_id"), _id("line", sub).alias("subvendor_id"), _id("line", sub, 2).alias("subdevice_id"), _name("line", sub, 3).alias("name"))
+
+
+def pci_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(class, subclass, interface, name) of a pci.ids file; the numbers below a class or subclass are null in its own row."""
+    head, sub, face = r"^C ([0-9a-f]{2})  (.*)$", r"^\t([0-9a-f]{2})  (.*)$", r"^\t\t([0-9a-f]{2})  (.*)$"
+    rows = pci_lines(spark, path).filter(F.col("top").rlike(head))
+    below = F.col("line").startswith("\t")
+    return rows.select(
+        _id("top", head).alias("class"), F.when(below, _id("mid", sub)).alias("subclass"), _id("line", face).alias("interface"),
+        F.coalesce(_name("line", face, 2), _name("line", sub, 2), _name("line", head, 2)).alias("name"),
+    )
 
 
 def pci_names(df: DataFrame, ids: DataFrame) -> DataFrame:
