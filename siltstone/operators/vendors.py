@@ -18,7 +18,7 @@ UEFI_HEADER = "\x00\xFFUEFIExtract\xFF\x00"
 
 def entry(key: str, value: Column) -> Column:
     """A metadata line, further lines indented below the first; null for no value."""
-    return F.concat(F.lit(f"[{key}] "), F.replace(value, F.lit("\n"), F.lit("\n" + " " * (len(key) + 3))))
+    return F.rtrim(F.concat(F.lit(f"[{key}] "), F.replace(value, F.lit("\n"), F.lit("\n" + " " * (len(key) + 3)))))
 
 
 def finding(vendor: Column | str, version: Column, string: Column | None = None, signon: Column | None = None, *metadata: Column) -> Column:

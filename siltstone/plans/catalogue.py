@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
+import lzma
+import tarfile
+import tempfile
+import zipfile
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import scalar as S
+from ..operators import analyze as A
+from ..operators import assemble as J
 from ..operators import carve as V
 from ..operators import classify as C
+from ..operators import features as X
 from ..operators import relations as R
+from ..operators import unpack as U
+from ..sources import files as T
 from ..sources import sinks as K
+from .roms import IMAGES, UEFI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,13 +68,15 @@ SELECT doc_id, priority, label FROM (
 """
 
 
+def has_word(token: str) -> Callable:
+    return lambda t: F.array_contains(F.split(F.lower(t), r"\s+"), token)
+
+
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.broadcast(spark.createDataFrame(TEXT_RULES, "priority int, label string, token string, pattern string"))  # TEXT_RULES, whatever the input
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.array_intersect(F.split(F.lower("text"), r"\s+"), F.array(*[F.lit(t) for *_, t, _ in TEXT_RULES]))
-    hits = docs.withColumn("token", F.explode(words)).join(rules, "token").filter(F.expr("text rlike pattern"))
-    best = hits.groupBy("doc_id").agg(F.min(F.struct("priority", "label")).alias("b"))
-    return best.select("doc_id", "b.priority", "b.label")
+    """The first rule of the text table that holds, by the rule chain: no shuffle."""
+    rules = [C.Rule(p, label, label, needs=(pattern,), also=has_word(token)) for p, label, token, pattern in TEXT_RULES]
+    found = C.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), rules)
+    return found.filter("finding is not null").select("doc_id", "finding.priority", F.col("finding.vendor").alias("label"))
 
 
 @query(FIRST_MATCH_SQL)
@@ -74,9 +92,9 @@ SELECT doc_id, label, version FROM (
 """)
 def rule_fallthrough(spark, sf_dir):
     """A rule that holds but yields no version leaves the artifact to the next."""
-    text = F.col("text")
-    tries = [F.when(text.rlike(x) & (F.regexp_extract(text, x, 1) != ""), F.struct(F.lit(n).alias("label"), F.regexp_extract(text, x, 1).alias("version"))) for p, n, _, x in TEXT_RULES if p in (1, 2, 4)]
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(*tries).alias("f")).filter("f is not null").select("doc_id", "f.label", "f.version")
+    rules = [C.Rule(p, label, (pattern, 1)) for p, label, _, pattern in TEXT_RULES if p in (1, 2, 4)]
+    found = C.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), rules).filter("finding is not null")
+    return found.select("doc_id", F.col("finding.vendor").alias("label"), "finding.version")
 
 
 @query(f"""
@@ -166,11 +184,13 @@ def strings_n8(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(S.printable_runs(F.col("html"))).alias("run"))
 
 
-@query("SELECT doc_id, text AS back FROM documents")
+@query("SELECT doc_id, '1.' || doc_id AS version, upper(substr(hex(encode(text)), 1, 32 * (strlen(text) // 16)::INT)) AS content FROM documents")
 def hex_dump_parse(spark, sf_dir):
-    """A dump of two digits a byte, parsed back."""
-    dump = F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "$1 ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.decode(F.unhex(F.array_join(F.regexp_extract_all(dump, F.lit("([0-9A-F]{2})"), F.lit(1)), "")), "UTF-8").alias("back"))
+    """A report with a dump of the whole rows of 16 bytes, parsed back."""
+    rows = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("([0-9A-F]{32})"), F.lit(1)), lambda r: F.concat(F.lit("0FF0\t"), F.regexp_replace(r, "(..)", "$1 "), F.lit("\ttext\n")))
+    report = F.concat(F.lit("CPU-Z version\t1."), F.col("doc_id").cast("string"), F.lit("\r\n"), F.array_join(rows, ""))
+    dump = table(spark, sf_dir, "documents").select("doc_id", V.hex_dump(report).alias("d"))
+    return dump.select("doc_id", "d.version", F.hex("d.content").alias("content"))
 
 
 @query("""
@@ -255,11 +275,12 @@ def metadata_rollup(spark, sf_dir):
     return R.metadata_lines(events, "user_id", "event_type", "v")
 
 
-@query("SELECT o_custkey, strftime(max(o_orderdate), '%m/%d/%Y') AS newest FROM orders GROUP BY 1")
+@query("SELECT l_orderkey, strftime(max(l_shipdate), '%m/%d/%y') AS newest FROM lineitem GROUP BY 1")
 def newest_date(spark, sf_dir):
-    d = F.date_format("o_orderdate", "MM/dd/yyyy")
-    best = F.max(F.struct(S.pivot_date(d).alias("k"), d.alias("d")))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", F.col("b.d").alias("newest"))
+    """An order as an image with an entry point before the date of each of its few lines."""
+    entry = F.concat(F.lit("\u00e9ab"), F.date_format("l_shipdate", "MM/dd/yy"), F.lit("\0"))
+    images = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("t"))
+    return images.select("l_orderkey", C.newest_entry_date(F.col("t")).alias("newest"))
 
 
 @query("""
@@ -284,25 +305,40 @@ def regtable_group(spark, sf_dir):
     return R.grouped_names(part, "p_brand", "size", "p_type")
 
 
+#: Signatures of text ends: key, and patterns with their places from the end.
+ENDS = [("a sentence on n", ((-2, "n."),)), ("b sentence on d after e", ((-3, "ed."),)), ("c two places", ((-1, "."), (-4, "e"))), ("d three places", ((-1, "."), (-5, " "), (-3, "t"))), ("e any", ((-1, "."),))]
+
+
 @query("""
-SELECT d.doc_id, min(b.item_id) AS item_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 3) AS s FROM benchmark WHERE length(text) >= 3) b ON starts_with(d.text, b.s) GROUP BY 1
+WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), s AS (SELECT doc_id, CASE
+  WHEN right(h, 4) = '6E2E' THEN 'a sentence on n' WHEN right(h, 6) = '65642E' THEN 'b sentence on d after e'
+  WHEN right(h, 2) = '2E' AND length(h) >= 8 AND substr(right(h, 8), 1, 2) = '65' THEN 'c two places'
+  WHEN right(h, 2) = '2E' AND length(h) >= 10 AND substr(right(h, 10), 1, 2) = '20' AND substr(right(h, 6), 1, 2) = '74' THEN 'd three places'
+  WHEN right(h, 2) = '2E' THEN 'e any' END AS signature FROM h)
+SELECT doc_id, signature FROM s WHERE signature IS NOT NULL
 """)
 def signature_match(spark, sf_dir):
-    """Signatures at a fixed place: an equi-join on the bytes there; the first signature wins."""
-    items = table(spark, sf_dir, "benchmark").filter("length(text) >= 3").groupBy(F.substring("text", 1, 3).alias("s")).agg(F.min("item_id").alias("item_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 3).alias("s")).join(items, "s").select("doc_id", "item_id")
+    """The first signature all of whose patterns stand at their places from the end."""
+    rows = [(key, k, place, bytearray(text.encode())) for key, places in ENDS for k, (place, text) in enumerate(places)]
+    signatures = spark.createDataFrame(rows, "key string, place int, from_end long, pattern binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return X.signature_hits(docs, signatures, "doc_id")
 
 
 @query("""
 SELECT s.s_suppkey, coalesce(n.n_name, '[Unknown]') AS vendor, coalesce(r.r_name, CASE WHEN n.n_name IS NULL THEN '' ELSE '[Unknown]' END) AS device
-FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey + 2 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey AND r.r_regionkey <> 3
+FROM (SELECT s_suppkey, s_nationkey + 2 AS v, s_suppkey % 5 AS d FROM supplier) s LEFT JOIN nation n ON n.n_nationkey = s.v
+LEFT JOIN region r ON n.n_name IS NOT NULL AND r.r_regionkey = s.d AND r.r_regionkey <> 3
 """)
 def pci_lookup(spark, sf_dir):
+    """Nations as vendors, each with all regions but one as devices."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").filter("r_regionkey <> 3")
-    out = table(spark, sf_dir, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey") + 2, "left")
-    out = out.join(region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    device = F.coalesce("r_name", F.when(F.col("n_name").isNull(), "").otherwise("[Unknown]"))
-    return out.select("s_suppkey", F.coalesce("n_name", F.lit("[Unknown]")).alias("vendor"), device.alias("device"))
+    vendors = nation.select(F.col("n_nationkey").alias("vendor_id"), F.lit(None).cast("int").alias("device_id"), F.col("n_name").alias("vendor"), F.lit(None).cast("string").alias("device"))
+    listed = region.agg(F.collect_list(F.struct("r_regionkey", "r_name")).alias("r"))  # five regions
+    devices = nation.crossJoin(listed).select("n_nationkey", "n_name", F.explode("r").alias("r"))
+    devices = devices.select(F.col("n_nationkey").alias("vendor_id"), F.col("r.r_regionkey").alias("device_id"), F.col("n_name").alias("vendor"), F.col("r.r_name").alias("device"))
+    ids = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + 2).alias("vendor_id"), (F.col("s_suppkey") % 5).cast("int").alias("device_id"))
+    return T.pci_names(ids, vendors.unionByName(devices)).select("s_suppkey", "vendor", "device")
 
 
 @query("""
@@ -379,21 +415,60 @@ def permutations(spark, sf_dir):
     return one.select("a", "b", F.explode("n").alias("c")).filter("c <> a and c <> b").select(F.concat_ws(",", "a", "b", "c").alias("parts"))
 
 
-@query("""
-SELECT doc_id, n.needle, (strpos(text, n.needle) - 1)::BIGINT AS at FROM documents, (VALUES ('tion'), ('ing '), ('ß'), ('@')) n(needle) WHERE strpos(text, n.needle) > 0
-""")
+@F.pandas_udf(BinaryType())
+def deflated(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: b"\xff\xff\xff" + zlib.compress(t.encode()) + b"\xff" * 5)
+
+
+@query("SELECT item_id, 3::BIGINT AS at, 'zlib15' AS algorithm, strlen(text)::BIGINT AS size FROM benchmark WHERE contains(text, ' the ')")
 def needle_search(spark, sf_dir):
-    """Every needle of a short list in every text."""
-    docs = table(spark, sf_dir, "documents").withColumn("needle", F.explode(F.array(*[F.lit(x) for x in ("tion", "ing ", "ß", "@")])))
-    return docs.select("doc_id", "needle", (F.expr("instr(text, needle)") - 1).cast("long").alias("at")).filter("at >= 0")
+    """Compressed passages behind other bytes: where a stream begins that holds a word, by every offset and algorithm."""
+    blobs = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), deflated("text").alias("content"))
+    found = V.search_streams(blobs, b" the ", least=8).filter("algorithm = 'zlib15'")
+    return found.select(F.col("path").cast("long").alias("item_id"), F.col("offset").alias("at"), "algorithm", "size")
+
+
+@F.pandas_udf(BinaryType())
+def nested(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """A text in a zip archive in a tar file, and that compressed in one of three ways."""
+
+    def pack(i: int, text: str) -> bytes:
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("folder/text", b"\0" + text.encode())
+        with tarfile.open(fileobj=outer, mode="w", format=tarfile.USTAR_FORMAT) as t:
+            info = tarfile.TarInfo("inner.zip")
+            info.size = len(inner.getvalue())
+            t.addfile(info, io.BytesIO(inner.getvalue()))
+        return (gzip.compress, bz2.compress, lzma.compress)[i % 3](outer.getvalue())
+
+    return pd.Series([pack(i, t) for i, t in zip(ids, texts)])
+
+
+def shared(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="unpack-")
+
+
+def unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return U.unpack(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), nested("doc_id", "text").alias("content")), shared(spark))
+
+
+@query("SELECT 'd' || doc_id || ':/content:/inner.zip:/folder/text' AS path, 'd' || doc_id || ':/content:/inner.zip' AS parent, 3 AS depth, 'leaf' AS event, md5(chr(0) || text) AS md5 FROM documents")
+def unpack_fixpoint(spark, sf_dir):
+    """Documents in three containers each, unpacked until nothing is left to unpack."""
+    return unpacked(spark, sf_dir).select("path", "parent", "depth", "event", F.md5("content").alias("md5"))
 
 
-@query("SELECT year(o_orderdate)::INT AS generation, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@query("""
+SELECT CASE doc_id % 3 WHEN 0 THEN 0 ELSE 3 END AS depth, count(*) AS n, sum(strlen(text) + CASE doc_id % 3 WHEN 0 THEN 0 ELSE 1 END)::BIGINT AS bytes FROM documents GROUP BY 1
+""")
 def generation_union(spark, sf_dir):
-    """Generations, here the orders of odd and of even months, put together again."""
-    orders = table(spark, sf_dir, "orders")
-    odd, even = orders.filter("month(o_orderdate) % 2 = 1"), orders.filter("month(o_orderdate) % 2 = 0")
-    return odd.unionByName(even).groupBy(F.year("o_orderdate").alias("generation")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """Generations put together again: plain texts are left by the first, packed ones by the fourth."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).otherwise(nested("doc_id", "text"))
+    left = U.unpack(docs.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")), shared(spark))
+    return left.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
 
 
 @query(f"""
@@ -424,12 +499,10 @@ WITH c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS pos, unnest(stri
 SELECT doc_id, pos::BIGINT AS begin, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), -1)::BIGINT AS until FROM c WHERE x = '|'
 """)
 def candidate_ranges(spark, sf_dir):
-    """From each mark to the next."""
+    """From each mark to the next, counted from 1."""
     docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("|"))
-    parts = F.transform(F.split("text", r"\|", -1), lambda p: F.length(p) + 1)
-    sums = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    marks = docs.select("doc_id", sums.alias("s")).select("doc_id", F.slice("s", 2, F.size("s") - 2).alias("m"))
-    return marks.select("doc_id", F.posexplode("m").alias("k", "begin"), "m").select("doc_id", "begin", F.coalesce(F.get("m", F.col("k") + 1), F.lit(-1)).alias("until"))
+    rows = docs.select("doc_id", F.explode(V.ranges(F.col("text"), "|")).alias("r"))
+    return rows.select("doc_id", (F.col("r.begin") + 1).cast("long").alias("begin"), F.coalesce(F.col("r.until") + 1, F.lit(-1)).cast("long").alias("until"))
 
 
 SUMMARY = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL"
@@ -457,12 +530,17 @@ def array_mode(spark, sf_dir):
     return K.as_lists(R.metadata_lines(events, "user_id", "event_type", "v"), "metadata").select("user_id", F.size("metadata").alias("lines"))
 
 
-@query("SELECT doc_id, text FROM documents")
+def le32(number) -> Column:
+    """A number as four Latin-1 characters, the lowest first."""
+    return F.concat(*[F.decode(F.unhex(F.lpad(F.hex(F.shiftright(number, 8 * k).bitwiseAND(255)), 2, "0")), "ISO-8859-1") for k in range(4)])
+
+
+@query("SELECT event_id, event_type || repeat('A', (event_id % 700)::INT) || user_id || repeat('z', (user_id % 9)::INT) AS text FROM events")
 def rle_expand(spark, sf_dir):
-    """Runs written as count and character, expanded again: the text itself."""
-    packed = F.regexp_extract_all("text", F.lit(r"(?s)((.)\2{0,254})"), F.lit(1))
-    pairs = F.transform(packed, lambda r: F.struct(F.length(r).alias("n"), F.substring(r, 1, 1).alias("c")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(pairs, lambda p: F.repeat(p["c"], p["n"])), "").alias("text"))
+    """Marks that stand for runs, in between other text."""
+    mark = lambda code, n: F.concat(F.lit(f"SNIPAC{code}"), le32(n))
+    text = F.concat("event_type", mark("41", F.col("event_id") % 700), F.col("user_id").cast("string"), mark("7A", F.col("user_id") % 9))
+    return table(spark, sf_dir, "events").select("event_id", V.expand_runs(text).alias("text"))
 
 
 #: Banners of vendors, by the language of the document that they are put behind.
@@ -503,3 +581,202 @@ def power_header(spark, sf_dir):
     """Contents up to 256 bytes longer than a power of two, parted into header and image."""
     header, image = V.strip_to_power(F.encode("text", "UTF-8"), 256)
     return table(spark, sf_dir, "documents").filter("octet_length(text) > 0").select("doc_id", F.coalesce(F.octet_length(header), F.lit(0)).alias("header_bytes"), F.octet_length(image).alias("image_bytes"))
+
+
+def values(rows: list[tuple]) -> str:
+    """Rows of numbers and texts as SQL values; texts as UTF-8 in hexadecimal, since some have line feeds."""
+    cell = lambda x: str(x) if isinstance(x, int) else f"decode(unhex('{x.encode().hex()}'))"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+@query(f"""
+SELECT doc_id, image, vendor, version, string, signon, metadata FROM documents
+JOIN {values([(k, name, *(want or ("", "", "", "", ""))) for k, (name, _, _, want) in enumerate(IMAGES)])} v(k, image, vendor, version, string, signon, metadata) ON doc_id % {len(IMAGES)} = k
+""")
+def rom_vendors(spark, sf_dir):
+    """Every rule of the chain: each document's text with one of the images behind it."""
+    rows = [(k, name, bytearray(h) if h is not None else None, bytearray(image)) for k, (name, h, image, _) in enumerate(IMAGES)]
+    images = F.broadcast(spark.createDataFrame(rows, "k int, image string, header binary, tail binary"))  # IMAGES, whatever the input
+    docs = table(spark, sf_dir, "documents").withColumn("k", (F.col("doc_id") % len(IMAGES)).cast("int")).join(images, "k")
+    docs = docs.withColumn("blob", F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("0A0000FF")), "tail"))
+    found = C.classify(docs.select("doc_id", "image", "header", "blob"), C.as_latin1(F.col("blob")), header=F.col("header"))
+    full = lambda c: F.coalesce(F.col(f"finding.{c}"), F.lit("")).alias(c)
+    return found.select("doc_id", "image", *[full(c) for c in ("vendor", "version", "string", "signon")], F.coalesce(F.array_join("finding.metadata", "\n"), F.lit("")).alias("metadata"))
+
+
+def structure(kind: int, length: int, fields: dict[int, int], *texts: str) -> bytes:
+    """A system table of a type with numbers at places and texts behind it."""
+    out = bytearray(length)
+    out[0], out[1] = kind, length
+    for k, n in fields.items():
+        out[k] = n
+    return bytes(out) + b"".join(t.encode() + b"\0" for t in texts) + b"\0"
+
+
+def rom(size: int, pci: tuple[int, list[int]] | None = None, pnp: tuple[int, str] | None = None, mark: bytes = b"", text: bytes = b"") -> bytes:
+    """An expansion ROM of ``size`` half kibibytes."""
+    out = bytearray(512 * size)
+    out[:4] = bytes([0x55, 0xAA, size, 0xE9])
+    out[0x1E : 0x1E + len(mark)] = mark
+    out[0x100 : 0x100 + len(text)] = text
+    if pci:
+        out[0x18:0x1A] = (0x40).to_bytes(2, "little")
+        vendor, devices = pci
+        head = b"PCIR" + vendor.to_bytes(2, "little") + devices[0].to_bytes(2, "little") + (0x20).to_bytes(2, "little") + b"\x18\0\x03\0\0\x02"
+        out[0x40 : 0x40 + len(head)] = head
+        listed = b"".join(d.to_bytes(2, "little") for d in devices[1:])
+        out[0x60 : 0x60 + len(listed)] = listed
+    if pnp:
+        out[0x1A:0x1C] = (0x80).to_bytes(2, "little")
+        head = b"$PnP\x01\x02\0\0\0\0" + pnp[0].to_bytes(4, "big") + (0xC0).to_bytes(2, "little") + b"\0\0"
+        out[0x80 : 0x80 + len(head)] = head
+        out[0xC0 : 0xC0 + len(pnp[1]) + 1] = pnp[1].encode() + b"\0"
+    return bytes(out)
+
+
+FACP = b"FACP\x74\0\0\0" + b"x" * 20 + b"MSFT"
+SLI = b"123456789012Genuine NVIDIA Certified SLI Ready Motherboard for Board XABCD-Copyright 2007 NVIDIA"
+BIOS_TABLE = structure(0, 0x12, {4: 1, 5: 2, 8: 3}, "Maker", "1.2", "01/02/98")
+SYSTEM = structure(1, 0x08, {4: 1, 5: 2, 6: 0}, "Maker", "Model 5")
+BOARD, OTHER_BOARD = (structure(2, 0x08, {4: 1, 5: 2, 6: 0}, "Maker", m) for m in ("MODEL-5", "Board 7"))
+CPU = structure(4, 0x1A, {4: 1, 5: 3, 7: 2, 16: 0}, "Socket 7", "Intel")
+#: Images with side findings: header, image, metadata lines and lines of ROMs, whose names are those of DEVICES.
+SIDES: list[tuple[bytes | None, bytes, str, str]] = [
+    (None, FACP + SLI, "[ACPI] FACP\n[SLI] Board X", ""),
+    (UEFI, BIOS_TABLE + b"\xff" + SYSTEM + b"\xff" + BOARD + b"\xff" + CPU, "[DMI] [BIOS] Maker 1.2 01/02/98\n      [Board/System] Maker MODEL-5 \n      [CPU] Socket 7 Intel\n[UEFI] Filesystem", ""),
+    (None, SYSTEM + b"\xff" + OTHER_BOARD, "[DMI] [Board] Maker Board 7 \n      [System] Maker Model 5", ""),
+    (None, rom(8, pci=(0x10DE, [0x20, 0x21, 0x21, 0x99]), text=b"PXE-M0F: Exiting .PXE-EC6: UNDI driver image is invalid.NetWare Ready ROM"), "[LAN] PXE RPL",
+     "[10de:0020] NVIDIA Riva FE GPU\n[10de:0021]        Riva FE\n[10de:0099]        [Unknown]"),
+    (None, rom(4, pci=(0x10DE, [0])) + rom(4, pci=(0x9004, [0x5078])) + rom(8, text=b"Adaptec BIOS:AHA-2940 SDMS (TM) V3.07"), "[SCSI] Adaptec AHA-2940 SDMS (TM) V3.07\n[SCSI] NCR 3.07", "[OROM] Adaptec BIOS:AHA-2940 SDMS (TM) V3.07\n[9004:5078] Adaptec 7850"),
+    (None, rom(16, mark=b"IBM COMPATIBLE VGA BIOS", text=b"Trident Card Version 1.2 of 1990\r\nxx\r\n======="), "", "[VGA] VGA BIOS\n      Trident Card Version 1.2 of 1990"),
+    (None, rom(4, pnp=(0x15058A20, "Card maker")), "", "[EHE8A20] Card maker"),
+    (None, b"nothing to see", "", ""),
+]
+DEVICES = [(0x10DE, None, "NVIDIA Corporation", None), (0x10DE, 0x20, "NVIDIA Corporation", "Riva Fast Ethernet Graphics Processor"), (0x10DE, 0x21, "NVIDIA Corporation", "Riva Fast Ethernet Controller"),
+           (0x9004, None, "Adaptec, Inc.", None), (0x9004, 0x5078, "Adaptec, Inc.", "7850 Controller")]
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text, as bytes that look like no structure, with one of the images with side findings behind it."""
+    rows = [(k, bytearray(h) if h is not None else None, bytearray(image)) for k, (h, image, *_) in enumerate(SIDES)]
+    images = F.broadcast(spark.createDataFrame(rows, "k int, header binary, tail binary"))  # SIDES, whatever the input
+    docs = table(spark, sf_dir, "documents").withColumn("k", (F.col("doc_id") % len(SIDES)).cast("int")).join(images, "k")
+    return docs.select("doc_id", "k", "header", F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFFFF")), "tail").alias("content"))
+
+
+@query(f"SELECT doc_id, metadata FROM documents JOIN {values([(k, m) for k, (_, _, m, _) in enumerate(SIDES)])} v(k, metadata) ON doc_id % {len(SIDES)} = k")
+def side_findings(spark, sf_dir):
+    """ACPI and system tables, certificates, UEFI marks, and what expansion ROMs say of SCSI and networks."""
+    lines = X.side_metadata(C.as_latin1(F.col("content")), X.scanned("content"), F.col("header"))
+    return sides(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(lines), "\n").alias("metadata"))
+
+
+def device_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEVICES, "vendor_id int, device_id int, vendor string, device string")
+
+
+@query(f"SELECT doc_id, roms FROM documents JOIN {values([(k, r) for k, (_, _, _, r) in enumerate(SIDES)])} v(k, roms) ON doc_id % {len(SIDES)} = k WHERE roms <> ''")
+def rom_names(spark, sf_dir):
+    """The named devices and the texts of expansion ROMs."""
+    items = sides(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("int").alias("interleave_parts"), "header", "content", F.lit(None).cast("array<struct<vendor_id:int,device_id:int>>").alias("named"))
+    return A.results(items, device_table(spark)).select(F.col("file").cast("long").alias("doc_id"), "roms")
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_brand AS folder, p_partkey % 7 AS k FROM part),
+m AS (SELECT p_brand AS folder, max(CASE WHEN p_partkey % 7 = 0 THEN p_size % 5 END)::INT AS mode, max((p_partkey % 7 IN (0, 1))::INT) AS marked FROM part GROUP BY 1)
+SELECT f.p_partkey, CASE WHEN marked = 1 THEN folder ELSE folder || '/' || p_partkey END AS group_id, CASE WHEN mode >= 2 THEN mode END AS parts FROM f JOIN m USING (folder)
+""")
+def group_marks(spark, sf_dir):
+    """Parts as files of their brands' folders, some of them marks."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 7
+    name = F.when(k == 0, T.COMBINED).when(k == 1, T.HEADER).otherwise(F.col("p_name"))
+    files = part.select("p_partkey", F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").alias("folder"), name.alias("name"), (F.col("p_size") % 5).alias("size"))
+    return T.grouped(files).select("p_partkey", "group_id", F.col("interleave_parts").alias("parts"))
+
+
+@query("""
+SELECT o_orderkey AS group_id, count(*)::INT AS parts, string_agg(l_shipdate::DATE::VARCHAR, '' ORDER BY l_linenumber, l_shipdate) AS content FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+""")
+def joined_parts(spark, sf_dir):
+    """An order's lines as the parts of one image."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    files = lines.select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("string").alias("name"), F.encode(F.date_format("l_shipdate", "yyyy-MM-dd"), "UTF-8").alias("content"))
+    return J.joined(files, "group_id").select("group_id", "parts", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT item_id, text FROM benchmark WHERE strlen(text) >= 16")
+def interleaved_parts(spark, sf_dir):
+    """Passages taken apart into even and odd bytes, with a stray file of their size between, and put together again."""
+    text = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")  # a character for each byte
+    items = table(spark, sf_dir, "benchmark").filter("octet_length(text) >= 16").select("item_id", F.rpad(text, F.ceil(F.length(text) / 2).cast("int") * 2, " ").alias("t"), "text")
+    part = lambda name, c: F.struct(F.lit(name).alias("name"), F.encode(c, "ISO-8859-1").alias("content"))
+    stray = F.repeat(F.lit("."), (F.length("t") / 2).cast("int"))
+    parts = F.array(part("a", stray), part("b", S.every_nth(F.col("t"), 2, 0)), part("c", S.every_nth(F.col("t"), 2, 1)))
+    files = items.select(F.col("item_id").alias("folder"), F.explode(parts).alias("p")).select("folder", F.octet_length("p.content").alias("size"), "p.name", "p.content")
+    images = J.interleaved(files).select(F.col("folder").alias("item_id"), F.decode("content", "ISO-8859-1").alias("t"))
+    return images.join(items, ["item_id", "t"]).select("item_id", "text")
+
+
+STRIPPED = "repeat('x', 40 + (p_size % 7)::INT) || p_name"
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {STRIPPED} WHEN 1 THEN left({STRIPPED}, (length({STRIPPED}) // 2 * 2)::INT) WHEN 2 THEN {STRIPPED} ELSE NULL END AS payload FROM part
+""")
+def payloads(spark, sf_dir):
+    """Bodies behind the headers of two kinds of updates and on a flash floppy, stripped; the last kind has none."""
+    body = F.concat(F.repeat(F.lit("x"), 40 + F.col("p_size") % 7), F.col("p_name"))
+    size = F.length(body).cast("long")
+    intel = F.concat(F.lit("head$IBIabcd"), le32(F.lit(20)), le32(size), F.repeat(F.lit("h"), 4), body, F.lit("tail"))
+    omf = F.concat(F.lit("\u00b2"), le32(size), F.lit("01-02-97".ljust(32)), F.repeat(F.lit("\x01"), 14), F.lit("SIGN1234"), F.repeat(F.lit("\0"), 53), body)
+    floppy = F.concat(F.repeat(F.lit("\0"), V.AST_AT), F.lit(V.AST_MARK), F.repeat(F.lit("\0"), V.AST_PAYLOAD - V.AST_AT - len(V.AST_MARK)), F.rpad(F.lit(V.AST_TEXT), V.AST_HEAD - 5, "."), le32(size), F.lit("."), body, F.repeat(F.lit("e"), 600))
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, intel).when(k == 1, omf).when(k == 2, floppy).otherwise(body)
+    return table(spark, sf_dir, "part").select("p_partkey", F.decode(U.stripped(F.encode(text, "ISO-8859-1")), "ISO-8859-1").alias("payload"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT p_type, p_name FROM part), c AS (SELECT p_type, count(*) AS n FROM w GROUP BY 1)
+SELECT p_type AS g, count(*) AS n FROM w GROUP BY 1
+""")
+def prefix_groups(spark, sf_dir):
+    """Names grouped by the first words that they share with their neighbours: each name stands below one prefix."""
+    names = table(spark, sf_dir, "part").select("p_type", "p_name").distinct().withColumn("w", F.split("p_name", " "))
+    groups = R.common_prefixes(names, "p_type", "w")
+    return groups.filter(F.length("prefix") > 0).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH b AS (SELECT DISTINCT s_nationkey AS g, s_name AS base FROM supplier), c AS (SELECT DISTINCT c_nationkey AS g, 'Supplier#' || right(c_name, 9) AS name FROM customer),
+a AS (SELECT g, count(*) AS n, min(name) AS one FROM c GROUP BY g), p AS (SELECT g, name, unnest(list_transform(range(1, length(name) + 1), lambda k: substr(name, 1, k))) AS p FROM c),
+u AS (SELECT g, p, min(name) AS name FROM p GROUP BY ALL HAVING count(*) = 1), k AS (SELECT g, base, unnest(list_transform(range(1, length(base) + 1), lambda k: substr(base, 1, k))) AS p FROM b),
+f AS (SELECT g, base, arg_max(name, length(p)) AS name FROM k JOIN u USING (g, p) GROUP BY ALL)
+SELECT b.g, b.base, CASE WHEN a.n = 1 THEN a.one ELSE coalesce(f.name, (SELECT min(name) FROM c WHERE c.g = b.g)) END AS name FROM b JOIN a USING (g) LEFT JOIN f USING (g, base)
+""")
+def closest_unique_prefix(spark, sf_dir):
+    """For each supplier the customer of its nation that its name, shortened, leads to alone."""
+    bases = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), "s_name")
+    names = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.concat(F.lit("Supplier#"), F.right("c_name", F.lit(9))).alias("c"))
+    return R.closest_prefix(bases, names, "n", "s_name", "c")
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY abs((o_orderkey % 50) - 20), o_orderkey) AS place FROM orders
+""")
+def number_order(spark, sf_dir):
+    """An order's place among its customer's by how far the number that its name begins with is from 20."""
+    name = F.concat((F.col("o_orderkey") % 50).cast("string"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(S.alnum_key(name, 20)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", place.cast("long").alias("place"))
+
+
+@query("""
+SELECT status, '["' || status || '","' || priority || '","' || n || '"]' AS row,
+  '"=HYPERLINK(""http://a.b/' || status || '"";""🔽"")","' || status || '"' AS linked FROM (SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL)
+""")
+def json_table(spark, sf_dir):
+    """Rows as JSON arrays, and as lines with a link in front."""
+    df = summary(spark, sf_dir)
+    link = K.link_cell(F.concat(F.lit("http://a.b/"), F.col("status")))
+    return df.select("status", K.json_row(df).alias("row"), F.concat(link, F.lit(","), K.xsv_row(df.select("status"))).alias("linked"))

@@ -33,6 +33,29 @@ def json_row(df: DataFrame) -> Column:
     return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
 
 
+def link_cell(url: Column, formula: str = "HYPERLINK") -> Column:
+    """A quoted cell with a spreadsheet formula that links to ``url``; an empty cell for no URL."""
+    return F.when(url != "", F.concat(F.lit(f'"={formula}(""'), url, F.lit('"";""\U0001f53d"")"'))).otherwise(F.lit('""'))
+
+
+def json_list(df: DataFrame, header: bool = False) -> DataFrame:
+    """Lines of one JSON array of objects, or of arrays with the names in front where there is a ``header``; lines are numbered
+    by position, so that they can be written in order."""
+    row = json_row(df) if header else json_object(df)
+    rows = tidy(df).select(F.monotonically_increasing_id().alias("n"), row.alias("value")).filter("value <> '{}'")
+    first = rows.agg(F.min("n")).first()[0]
+    names = "[" + ",".join(f'"{c}"' for c in df.columns) + "]"
+    lines = rows.select("n", F.when((F.col("n") == F.lit(first)) & F.lit(not header), F.concat(F.lit("["), "value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    head = [(-1, "[" + names)] if header else [(-1, "[")] if first is None else []
+    edge = df.sparkSession.createDataFrame([*head, (1 << 62, "]")], "n long, value string")
+    return lines.unionByName(edge)
+
+
+def write_json_list(df: DataFrame, path: str, header: bool = False) -> None:
+    """One JSON array as text; its parts, taken in order of their names, are the whole."""
+    json_list(df, header).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n").sortWithinPartitions("n").select("value").write.text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One object a line."""
     tidy(df).select(json_object(df).alias("value")).write.text(path)
