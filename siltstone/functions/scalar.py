@@ -17,7 +17,12 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; null if it is empty or nothing matches."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
+
+
+def filled(text: Column) -> Column:
+    """The text, null if it is empty; computed once."""
+    return bind(text, lambda x: F.when(x != "", x))
 
 
 def place(text: Column, pattern: str) -> Column:

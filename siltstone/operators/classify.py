@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vendors as V
-from ..functions.scalar import all_match, every_nth, found, pivot_date
+from ..functions.scalar import all_match, bind, every_nth, found, pivot_date
 
 Take = tuple[str, int] | str | Callable[[Column], Column]
 
@@ -209,10 +209,12 @@ def _finding(rule: Rule, text: Column, header: Column | None) -> Column:
         return found(text, *what) if isinstance(what, tuple) else what(text)
 
     if rule.find:
-        done = rule.find(text, header)
-        version = F.when(done["version"] == "?", "").otherwise(done["version"])
-        rest = [done[c].alias(c) for c in ("string", "signon", "metadata")]
-        return F.when(version.isNotNull(), F.struct(F.lit(rule.priority).alias("priority"), done["vendor"].alias("vendor"), version.alias("version"), *rest))
+        def ranked(done: Column) -> Column:
+            version = F.when(done["version"] == "?", "").otherwise(done["version"])
+            rest = [done[c].alias(c) for c in ("string", "signon", "metadata")]
+            return F.when(done.isNotNull(), F.struct(F.lit(rule.priority).alias("priority"), done["vendor"].alias("vendor"), version.alias("version"), *rest))
+
+        return bind(rule.find(text, header), ranked)
     version = take(rule.version)
     if rule.prefix:
         version = F.concat(F.lit(rule.prefix), version)

@@ -32,6 +32,8 @@ from .classify import HEAD_BYTES, as_latin1, is_discarded
 #: container itself, which then stays.
 DEPTH, MEMBER_BYTES, MEMBERS = 16, 64 << 20, 100_000
 TOO_LARGE, TOO_MANY = "too large", "too many members"
+#: Bytes of members handed over at once.
+FRAME_BYTES = 16 << 20
 SCHEMA = "path string, parent string, depth int, content binary, event string"
 Member = tuple[str, bytes | None]
 
@@ -79,6 +81,8 @@ OPENERS = (
 UNSUPPORTED = {"rar": b"Rar!", "7z": b"7z\xbc\xaf\x27\x1c", "cab": b"MSCF", "installshield": b"ISc("}
 #: What only a container begins with; other artifacts never reach Python.
 CONTAINER = r"(?s)^(?:PK\x03\x04|\x1F\x8B|BZh|\xFD7zXZ\x00|Rar!|7z\xBC\xAF\x27\x1C|MSCF|ISc\(|.{257}ustar|:[0-9A-Fa-f]{10,}\r?\n)"
+#: What the head of an artifact with a payload to strip has, but for those whose header is all form.
+STRIP_MARKS = r"\$IBI|SNIPAC[0-9A-F]|This is a flash update from AST|CPU-Z version\t"
 STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
 
 
@@ -109,8 +113,9 @@ def opened(path: str, parent: str | None, level: int, data: bytes) -> list[tuple
 
 def stripped(content: Column) -> Column:
     """The payload of an artifact that is packed by layout alone, as binary; null for others."""
-    text = as_latin1(content)
-    return F.encode(bind(text, lambda t: F.coalesce(*[strip(t) for _, strip in STRIPS])), "ISO-8859-1")
+    head = as_latin1(F.substring(content, 1, HEAD_BYTES))
+    whole = bind(as_latin1(content), lambda t: F.coalesce(*[strip(t) for _, strip in STRIPS]))
+    return F.when(head.rlike(STRIP_MARKS) | head.rlike(V.OMF_HEAD) | head.rlike(V.OMF_HEAD.replace("^", "^.{112}")), F.encode(whole, "ISO-8859-1"))
 
 
 def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
@@ -124,10 +129,18 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
     spark = files.sparkSession
     folder = f"{work.rstrip('/')}/unpack-{uuid.uuid4().hex}"
 
+    names = ["path", "parent", "depth", "content", "event"]
+
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows, size = [], 0
             for path, parent, level, data in zip(b["path"], b["parent"], b["depth"], b["content"]):
-                yield pd.DataFrame(opened(path, parent, level, bytes(data)), columns=["path", "parent", "depth", "content", "event"])
+                rows += (made := opened(path, parent, level, bytes(data)))
+                size += sum(len(r[3] or b"") for r in made)
+                if size > FRAME_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content").filter("content is not null")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scalar import at_offset, bind, fold_lines, found, place, places_of, pivot_date, printable_runs, read_string, tidy_lines
+from ..functions.scalar import at_offset, bind, filled, fold_lines, found, place, places_of, pivot_date, printable_runs, read_string, tidy_lines
 
 UEFI_HEADER = "\x00\xFFUEFIExtract\xFF\x00"
 
@@ -22,19 +22,20 @@ def entry(key: str, value: Column) -> Column:
 
 
 def finding(vendor: Column | str, version: Column, string: Column | None = None, signon: Column | None = None, *metadata: Column) -> Column:
-    text = lambda c: F.lit(None).cast("string") if c is None else F.nullif(c, F.lit(""))
+    text = lambda c: F.lit(None).cast("string") if c is None else filled(c)
     lines = F.filter(F.array(*metadata), lambda m: m.isNotNull()) if metadata else F.array().cast("array<string>")
     vendor = F.lit(vendor) if isinstance(vendor, str) else vendor
-    done = F.struct(vendor.alias("vendor"), version.alias("version"), text(string).alias("string"), text(signon).alias("signon"), lines.alias("metadata"))
-    return F.when(version.isNotNull(), done)
+    done = lambda version: F.struct(vendor.alias("vendor"), version.alias("version"), text(string).alias("string"), text(signon).alias("signon"), lines.alias("metadata"))
+    return bind(version, lambda v: F.when(v.isNotNull(), done(v)))
 
 
-#: The patterns, places and names by which firmware of these vendors is known.
+#: The patterns, places and names by which firmware of these vendors is known. A look-behind before a run of
+#: printable text starts each run once; the match is the same.
 ACER = (
     r"Copyright \(C\) Acer Incorporated 1990|Acer Boot Block v1\.0",
-    r"(?:ACER|\x00{4})\x00(V[0-9\.]+)\x00\x00|(V[0-9\.]+)[\x00 ][0-9]{2}/[0-9]{2}/[0-9]{2,4}\x00|[\x20-\x7E]*ACER BIOS (V[\x20-\x7E]+)\x00{2}",
+    r"(?:ACER|\x00{4})\x00(V[0-9\.]+)\x00\x00|(V[0-9\.]+)[\x00 ][0-9]{2}/[0-9]{2}/[0-9]{2,4}\x00|(?<![\x20-\x7E])[\x20-\x7E]*ACER BIOS (V[\x20-\x7E]+)\x00{2}",
     r"(?:([\x20-\x7E]{4,})\x00)?([A-Z]{3}[0-9A-F]{2}[A-Z0-9]{2,3}-[A-Z0-9]{3}-[0-9]{6}-[\x21-\x7E]+)(?: +([\x20-\x7E]+))?",
-    r"((?:[\x20-\x7E]{4,}\x00)+)([\x20-\x7E]{8})\x00\x00?\.([\x20-\x7E]{5})\x00",
+    r"(?<![\x20-\x7E])((?:[\x20-\x7E]{4,}\x00)+)([\x20-\x7E]{8})\x00\x00?\.([\x20-\x7E]{5})\x00",
 )
 AMI = r"American Megatrends Inc|AMIBIOSC| Access Methods Inc\.|AMI- ([0-9]{2}/[0-9]{2}/[0-9]{2}) (?:IBM is a TM of IBM|[\x00-\xFF]{2}   AMI-[^-]+-BIOS )"
 AMI_DATE = r"([0-9\xB0-\xB9]{2}/[0-9\xB0-\xB9]{2}/[0-9\xB0-\xB9]{2})[^0-9]"
@@ -52,7 +53,7 @@ AMI_OLD = (
 )
 AMI_OLD_DATE = r"\xAA\x55[\x00-\xFF]{1,16}([0-9]{2}/[0-9]{2}/[0-9]{2})|\xFF{4}FLASH-([0-9]{2})([0-9]{2})([0-9]{2})"
 AMI_OLD_STRING = r"\xFE(?:[\x00-\x95\x97-\xFD\xFF]{4}\x96(?:[\x00-\x95\x97-\xFF]{4}\x96)?[\x00-\x95\x97-\xFF]{6}|\x6D\xD4\xCC\x8E\xFE[\x00-\xFF]{1,64})"
-AMI_OLD_SIGNON = r"(?d)([0-9A-Za-z- ]*BIOS \(C\).*(?:AMI|American Megatrends Inc\.?))(?:, for ([\x0D\x0A\x20-\x7E]+))?"
+AMI_OLD_SIGNON = r"(?d)(?<![0-9A-Za-z- ])([0-9A-Za-z- ]*BIOS \(C\).*(?:AMI|American Megatrends Inc\.?))(?:, for ([\x0D\x0A\x20-\x7E]+))?"
 AMI_OLD_SETUP = r"[A-Za-z][0-9/]+([\x20-\x27\x29-\x7E]*(SETUP PROGRAM FOR | SETUP UTILITY)[\x20-\x27\x29-\x7E]*)\(C\)19"
 AMI_PC_CHIPS = r"ADVANCED SYSTEM SETUP UTILITY VERSION[\x20-\x7E]+?PC CHIPS INC"
 AMI_8088_STRING = r"\xEC\x5F\x6C\x60\x5A\x5C\xEA\xF0\xEC([\x00-\x6B\x6D-\xFF]{11,64})\x6C"
@@ -87,10 +88,10 @@ ENTRY_DATE = r"(?s)(?:\xEA..\x00\xF0|\xE9..)((?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-
 OLIVETTI = ("COPYRIGHT (C)   OLIVETTI", r"No ROM BASIC available - RESET|ROM BASIC Not Available,", r"^(?:COPYRIGHT \(C\) OLIVETTI )?([0-9]{2}/[0-9]{2}/[0-9]{2})$", r"^Version ([^\s]+)")
 SYSTEMSOFT = (
     r"(?:SystemSoft|Insyde Software(?: Presto)?) BIOS |SystemSoft SCU\. Copr 1983-",
-    r"(?:[\x20-\x7E]+ BIOS [Ff]or [\x20-\x7E]+|SystemSoft [\x20-\x7E]+ BIOS) (?:Vers(?:\.|ion) 0?([^ \x0D\x0A]+)(?: ([\x20-\x7E]+))?| *\(c\))",
+    r"(?:(?<![\x20-\x7E])[\x20-\x7E]+ BIOS [Ff]or [\x20-\x7E]+|SystemSoft [\x20-\x7E]+ BIOS) (?:Vers(?:\.|ion) 0?([^ \x0D\x0A]+)(?: ([\x20-\x7E]+))?| *\(c\))",
     r"(Insyde Software Presto|SystemSoft MobilePRO) BIOS Version ([^ \x0D\x0A]+)(?: ([\x20-\x7E]+))?",
-    r"([\x20-\x7E]+ SCU [Ff]or [\x20-\x7E]+ [Cc]hipset)",
-    r"([\x20-\x7E]+ BIOS [Ff]or [\x20-\x27\x29-\x7E]+)\(",
+    r"(?<![\x20-\x7E])([\x20-\x7E]+ SCU [Ff]or [\x20-\x7E]+ [Cc]hipset)",
+    r"(?<![\x20-\x7E])([\x20-\x7E]+ BIOS [Ff]or [\x20-\x27\x29-\x7E]+)\(",
     r"(?:\x0D\x0A){1,}\x00\x08\x00([\x20-\x7E]+)",
 )
 
@@ -181,13 +182,12 @@ def ami_tables(t: Column) -> Column:
 def ami_block(t: Column, intel: Column, then: Callable[..., Column]) -> Column:
     """``then(version, string, at)`` of the identification block; null without one."""
     hit, at = F.regexp_extract(t, AMI_BLOCK, 0), place(t, AMI_BLOCK)
-    group = lambda k: found(hit, AMI_BLOCK, k)
-    six = F.when(group(1).rlike("[0-9]$"), group(1)).otherwise(F.concat(F.substring(group(1), 1, 4), F.lit("00")))
-    version = F.coalesce(F.when(group(1).isNotNull(), six), F.concat(group(2), group(3), F.lit("00")), group(4))
-    tag = read_string(at_offset(t, at, 0xEC, 0x14))
-    string = read_string(at_offset(t, at, 0x78, 0x28))
-    string = F.when(tag.startswith("_TG_"), F.concat(F.rtrim(string), F.lit("-"), F.ltrim(F.substring(tag, 5, 64)))).otherwise(string)
-    return F.when(hit != "", then(version, string, at))
+    group = lambda h, k: found(h, AMI_BLOCK, k)
+    six = lambda h: bind(group(h, 1), lambda g: F.when(g.rlike("[0-9]$"), g).otherwise(F.concat(F.substring(g, 1, 4), F.lit("00"))))
+    version = lambda h: F.coalesce(six(h), F.concat(group(h, 2), group(h, 3), F.lit("00")), group(h, 4))
+    tagged = lambda at, x: bind(read_string(at_offset(t, at, 0xEC, 0x14)), lambda g: F.when(g.startswith("_TG_"), F.concat(F.rtrim(x), F.lit("-"), F.ltrim(F.substring(g, 5, 64)))).otherwise(x))
+    whole = lambda at: bind(read_string(at_offset(t, at, 0x78, 0x28)), lambda x: tagged(at, x))
+    return F.when(hit != "", bind(F.struct(version(hit).alias("v"), at.alias("at")), lambda b: bind(whole(b["at"]), lambda x: then(b["v"], x, b["at"]))))
 
 
 def ami_color(t: Column, intel: Column) -> Column:
@@ -195,8 +195,8 @@ def ami_color(t: Column, intel: Column) -> Column:
 
     def block(version: Column, string: Column, at: Column) -> Column:
         long = at_offset(t, at, 0x123, 8) == " Inc.,\0 "
-        sign = F.when(long, F.substring_index(at_offset(t, at, 0x100, 0x100), "\0\0", 1)).otherwise(read_string(at_offset(t, at, 0x100, 0x100)))
-        sign = F.when(intel.isNotNull(), F.concat(intel, F.lit("\n"), sign)).otherwise(sign)
+        sign = bind(at_offset(t, at, 0x100, 0x100), lambda x: F.when(long, F.substring_index(x, "\0\0", 1)).otherwise(read_string(x)))
+        sign = F.concat(F.coalesce(F.concat(intel, F.lit("\n")), F.lit("")), sign)
         lines = F.transform(F.split(F.replace(sign, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.trim(x))
         rights = lambda x: F.coalesce(F.get(F.filter(x, lambda y: y.contains("American Megatrends")), F.lit(0)), F.get(x, F.lit(0)))
 
@@ -216,33 +216,40 @@ def ami_color(t: Column, intel: Column) -> Column:
 
 def ami_old(t: Column, intel: Column) -> Column:
     """From the date and the encoded string of images before the identification block."""
-    core = found(t, AMI_OLD_DATE, 0)
-    begin = F.when(core.isNotNull(), place(t, AMI_OLD_DATE)).otherwise(1)
     dated = F.translate(found(t, AMI_DATE, 1), "".join(map(chr, range(0xB0, 0xBA))), "0123456789")
     flash = F.concat_ws("/", *[found(t, AMI_OLD_DATE, k) for k in (2, 3, 4)])
-    version = F.when(core.isNull(), dated).otherwise(F.coalesce(found(t, AMI_OLD_DATE, 1), flash))
-    early, after, block = F.nullif(F.regexp_extract(t, AMI, 1), F.lit("")), F.substring(t, begin, F.length(t)), place(t, AMI_OLD_BLOCK)
-    hidden = hidden_string(F.substring(after, place(after, AMI_OLD_STRING) + 1, F.lit(256)))
-    hidden = F.when(hidden.contains("Intel Corporation") | (F.length(hidden) <= 8), "").otherwise(F.regexp_replace(hidden, "-?K$", ""))
-    rebuilt = F.concat(
-        F.lit("????-"), F.upper(F.hex(F.encode(at_offset(t, block, -0xBB, 2), "ISO-8859-1"))), F.lit("-"), F.trim(F.replace(read_string(at_offset(t, block, 0x9C, 8)), F.lit("/"), F.lit("")))
-    )
-    rebuilt = F.when(rebuilt.rlike(r"^\?{4}-(0000|0166)-"), "").otherwise(rebuilt)
-    text = F.transform(codes(F.regexp_extract(t, AMI_8088_STRING, 1)), lambda c: F.shiftleft(F.pmod(-c, F.lit(256)), 1).bitwiseOR(F.shiftright(F.pmod(-c, F.lit(256)), 7)))
-    string = F.when(block > 0, F.when(after.rlike(AMI_OLD_STRING), hidden).otherwise(rebuilt))
-    string = string.when(early.isNotNull(), F.when(t.rlike(AMI_8088_STRING), spelled(text)).otherwise(F.concat(F.lit("????-"), F.replace(early, F.lit("/"), F.lit("")))))
-    version = F.when((block == 0) & early.isNotNull(), early).otherwise(version)
-    named = F.regexp_extract(F.regexp_extract(t, AMI_OLD_SIGNON, 1), r"^[^\x00\x0D\x0A\x80-\xFF]*", 0)
-    setup = F.replace(found(t, AMI_OLD_SETUP, 1), found(t, AMI_OLD_SETUP, 2), F.lit(""))
-    sign = F.when(t.rlike(AMI_OLD_SIGNON), F.regexp_replace(read_string(F.regexp_extract(t, AMI_OLD_SIGNON, 2)), r"\n{2,}", "\n")).otherwise(intel)
-    return finding("AMI", version, string, sign, entry("ID", F.nullif(named, F.lit(""))), entry("Setup", F.coalesce(setup, F.when(t.rlike(AMI_PC_CHIPS), "PC Chips"))))
+    version = F.when(~t.rlike(AMI_OLD_DATE), dated).otherwise(F.coalesce(found(t, AMI_OLD_DATE, 1), flash))
+    early, after = found(t, AMI, 1), F.substring(t, F.greatest(place(t, AMI_OLD_DATE), F.lit(1)), F.length(t))
+
+    def own(x: Column) -> Column:
+        plain = lambda h: F.when(h.contains("Intel Corporation") | (F.length(h) <= 8), "").otherwise(F.regexp_replace(h, "-?K$", ""))
+        return bind(hidden_string(F.substring(x, place(x, AMI_OLD_STRING) + 1, F.lit(256))), plain)
+
+    def rebuilt(block: Column) -> Column:
+        day = F.trim(F.replace(read_string(at_offset(t, block, 0x9C, 8)), F.lit("/"), F.lit("")))
+        made = F.concat(F.lit("????-"), F.upper(F.hex(F.encode(at_offset(t, block, -0xBB, 2), "ISO-8859-1"))), F.lit("-"), day)
+        return bind(made, lambda x: F.when(x.rlike(r"^\?{4}-(0000|0166)-"), "").otherwise(x))
+
+    def done(e: Column, block: Column) -> Column:
+        turn = lambda c: F.shiftleft(F.pmod(-c, F.lit(256)), 1).bitwiseOR(F.shiftright(F.pmod(-c, F.lit(256)), 7))
+        first = F.when(t.rlike(AMI_8088_STRING), spelled(F.transform(codes(F.regexp_extract(t, AMI_8088_STRING, 1)), turn))).otherwise(F.concat(F.lit("????-"), F.replace(e, F.lit("/"), F.lit(""))))
+        string = F.when(block > 0, bind(after, lambda x: F.when(x.rlike(AMI_OLD_STRING), own(x)).otherwise(rebuilt(block)))).when(e.isNotNull(), first)
+        named = F.regexp_extract(F.regexp_extract(t, AMI_OLD_SIGNON, 1), r"^[^\x00\x0D\x0A\x80-\xFF]*", 0)
+        setup = F.replace(found(t, AMI_OLD_SETUP, 1), found(t, AMI_OLD_SETUP, 2), F.lit(""))
+        sign = F.when(t.rlike(AMI_OLD_SIGNON), F.regexp_replace(read_string(F.regexp_extract(t, AMI_OLD_SIGNON, 2)), r"\n{2,}", "\n")).otherwise(intel)
+        when = F.when((block == 0) & e.isNotNull(), e).otherwise(version)
+        return finding("AMI", when, string, sign, entry("ID", filled(named)), entry("Setup", F.coalesce(setup, F.when(t.rlike(AMI_PC_CHIPS), "PC Chips"))))
+
+    return bind(early, lambda e: bind(place(t, AMI_OLD_BLOCK), lambda block: done(e, block)))
 
 
 def ami(t: Column, header: Column | None = None) -> Column:
-    intel = F.coalesce(intel_header(header), intel_mark(t))
-    bare = finding("AMI", F.when(t.contains("AMIBIOS"), core_version(t)), None, intel)
-    old = F.when(F.length(t) >= 1024, F.when(t.rlike(AMI_OLD), ami_old(t, intel)).when(intel.isNotNull(), bare))
-    return F.when(t.rlike(AMI), F.when(t.rlike(AMI_BLOCK), ami_color(t, intel)).otherwise(old))
+    def by_age(intel: Column) -> Column:
+        bare = finding("AMI", F.when(t.contains("AMIBIOS"), core_version(t)), None, intel)
+        old = F.when(F.length(t) >= 1024, F.when(t.rlike(AMI_OLD), ami_old(t, intel)).when(intel.isNotNull(), bare))
+        return F.when(t.rlike(AMI_BLOCK), ami_color(t, intel)).otherwise(old)
+
+    return F.when(t.rlike(AMI), bind(F.coalesce(intel_header(header), intel_mark(t)), by_age))
 
 
 def ami_uefi(t: Column, header: Column | None = None) -> Column:
@@ -263,43 +270,50 @@ def award(t: Column, header: Column | None = None) -> Column:
     medallion = found(t, AWARD_MEDALLION, 0)
 
     def block(at: Column) -> Column:
-        """(version, string, signon, id) of the block at a place; null if its string is a bare remainder."""
-        name = F.when(medallion.isNotNull(), read_string(medallion)).otherwise(F.substring_index(read_string(at_offset(t, at, 0x61, 0x60)), "\r", 1))
-        number = F.coalesce(found(name, AWARD_VERSION, 1), found(name, AWARD_VERSION, 2))
-        packard, giga = name.startswith("Award Modular BIOS/"), t.contains("GIGABYTEFLAG\0")
-        version = F.when(number.isNotNull(), F.concat(F.lit("v"), number)).when(name == "Award Modular BIOS Version ", "Intel").when(packard, "Packard Bell").when(giga, "?")
-        sign = read_string(at_offset(t, at, 0xC1, 0x4E))
-        sign = F.when(sign.contains(" BUSINESS MACHINES CORP."), read_string(at_offset(t, at, 0x71A, 0x100))).otherwise(sign)
-        sign = F.when(number.isNull() & packard, F.concat(F.substring(name, 20, 96), F.lit("\n"), sign)).otherwise(sign)
-        gigabyte = (number == "6.00PG") | (number.isNull() & (name != "Award Modular BIOS Version ") & ~packard & giga)
-        sign = F.when(gigabyte & sign.rlike(AWARD_EVAL) & t.rlike(AWARD_BIF), F.concat(F.regexp_extract(t, AWARD_BIF, 1), F.lit(" "), F.regexp_extract(t, AWARD_BIF, 2))).otherwise(sign)
-        string = read_string(at_offset(t, at, 0xC71, 0x6F))
-        new = found(t, AWARD_NEW_DATE, 0)
-        date = F.when(F.length(F.regexp_extract(string, AWARD_STRING_DATE, 1)) == 2, found(t, AWARD_NEW_DATE, 4)).otherwise(F.concat(*[found(t, AWARD_NEW_DATE, k) for k in (1, 2, 3)]))
-        redated = F.concat(date, F.substring(string, F.length(date) + 1, F.lit(256)))
-        string = F.when(string.contains(" Award Software Inc. "), read_string(at_offset(t, at, 0xCE0, 0x10))).when(new.isNotNull() & string.rlike(AWARD_STRING_DATE), redated).otherwise(string)
-        early = F.coalesce(version.rlike(r"^v[23]\."), F.lit(False))
-        string = F.when(~early, string)
-        bare = F.coalesce((F.length(string) <= 11) & string.endswith("-"), F.lit(False))
-        net = F.when(~early & F.lit(True) & t.contains(AWARD_NET[0]) & t.contains(AWARD_NET[1]) & t.contains(AWARD_NET[2]), F.lit("[PhoenixNet]"))
+        """(version, string, signon, metadata) of the block at a place; null if its string is a bare remainder."""
+        own = F.substring_index(read_string(at_offset(t, at, 0x61, 0x60)), "\r", 1)
+        name = F.when(medallion.isNotNull(), read_string(medallion)).otherwise(own)
+        number = lambda n: F.coalesce(found(n, AWARD_VERSION, 1), found(n, AWARD_VERSION, 2))
+        return bind(name, lambda n: bind(number(n), lambda v: numbered(at, n, v)))
+
+    def numbered(at: Column, name: Column, number: Column) -> Column:
+        bare, packard = name == "Award Modular BIOS Version ", name.startswith("Award Modular BIOS/")
+        giga = number.isNull() & ~bare & ~packard & t.contains("GIGABYTEFLAG\0")
+        version = F.when(number.isNotNull(), F.concat(F.lit("v"), number)).when(bare, "Intel").when(packard, "Packard Bell").when(giga, "?")
+        far = read_string(at_offset(t, at, 0x71A, 0x100))
+        sign = bind(read_string(at_offset(t, at, 0xC1, 0x4E)), lambda x: F.when(x.contains(" BUSINESS MACHINES CORP."), far).otherwise(x))
+        sign = F.concat(F.when(number.isNull() & packard, F.concat(F.substring(name, 20, 96), F.lit("\n"))).otherwise(""), sign)
+        real = F.concat(F.regexp_extract(t, AWARD_BIF, 1), F.lit(" "), F.regexp_extract(t, AWARD_BIF, 2))
+        test = lambda x: ((number == "6.00PG") | giga) & x.rlike(AWARD_EVAL) & t.rlike(AWARD_BIF)
+        sign = bind(sign, lambda x: F.when(test(x), real).otherwise(x))
+        early = F.coalesce(F.substring(number, 1, 2).isin("2.", "3."), F.lit(False))
+        net = F.when(~early & t.contains(AWARD_NET[0]) & t.contains(AWARD_NET[1]) & t.contains(AWARD_NET[2]), F.lit("[PhoenixNet]"))
         hybrid = F.when(~early & t.contains("EFI CD/DVD Boot Option"), F.lit("[UEFI] Gigabyte Hybrid EFI"))
-        return F.when(~bare, F.struct(version.alias("version"), string.alias("string"), sign.alias("sign"), F.array(entry("ID", name), hybrid, net).alias("metadata")))
+        done = lambda string: F.struct(version.alias("version"), string.alias("string"), sign.alias("sign"), F.array(entry("ID", name), hybrid, net).alias("metadata"))
+        left = lambda x: F.coalesce((F.length(x) <= 11) & x.endswith("-"), F.lit(False))
+        return bind(F.when(~early, dated(at)), lambda x: F.when(~left(x), done(x)))
+
+    def dated(at: Column) -> Column:
+        """The string of a block, with the date of a later change where there is one."""
+        year = lambda x: F.length(F.regexp_extract(x, AWARD_STRING_DATE, 1))
+        new = lambda x: bind(F.when(year(x) == 2, found(t, AWARD_NEW_DATE, 4)).when(year(x) > 0, F.substring(found(t, AWARD_NEW_DATE, 0), 2, 10)), lambda d: F.concat(d, F.substring(x, F.length(d) + 1, F.lit(256))))
+        further = read_string(at_offset(t, at, 0xCE0, 0x10))
+        return bind(read_string(at_offset(t, at, 0xC71, 0x6F)), lambda x: F.when(x.contains(" Award Software Inc. "), further).otherwise(F.coalesce(new(x), x)))
 
     blocks = F.filter(F.transform(places_of(t, AWARD_BLOCK), block), lambda b: b.isNotNull())
     ast = F.when(found(t, AWARD_AST, 1).isNotNull(), place(t, r"IBM COMPATIBLE AST BIOS") + 16).otherwise(place(t, AWARD_AST))
-    near = read_string(at_offset(t, ast, 0x44, 0x100))
-    ast_lines = F.split(F.when(near.startswith("A"), near).otherwise(read_string(at_offset(t, ast, 0x80, 0x100))), "\n")
-    stop = F.array_position(F.transform(ast_lines, lambda x: x.contains("IBM IS A TRADEMARK OF INTERNATIONAL BUSINESS MACHINES CORP.")), True)
-    ast_lines = F.when(stop > 0, F.slice(ast_lines, F.lit(1), (stop - 1).cast("int"))).otherwise(ast_lines)
-    ast_sign = F.array_join(F.filter(ast_lines, lambda x: ~x.startswith("Copyright ") & ~x.startswith("All Rights Reserved")), "\n")
+    near = bind(read_string(at_offset(t, ast, 0x44, 0x100)), lambda x: F.when(x.startswith("A"), x).otherwise(read_string(at_offset(t, ast, 0x80, 0x100))))
+    end = lambda x: F.array_position(F.transform(x, lambda y: y.contains("IBM IS A TRADEMARK OF INTERNATIONAL BUSINESS MACHINES CORP.")), True)
+    kept = bind(F.split(near, "\n"), lambda x: bind(end(x), lambda e: F.when(e > 0, F.slice(x, F.lit(1), (e - 1).cast("int"))).otherwise(x)))
+    ast_sign = F.array_join(F.filter(kept, lambda x: ~x.startswith("Copyright ") & ~x.startswith("All Rights Reserved")), "\n")
     early_at = place(t, AWARD_EARLY)
 
     def chosen(b: Column) -> Column:
         first = F.get(b, F.lit(0))
         kept = F.filter(first["metadata"], lambda m: m.isNotNull())
         whole = F.struct(
-            F.lit("Award").alias("vendor"), first["version"].alias("version"), F.nullif(first["string"], F.lit("")).alias("string"),
-            F.nullif(tidy_lines(first["sign"]), F.lit("")).alias("signon"), kept.alias("metadata"),
+            F.lit("Award").alias("vendor"), first["version"].alias("version"), filled(first["string"]).alias("string"),
+            filled(tidy_lines(first["sign"])).alias("signon"), kept.alias("metadata"),
         )
         other = F.when(t.rlike(AWARD_AST), finding("Award", F.lit("AST"), None, tidy_lines(ast_sign))).when(
             early_at > 0, finding("Award", F.concat(F.lit("v"), F.regexp_extract(t, AWARD_EARLY, 2)), None, tidy_lines(read_string(at_offset(t, early_at, 0x3C, 0x50))))
@@ -316,9 +330,8 @@ def award_power(t: Column, header: Column | None = None) -> Column:
 
     def made(e: Column) -> Column:
         several = F.size(e) > 1
-        last = F.regexp_replace(F.when(several, F.element_at(e, -1)), "^m", "")
         serial = F.concat_ws(" ", found(t, ENTRY_DATE, 1), F.trim(F.regexp_replace(found(t, POWER[4], 0), r"[\x00\r\n]+$", "")))
-        last = F.when((F.trim(last) == "Serial No.") & (serial != ""), serial).otherwise(last)
+        last = bind(F.regexp_replace(F.when(several, F.element_at(e, -1)), "^m", ""), lambda x: F.when((F.trim(x) == "Serial No.") & (serial != ""), serial).otherwise(x))
         names = F.when(several, F.slice(e, F.lit(1), F.size(e) - 1)).otherwise(e)
         name = F.array_join(F.filter(F.transform(names, lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), "\n")
         version = F.concat_ws(" ", F.lit("PowerBIOS"), found(name, POWER[3], 1))
