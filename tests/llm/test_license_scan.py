@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -20,7 +21,8 @@ def brute(rows):
 
     def own(path, text):
         whole = bool(path and re.search(ls.LICENCE_FILE.replace("(?i)", ""), path.rsplit("/", 1)[-1], re.I))
-        lines = [text] if whole else [x for x in (text or "").split("\n") if re.search(ls.STATEMENT.replace("(?i)", ""), x, re.I)]
+        parts = (text or "").split("\n") + [x for x in re.split(ls.PARAGRAPH, text or "") if "\n" in x]
+        lines = [text] * whole + [x for x in parts if re.search(ls.STATEMENT.replace("(?i)", ""), x, re.I)]
         found = []
         for line in lines:
             c = Counter(cut(line or ""))
@@ -87,6 +89,27 @@ def test_folders(spark):
     assert [(x[2], x[3]) for x in got if x[0] == 3] == [("Apache-2.0", "inherited")]
 
 
+def test_whole_licence_files_and_wrapped_headers(spark):
+    wrap = lambda t, n=60, lead="": "\n".join(lead + x for x in textwrap.wrap(t, n))
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n" + "The precise terms follow. " * 300
+    notice = dict(ls.TEMPLATES[7:8])["Apache-2.0"]
+    rows = [
+        (1, "mit/LICENSE", "The MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrap(ls._MIT)),
+        (2, "isc/LICENSE.md", "Copyright (c) 2019, A. Person\n\n" + wrap(ls._ISC)),
+        (3, "bsd2/COPYING", "Copyright 2011 Maker\n\n" + wrap(ls._BSD_START + ls._BSD_END)),
+        (4, "bsd3/COPYING", "Copyright 2011 Maker\n\n" + wrap(ls._BSD_START + ls._BSD_NAMES + ls._BSD_END)),
+        (5, "gpl/COPYING", title),
+        (6, "code/a.c", "/*\n" + wrap(notice, 50, " * ") + "\n */\n\nint main() {}\n"),
+        (7, "mit/src/b.c", "int x;"),
+        (8, "plain/c.c", "/* nothing\n about it */"),
+    ]
+    got = sorted((r.id, r.licence, r.origin) for r in ls.scan(spark.createDataFrame(rows, "id long, p string, text string"), F.col("p"), "id").collect())
+    assert got == [
+        (1, "MIT", "file"), (2, "ISC", "file"), (3, "BSD-2-Clause", "file"), (4, "BSD-3-Clause", "file"), (5, "GPL-3.0", "file"),
+        (6, "Apache-2.0", "header"), (7, "MIT", "inherited"), (8, None, "none"),
+    ]
+
+
 def test_odd_rows(odd, empty):
     assert ls.scan(odd, document_path()).count() == odd.count()
     assert ls.scan(empty, document_path()).count() == 0
