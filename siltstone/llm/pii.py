@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, small_batches
+from .common import BROADCAST_BYTES, materialize, sized_join, small_batches
 
 KEY = b"siltstone surrogates"
 ROUNDS = 40
@@ -56,16 +56,17 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+)"
     r"|(?P<secret>(?i:password|passwd|pwd|secret|token|api[-_ ]?key)[\"']?\s*[:=]\s*[\"']?(?P<secret_value>[^\s\"',;]{6,}))"
     r"|(?P<awskey>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))"
+    r"|(?P<apikey>(?<![A-Za-z0-9_-])(?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj[-_])?[A-Za-z0-9_-]{20,}|(?<![A-Za-z0-9])gh[oprsu]_[A-Za-z0-9]{30,}|(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
     r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d[\d .-]{5,13}\d(?!\d)|(?<![\d-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d[\d .-]{5,13}\d(?!\d)|(?<![\d-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\d.-])0\d{2,4} \d{3,4} \d{3,4}(?![\d.-]))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
     rf"|(?P<name>(?<!\w)(?P<title>(?i:{_TITLE})) (?P<who>{_NAME}(?: {_NAME})?))"
 )
 _CAPITAL = re.compile(rf"(?<!\w){_NAME}")
-_LIKELY, _COLONS = re.compile(r"[@0-9]"), re.compile(r"[0-9A-Fa-f:]:[0-9A-Fa-f:]")
+_LIKELY, _COLONS = re.compile(r"[@0-9]|(?:sk|pk|rk|gh[oprsu]|xox[abprs])[-_]"), re.compile(r"[0-9A-Fa-f:]:[0-9A-Fa-f:]")
 _WORDS = ("password", "passwd", "pwd", "secret", "token", "key")
 
 
@@ -133,6 +134,10 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind in ("phone", "card", "ssn"):
             plus = "+" * (kind == "phone" and value.startswith("+"))
             value = plus + re.sub(r"\D", "", value)
+            if kind == "card" and luhn(value):
+                # not a card; what begins behind its first digit group may be another entity
+                at = begin + len(re.match(r"\d+", text[begin:end])[0])
+                continue
             if plus and value.startswith("+1") and len(value) == 12:
                 value = value[2:]
         elif kind == "name":
@@ -266,6 +271,9 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         given, family = ([x for x in pool if x.casefold() not in re.split("[ -]", who)] for pool in (GIVEN[gender, script], FAMILY[script]))
         last = s.pick(family) + "".join("-" + s.pick(family) for _ in range(attempt))
         return f"{gender}|{script}|" + (f"{s.pick(given)} {last}" if " " in who else last).casefold()
+    if kind == "apikey":
+        head = re.match(r"(?:[a-z]{2}[-_](?:(?:live|test|proj)[-_])?|xox[a-z]-)", value)[0]
+        return head + "".join(_like(c, s, False) for c in value[len(head) :]) + _any(s, more)
     if kind == "awskey":
         return value[:4] + "".join(s.pick(string.ascii_uppercase + "234567") for _ in value[4:])
     hexa = len(value) >= 8 and all(c in string.hexdigits for c in value)
@@ -354,8 +362,10 @@ def settled(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
     now = materialize(drawn(found.withColumn("attempt", F.lit(0))))
     for n in range(rounds + 1):
         taken = now.join(values, ["kind", "surrogate"], "left_semi").select("kind", "value")
-        order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
-        second = now.withColumn("r", F.row_number().over(order)).filter("r > 1").select("kind", "value")
+        # The first holder of a surrogate by aggregates, as single-word names of a whole corpus share few of them.
+        holders = now.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("attempt", "value")).alias("first")).filter("c > 1")
+        holders = materialize(holders.select("kind", "surrogate", F.col("first.value").alias("first")))
+        second = sized_join(now, holders, ["kind", "surrogate"], "inner", F.octet_length("surrogate") + F.octet_length("first") + 64).filter("value <> first").select("kind", "value")
         again = materialize(taken.union(second).distinct())
         if again.isEmpty():
             break
@@ -374,7 +384,9 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> Dat
     corpus, and no surrogate is a value found in it.
     """
     small_batches(df.sparkSession)
-    df = df.drop("pii_kinds")
+    fields = [c for c in df.columns if c != "pii_kinds"]
+    # Columns of our own by names that none of the table's has.
+    done, digest, other = (f"_{c}" + "_" * max(map(len, df.columns)) for c in ("done", "digest", "other"))
     redrawn = materialize(settled(materialize(entities(df, text_col)), key))
     size = redrawn.agg(F.sum(F.octet_length("value") + F.octet_length("surrogate") + 200)).first()[0] or 0
     if size <= BROADCAST_BYTES:
@@ -386,24 +398,24 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> Dat
             choose = lambda kind, value: other.get((kind, value)) or surrogate(kind, value, 0, key)
             return pd.DataFrame([replace(t, choose) for t in texts], columns=["t", "k"])
 
-        done = df.withColumn("_done", run(text_col))
+        out = df.withColumn(done, run(text_col))
     else:
-        done = _joined(df, text_col, redrawn, key)
-    return done.withColumn(text_col, F.col("_done.t")).withColumn("pii_kinds", F.col("_done.k")).drop("_done")
+        out = _joined(df, text_col, redrawn, key, done, digest, other)
+    return out.select(*[F.col(f"{done}.t").alias(c) if c == text_col else c for c in fields], F.col(f"{done}.k").alias("pii_kinds"))
 
 
 RESULT = "t string, k array<string>"
 
 
-def _joined(df: DataFrame, text_col: str, redrawn: DataFrame, key: bytes) -> DataFrame:
+def _joined(df: DataFrame, text_col: str, redrawn: DataFrame, key: bytes, done: str = "_done", digest: str = "_digest", other: str = "_other") -> DataFrame:
     """The same where the values drawn again are too many to broadcast: they are joined to the texts that have them."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame(sorted({(h, k, v) for h, t in zip(b["_h"], b["_t"]) for _, _, k, v in find(t)}), columns=["_h", "kind", "value"])
 
-    digest = F.sha2(F.col(text_col), 256)
-    has = df.select(digest.alias("_h"), F.col(text_col).alias("_t")).mapInPandas(listed, "_h string, kind string, value string").distinct()
+    sha = F.sha2(F.col(text_col), 256)
+    has = df.select(sha.alias("_h"), F.col(text_col).alias("_t")).mapInPandas(listed, "_h string, kind string, value string").distinct()
     per = has.join(redrawn, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("_other"))
 
     @F.pandas_udf(RESULT)
@@ -414,4 +426,5 @@ def _joined(df: DataFrame, text_col: str, redrawn: DataFrame, key: bytes) -> Dat
             out.append(replace(t, lambda kind, value: other.get((kind, value)) or surrogate(kind, value, 0, key)))  # noqa: B023
         return pd.DataFrame(out, columns=["t", "k"])
 
-    return df.withColumn("_h", digest).join(per, "_h", "left").withColumn("_done", run(text_col, "_other")).drop("_h", "_other")
+    per = per.select(F.col("_h").alias(digest), F.col("_other").alias(other))
+    return df.withColumn(digest, sha).join(per, digest, "left").withColumn(done, run(text_col, other))
