@@ -76,20 +76,24 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # Written first: the aggregate's partitions would bind the join to them, and a chunk of very many places to one task.
     gone = maybe.join(materialize(same), ["_hash", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
     gone = materialize(gone.groupBy("_key").agg(F.collect_set("_place").alias("_gone")))
-    out = sized_join(df.drop("lines_total", "lines_cut").withColumn("_key", key), gone, "_key", "left", F.size("_gone") * 8 + 96)
+    # Columns of our own by names that none of the table's has.
+    fields = [c for c in df.columns if c not in ("lines_total", "lines_cut")]
+    mark, away, left = (f"_{c}" + "_" * max(map(len, df.columns)) for c in ("key", "gone", "rest"))
+    gone = gone.toDF(mark, away)
+    out = sized_join(df.withColumn(mark, key), gone, mark, "left", F.size(away) * 8 + 96)
 
     def rest(c: Column) -> Column:
-        stay = F.filter(c, lambda x, i: ~F.array_contains("_gone", i))
+        stay = F.filter(c, lambda x, i: ~F.array_contains(F.col(away), i))
         return F.struct(
             F.array_join(F.transform(stay, lambda x: x["chunk"]), "\n").alias("text"),
             (F.aggregate(c, F.lit(0), lambda a, x: a + x["lines"]) - F.aggregate(stay, F.lit(0), lambda a, x: a + x["lines"])).alias("cut"),
         )
 
     text = F.col(text_col)
-    out = out.withColumn("_rest", F.when(F.col("_gone").isNotNull(), bind(chunks(text), rest)))
+    out = out.withColumn(left, F.when(F.col(away).isNotNull(), bind(chunks(text), rest)))
     total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumn("lines_total", total.cast("long")).withColumn("lines_cut", F.coalesce("_rest.cut", F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.coalesce("_rest.text", text)).drop("_key", "_gone", "_rest")
+    kept = [F.coalesce(F.col(f"{left}.text"), text).alias(c) if c == text_col else F.col(c) for c in fields]
+    return out.select(*kept, total.cast("long").alias("lines_total"), F.coalesce(F.col(f"{left}.cut"), F.lit(0)).cast("long").alias("lines_cut"))
 
 
 #: The same in DuckDB SQL, over ``documents``.
