@@ -1,7 +1,7 @@
 """Proportional stratified interleaving into shards.
 
 Rows are shuffled by a seeded hash and ranked within their stratum; a row of rank r among n gets the fractional
-rank (r - 1/2) / n. Sorted by it, every stretch of the order holds the strata in the proportions of the whole,
+rank (r - u) / n, with one u between 0 and 1 for its stratum, so that strata of few rows are spread like others. Sorted by it, every stretch of the order holds the strata in the proportions of the whole,
 so cutting the order into equal stretches gives shards that match the mixture.
 
 Ranks are taken over hash buckets and their running counts, so no task holds a stratum, however large.
@@ -16,6 +16,8 @@ from .common import as_key, from_key
 
 #: Buckets of a ranking; a task sorts the rows of some buckets. The tables of counts have at most this many rows a stratum.
 BUCKETS = 8192
+#: Distinct phases of strata.
+PHASES = 1 << 20
 
 
 def ranked(df: DataFrame, stratum: list[str], bucket: Column, order: list, rank: str) -> DataFrame:
@@ -60,7 +62,8 @@ def interleave_shards(
     ).withColumn("_h", F.xxhash64(F.lit(seed), "_id", "text_crc32", "size"))
     tie = ["_h", "_id", "text_crc32", "size"]
     rows = ranked(rows, ["_s"], F.shiftright("_h", 64 - BUCKETS.bit_length() + 1), tie, "_rank")
-    rows = rows.withColumn("_frac", (F.col("_rank") - 0.5) / F.col("_rank_of"))
+    phase = (F.pmod(F.xxhash64(F.lit(seed), "_s"), F.lit(PHASES)) + 0.5) / PHASES
+    rows = rows.withColumn("_frac", (F.col("_rank") - phase) / F.col("_rank_of"))
     rows = ranked(rows, [], F.floor(F.col("_frac") * BUCKETS), ["_frac", "_s", *tie], "_at")
     at, total = F.col("_at") - 1, F.col("_at_of")
     rows = rows.withColumn("_shard", F.floor(at * shards / total).cast("long"))
