@@ -272,7 +272,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         last = s.pick(family) + "".join("-" + s.pick(family) for _ in range(attempt))
         return f"{gender}|{script}|" + (f"{s.pick(given)} {last}" if " " in who else last).casefold()
     if kind == "apikey":
-        head = re.match(r"(?:[a-z]{2}[-_](?:(?:live|test|proj)[-_])?|xox[a-z]-)", value)[0]
+        head = re.match(r"(?:[a-z]{2}[-_](?:(?:live|test|proj)[-_])?|gh[a-z]_|xox[a-z]-)", value)[0]
         return head + "".join(_like(c, s, False) for c in value[len(head) :]) + _any(s, more)
     if kind == "awskey":
         return value[:4] + "".join(s.pick(string.ascii_uppercase + "234567") for _ in value[4:])

@@ -36,6 +36,13 @@ def test_no_chunk_that_can_go_is_left_twice(documents):
     assert whole.groupBy("c.chunk").count().filter("count > 1").count() == 0
 
 
+def test_clashing_names(odd):
+    names = {"_b": "_gone", "_h": "_key", "fp": "_rest", "id": "lines_cut"}
+    out = line_dedup.dedup_lines(odd.withColumnsRenamed(names))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_gone", "_key", "_rest", "lines_total", "lines_cut"]
+    assert {(r._gone, r._key, r._rest) for r in out.collect()} == {("b", "h", "f")}
+
+
 def test_odd_rows(odd, empty):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == odd.count() and set(rows[0].asDict()) == {*odd.columns, "lines_total", "lines_cut"}

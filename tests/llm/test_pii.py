@@ -32,6 +32,46 @@ def test_kinds_and_forms():
     assert again[11][3] == again[12][3]
 
 
+def test_cards_keys_and_local_numbers():
+    kinds = lambda t: [(t[a:b], k) for a, b, k, _ in pii.find(t)]
+    assert kinds("on 2024-01-01 12345 and 9807915762804490") == []
+    assert kinds("4111 1111 1111 1111, 020 7946 0958") == [("4111 1111 1111 1111", "card"), ("020 7946 0958", "phone")]
+    keys = ["sk-abcdefghijklmnopqrstuvwx", "ghp_" + "a1" * 18, "xoxb-1234567890-abc"]
+    assert kinds(" ".join(keys)) == [(k, "apikey") for k in keys]
+    out, _ = pii.replace(" ".join(keys), pii.surrogate)
+    assert [k for _, k in kinds(out)] == ["apikey"] * 3 and not any(k in out for k in keys)
+    text = "Mr. John Smith and Mr. Smith; Dr. Anna Keller met Mrs. Anna Keller. Later Keller and John Smith spoke"
+    values = [v for *_, v in pii.find(text)]
+    assert len(values) == 6 and len(set(values)) == 2 and {v[0] for v in values} == {"m", "f"}
+
+
+def test_clashing_names(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "mail a@b.example.com", "x", "y", "z", "w")], "doc_id long, text string, _other string, _h string, _done string, pii_kinds string")
+    for most in (pii.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", most)
+        out = pii.pseudonymize(df)
+        assert out.columns == ["doc_id", "text", "_other", "_h", "_done", "pii_kinds"]
+        row = out.first()
+        assert (row._other, row._h, row._done, row.pii_kinds) == ("x", "y", "z", ["email"]) and "a@b" not in row.text
+
+
+def test_against_brute_force(spark):
+    """All surrogates drawn one by one over the whole corpus: values in rounds, until none is shared or a value itself."""
+    rows = [(k, f"Frau Anna Name{k % 40} wrote to u{k % 30}@mail{k % 3}.example.com from 10.0.0.{k % 90 + 1}, card 4111 1111 1111 1111") for k in range(120)]
+    values = {(k, v) for _, t in rows for _, _, k, v in pii.find(t)}
+    now = {x: (0, pii.surrogate(*x)) for x in values}
+    while True:
+        holders = {}
+        for (k, v), (n, s) in now.items():
+            holders.setdefault((k, s), []).append((n, v))
+        again = {(k, v) for (k, s), h in holders.items() for n, v in h if (k, s) in values or (n, v) != min(h)}
+        if not again:
+            break
+        now |= {x: (now[x][0] + 1, pii.surrogate(*x, now[x][0] + 1)) for x in again}
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: pii.replace(t, lambda k, v: now[k, v][1])[0] for i, t in rows}
+
+
 def test_distinct_and_consistent(spark, monkeypatch):
     rows = [(k, f"Frau Anna Name{chr(97 + k % 26)}{chr(97 + k // 26)} wrote to user{k}@mail{k % 3}.example.com from 10.0.{k % 200}.{k // 200 + 1}") for k in range(500)]
     df = spark.createDataFrame(rows + [(1000 + k, t) for k, t in rows[:50]], "doc_id long, text string")
