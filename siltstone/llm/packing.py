@@ -25,7 +25,7 @@ from .common import as_key, from_key, small_batches
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; others are encoded again. It bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Texts are encoded together up to so many characters; longer ones are cut between ASCII words.
 ENCODE_CHARS = 1 << 20
 #: A control character that is a token by itself.
@@ -47,7 +47,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words met lately and, of the generation before, those to be met again: words in use stay, others go.
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
@@ -86,6 +88,13 @@ class WordTokenizer:
         parts = [list(map(cache.get, words)) for words in texts]
         lacking = [k for k, ids in enumerate(parts) if None in ids]
         fresh = {w for k in lacking for w, ids in zip(texts[k], parts[k]) if ids is None}
+        if fresh and self.older:
+            again = {w: ids for w in fresh if (ids := self.older.get(w)) is not None}
+            cache.update(again)
+            fresh -= again.keys()
+            for k in lacking:
+                parts[k] = [again.get(w) if ids is None else ids for w, ids in zip(texts[k], parts[k])]
+            lacking = [k for k in lacking if None in parts[k]]
         if fresh:
             marked = {w for w in fresh if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w.isascii()}
             bare = {w[:-1] for w in marked} | {".", ","}
@@ -95,8 +104,8 @@ class WordTokenizer:
                 found[w] = (found.get(a) or cache[a]) + (found.get(b) or cache[b])
             for k in lacking:
                 parts[k] = [found[w] if ids is None else ids for w, ids in zip(texts[k], parts[k])]
-            if len(cache) + len(found) > CACHE_WORDS:
-                self.cache = {"": b""}  # begun anew, so that it follows the texts
+            if len(cache) + len(found) > CACHE_WORDS // 2:
+                self.older, self.cache = cache, {"": b""}
             self.cache.update((w, ids) for w, ids in list(found.items())[: CACHE_WORDS // 2] if len(w) <= 64)
         return [b"".join(ids) for ids in parts]
 
