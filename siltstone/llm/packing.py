@@ -28,6 +28,8 @@ END_ID = 1
 CACHE_WORDS = 1_000_000
 #: Texts are encoded together up to so many characters; longer ones are cut between ASCII words.
 ENCODE_CHARS = 1 << 20
+#: More than any count of windows.
+EMPTY = 1 << 60
 #: A control character that is a token by itself.
 MARK = "\x01"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -143,36 +145,42 @@ class SumOfSquares:
     def __init__(self, window: int = WINDOW):
         self.window = window
         self.count = np.zeros(window + 1, np.int64)
+        self.less = np.full(window + 1, EMPTY)  # -count, and EMPTY where there is no window to take
         self.open: dict[int, list[list[tuple]]] = {}
 
+    def _add(self, level: int, n: int) -> None:
+        self.count[level] += n
+        self.less[level] = -self.count[level] or EMPTY
+
     def place(self, length: int, piece: tuple) -> list[tuple] | None:
         """Put a piece of 1 to window-1 tokens; the window's pieces if it is now full."""
         top = self.window - length
-        # Change of the sum of squares if a window of each level takes the piece; level 0 opens one.
-        change = 2 * self.count[length:] + 1
-        change[top] = 0
-        change[1:] -= 2 * self.count[1 : top + 1] - 1
-        change[1:][self.count[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        if change.min() == change[::-1].min() and top:
-            level = top - int(np.argmin(change[::-1]))  # of equals the fullest
-        else:
-            level = int(np.argmin(change))
+        # Half the change of the sum of squares, less 1, if a window of each level between takes the piece.
+        change = self.count[length + 1 : self.window] + self.less[1:top]
+        # Level 0 opens a window; the top level fills one. Of equals the fullest is taken.
+        choice = [(2 * int(self.count[length]) + 1, 0)]
+        if top > 1:
+            at = top - 2 - int(change[::-1].argmin())
+            choice.append((2 * int(change[at]) + 2, -1 - at))
+        if self.count[top]:
+            choice.append((1 - 2 * int(self.count[top]), -top))
+        level = -min(choice)[1]
         pieces = []
         if level:
             pieces = self.open[level].pop()
-            self.count[level] -= 1
+            self._add(level, -1)
         pieces.append((*piece, length, level))
         if level + length == self.window:
             return pieces
         self.open.setdefault(level + length, []).append(pieces)
-        self.count[level + length] += 1
+        self._add(level + length, 1)
         return None
 
     def close(self) -> Iterator[list[tuple]]:
         """Empty all open windows, cutting pieces of the emptiest into the gaps of the fullest."""
         left = [p for level in sorted(self.open) for p in self.open[level]]
         self.open, low, high = {}, 0, len(left) - 1
-        self.count[:] = 0
+        self.count[:], self.less[:] = 0, EMPTY
         while low <= high:
             window = left[high]
             fill = window[-1][-1] + window[-1][-2]
