@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+#: Caches that Python workers keep from task to task: the operator's name and what empties its own.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(work: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task. Workers are used again by later operators: the caches of all but ``keeps`` are
+    emptied before, and memory that is free then goes back to the machine behind it."""
+
+    def task(batches: Iterator) -> Iterator:
+        for name, empty in KEPT.items():
+            if name != keeps:
+                empty()
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int | Column) -> DataFrame:
     """Join with a written table, broadcasting it only when the sum of its rows' ``row_bytes`` is within BROADCAST_BYTES."""
     row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
@@ -91,8 +115,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes hashed at once, but for a longer single range.
+SPAN = 1 << 20
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end), from one prefix sum of powers."""
+    """64-bit hashes of the byte ranges [start, end), which are in order and apart. A range's hash depends on its bytes alone."""
+    if len(data) <= SPAN:
+        return _range_hashes(data, starts, ends)
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        upto = max(k + 1, int(np.searchsorted(ends, starts[k] + SPAN, "right")))
+        a, b = starts[k], ends[upto - 1]
+        out[k:upto] = _range_hashes(data[a:b], starts[k:upto] - a, ends[k:upto] - a)
+        k = upto
+    return out
+
+
+def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """From one prefix sum of powers."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[1:], out=sums[1:])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, materialize, mix64, range_hashes, sized_join, small_batches, word_spans
+from .common import as_key, from_key, materialize, mix64, range_hashes, sized_join, small_batches, tidy, word_spans
 
 #: 1 for the words that are compared; five each.
 MASKS = ("111011", "1101011", "11001101", "101100101")
@@ -149,7 +149,7 @@ def contaminated(
             yield pd.DataFrame(out, columns=["run", "id", "begin", "tokens", "at", "h"])
 
     texts = df.select(as_key(F.col(id_col)).alias("id"), F.col(text_col).alias("t"))
-    runs = materialize(texts.mapInPandas(find, "run long, id string, begin long, tokens binary, at array<long>, h array<long>"))
+    runs = materialize(texts.mapInPandas(tidy(find), "run long, id string, begin long, tokens binary, at array<long>, h array<long>"))
     hits = runs.select("run", F.explode(F.arrays_zip("at", "h")).alias("x")).select("run", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     pairs = sized_join(hits, tests.select("h", "p", "item"), "h", "inner", 40)
     pairs = pairs.select("run", "item", (F.col("at") - F.col("p")).alias("shift")).distinct()
@@ -166,7 +166,7 @@ def contaminated(
             yield pd.DataFrame(out, columns=["id", "item", "equal_words", "item_words", "first_word", "end_word"])
 
     fields = "id string, item string, equal_words long, item_words long, first_word long, end_word long"
-    found = pairs.select("id", "item", "begin", "shift", "tokens", "item_tokens").mapInPandas(verify, fields)
+    found = pairs.select("id", "item", "begin", "shift", "tokens", "item_tokens").mapInPandas(tidy(verify), fields)
     best = F.max(F.struct("equal_words", "item_words", (-F.col("first_word")).alias("f"), "end_word")).alias("b")
     found = found.withColumn("item", F.regexp_replace("item", r"\|[0-9a-f]{32}$", "")).groupBy("id", "item").agg(best)
     return found.select(

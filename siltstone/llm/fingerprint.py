@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, mix64, range_hashes, small_batches
+from .common import as_key, from_key, mix64, range_hashes, small_batches, tidy
 
 SMALLEST, NORMAL, LARGEST = 16, 32, 128
 STRICT_BITS, LOOSE_BITS = 6, 3
@@ -141,7 +141,7 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame(out, columns=COLUMNS)
 
     out = rows.mapInPandas(
-        run, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        tidy(run), "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
     return out.withColumn("id", from_key(F.col("id"), kind)).withColumnRenamed("id", id_col)
 

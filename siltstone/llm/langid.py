@@ -9,6 +9,7 @@ behind it, which warm up the states of both directions and are labelled by their
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: The bound on what is learned from: so many labelled rows, whole, with so many bytes together. Rows of over an eighth
 #: of these bytes are not drawn.
@@ -221,10 +222,14 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> Data
         judge()
         return names, score
 
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, score = label(texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": score})
+
     @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        names, score = label(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": score})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(read)(batches)
 
     # One struct column beside those of ``df``, by a name that none of them has.
     name = "_label" + "_" * max(map(len, df.columns))

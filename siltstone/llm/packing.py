@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, small_batches
+from .common import KEPT, as_key, from_key, small_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -33,6 +33,7 @@ EMPTY = 1 << 60
 #: A control character that is a token by itself.
 MARK = "\x01"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+KEPT["packing"] = _TOKENIZERS.clear
 #: Long stretches of a text that end between two ASCII letters or digits with a space between them, or at its end.
 _STRETCH = re.compile(rf"(?s).{{{ENCODE_CHARS - 1}}}.*?(?:(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])|\Z)|.+\Z")
 
@@ -255,7 +256,7 @@ def pack(
 
     kind = df.schema[id_col].dataType.simpleString()
     pieces = df.select(as_key(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(
-        run, "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy(run, "packing"), "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
     return pieces.withColumn("id", from_key(F.col("id"), kind)).withColumnRenamed("id", id_col)
 

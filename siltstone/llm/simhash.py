@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, discard, from_key, materialize, mix64, range_hashes, sized_join, small_batches, word_spans
+from .common import as_key, discard, from_key, materialize, mix64, range_hashes, sized_join, small_batches, tidy, word_spans
 
 DISTANCE = 4
 BLOCKS = 6
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame({"id": b["_id"], "fp": fp.view(np.int64)})
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(as_key(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(run, "id string, fp long")
+    rows = df.select(as_key(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(tidy(run), "id string, fp long")
     return rows.select(from_key(F.col("id"), kind).alias("id"), "fp")
 
 
@@ -243,7 +243,7 @@ def _join_tries(rows: DataFrame, prints: list[str], node: str, distance: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_groups(batches, ["key", "lo", "hi"], lambda rows: _link_groups(rows, prints, node, distance))
 
-    return rows.mapInPandas(run, "u long, v long").distinct()
+    return rows.mapInPandas(tidy(run), "u long, v long").distinct()
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], by: list[str], link: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,7 +378,7 @@ def verified(members: DataFrame, shingle: int, similarity: float, distance: int)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_groups(batches, ["root", "lo", "hi"], link)
 
-    return rows.mapInPandas(run, "u string, v string").distinct()
+    return rows.mapInPandas(tidy(run), "u string, v string").distinct()
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, similarity: float) -> DataFrame:
@@ -395,7 +395,7 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distan
 
     text = F.col(text_col)
     rows = df.select(as_key(F.col(id_col)).alias("key"), F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("-")).alias("hash"), text.alias("text"))
-    docs = materialize(rows.mapInPandas(run, "key string, hash string, digest string, bands array<long>"))
+    docs = materialize(rows.mapInPandas(tidy(run), "key string, hash string, digest string, bands array<long>"))
     first = F.min(F.struct("key", "hash")).alias("first")
     nodes = materialize(docs.groupBy("digest").agg(first, F.any_value("bands").alias("bands")).select("digest", "first.*", "bands"))
     keys = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("band"))
