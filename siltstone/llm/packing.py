@@ -25,7 +25,7 @@ from .common import KEPT, as_key, from_key, small_batches, tidy
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; others are encoded again. It bounds memory, not results.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_600_000
 #: Texts are encoded together up to so many characters; longer ones are cut between ASCII words.
 ENCODE_CHARS = 1 << 20
 #: More than any count of windows.
