@@ -1,22 +1,28 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
 A chunk ends after a line where a rolling hash over the hashes of this line and the one before it is a multiple of
-``DIVISOR``, so the chunks of a passage are the same wherever it stands. A line of ``LONG_LINE`` spaces or more is a
+``DIVISOR``, so the chunks of a passage are the same wherever it stands. A line of weight ``LONG_LINE`` or more is a
 chunk by itself. Chunks of several lines, and long lines, that occur more than once anywhere are compared byte by byte;
-all but the first occurrence, by document and place, are cut. DataFrame functions only.
+all but the first occurrence, by document and place, are cut.
+
+What boundaries leave of a passage is found by windows of two adjacent lines, compared in the same way: a run of windows
+that all occurred before is cut if its lines hold ``PASSAGE`` words or more. So a repeated passage of that many words
+goes up to its edges, however short its lines are. Each line that goes has a copy earlier on; the first copy of a line
+never goes. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sized_join
 
 DIVISOR = 3
 LONG_LINE = 20
+PASSAGE = 30
 
 
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -24,37 +30,78 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def spaces(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+def weight(line: Column) -> Column:
+    """The gaps between a line's words; an eighth of the further bytes of its characters stands for them in scripts without."""
+    bare = F.ltrim(line, F.lit(" "))
+    gaps = F.length(bare) - F.length(F.translate(bare, " \t", ""))
+    return gaps + F.floor((F.octet_length(line) - F.length(line)) / 8).cast("int")
 
 
-def chunks(text: Column) -> Column:
-    """An array of (lines, chunk, can_go) structs that, joined by line feeds, are the text."""
+def _marks(lines: Column) -> Column:
+    """Of each line its hash, words, and whether it is long."""
+
+    def mark(x: Column, w: Column) -> Column:
+        words = F.when(F.trim(x, F.lit(" ")) == "", 0).otherwise(w + 1)
+        return F.struct(F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long").alias("h"), words.alias("words"), (w >= LONG_LINE).alias("long"))
 
-    def cut(lines: Column) -> Column:
-        marks = F.transform(
-            lines,
-            lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long").alias("h"), (spaces(x) >= LONG_LINE).alias("long")),
-        )
+    return F.transform(lines, lambda x: bind(weight(x), lambda w: mark(x, w)))
 
-        def at_ends(m: Column) -> Column:
-            def is_end(_: Column, i: Column) -> Column:
-                # get() gives null beyond either end
-                here, rolled = F.get(m, i), F.coalesce(F.get(m, i - 1)["h"], F.lit(0)) * 31 + F.get(m, i)["h"]
-                return (rolled % DIVISOR == 0) | here["long"] | F.coalesce(F.get(m, i + 1)["long"], F.lit(True))
 
-            ends = F.transform(F.filter(F.transform(m, lambda x, i: F.struct(i.alias("i"), is_end(x, i).alias("e"))), lambda x: x["e"]), lambda x: x["i"])
-            return bind(ends, lambda e: F.transform(e, lambda end, k: piece(lines, m, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
+def _unit(place: Column, lines: Column, pair: bool, words: Column, last: Column, text: Column, can_go: Column) -> Column:
+    fields = {"place": place, "lines": lines, "pair": F.lit(pair), "words": words, "last": last, "chunk": text, "can_go": can_go}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-        return bind(marks, at_ends)
 
-    def piece(lines: Column, m: Column, begin: Column, end: Column) -> Column:
+def _chunks(lines: Column, m: Column) -> Column:
+    def is_end(_: Column, i: Column) -> Column:
+        # get() gives null beyond either end
+        here, rolled = F.get(m, i), F.coalesce(F.get(m, i - 1)["h"], F.lit(0)) * 31 + F.get(m, i)["h"]
+        return (rolled % DIVISOR == 0) | here["long"] | F.coalesce(F.get(m, i + 1)["long"], F.lit(True))
+
+    def piece(begin: Column, end: Column) -> Column:
         chunk = F.array_join(F.slice(lines, begin + 1, end - begin + 1), "\n")
-        return bind(chunk, lambda c: F.struct(
-            (end - begin + 1).alias("lines"), c.alias("chunk"), (((end > begin) | F.get(m, begin)["long"]) & (F.trim(c) != "")).alias("can_go")
-        ))
+        can_go = lambda c: ((end > begin) | F.get(m, begin)["long"]) & (F.trim(c) != "")
+        return bind(chunk, lambda c: _unit(begin, end - begin + 1, False, F.lit(0), F.lit(0), c, can_go(c)))
+
+    ends = F.transform(F.filter(F.transform(m, lambda x, i: F.struct(i.alias("i"), is_end(x, i).alias("e"))), lambda x: x["e"]), lambda x: x["i"])
+    return bind(ends, lambda e: F.transform(e, lambda end, k: piece(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
+
+
+def _pairs(lines: Column, m: Column) -> Column:
+    """Windows of two adjacent lines, not both long and not both blank."""
+
+    def pair(x: Column, i: Column) -> Column:
+        here, after = F.get(m, i), F.get(m, i + 1)
+        can_go = ~(here["long"] & after["long"]) & (here["words"] + after["words"] > 0)
+        text = F.when(can_go, F.concat_ws("\n", x, F.get(lines, i + 1)))
+        return _unit(i, F.lit(2), True, here["words"], after["words"], text, can_go)
+
+    return F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), pair)
 
-    return bind(F.split(text, "\n", -1), cut)
+
+def _split(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def chunks(text: Column) -> Column:
+    """An array of structs whose chunks, joined by line feeds, are the text; can_go where a repeated one is cut."""
+    return bind(_split(text), lambda lines: bind(_marks(lines), lambda m: _chunks(lines, m)))
+
+
+def units(text: Column) -> Column:
+    """The chunks, and the windows of two lines behind them."""
+    return bind(_split(text), lambda lines: bind(_marks(lines), lambda m: F.concat(_chunks(lines, m), _pairs(lines, m))))
+
+
+def _runs(later: DataFrame) -> DataFrame:
+    """Runs of adjacent windows that occurred before, as _key, place and lines, if of PASSAGE words or more."""
+    # Rows that repeat a document outright have its windows once.
+    once = later.filter("_pair").groupBy("_key", "_place").agg(F.first("_words").alias("_words"), F.first("_last").alias("_last"))
+    run = F.col("_place") - F.row_number().over(Window.partitionBy("_key").orderBy("_place"))
+    runs = once.withColumn("_run", run).groupBy("_key", "_run").agg(
+        F.min("_place").alias("_place"), (F.count(F.lit(1)) + 1).cast("int").alias("_lines"), (F.sum("_words") + F.max_by("_last", "_place")).alias("_words")
+    )
+    return runs.filter(F.col("_words") >= PASSAGE).select("_key", "_place", "_lines")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,30 +114,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t")).alias("_key")
     keyed = df.select(key, F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    parts = keyed.select("_key", F.posexplode(chunks(F.col("_text"))).alias("_place", "_c")).filter("_c.can_go")
-    parts = parts.select("_key", "_place", F.col("_c.chunk").alias("_chunk"))
-    parts = parts.withColumn("_hash", F.xxhash64("_chunk")).withColumn("_size", F.octet_length("_chunk"))
+    parts = keyed.select("_key", F.explode(units(F.col("_text"))).alias("_c")).filter("_c.can_go")
+    parts = parts.select("_key", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("place", "lines", "pair", "words", "last", "chunk")])
+    parts = parts.withColumn("_hash", F.xxhash64("_chunk", "_pair")).withColumn("_size", F.octet_length("_chunk"))
     often = materialize(parts.groupBy("_hash", "_size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
     maybe = materialize(sized_join(parts, often, ["_hash", "_size"], "left_semi", 24))
-    same = maybe.groupBy("_hash", "_chunk").agg(F.min(F.struct("_key", "_place")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = maybe.groupBy("_hash", "_pair", "_chunk").agg(F.min(F.struct("_key", "_place")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # Written first: the aggregate's partitions would bind the join to them, and a chunk of very many places to one task.
-    gone = maybe.join(materialize(same), ["_hash", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
-    gone = materialize(gone.groupBy("_key").agg(F.collect_set("_place").alias("_gone")))
+    later = maybe.join(materialize(same), ["_hash", "_pair", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
+    later = materialize(later.select("_key", "_place", "_lines", "_pair", "_words", "_last"))
+    spans = later.filter("NOT _pair").select("_key", "_place", "_lines").unionByName(_runs(later))
+    gone = materialize(spans.groupBy("_key").agg(F.collect_set(F.struct("_place", "_lines")).alias("_gone")))
     # Columns of our own by names that none of the table's has.
     fields = [c for c in df.columns if c not in ("lines_total", "lines_cut")]
     mark, away, left = (f"_{c}" + "_" * max(map(len, df.columns)) for c in ("key", "gone", "rest"))
     gone = gone.toDF(mark, away)
-    out = sized_join(df.withColumn(mark, key), gone, mark, "left", F.size(away) * 8 + 96)
+    out = sized_join(df.withColumn(mark, key), gone, mark, "left", F.size(away) * 16 + 96)
+    lost = F.flatten(F.transform(away, lambda s: F.sequence(s["_place"], s["_place"] + s["_lines"] - 1)))
 
-    def rest(c: Column) -> Column:
-        stay = F.filter(c, lambda x, i: ~F.array_contains(F.col(away), i))
-        return F.struct(
-            F.array_join(F.transform(stay, lambda x: x["chunk"]), "\n").alias("text"),
-            (F.aggregate(c, F.lit(0), lambda a, x: a + x["lines"]) - F.aggregate(stay, F.lit(0), lambda a, x: a + x["lines"])).alias("cut"),
-        )
+    def rest(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        return bind(places, lambda p: F.struct(
+            F.array_join(F.transform(p, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(p)).alias("cut")
+        ))
 
     text = F.col(text_col)
-    out = out.withColumn(left, F.when(F.col(away).isNotNull(), bind(chunks(text), rest)))
+    out = out.withColumn(left, F.when(F.col(away).isNotNull(), bind(_split(text), rest)))
     total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     kept = [F.coalesce(F.col(f"{left}.text"), text).alias(c) if c == text_col else F.col(c) for c in fields]
     return out.select(*kept, total.cast("long").alias("lines_total"), F.coalesce(F.col(f"{left}.cut"), F.lit(0)).cast("long").alias("lines_cut"))
@@ -100,15 +149,24 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 SQL = """
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split),
-marks AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 20 AS long FROM lines),
-ends AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, true) AS e
+weighed AS (SELECT *, length(ltrim(line, ' ')) - length(translate(ltrim(line, ' '), ' ' || chr(9), ''))
+            + (strlen(line) - length(line)) // 8 AS weight FROM lines),
+marks AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, weight >= 20 AS long,
+          CASE WHEN trim(line, ' ') = '' THEN 0 ELSE weight + 1 END AS words FROM weighed),
+ends AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, true) AS e,
+         lead(line) OVER w AS next, lead(long) OVER w AS next_long, lead(words) OVER w AS next_words
          FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
-chunked AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, bool_or(long) AS long FROM placed GROUP BY doc_id, c),
-judged AS (SELECT *, (n > 1 OR long) AND trim(chunk) <> ''
-           AND row_number() OVER (PARTITION BY chunk, (n > 1 OR long) ORDER BY doc_id, c) > 1 AS gone FROM chunked),
-kept AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text,
-         sum(n)::BIGINT AS lines_total, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS lines_cut FROM judged GROUP BY doc_id)
+chunked AS (SELECT doc_id, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, bool_or(long) AS long FROM placed GROUP BY doc_id, c),
+chunks_gone AS (SELECT doc_id, i AS a, i + n - 1 AS b FROM chunked WHERE (n > 1 OR long) AND trim(chunk) <> ''
+                QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1),
+pairs AS (SELECT doc_id, i, words, next_words FROM ends WHERE NOT (long AND next_long) AND words + next_words > 0
+          QUALIFY row_number() OVER (PARTITION BY line || chr(10) || next ORDER BY doc_id, i) > 1),
+numbered AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM pairs),
+runs_gone AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM numbered GROUP BY doc_id, run HAVING sum(words) + arg_max(next_words, i) >= 30),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (SELECT * FROM chunks_gone UNION ALL SELECT * FROM runs_gone)),
+kept AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text,
+         count(*) AS lines_total, count(g.i) AS lines_cut FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(k.lines_total, 0) AS lines_total, coalesce(k.lines_cut, 0) AS lines_cut,
        length(k.text)::BIGINT AS kept_chars, md5(k.text) AS kept_md5
 FROM documents d LEFT JOIN kept k USING (doc_id)

@@ -30,6 +30,29 @@ def test_passages_keep_their_first_place(spark):
         assert out[k].text.startswith(f"own start {k}") and f"own end {k}" in out[k].text
 
 
+def test_short_lines_go_to_the_edges(spark):
+    """Repeated passages of 50 words and more in lines of any length, by brute force on where they stand."""
+    rows, kept = [], {}
+    for each in (3, 5, 8, 15, 19):
+        for n in range(-(-52 // each), -(-52 // each) + 4):
+            lines = [" ".join(f"w{each}x{n}x{j}x{k}" for k in range(each)) for j in range(n)]
+            for copy in range(3):
+                own = [f"own {each} {n} {copy}", f"end {each} {n} {copy}"]
+                kept[len(rows)] = "\n".join(own if copy else [own[0], *lines, own[1]])
+                rows.append((len(rows), "\n".join([own[0], *lines, own[1]])))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == kept
+
+
+def test_short_repeats_stay_but_for_chunks(spark):
+    """A pair of short lines under PASSAGE words goes only as a chunk; scripts without spaces have words too."""
+    han = ["".join(chr(0x4E00 + 31 * j + k) for k in range(30)) for j in range(6)]
+    rows = [(k, f"own{k}\n" + "\n".join(han) + f"\nend{k}") for k in range(2)] + [(k, f"begin{k}\n\n}}\nlast{k}") for k in (2, 3)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == "own1\nend1" and out[0].lines_cut == 0
+    assert out[3].lines_cut in (0, 2)
+
+
 def test_no_chunk_that_can_go_is_left_twice(documents):
     out = line_dedup.dedup_lines(documents)
     whole = out.filter("lines_cut = 0").select(F.explode(line_dedup.chunks(F.col("text"))).alias("c")).filter("c.can_go")
