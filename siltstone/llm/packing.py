@@ -25,7 +25,9 @@ from .common import KEPT, as_key, from_key, small_batches, tidy
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; others are encoded again. It bounds memory, not results.
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 800_000
+#: A word is remembered when it is met in a second batch; one byte for each of so many hash values tells.
+SEEN_SLOTS = 1 << 22
 #: Texts are encoded together up to so many characters; longer ones are cut between ASCII words.
 ENCODE_CHARS = 1 << 20
 #: More than any count of windows.
@@ -53,6 +55,7 @@ class WordTokenizer:
         # Words met lately and, of the generation before, those to be met again: words in use stay, others go.
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
@@ -107,9 +110,16 @@ class WordTokenizer:
                 found[w] = (found.get(a) or cache[a]) + (found.get(b) or cache[b])
             for k in lacking:
                 parts[k] = [found[w] if ids is None else ids for w, ids in zip(texts[k], parts[k])]
-            if len(cache) + len(found) > CACHE_WORDS // 2:
-                self.older, self.cache = cache, {"": b""}
-            self.cache.update((w, ids) for w, ids in list(found.items())[: CACHE_WORDS // 2] if len(w) <= 64)
+            keep, seen = {}, self.seen
+            for w, ids in found.items():
+                slot = hash(w) & SEEN_SLOTS - 1
+                if not seen[slot]:
+                    seen[slot] = 1
+                elif len(w) <= 64 and len(keep) < CACHE_WORDS // 2:
+                    keep[w] = ids
+            if len(cache) + len(keep) > CACHE_WORDS // 2:
+                self.older, self.cache, self.seen = cache, {"": b""}, bytearray(SEEN_SLOTS)
+            self.cache.update(keep)
         return [b"".join(ids) for ids in parts]
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
