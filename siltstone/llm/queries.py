@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, fingerprint, langid, license_scan, line_dedup, packing, pii, sharding, simhash
+from . import ctw, decontaminate, fingerprint, langid, license_scan, line_dedup, packing, periodic, pii, sharding, simhash
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,31 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # For one document in ten, the words from a on become a loop of p words.
+    rows = docs(spark, sf_dir).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = rows.withColumn("w", words).withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    loop = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), loop), " ")).otherwise(F.col("text"))
+    out = periodic.periodic_runs(rows.select("doc_id", text.alias("text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = out.withColumn("best", best).withColumn("length", -F.col("best.less")).withColumn("period", F.col("best.period"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +114,7 @@ QUERIES = {
         op8_license_scan,
         op9_pii,
         op10_ctw,
+        op11_periodic_runs,
     )
 }
 ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}
