@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, fingerprint, langid, license_scan, line_dedup, packing, periodic, pii, sharding, simhash
+from . import ctw, decontaminate, fingerprint, langid, license_scan, line_dedup, packing, periodic, pii, sharding, simhash, substring_dedup
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +120,7 @@ QUERIES = {
         op9_pii,
         op10_ctw,
         op11_periodic_runs,
+        op13_substring_dedup,
     )
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op13_substring_dedup": substring_dedup.SQL}
