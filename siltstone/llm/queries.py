@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, fingerprint, langid, license_scan, line_dedup, packing, periodic, pii, sharding, simhash, substring_dedup
+from . import ctw, decontaminate, fingerprint, hard_negatives, langid, license_scan, line_dedup, packing, periodic, pii, sharding, simhash, substring_dedup
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = F.col("embedding")
+    whole = F.transform(x, lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.floor(256 * c.cast("double"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", whole.alias("embedding"), label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -120,7 +128,8 @@ QUERIES = {
         op9_pii,
         op10_ctw,
         op11_periodic_runs,
+        op12_hard_negatives,
         op13_substring_dedup,
     )
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op13_substring_dedup": substring_dedup.SQL}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_substring_dedup": substring_dedup.SQL}
