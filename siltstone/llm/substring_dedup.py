@@ -66,26 +66,34 @@ class Words:
         return mix64(sequence_hashes(self.hashes, begin, end) + (anchor - begin).astype(np.uint64))
 
 
+#: What orders places; a document's key is the first two.
+PLACE = ("id", "t", "pos")
+
+
+def _key() -> Column:
+    return F.struct("id", "t").alias("key")
+
+
 def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
     """The first place of each group, and the number of places."""
-    return rows.groupBy(*by).agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
 def _later(rows: DataFrame, firsts: DataFrame, by: list[str]) -> DataFrame:
     """The places that are not the first of their group."""
     # Written first: the aggregate's partitions would bind the join to them, and a group of very many places to one task.
     again = materialize(firsts.filter("n > 1").select(*by, "first"))
-    return sized_join(rows, again, by, "inner", 64).filter(F.struct("key", "pos") != F.col("first"))
+    return rows.join(again, by).filter(F.struct(*PLACE) != F.col("first"))
 
 
 def repeats(keyed: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(key, pos, end): stretches of words, of ``window`` or more, that consist of windows which occurred before.
 
-    ``keyed`` has key, by whose order documents come, and text; documents of one key have one text. Stretches overlap
-    or touch inside a maximal repeat.
+    ``keyed`` has id and t, by which documents come in order, and text; documents that share both have one text.
+    Stretches overlap or touch inside a maximal repeat, and may go beyond the document's end.
     """
     small_batches(keyed.sparkSession)
-    kind = keyed.schema["key"].dataType.simpleString()
+    kind = keyed.schema["id"].dataType.simpleString()
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,27 +103,29 @@ def repeats(keyed: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
             doc = words.doc[anchor]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b["key"].take(pa.array(doc)),
+                    b["id"].take(pa.array(doc)),
+                    b["t"].take(pa.array(doc)),
                     pa.array((anchor - words.first[doc]).astype(np.int32)),
-                    pa.array((words.end - words.first)[doc].astype(np.int32)),
                     pa.array(hashes[anchor].view(np.int64)),
                     pa.array(words.extended(anchor, window, seed).view(np.int64)),
                 ],
-                names=["key", "pos", "words", "anchor", "around"],
+                names=["id", "t", "pos", "anchor", "around"],
             )
 
-    places = materialize(keyed.mapInArrow(tidy(seeds), f"key {kind}, pos int, words int, anchor long, around long"))
+    # The wide joins are shuffles whatever the size: what meets here grows with the input.
+    fields = f"id {kind}, t long, pos int, anchor long, around long"
+    places = materialize(keyed.mapInArrow(tidy(seeds), fields))
     often = materialize(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    met = materialize(sized_join(places, often, "anchor", "left_semi", 16))
+    met = materialize(places.join(often, "anchor", "left_semi"))
     groups = materialize(_firsts(met, ["anchor", "around"]))
     reach = window - seed
     whole = _later(met, groups, ["anchor", "around"]).select(
-        "key", F.greatest(F.col("pos") - reach, F.lit(0)).alias("pos"), F.least(F.col("pos") + window, F.col("words")).alias("end")
+        _key(), F.greatest(F.col("pos") - reach, F.lit(0)).alias("pos"), (F.col("pos") + window).alias("end")
     )
     # Anchors whose surroundings differ: the first place of each kind is looked at word by word.
     forks = materialize(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    heads = sized_join(groups, forks, "anchor", "left_semi", 16).select("first.key", "first.pos")
-    heads = materialize(heads.groupBy("key").agg(F.collect_list("pos").alias("at")))
+    heads = groups.join(forks, "anchor", "left_semi").select("first.*")
+    heads = materialize(heads.groupBy(_key()).agg(F.collect_list("pos").alias("at")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,23 +138,19 @@ def repeats(keyed: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
             doc = words.doc[start]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b["key"].take(pa.array(doc)),
+                    b["id"].take(pa.array(doc)),
+                    b["t"].take(pa.array(doc)),
                     pa.array((start - words.first[doc]).astype(np.int32)),
                     pa.array(hashes[anchor].view(np.int64)),
                     pa.array(sequence_hashes(words.hashes, start, start + window).view(np.int64)),
                 ],
-                names=["key", "pos", "anchor", "around"],
+                names=["id", "t", "pos", "anchor", "around"],
             )
 
-    texts = sized_join(keyed, heads, "key", "inner", F.size("at") * 4 + 96)
-    windows = materialize(texts.select("key", "text", "at").mapInArrow(tidy(look), f"key {kind}, pos int, anchor long, around long"))
+    texts = sized_join(keyed.withColumn("key", _key()), heads, "key", "inner", F.size("at") * 4 + 96)
+    windows = materialize(texts.select("id", "t", "text", "at").mapInArrow(tidy(look), fields))
     single = _later(windows, _firsts(windows, ["anchor", "around"]), ["anchor", "around"])
-    return whole.unionByName(single.select("key", "pos", (F.col("pos") + window).alias("end")))
-
-
-def document_key(id_col: str, text_col: str) -> Column:
-    """Orders documents by id, null first, and those that share one by a hash of their texts."""
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    return whole.unionByName(single.select(_key(), "pos", (F.col("pos") + window).alias("end")))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -158,8 +164,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document and keep the same words. Columns of ``df`` stay, but for any named n_words, n_removed or repeats, which are
     replaced. An empty table gives no rows.
     """
-    key = document_key(id_col, text_col)
-    keyed = df.select(key.alias("key"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     spans = repeats(keyed, window, seed).groupBy("key").agg(F.collect_set(F.struct("pos", "end")).alias("spans"))
     spans = materialize(spans.select("key", F.col("spans.pos").alias("a"), F.col("spans.end").alias("b")))
     fields = [c for c in df.columns if c not in ("n_words", "n_removed", "repeats")]
@@ -175,7 +181,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if starts.is_valid:
                     edges = np.zeros(n + 2, np.int64)
                     np.add.at(edges, starts.values.to_numpy() + 1, 1)
-                    np.add.at(edges, ends.values.to_numpy() + 1, -1)
+                    np.add.at(edges, np.minimum(ends.values.to_numpy(), n) + 1, -1)
                     inside = np.cumsum(edges) > 0
                     runs = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
                     words = [words[k] for k in np.flatnonzero(~inside[1:-1])]
