@@ -170,7 +170,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = materialize(spans.select("key", F.col("spans.pos").alias("a"), F.col("spans.end").alias("b")))
     fields = [c for c in df.columns if c not in ("n_words", "n_removed", "repeats")]
     mark, begin, end = (f"_{c}" + "_" * max(map(len, df.columns)) for c in ("key", "begin", "end"))
-    rows = sized_join(df.select(*fields, key.alias(mark)), spans.toDF(mark, begin, end), mark, "left", F.size(begin) * 8 + 96).drop(mark)
+    rows = df.select(*fields, key.alias(mark)).join(spans.toDF(mark, begin, end), mark, "left").drop(mark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
