@@ -42,6 +42,8 @@ INTEL_VOID, INTEL_HEADER_MOST, INTEL_MOST = "\xAA\x55\xAA\x55\x55\xAA\x55\xAA",
 OMF_HEAD, OMF_BYTES = r"(?s)^.(.{4})([\x1A\x20-\x7E]{32}).{14}([\x00\x20-\x7E]{8})", 112
 RUN_MARK = r"(?s)SNIPAC([0-9A-F]{2})(.{4})"
 AST_MARK, AST_AT, AST_PAYLOAD, AST_HEAD, AST_TEXT = "This is a flash update from AST Research, Inc.", 0x4200, 0x9000, 0x83, "AST FLASH UPDATE"
+#: Most characters that the run marks of a text may stand for.
+RUNS_MOST = 64 << 20
 DUMP_VERSION, DUMP_ROW = r"CPU-Z version\t+([^\r\n]+)", r"[0-9A-F]+\t((?:[0-9A-F]{2} ){16})\t"
 
 
@@ -73,23 +75,30 @@ def strip_omf(text: Column) -> Column:
     return F.when((F.length(text) > OMF_BYTES) & at.isNotNull() & (_number(F.substring(head, 2, 4)) <= F.length(text)), even)
 
 
-def expand_runs(text: Column) -> Column:
-    """The text with each run mark replaced by the run it stands for; null without any."""
+def runs_size(text: Column) -> Column:
+    """The characters that a text's run marks stand for together, whatever they say."""
+    hits = F.regexp_extract_all(text, F.lit(RUN_MARK), F.lit(0))
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + _number(F.substring(h, 9, 4)))
+
+
+def expand_runs(text: Column, most: int = RUNS_MOST) -> Column:
+    """The text with each run mark replaced by the run it stands for; null without any, or with runs of more than ``most`` characters together."""
     hits, between = F.regexp_extract_all(text, F.lit(RUN_MARK), F.lit(0)), F.split(text, RUN_MARK, -1)
-    run = lambda h: F.repeat(F.char(F.conv(F.substring(h, 7, 2), 16, 10).cast("int")), _number(F.substring(h, 9, 4)).cast("int"))
+    length = lambda h: F.least(_number(F.substring(h, 9, 4)), F.lit(most)).cast("int")
+    run = lambda h: F.repeat(F.char(F.conv(F.substring(h, 7, 2), 16, 10).cast("int")), length(h))
     whole = F.array_join(F.zip_with(between, hits, lambda b, h: F.concat(b, F.coalesce(run(h), F.lit("")))), "")
-    return F.when(F.size(hits) > 0, whole)
+    return F.when((F.size(hits) > 0) & (runs_size(text) <= most), whole)
 
 
 def strip_strides(text: Column) -> Column:
-    """The payload of a flash floppy: 15 sectors of every 18, of the length that its header tells; null for other texts."""
+    """The payload of a flash floppy: 15 sectors of every 18, of the length that its header tells or all there is; null for other texts."""
     at = F.lit(1)
     head = at_offset(text, at, AST_PAYLOAD, AST_HEAD)
     size = _number(F.substring(head, AST_HEAD - 4, 4))
     tracks = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - AST_PAYLOAD) / (18 * 512)).cast("int") - 1, F.lit(0)))
     data = F.array_join(F.transform(tracks, lambda k: F.substring(text, k * (18 * 512) + AST_PAYLOAD + 1, F.lit(15 * 512))), "")
     fits = (F.length(text) > AST_PAYLOAD + AST_HEAD) & (at_offset(text, at, AST_AT, len(AST_MARK)) == AST_MARK) & head.startswith(AST_TEXT)
-    return F.when(fits, F.substring(data, F.lit(AST_HEAD + 1), size.cast("int")))
+    return F.when(fits, F.substring(data, F.lit(AST_HEAD + 1), F.least(size, F.length(data)).cast("int")))
 
 
 def hex_dump(text: Column) -> Column:
@@ -105,13 +114,13 @@ def ranges(text: Column, mark: str) -> Column:
 
 
 def partitions(files: DataFrame, content: str = "content", sector: int = 512) -> DataFrame:
-    """(path, partition, type, content) of the four entries of a boot sector that hold something."""
+    """(path, partition, type, content) of the four entries of a boot sector that hold something; an entry that goes beyond the end is cut there."""
     data = F.col(content)
     signed = F.hex(F.substring(data, 511, 2)) == "55AA"
     entry = lambda k: F.struct(F.lit(k).alias("n"), le_uint(data, 446 + 16 * k + 4, 1).alias("type"), le_uint(data, 446 + 16 * k + 8, 4).alias("start"), le_uint(data, 446 + 16 * k + 12, 4).alias("count"))
     rows = files.filter(signed).select("path", content, F.explode(F.array(*[entry(k) for k in range(4)])).alias("e"))
     rows = rows.filter((F.col("e.type") > 0) & (F.col("e.count") > 0) & (F.col("e.start") * sector < F.octet_length(content)))
-    part = F.substring(F.col(content), (F.col("e.start") * sector + 1).cast("int"), (F.col("e.count") * sector).cast("int"))
+    part = F.substring(F.col(content), (F.col("e.start") * sector + 1).cast("int"), F.least(F.col("e.count") * sector, F.octet_length(content)).cast("int"))
     return rows.select("path", F.col("e.n").alias("partition"), F.col("e.type").alias("type"), part.alias("content"))
 
 

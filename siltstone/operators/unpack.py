@@ -2,7 +2,10 @@
 
 A generation is a table of artifacts; each pass opens the containers among them and its children are the next
 generation. Passes are Spark jobs over written tables, so only one generation is worked on at a time and a lost
-executor costs its own tasks only. Opening one artifact is a small function over its bytes.
+executor costs its own tasks only. Opening one artifact is a small function over its bytes. Before that, sets of a folder's
+artifacts that make one image are claimed and put together (``groups``).
+
+No artifact ends the job: what can't be opened, stripped or held within the limits stays, with an event that says why.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 from . import carve as V
 from ..functions.scalar import bind
 from .classify import HEAD_BYTES, as_latin1, is_discarded
+from .groups import group_step
 
 #: Limits against hostile input. What passes them is reported: a member as a row with an event and no content, beside the
 #: container itself, which then stays.
 DEPTH, MEMBER_BYTES, MEMBERS = 16, 64 << 20, 100_000
-TOO_LARGE, TOO_MANY = "too large", "too many members"
+#: Most bytes of a container's members together; they are read one by one and handed over in frames, never held at once.
+CONTAINER_BYTES = 1 << 30
+TOO_LARGE, TOO_MANY, TOO_MUCH = "too large", "too many members", "too large together"
 #: Bytes of members handed over at once.
 FRAME_BYTES = 16 << 20
 SCHEMA = "path string, parent string, depth int, content binary, event string"
@@ -86,29 +91,39 @@ STRIP_MARKS = r"\$IBI|SNIPAC[0-9A-F]|This is a flash update from AST|CPU-Z versi
 STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
 
 
-def open_one(data: bytes) -> tuple[str | None, list[Member]]:
-    """(event, members) of one artifact, a member over the limit without its bytes; no event if it is no container."""
+#: What an opener may raise on hostile bytes: all but what ends the worker itself.
+FAILURES = (Exception,)
+
+
+def open_one(data: bytes) -> tuple[str | None, Iterator[Member]]:
+    """(event, members) of one artifact: the name of its kind, or why it isn't opened; null if it is no container. Members are read
+    as they are asked for, and may fail on the way."""
     for name, start in UNSUPPORTED.items():
         if data.startswith(start):
-            return f"unsupported {name}", []
+            return f"unsupported {name}", iter(())
     for test, name, opener in OPENERS:
         if test(data):
-            try:
-                members = list(islice(opener(data), MEMBERS + 1))
-                return (name if members else f"empty {name}"), members
-            except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, NotImplementedError) as e:
-                return f"failed {name}: {type(e).__name__}", []
-    return None, []
+            return name, opener(data)
+    return None, iter(())
 
 
-def opened(path: str, parent: str | None, level: int, data: bytes) -> list[tuple]:
-    """The rows that a container gives: members without event, members over the limit with one, and itself where it must stay."""
+def opened(path: str, parent: str | None, level: int, data: bytes) -> Iterator[tuple]:
+    """The rows that a container gives, one by one: members without event, members over the limit with one, and itself, with an
+    event, where it must stay: if it has no members, breaks off on the way, or is over a limit. A container that breaks off keeps the members before."""
     event, members = open_one(data)
-    rows = [(f"{path}:/{n}", path, level + 1, d, None if d is not None else TOO_LARGE) for n, d in members[:MEMBERS]]
-    if not members:
-        return [(path, parent, level, data, event or "leaf")]
-    lost = TOO_MANY if len(members) > MEMBERS else TOO_LARGE if any(d is None for _, d in members) else None
-    return rows + ([(path, parent, level, data, lost)] if lost else [])
+    count, total, lost = 0, 0, None
+    try:
+        for name, content in members:
+            count, total = count + 1, total + len(content or b"")
+            if count > MEMBERS or total > CONTAINER_BYTES:
+                lost = TOO_MANY if count > MEMBERS else TOO_MUCH
+                break
+            lost = TOO_LARGE if content is None else lost
+            yield f"{path}:/{name}", path, level + 1, content, None if content is not None else TOO_LARGE
+    except FAILURES as e:
+        lost = f"failed {event}: {type(e).__name__}"
+    if lost or not count:
+        yield path, parent, level, data, lost or (event if event and event.startswith("unsupported") else f"empty {event}" if event else "leaf")
 
 
 def stripped(content: Column) -> Column:
@@ -118,13 +133,21 @@ def stripped(content: Column) -> Column:
     return F.when(head.rlike(STRIP_MARKS) | head.rlike(V.OMF_HEAD) | head.rlike(V.OMF_HEAD.replace("^", "^.{112}")), F.encode(whole, "ISO-8859-1"))
 
 
-def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
+def over_limits(content: Column) -> Column:
+    """The event of an artifact whose layout says to make more than a limit; null for others."""
+    head = as_latin1(F.substring(content, 1, HEAD_BYTES))
+    runs = bind(as_latin1(content), lambda t: V.runs_size(t))
+    return F.when(head.rlike(V.RUN_MARK), F.when(runs > V.RUNS_MOST, TOO_LARGE))
+
+
+def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -> DataFrame:
     """All artifacts that remain: (path, parent, depth, content, event), of ``files`` (path, content).
 
     A container that opens is replaced by its members, at ``path:/member``; one that does not stays, with the event
-    that says why, as does one with members over a limit, which are rows without content. Artifacts with a header or
-    runs to strip are replaced by their payload, at ``path:/payload``. Files of no use are dropped by their beginnings;
-    null contents give no rows. ``work`` is a folder that all executors share.
+    that says why, as does one that breaks off or is over a limit; single members over the limit are rows without content.
+    Artifacts with a header or runs to strip are replaced by their payload, at ``path:/payload``. Sets of a folder's
+    artifacts that make an image (unless ``sets`` is false) are replaced by it, below the first of them. Files of no use are
+    dropped by their beginnings; null contents give no rows. ``work`` is a folder that all executors share.
     """
     spark = files.sparkSession
     folder = f"{work.rstrip('/')}/unpack-{uuid.uuid4().hex}"
@@ -135,26 +158,29 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH) -> DataFrame:
         for b in batches:
             rows, size = [], 0
             for path, parent, level, data in zip(b["path"], b["parent"], b["depth"], b["content"]):
-                rows += (made := opened(path, parent, level, bytes(data)))
-                size += sum(len(r[3] or b"") for r in made)
-                if size > FRAME_BYTES:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, size = [], 0
+                for row in opened(path, parent, level, bytes(data)):
+                    rows.append(row)
+                    size += len(row[3] or b"")
+                    if size > FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content").filter("content is not null")
     done = []
     for level in range(depth + 1):
+        now, whole = group_step(now, f"{folder}/sets") if sets else (now, None)
         head = as_latin1(F.substring("content", 1, HEAD_BYTES))
         kept = now.filter(~is_discarded(head)).withColumn("_box", head.rlike(CONTAINER)).withColumn("_inner", F.when(~F.col("_box"), stripped(F.col("content"))))
         boxes = kept.filter("_box").drop("_box", "_inner").mapInPandas(step, SCHEMA)
         inner = F.col("_inner").isNotNull()
         plain = kept.filter("not _box").select(
             F.when(inner, F.concat("path", F.lit(":/payload"))).otherwise(F.col("path")).alias("path"), F.when(inner, F.col("path")).otherwise(F.col("parent")).alias("parent"),
-            (F.col("depth") + inner.cast("int")).alias("depth"), F.coalesce("_inner", "content").alias("content"), F.when(~inner, "leaf").alias("event"),
+            (F.col("depth") + inner.cast("int")).alias("depth"), F.coalesce("_inner", "content").alias("content"), F.when(~inner, F.coalesce(over_limits(F.col("content")), F.lit("leaf"))).alias("event"),
         )
-        boxes.unionByName(plain).write.parquet(f"{folder}/{level}")
+        rows = [boxes, plain] if whole is None else [boxes, plain, whole]
+        reduce(DataFrame.unionByName, rows).write.parquet(f"{folder}/{level}")
         made = spark.read.schema(SCHEMA).parquet(f"{folder}/{level}")
         done.append(made.filter("event is not null"))
         now = made.filter("event is null").select("path", "parent", "depth", "content")

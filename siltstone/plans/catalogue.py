@@ -446,7 +446,11 @@ def nested(ids: pd.Series, texts: pd.Series) -> pd.Series:
 
 
 def shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="unpack-")
+    """The folder that all executors share; where none is named, one of this machine in local mode, and an error on a cluster."""
+    where, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not where and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return where or tempfile.mkdtemp(prefix="unpack-")
 
 
 def unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,6 +475,43 @@ def generation_union(spark, sf_dir):
     return left.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
 
 
+@F.pandas_udf(BinaryType())
+def share(content: pd.Series, step: pd.Series, first: pd.Series) -> pd.Series:
+    """Every so manyeth byte from the first on."""
+    return pd.Series([bytes(c)[k::n] for c, n, k in zip(content, step, first)])
+
+
+GROUPED_SQL = "SELECT doc_id, 'ALL RIGHTS RESERVED' || text || repeat(' ', (3 - (strlen(text) + 18) % 4)::INT) AS whole FROM documents"
+
+
+@query(f"""
+SELECT 'd' || doc_id AS folder, CASE doc_id % 2 WHEN 0 THEN 5 ELSE 29 END::BIGINT AS artifacts, md5(whole) AS image_md5, NULL::VARCHAR AS head_md5 FROM ({GROUPED_SQL})
+UNION ALL SELECT 't' || item_id, 6, NULL, md5(repeat(text, 245760 // strlen(text)) || repeat('.', 245760 - strlen(text) * (245760 // strlen(text))) || repeat('tail of ' || (item_id % 10) || ' ', 1638) || 'last') FROM benchmark
+""")
+def unpack_groups(spark, sf_dir):
+    """Documents as interleaved halves or quarters, and passages as images whose tail is a file of its own beside a flasher and
+    another tail: each is put together again by the step for sets of artifacts."""
+    docs = table(spark, sf_dir, "documents")
+    pad = lambda c: F.concat(c, F.repeat(F.lit(" "), F.pmod(-F.octet_length(c), F.lit(4))))
+    whole = F.encode(pad(F.concat(F.lit("ALL RIGHTS RESERVED"), "text")), "UTF-8")
+    n = F.when(F.col("doc_id") % 2 == 0, 2).otherwise(4)
+    parts = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("d"), whole.alias("whole"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    parts = parts.select(F.concat("d", F.lit("/p"), F.col("k").cast("string"), F.lit(".bin")).alias("path"), share("whole", "n", "k").alias("content"))
+    text, number = F.col("text"), F.col("item_id").cast("string")
+    size = F.octet_length(text)
+    head = F.concat(F.repeat(text, F.floor(F.lit(245_760) / size).cast("int")), F.repeat(F.lit("."), (245_760 - size * F.floor(F.lit(245_760) / size)).cast("int")))
+    tail = lambda word: F.concat(F.repeat(F.concat(F.lit(f"{word} of "), (F.col("item_id") % 10).cast("string"), F.lit(" ")), 1638), F.lit("last"))
+    files = {"flash1.bin": head, "flash1.tl": tail("tail"), "other.tl": tail("else"), "AFLASH.EXE": F.lit("-"), "cnv.exe": F.lit("-"), "b.bat": F.lit("-")}
+    files = F.array(*[F.struct(F.lit(name).alias("name"), F.encode(c, "UTF-8").alias("content")) for name, c in files.items()])
+    tails = table(spark, sf_dir, "benchmark").select(number.alias("n"), F.explode(files).alias("f")).select(F.concat(F.lit("t"), "n", F.lit("/"), "f.name").alias("path"), "f.content")
+    left = U.unpack(parts.unionByName(tails), shared(spark)).withColumn("folder", F.substring_index("path", "/", 1))
+    name = F.substring_index("path", "/", -1)
+    # Of an image's 24 orders the one that the marks' alignment tells.
+    image = F.when(name.isin("deinterleaved_01.bin", "deinterleaved_0123.bin"), F.md5("content"))
+    made = F.when(F.col("path").endswith("flash1.bin:/flash1.tl"), F.md5("content"))
+    return left.groupBy("folder").agg(F.count(F.lit(1)).alias("artifacts"), F.max(image).alias("image_md5"), F.max(made).alias("head_md5"))
+
+
 @query(f"""
 WITH p AS (SELECT page_id, string_split({URL_PATH}, '/') AS s FROM pages),
 k AS (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS depth FROM p)
