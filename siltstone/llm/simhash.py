@@ -1,15 +1,15 @@
 """SimHash fingerprints and their near-duplicate classes by a binary-trie self-join.
 
 Fingerprints within ``distance`` bits are linked. The 64 bits are cut into blocks, so that two linked fingerprints
-agree in at least ``BLOCKS - distance`` of them: for every choice of that many blocks, these blocks are the top of a
-trie walked with equal steps, which is the shuffle key. Below it, tasks walk pairs of trie nodes together, add up
+agree in all but ``distance`` of them: for every choice of so many blocks, these blocks are the top of a trie walked with
+equal steps, which is the shuffle key. The more fingerprints there are, the more blocks, and the longer the key. Below it, tasks walk pairs of trie nodes together, add up
 differing bits and drop a pair of nodes once the budget is passed. A key with very many fingerprints is cut into
 salted blocks and every pair of blocks is joined, so no task holds an unbounded group. Tasks return a spanning
 forest of the links they find, never all pairs; large-star/small-star rounds join the forests.
 
-``near_texts`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more and whose wide
-fingerprints are within a limit. Candidates share a band of minimum hashes, which depends on the similarity only and not on where a text was edited; the candidates'
-components are then compared by their fingerprints and whole shingle sets.
+``near_texts`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of
+minimum hashes, which depends on the similarity only and not on where a text was edited or on how often a shingle repeats; the
+candidates' components are then compared by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import as_key, discard, from_key, materialize, mix64, range_hashes, sized_join, small_batches, tidy, word_spans
 
 DISTANCE = 4
-BLOCKS = 6
+#: Fewest and most blocks: keys of 64 * (1 - DISTANCE / blocks) bits, 21 to 38 of them.
+BLOCKS = (6, 10)
 #: Fingerprints of one trie in a task; a key with more is salted.
 GROUP = 1024
 #: Node pairs with no more leaf pairs than this are compared outright.
@@ -36,7 +37,8 @@ LEAF_PAIRS = 64
 COMPARE = 1 << 18
 #: Words of 64 bits in a wide fingerprint.
 WIDE = 4
-#: Differing bits of 256 at a Jaccard similarity of 0.8 have a mean of 39 and a deviation of 6, so this leaves out no pair of it.
+#: Differing bits of 256 at a Jaccard similarity of 0.8 have a mean of 39 and a deviation of 6 where shingles don't repeat. Wide
+#: fingerprints count repeats, so this is a limit for those who ask for one, and by itself none that keeps all pairs of 0.8.
 WIDE_DISTANCE = 72
 #: Bands of minimum hashes, and hashes in each: two texts of similarity 0.8 share one with probability 0.9998.
 BANDS, BAND_ROWS = 36, 7
@@ -213,13 +215,21 @@ def _link_groups(rows: pd.DataFrame, prints: list[str], node: str, distance: int
     return pd.DataFrame({"u": nodes[apart], "v": nodes[label[apart]]})
 
 
+def blocks_for(count: int, distance: int = DISTANCE) -> int:
+    """The fewest blocks whose keys part ``count`` even fingerprints into tries well below GROUP; all of them part more than any table has."""
+    fewest, most = (b + distance - DISTANCE for b in BLOCKS)
+    return next((b for b in range(fewest, most) if count <= GROUP // 4 << 64 * (b - distance) // b), most)
+
+
 def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (u, v) that connect all fingerprints within ``distance`` bits; ``fps`` has distinct ``fp``."""
     small_batches(fps.sparkSession)
-    edges = np.linspace(0, 64, BLOCKS + 1).round().astype(int).tolist()
+    n_blocks = blocks_for(fps.count(), distance)
+    edges = np.linspace(0, 64, n_blocks + 1).round().astype(int).tolist()
     blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
     keys = []
-    for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - distance)):
+    for k, chosen in enumerate(combinations(range(n_blocks), n_blocks - distance)):
+        # The choice's number and its blocks: at most 8 and 39 bits.
         key = F.lit(k).cast("long")
         for c in chosen:
             key = F.shiftleft(key, edges[c + 1] - edges[c]).bitwiseOR(blocks[c])
@@ -329,10 +339,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return mix64(key)
 
 
-def similar(hashes: list[np.ndarray], similarity: float, distance: int) -> np.ndarray:
-    """For the shingle hashes of each text, the first index reached over pairs that are similar and within ``distance`` bits."""
+def similar(hashes: list[np.ndarray], similarity: float, distance: int | None = None) -> np.ndarray:
+    """For the shingle hashes of each text, the first index reached over pairs that are similar and, if asked for, within ``distance`` bits."""
     sets = [distinct(h) for h in hashes]
-    fp = np.stack([wide_bits(h) if len(h) else np.zeros(WIDE, np.uint64) for h in hashes])
+    fp = None if distance is None else np.stack([wide_bits(h) if len(h) else np.zeros(WIDE, np.uint64) for h in hashes])
     size = np.array([len(x) for x in sets], np.int64)
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     codes = codes.astype(np.int32)
@@ -349,13 +359,15 @@ def similar(hashes: list[np.ndarray], similarity: float, distance: int) -> np.nd
             both = np.add.reduceat(mark[codes], begin)
             mark[own] = 0
             near = (label < 0) & (both >= similarity * (size[x] + size - both) - 1e-9)
-            near = np.flatnonzero(near & (np.bitwise_count(fp ^ fp[x]).sum(1, dtype=np.int64) <= distance))
+            if fp is not None:
+                near &= np.bitwise_count(fp ^ fp[x]).sum(1, dtype=np.int64) <= distance
+            near = np.flatnonzero(near)
             label[near] = first
             queue += near.tolist()
     return label
 
 
-def verified(members: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
+def verified(members: DataFrame, shingle: int, similarity: float, distance: int | None) -> DataFrame:
     """Links (u, v) that connect all nodes of a ``root`` whose texts are similar; ``members`` has root, node and text."""
     members = members.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("bytes") / GROUP_BYTES, F.lit(1.0))).cast("int").alias("m"))
@@ -381,7 +393,7 @@ def verified(members: DataFrame, shingle: int, similarity: float, distance: int)
     return rows.mapInPandas(tidy(run), "u string, v string").distinct()
 
 
-def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, similarity: float) -> DataFrame:
+def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: int | None, similarity: float) -> DataFrame:
     """(key, hash, digest, class): for each row of ``df``, its id as a key, its text's hash, that of its set of shingles, and the
     smallest digest of the class that it belongs to."""
     small_batches(df.sparkSession)
@@ -412,12 +424,12 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distan
 
 
 def near_texts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int | None = None, similarity: float = 0.8
 ) -> DataFrame:
     """One row per row of ``df``: id and component_id, the smallest id reachable over links.
 
     Texts are linked where their sets of shingles of ``shingle`` words have a Jaccard similarity of ``similarity`` or
-    more, counted on the whole sets, and their wide fingerprints differ in at most ``distance`` bits; such a pair is
+    more, counted on the whole sets; with a ``distance``, only where their wide fingerprints differ in no more bits. Such a pair is
     missed only if no chain of shared bands leads from one to the other. Texts without words are linked with each other,
     and texts of fewer words are one shingle. Repeated rows keep a row each; rows with a null id take part, and a class
     of such rows only has a null component_id. An empty table gives no rows; other columns are not read.
@@ -430,11 +442,12 @@ def near_texts(
 
 
 def one_of_each(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int | None = None, similarity: float = 0.8
 ) -> DataFrame:
     """``df`` with one row of each class of ``near_texts``: that of the smallest id, null ids last, and then of the least text hash.
 
-    Of rows that repeat both id and text one stays. A row alone in its class stays whatever its id or text. Columns of
+    A class is a component: where a text is like a second and that like a third, one of the three stays even if the first and
+    the third are not alike.     Of rows that repeat both id and text one stays. A row alone in its class stays whatever its id or text. Columns of
     ``df`` stay as they are. An empty table gives no rows.
     """
     docs = materialize(near_classes(df, id_col, text_col, shingle, distance, similarity))

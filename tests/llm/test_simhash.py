@@ -146,3 +146,47 @@ def test_near_texts_edited_in_blocks(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
     assert sum(want[2 * k + 1] == 2 * k for k in range(240)) == 180
+
+
+def test_repeats_of_a_line_lose_no_link(spark):
+    """Sets decide, not how often a shingle is there: a line repeated 200 times, and texts edited at random."""
+    rng, rows = np.random.default_rng(12), []
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    for k in range(40):
+        w, line = word(300), word(9)
+        times = int(rng.integers(1, 400))
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w[:150] + line * times + w[150:]))]
+        rows.append((3 * k + 2, " ".join(x if rng.random() > 0.012 else word(1)[0] for x in w)))
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = shingle_sets(rows)
+    links = 0
+    for k in range(0, 120, 3):
+        for a, b in ((k, k + 1), (k, k + 2), (k + 1, k + 2)):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                links += 1
+                assert got[a] == got[b], (a, b)
+    assert links > 60
+    words = [f"w{k}" for k in range(300)]
+    a, b = (simhash.shingle_hashes(" ".join(w), (5,))[0] for w in (words, words + words[:8] * 200))
+    assert simhash.similar([a, b], 0.8).tolist() == [0, 0]
+
+
+def test_keys_grow_with_the_count():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**12, 10**15)] == [6, 6, 7, 8, 10]
+    assert simhash.blocks_for(10**6, 2) == 4
+
+
+def test_links_whatever_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fp = base[rng.integers(0, 60, 400)]
+    for _ in range(4):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 63, 400, dtype=np.uint64))
+    fp = np.unique(np.concatenate([base, fp]))
+    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    want = len(set(simhash.forest(len(fp), *np.nonzero(close)).tolist()))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for blocks in ((6, 6), (9, 9)):
+        monkeypatch.setattr(simhash, "BLOCKS", blocks)
+        nodes = {r.node: r.root for r in simhash.connected(simhash.linked(df)).collect()}
+        assert len({nodes.get(int(x), int(x)) for x in fp.view(np.int64)}) == want
