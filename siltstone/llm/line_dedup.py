@@ -5,17 +5,17 @@ A chunk ends after a line where a rolling hash over the hashes of this line and
 chunk by itself. Chunks of several lines, and long lines, that occur more than once anywhere are compared byte by byte;
 all but the first occurrence, by document and place, are cut.
 
-What boundaries leave of a passage is found by windows of two adjacent lines, compared in the same way: a run of windows
-that all occurred before is cut if its lines hold ``PASSAGE`` words or more. So a repeated passage of that many words
-goes up to its edges, however short its lines are. Each line that goes has a copy earlier on; the first copy of a line
-never goes. DataFrame functions only.
+What boundaries leave of a passage is found by stretches of lines of just ``PASSAGE`` words or more, one from each line on
+and one up to each line, compared in the same way: all but the first occurrence of each are cut. So a repeated passage of
+that many words goes up to its edges, however short its lines are, and no line goes for occurring before only beside other
+lines than here. Each line that goes has a copy earlier on; the first copy of a line never goes. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, sized_join
@@ -47,8 +47,8 @@ def _marks(lines: Column) -> Column:
     return F.transform(lines, lambda x: bind(weight(x), lambda w: mark(x, w)))
 
 
-def _unit(place: Column, lines: Column, pair: bool, words: Column, last: Column, text: Column, can_go: Column) -> Column:
-    fields = {"place": place, "lines": lines, "pair": F.lit(pair), "words": words, "last": last, "chunk": text, "can_go": can_go}
+def _unit(place: Column, lines: Column, stretch: bool, text: Column, can_go: Column) -> Column:
+    fields = {"place": place, "lines": lines, "stretch": F.lit(stretch), "chunk": text, "can_go": can_go}
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
@@ -61,22 +61,39 @@ def _chunks(lines: Column, m: Column) -> Column:
     def piece(begin: Column, end: Column) -> Column:
         chunk = F.array_join(F.slice(lines, begin + 1, end - begin + 1), "\n")
         can_go = lambda c: ((end > begin) | F.get(m, begin)["long"]) & (F.trim(c) != "")
-        return bind(chunk, lambda c: _unit(begin, end - begin + 1, False, F.lit(0), F.lit(0), c, can_go(c)))
+        return bind(chunk, lambda c: _unit(begin, end - begin + 1, False, c, can_go(c)))
 
     ends = F.transform(F.filter(F.transform(m, lambda x, i: F.struct(i.alias("i"), is_end(x, i).alias("e"))), lambda x: x["e"]), lambda x: x["i"])
     return bind(ends, lambda e: F.transform(e, lambda end, k: piece(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
 
 
-def _pairs(lines: Column, m: Column) -> Column:
-    """Windows of two adjacent lines, not both long and not both blank."""
+def _stretches(lines: Column, m: Column) -> Column:
+    """From each line that is not blank, and up to each, the fewest lines of PASSAGE words; none of one line or of long lines only."""
+    full = F.filter(F.transform(m, lambda x, i: F.struct(i.alias("i"), x["words"].alias("words"), x["long"].alias("long"))), lambda x: x["words"] > 0)
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("last"), F.lit(True).alias("long"))
 
-    def pair(x: Column, i: Column) -> Column:
-        here, after = F.get(m, i), F.get(m, i + 1)
-        can_go = ~(here["long"] & after["long"]) & (here["words"] + after["words"] > 0)
-        text = F.when(can_go, F.concat_ws("\n", x, F.get(lines, i + 1)))
-        return _unit(i, F.lit(2), True, here["words"], after["words"], text, can_go)
+    def add(s: Column, x: Column) -> Column:
+        more = F.struct((s["sum"] + x["words"]).alias("sum"), (s["n"] + 1).alias("n"), x["words"].alias("last"), (s["long"] & x["long"]).alias("long"))
+        return F.when(s["sum"] >= PASSAGE, s).otherwise(more)
 
-    return F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), pair)
+    def text(begin: Column, end: Column) -> Column:
+        return F.array_join(F.slice(lines, begin + 1, end - begin + 1), "\n")
+
+    def unit(good: Column, begin: Column, end: Column) -> Column:
+        return F.when(good, _unit(begin, end - begin + 1, True, text(begin, end), F.lit(True)))
+
+    def ahead(b: Column, x: Column, k: Column) -> Column:
+        enough = lambda s: (s["sum"] >= PASSAGE) & (s["n"] > 1) & ~s["long"]
+        return bind(F.aggregate(F.slice(b, k + 1, F.lit(PASSAGE)), start, add), lambda s: unit(enough(s), x["i"], F.get(b, k + s["n"] - 1)["i"]))
+
+    def back(b: Column, x: Column, k: Column) -> Column:
+        # One that has enough words without its last line is not the one from its first line on.
+        enough = lambda s: (s["sum"] - x["words"] >= PASSAGE) & (s["n"] > 1) & ~s["long"]
+        part = F.reverse(F.slice(b, F.greatest(k - PASSAGE + 2, F.lit(1)), F.least(k + 1, F.lit(PASSAGE))))
+        return bind(F.aggregate(part, start, add), lambda s: unit(enough(s), F.get(b, k - s["n"] + 1)["i"], x["i"]))
+
+    both = lambda b: F.concat(F.transform(b, lambda x, k: ahead(b, x, k)), F.transform(b, lambda x, k: back(b, x, k)))
+    return F.filter(bind(full, both), lambda u: u.isNotNull())
 
 
 def _split(text: Column) -> Column:
@@ -89,19 +106,8 @@ def chunks(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """The chunks, and the windows of two lines behind them."""
-    return bind(_split(text), lambda lines: bind(_marks(lines), lambda m: F.concat(_chunks(lines, m), _pairs(lines, m))))
-
-
-def _runs(later: DataFrame) -> DataFrame:
-    """Runs of adjacent windows that occurred before, as _key, place and lines, if of PASSAGE words or more."""
-    # Rows that repeat a document outright have its windows once.
-    once = later.filter("_pair").groupBy("_key", "_place").agg(F.first("_words").alias("_words"), F.first("_last").alias("_last"))
-    run = F.col("_place") - F.row_number().over(Window.partitionBy("_key").orderBy("_place"))
-    runs = once.withColumn("_run", run).groupBy("_key", "_run").agg(
-        F.min("_place").alias("_place"), (F.count(F.lit(1)) + 1).cast("int").alias("_lines"), (F.sum("_words") + F.max_by("_last", "_place")).alias("_words")
-    )
-    return runs.filter(F.col("_words") >= PASSAGE).select("_key", "_place", "_lines")
+    """The chunks, and the stretches behind them."""
+    return bind(_split(text), lambda lines: bind(_marks(lines), lambda m: F.concat(_chunks(lines, m), _stretches(lines, m))))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,16 +121,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t")).alias("_key")
     keyed = df.select(key, F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     parts = keyed.select("_key", F.explode(units(F.col("_text"))).alias("_c")).filter("_c.can_go")
-    parts = parts.select("_key", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("place", "lines", "pair", "words", "last", "chunk")])
-    parts = parts.withColumn("_hash", F.xxhash64("_chunk", "_pair")).withColumn("_size", F.octet_length("_chunk"))
+    parts = parts.select("_key", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("place", "lines", "stretch", "chunk")])
+    parts = parts.withColumn("_hash", F.xxhash64("_chunk", "_stretch")).withColumn("_size", F.octet_length("_chunk"))
     often = materialize(parts.groupBy("_hash", "_size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
     maybe = materialize(sized_join(parts, often, ["_hash", "_size"], "left_semi", 24))
-    same = maybe.groupBy("_hash", "_pair", "_chunk").agg(F.min(F.struct("_key", "_place")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = maybe.groupBy("_hash", "_stretch", "_chunk").agg(F.min(F.struct("_key", "_place")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # Written first: the aggregate's partitions would bind the join to them, and a chunk of very many places to one task.
-    later = maybe.join(materialize(same), ["_hash", "_pair", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
-    later = materialize(later.select("_key", "_place", "_lines", "_pair", "_words", "_last"))
-    spans = later.filter("NOT _pair").select("_key", "_place", "_lines").unionByName(_runs(later))
-    gone = materialize(spans.groupBy("_key").agg(F.collect_set(F.struct("_place", "_lines")).alias("_gone")))
+    later = maybe.join(materialize(same), ["_hash", "_stretch", "_chunk"]).filter(F.struct("_key", "_place") != F.col("_first"))
+    gone = materialize(later.groupBy("_key").agg(F.collect_set(F.struct("_place", "_lines")).alias("_gone")))
     # Columns of our own by names that none of the table's has.
     fields = [c for c in df.columns if c not in ("lines_total", "lines_cut")]
     mark, away, left = (f"_{c}" + "_" * max(map(len, df.columns)) for c in ("key", "gone", "rest"))
@@ -153,18 +157,20 @@ weighed AS (SELECT *, length(ltrim(line, ' ')) - length(translate(ltrim(line, '
             + (strlen(line) - length(line)) // 8 AS weight FROM lines),
 marks AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, weight >= 20 AS long,
           CASE WHEN trim(line, ' ') = '' THEN 0 ELSE weight + 1 END AS words FROM weighed),
-ends AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, true) AS e,
-         lead(line) OVER w AS next, lead(long) OVER w AS next_long, lead(words) OVER w AS next_words
+ends AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, true) AS e
          FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
 chunked AS (SELECT doc_id, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, bool_or(long) AS long FROM placed GROUP BY doc_id, c),
 chunks_gone AS (SELECT doc_id, i AS a, i + n - 1 AS b FROM chunked WHERE (n > 1 OR long) AND trim(chunk) <> ''
                 QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1),
-pairs AS (SELECT doc_id, i, words, next_words FROM ends WHERE NOT (long AND next_long) AND words + next_words > 0
-          QUALIFY row_number() OVER (PARTITION BY line || chr(10) || next ORDER BY doc_id, i) > 1),
-numbered AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM pairs),
-runs_gone AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM numbered GROUP BY doc_id, run HAVING sum(words) + arg_max(next_words, i) >= 30),
-gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (SELECT * FROM chunks_gone UNION ALL SELECT * FROM runs_gone)),
+filled AS (SELECT doc_id, i, words, sum(words) OVER w AS upto, sum((NOT long)::INT) OVER w AS short, (NOT long)::INT AS own
+           FROM marks WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+from_line AS (SELECT doc_id, i, upto, short, own, upto - words + 30 AS least, upto - words AS before, upto - 30 AS most FROM filled),
+stretches AS (SELECT a.doc_id, a.i AS a, b.i AS b, b.short - a.short + a.own AS short FROM from_line a ASOF JOIN from_line b ON a.doc_id = b.doc_id AND a.least <= b.upto
+              UNION SELECT a.doc_id, b.i, a.i, a.short - b.short + b.own FROM from_line a ASOF JOIN from_line b ON a.doc_id = b.doc_id AND a.most >= b.before),
+stretches_gone AS (SELECT doc_id, a, b FROM (SELECT s.doc_id, a, b, array_to_string(ls[a + 1 : b + 1], chr(10)) AS t FROM stretches s JOIN split USING (doc_id) WHERE b > a AND short > 0)
+                   QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, a) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (SELECT * FROM chunks_gone UNION ALL SELECT * FROM stretches_gone)),
 kept AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text,
          count(*) AS lines_total, count(g.i) AS lines_cut FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(k.lines_total, 0) AS lines_total, coalesce(k.lines_cut, 0) AS lines_cut,

@@ -74,3 +74,40 @@ def test_odd_rows(odd, empty):
     assert by_id[3].text == "" and by_id[3].lines_total == 1
     assert [r.lines_cut for r in rows if r.doc_id == 1] == [0, 0]
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_a_run_goes_only_as_far_as_one_earlier_place_holds_it(spark):
+    """Seven lines whose neighbours all stood side by side before, but never all together, stay; what one document has goes."""
+    lines = [f"line {c} of six words here" for c in "ABCDEFG"]
+    rows = [(k, f"{lines[k]}\n{lines[k + 1]}") for k in range(6)] + [(6, "\n".join(lines))]
+    rows += [(7, "\n".join(["begin", *lines[1:7], "end"]))]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[6] == rows[6][1]
+    assert out[7] == "begin\nend"
+
+
+def test_stretches_against_brute_force(spark):
+    """Which lines go for stretches of PASSAGE words, by counting every stretch of every text."""
+    import random
+
+    rng = random.Random(3)
+    pool = ["", " "] + [" ".join(f"w{k}{j}" for j in range(rng.randint(1, 14))) for k in range(14)]
+    rows = [(k, "\n".join(rng.choices(pool, k=rng.randint(0, 40)))) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + "\nlast") for k in range(0, 60, 7)]
+    got = {}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.explode(line_dedup.units(F.col("text"))).alias("u")).filter("u.stretch")
+    for r in frame.collect():
+        got.setdefault(r.doc_id, set()).add((r.u.place, r.u.place + r.u.lines - 1, r.u.chunk))
+    for k, text in rows:
+        lines = text.split("\n")
+        words = [len(x.split()) for x in lines]
+        want = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines)):
+                enough = lambda x, y: sum(words[x : y + 1]) >= line_dedup.PASSAGE
+                tight = not enough(a, b - 1) or not enough(a + 1, b)
+                if words[a] and words[b] and enough(a, b) and tight:
+                    want.add((a, b, "\n".join(lines[a : b + 1])))
+        # from a line on the fewest lines, and up to a line the fewest
+        want = {w for w in want if not any(v[0] == w[0] and v[1] < w[1] for v in want) or not any(v[1] == w[1] and v[0] > w[0] for v in want)}
+        assert got.get(k, set()) == want, k
