@@ -24,8 +24,11 @@ from .common import KEPT, as_key, from_key, small_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; others are encoded again. It bounds memory, not results.
-CACHE_WORDS = 800_000
+#: Words whose ids a Python worker remembers, and the bytes that they take there, texts, ids and table slots together; others
+#: are encoded again. It bounds memory, not results.
+CACHE_WORDS, CACHE_BYTES = 800_000, 128 << 20
+#: What an entry takes besides its letters and ids: the heads of two objects and its share of the table.
+ENTRY_BYTES = 176
 #: A word is remembered when it is met in a second batch; one byte for each of so many hash values tells.
 SEEN_SLOTS = 1 << 22
 #: Texts are encoded together up to so many characters; longer ones are cut between ASCII words.
@@ -55,6 +58,7 @@ class WordTokenizer:
         # Words met lately and, of the generation before, those to be met again: words in use stay, others go.
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.size = 0
         self.seen = bytearray(SEEN_SLOTS)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -97,6 +101,7 @@ class WordTokenizer:
         if fresh and self.older:
             again = {w: ids for w in fresh if (ids := self.older.get(w)) is not None}
             cache.update(again)
+            self.size += sum(ENTRY_BYTES + len(w) + len(ids) for w, ids in again.items())
             fresh -= again.keys()
             for k in lacking:
                 parts[k] = [again.get(w) if ids is None else ids for w, ids in zip(texts[k], parts[k])]
@@ -110,16 +115,18 @@ class WordTokenizer:
                 found[w] = (found.get(a) or cache[a]) + (found.get(b) or cache[b])
             for k in lacking:
                 parts[k] = [found[w] if ids is None else ids for w, ids in zip(texts[k], parts[k])]
-            keep, seen = {}, self.seen
+            keep, size, seen = {}, 0, self.seen
             for w, ids in found.items():
                 slot = hash(w) & SEEN_SLOTS - 1
                 if not seen[slot]:
                     seen[slot] = 1
-                elif len(w) <= 64 and len(keep) < CACHE_WORDS // 2:
+                elif len(w) <= 64 and len(keep) < CACHE_WORDS // 2 and size < CACHE_BYTES // 2:
                     keep[w] = ids
-            if len(cache) + len(keep) > CACHE_WORDS // 2:
-                self.older, self.cache, self.seen = cache, {"": b""}, bytearray(SEEN_SLOTS)
+                    size += ENTRY_BYTES + len(w) + len(ids)
+            if len(cache) + len(keep) > CACHE_WORDS // 2 or self.size + size > CACHE_BYTES // 2:
+                self.older, self.cache, self.size, self.seen = cache, {"": b""}, 0, bytearray(SEEN_SLOTS)
             self.cache.update(keep)
+            self.size += size
         return [b"".join(ids) for ids in parts]
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:

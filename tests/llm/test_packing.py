@@ -124,3 +124,15 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(packing, "_STRETCH", stretch)
     assert len(stretch.findall(text)) > 50 and "".join(stretch.findall(text)) == text
     assert ids_of(packing.WordTokenizer(PATH), [text, "a b", text]) == whole_ids([text, "a b", text])
+
+
+def test_the_cache_is_bound_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 64 << 10)
+    words = packing.WordTokenizer(PATH)
+    texts = [" ".join(f"some{k * j % 997} other{k % 50}" for k in range(400)) for j in range(1, 40)]
+    for _ in range(2):
+        for k in range(0, len(texts), 3):
+            assert ids_of(words, texts[k : k + 3]) == whole_ids_cached(texts[k : k + 3])
+            size = sum(packing.ENTRY_BYTES + len(w) + len(ids) for c in (words.cache, words.older) for w, ids in c.items())
+            assert words.size <= 32 << 10 and size <= (64 << 10) + 2 * packing.ENTRY_BYTES
+    assert words.older
