@@ -102,6 +102,8 @@ class WordTokenizer:
             again = {w: ids for w in fresh if (ids := self.older.get(w)) is not None}
             cache.update(again)
             self.size += sum(ENTRY_BYTES + len(w) + len(ids) for w, ids in again.items())
+            if self.size > CACHE_BYTES // 2:
+                self._turn()
             fresh -= again.keys()
             for k in lacking:
                 parts[k] = [again.get(w) if ids is None else ids for w, ids in zip(texts[k], parts[k])]
@@ -124,11 +126,15 @@ class WordTokenizer:
                     keep[w] = ids
                     size += ENTRY_BYTES + len(w) + len(ids)
             if len(cache) + len(keep) > CACHE_WORDS // 2 or self.size + size > CACHE_BYTES // 2:
-                self.older, self.cache, self.size, self.seen = cache, {"": b""}, 0, bytearray(SEEN_SLOTS)
+                self._turn()
             self.cache.update(keep)
             self.size += size
         return [b"".join(ids) for ids in parts]
 
+    def _turn(self) -> None:
+        """What was met lately becomes what goes unless it is met again."""
+        self.older, self.cache, self.size, self.seen = self.cache, {"": b""}, 0, bytearray(SEEN_SLOTS)
+
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """Ids by word, many in one call with a mark between them that no word has."""
         plain, out = [w for w in words if MARK not in w], {}
