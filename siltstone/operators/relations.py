@@ -151,3 +151,61 @@ def grouped_names(df: DataFrame, group: str, category: str, name: str) -> DataFr
     per = df.groupBy(group, name).agg(F.array_join(F.array_sort(F.collect_set(category)), ", ").alias("_c"))
     line = F.concat(F.col(name), F.lit(" ("), F.col("_c"), F.lit(")"))
     return per.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("names"))
+
+
+def nearest_after(asks: DataFrame, places: DataFrame, group: str, at: str, place: str) -> DataFrame:
+    """``asks`` with ``next``: the first of the group's ``places`` at ``at`` or behind it; rows without one are left out.
+
+    Both are sorted together, so a group's rows are never paired.
+    """
+    both = asks.withColumn("_at", F.col(at).cast("long")).withColumn("_place", F.lit(None).cast("long"))
+    there = places.select(group, F.col(place).cast("long").alias("_at"), F.col(place).cast("long").alias("_place"))
+    rows = both.unionByName(there, allowMissingColumns=True)
+    # Of equal ones those who ask come first.
+    order = Window.partitionBy(group).orderBy("_at", F.col("_place").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("next", F.first("_place", ignorenulls=True).over(order))
+    return rows.filter("_place is null and next is not null").drop("_at", "_place")
+
+
+def follow(starts: DataFrame, links: DataFrame, group: str, folder: str) -> DataFrame:
+    """(group, start, node, step): all that each of ``starts`` (group, start, node) reaches over ``links`` (group, node, next), itself
+    at step 0.
+
+    Each node has one link at most, to one behind it. Steps are doubled: in round k the links are those of 2**k steps, so a
+    chain of n records takes log n rounds, each a join of written tables.
+    """
+    spark, k = starts.sparkSession, 0
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}-{k}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}-{k}")
+
+    reached, links = write(starts.select(group, "start", "node", F.lit(0).cast("long").alias("step")), "reached"), write(links.filter("next > node").select(group, "node", "next"), "links")
+    while True:
+        new = reached.join(links, [group, "node"]).select(group, "start", F.col("next").alias("node"), (F.col("step") + (1 << k)).alias("step"))
+        if new.isEmpty():
+            return reached
+        k += 1
+        reached = write(reached.unionByName(new), "reached")
+        further = links.select(group, F.col("node").alias("from"), F.col("next").alias("node"))
+        links = write(further.join(links, [group, "node"]).select(group, F.col("from").alias("node"), "next"), "links")
+
+
+def overlaid(ranges: DataFrame, group: str, begin: str, end: str, rank: str, source: str) -> DataFrame:
+    """(group, begin, end, source, offset): the disjoint pieces of ranges [begin, end) that lie over each other, each of the range
+    of the highest ``rank`` there (of equal ones the greater source); ``offset`` is the piece's place in its range.
+
+    The ranges' edges cut them into elementary pieces, which meet the ranges over them; pieces of one range that touch are
+    one again.
+    """
+    r = ranges.filter(F.col(begin) < F.col(end)).select(group, F.col(begin).cast("long").alias("b"), F.col(end).cast("long").alias("e"), F.col(rank).alias("r"), F.col(source).alias("s"))
+    edges = r.select(group, F.explode(F.array("b", "e")).alias("from")).distinct()
+    pieces = edges.withColumn("to", F.lead("from").over(Window.partitionBy(group).orderBy("from"))).filter("to is not null")
+    span = ranges.agg(F.max(F.col(end) - F.col(begin))).first()[0] or 1
+    over = offsets_in_ranges(pieces, r, "from", "b", "e", max(1, int(span)), (group,))
+    top = over.groupBy(group, "from", "to").agg(F.max(F.struct("r", "s", "b")).alias("t"))
+    order = Window.partitionBy(group).orderBy("from")
+    same = (F.lag("t").over(order) == F.col("t")) & (F.lag("to").over(order) == F.col("from"))
+    runs = top.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(order))
+    out = runs.groupBy(group, "run", "t").agg(F.min("from").alias("begin"), F.max("to").alias("end"))
+    return out.select(group, "begin", "end", F.col("t.s").alias("source"), (F.col("begin") - F.col("t.b")).alias("offset"))

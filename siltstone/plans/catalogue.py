@@ -8,6 +8,7 @@ import io
 import lzma
 import tarfile
 import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable
@@ -23,6 +24,7 @@ from ..operators import assemble as J
 from ..operators import carve as V
 from ..operators import classify as C
 from ..operators import features as X
+from ..operators import phoenix as P
 from ..operators import relations as R
 from ..operators import unpack as U
 from ..sources import files as T
@@ -546,6 +548,102 @@ def candidate_ranges(spark, sf_dir):
     return rows.select("doc_id", (F.col("r.begin") + 1).cast("long").alias("begin"), F.coalesce(F.col("r.until") + 1, F.lit(-1)).cast("long").alias("until"))
 
 
+def chained(ids: pd.Series, texts: pd.Series, tables: pd.Series) -> pd.Series:
+    """Images of 8 KB that end with chains of records: for one document in four the first chain is broken, and the records of
+    one in three do not line up. Tables and the system record's pointers to them are at the image's beginning."""
+
+    def record(name: bytes, body: bytes, major: int, minor: int) -> bytes:
+        return name + bytes([major, minor]) + (10 + len(body)).to_bytes(2, "little") + body
+
+    def image(i: int, text: str, listed) -> bytes:
+        data = bytearray((text or "").replace("B", "b").encode()[:4096].ljust(8192, b"."))
+        for k, (category, model) in enumerate(listed):
+            data[2 * k : 2 * k + 2] = (0xE000 + 0x100 + 4 * k).to_bytes(2, "little")
+            data[0x100 + 4 * k : 0x104 + 4 * k] = bytes([0, model, category << 4, 0])
+        body = bytearray(0x61)
+        body[0:3] = bytes([4, i % 9, 0])
+        body[5:22] = b"%02d/%02d/9%d 10:20:3%d" % (i % 12 + 1, i % 28 + 1, i % 10, i % 10)
+        body[0x2D:0x35] = b"CODE%04d" % (i % 10_000)
+        body[0x5B:0x61] = (0xE000).to_bytes(2, "little") + (0xE000 + 2 * len(listed)).to_bytes(2, "little") + bytes(2)
+        gap = b"-" * (7 if i % 3 == 0 else 0)
+        chain = b"BCPSEGMENT" + gap + record(b"BCPSYS", bytes(body), 3, 1) + gap
+        chain += b"".join(record(b"BCPCHP", bytes([k]), 1, 0) + gap for k in range(i % 5)) + record(b"BCPMCD", bytes([i % 200]), 0, 1)
+        if i % 4 == 3:
+            chain = b"BCPSEGMENT" + record(b"BCPIO ", b"", 1, 0) + b"BCPSYS" + bytes(4) + chain
+        data[5000 : 5000 + len(chain)] = chain
+        return bytes(data)
+
+    return pd.Series([image(i, t, x) for i, t, x in zip(ids, texts, tables)])
+
+
+def chained_images(spark, sf_dir) -> DataFrame:
+    """(path, content): each document as such an image, with pointers to one to four register tables."""
+    i = F.col("doc_id")
+    tables = F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda k: F.array(((i + k) % 8).cast("int"), ((i * 7 + k * 31) % 256).cast("int")))
+    made = F.pandas_udf(chained, BinaryType())("doc_id", "text", tables)
+    return table(spark, sf_dir, "documents").select(i.cast("string").alias("path"), made.alias("content"))
+
+
+#: The addresses of what ``chained`` makes.
+CHAINED_SQL = """
+d AS (SELECT doc_id, (doc_id % 5)::INT AS chips, CASE doc_id % 3 WHEN 0 THEN 7 ELSE 0 END AS gap, 1048576 - 8192 + 5000 + CASE doc_id % 4 WHEN 3 THEN 30 ELSE 0 END AS segment FROM documents),
+r AS (SELECT *, 0 AS n, 'BCPSYS' AS signature, 107 AS size, segment + 10 + gap AS place FROM d
+      UNION ALL SELECT doc_id, chips, gap, segment, (k + 1)::INT, 'BCPCHP', 11, segment + 117 + 2 * gap + k * (11 + gap) FROM (SELECT *, unnest(range(chips)) AS k FROM d)
+      UNION ALL SELECT *, chips + 1, 'BCPMCD', 11, segment + 117 + 2 * gap + chips * (11 + gap) FROM d)
+"""
+
+
+@query(f"WITH {CHAINED_SQL} SELECT doc_id, n::BIGINT AS n, signature, place::BIGINT AS place, size::BIGINT AS size FROM r")
+def phoenix_chain(spark, sf_dir):
+    """The records of each image's first valid chain, by pointer doubling over all possible ones."""
+    records = P.chains(P.spaces(chained_images(spark, sf_dir)), f"{shared(spark)}/chain-{uuid.uuid4().hex}")
+    return records.select(F.col("path").cast("long").alias("doc_id"), "n", "signature", F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size"))
+
+
+@query("""
+WITH m AS (SELECT (p_partkey // 256 % 8)::INT AS category, (p_partkey % 256)::INT AS model, min(p_name) AS name FROM part GROUP BY 1, 2),
+t AS (SELECT doc_id, ((doc_id + k) % 8)::INT AS category, ((doc_id * 7 + k * 31) % 256)::INT AS model FROM (SELECT doc_id, unnest(range(doc_id % 4 + 1)) AS k FROM documents)
+      UNION SELECT doc_id, 6, (doc_id % 200)::INT FROM documents),
+c AS (SELECT doc_id, name, string_agg(DISTINCT label, ', ' ORDER BY label) AS cs FROM t JOIN m USING (category, model)
+      JOIN (SELECT unnest(['System', 'Cache', 'CPU', 'I/O', 'PM', 'Bridge', 'MCD', 'Other']) AS label, unnest(range(8)) AS category) USING (category) GROUP BY 1, 2)
+SELECT doc_id, string_agg(name || ' (' || cs || ')', chr(10) ORDER BY name || ' (' || cs || ')') AS names FROM c GROUP BY 1
+""")
+def phoenix_tables(spark, sf_dir):
+    """The register tables that each image points to, named by a table of parts."""
+    spaces, key = P.spaces(chained_images(spark, sf_dir)), F.col("p_partkey")
+    records = P.chains(spaces, f"{shared(spark)}/chain-{uuid.uuid4().hex}")
+    models = table(spark, sf_dir, "part").groupBy((F.floor(key / 256) % 8).cast("int").alias("category"), (key % 256).cast("int").alias("model")).agg(F.min("p_name").alias("name"))
+    named = R.grouped_names(P.table_names(P.register_tables(spaces, records), models), "path", "category", "name")
+    return named.select(F.col("path").cast("long").alias("doc_id"), "names")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 9 >= 6 THEN '4.0 Release ' || doc_id % 9 || '.0' ELSE '4.0' || doc_id % 9 END AS version,
+       'CODE' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || chr(10) || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '/' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '/9' || doc_id % 10 || ' 10:20:3' || doc_id % 10 AS build
+FROM documents
+""")
+def phoenix_builds(spark, sf_dir):
+    """The core version and build of each image's system record."""
+    records = P.chains(P.spaces(chained_images(spark, sf_dir)), f"{shared(spark)}/chain-{uuid.uuid4().hex}")
+    return P.builds(records).select(F.col("path").cast("long").alias("doc_id"), "version", "build")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS g, (l_partkey % 300)::BIGINT AS b, (l_partkey % 300 + l_quantity)::BIGINT AS e, l_linenumber AS r, l_suppkey AS s FROM lineitem),
+x AS (SELECT DISTINCT g, unnest([b, e]) AS f FROM r),
+p AS (SELECT g, f, lead(f) OVER (PARTITION BY g ORDER BY f) AS t FROM x),
+o AS (SELECT p.g, f, t, max(struct_pack(r := r, s := s, b := b)) AS m FROM p JOIN r ON p.g = r.g AND b <= f AND t <= e WHERE t IS NOT NULL GROUP BY 1, 2, 3),
+n AS (SELECT *, (coalesce(lag(m) OVER w = m AND lag(t) OVER w = f, false))::INT AS same FROM o WINDOW w AS (PARTITION BY g ORDER BY f)),
+k AS (SELECT *, sum(1 - same) OVER (PARTITION BY g ORDER BY f) AS run FROM n)
+SELECT g, min(f) AS begin, max(t) AS "end", m.s AS source, min(f) - m.b AS "offset" FROM k GROUP BY g, run, m
+""")
+def overlay_pieces(spark, sf_dir):
+    """An order's lines as ranges that lie over each other, the later over the earlier."""
+    b = F.col("l_partkey") % 300
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), b.alias("b"), (b + F.col("l_quantity").cast("long")).alias("e"), "l_linenumber", "l_suppkey")
+    return R.overlaid(rows, "g", "b", "e", "l_linenumber", "l_suppkey")
+
+
 SUMMARY = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL"
 
 
