@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vendors as V
+from .phoenix_rule import phoenix
 from ..functions.scalar import all_match, bind, every_nth, found, pivot_date
 
 Take = tuple[str, int] | str | Callable[[Column], Column]
@@ -145,6 +146,7 @@ RULES = (
     Rule(3, "Award", "Toshiba", needs=TOSHIBA[:1], string=lambda t: F.right(F.concat(F.regexp_extract(t, TOSHIBA[1], 1), F.regexp_extract(t, TOSHIBA[1], 2)), F.lit(16))),
     Rule(4, "Award", find=V.award),
     Rule(5, "Quadtel", quadtel_version, needs=(r" Quadtel Corp\. Version ", QUADTEL), string=lambda t: newest_date(t, r"([0-9]{2}/[0-9]{2}/[0-9]{2})[^0-9]"), signon=lambda t: F.trim(quadtel(0x190, 0x100)(t))),
+    Rule(6, "Phoenix", find=phoenix),
     Rule(7, "AMI", find=V.ami_uefi),
     Rule(8, "AMI", find=V.ami),
     Rule(9, "Intel", find=V.ami_intel),

@@ -39,6 +39,26 @@ OLD = dict(x0=b"\xaa\x55____04/30/90", x20=b"(C)1990AMI,404-263-8181", x40=b" Da
            x90=b"386-BIOS (C)1989 American Megatrends Inc., for Maker of Boards\0")
 AWARD_BLOCK = dict(x0=b"Award " + b"Software" + b"IBM COMPATIBLE", x61=b"Award Modular BIOS v4.51PG An Energy Star Ally\0", xc1=b"Line one\r\n\x0b Line two \0",
                    xc71=b"08/21/98-i440BX-W977-2A69KX1XC-00\0", xd00=b"(c) Award Software Inc.")
+
+
+def record(name: bytes, body: bytes, major: int, minor: int) -> bytes:
+    """A chained record."""
+    return name + bytes([major, minor]) + (10 + len(body)).to_bytes(2, "little") + body
+
+
+def phoenix(core: tuple[int, int], revision: tuple[int, int], pointer: bool, broken: bool = False) -> bytes:
+    """64 KB with a chain at 0x4000, an identification at 0x3000 and a sign-on at 0x3100, which a pointer at 0x3200 may lead to."""
+    system = bytearray(0x63)
+    system[0:3], system[5:22], system[0x2D:0x35] = bytes([*core, 0]), b"03/04/97 01:02:03", b"BUILD 12"
+    system[0x5F:0x61] = (0xF000).to_bytes(2, "little")
+    system[0x61:0x63] = (0xF000).to_bytes(2, "little")
+    post = bytearray(0x1B)
+    post[0x11:0x13] = (0x3000).to_bytes(2, "little")
+    post[0x19:0x1B] = (0x3200 if pointer else 0x3100).to_bytes(2, "little")
+    chain = b"BCPSEGMENT" + (b"BCPSYS" + bytes(4) + b"BCPSEGMENT" if broken else b"") + record(b"BCPSYS", bytes(system), *revision) + b"-" + record(b"BCPOST", bytes(post), 0, 3)
+    return at(0x10000, x100=b"Phoenix Technologies Ltd", x3000=b"PhoenixBIOS 4.0 ID\0", x3100=b"Board sign-on\r\n second line \0", x3200=(0x3100).to_bytes(2, "little"), x4000=chain)
+
+
 #: name, header, image, and what is found: vendor, version, string, sign-on, metadata.
 IMAGES: list[tuple[str, bytes | None, bytes, tuple[str, str, str, str, str] | None]] = [
     ("power", None, at(0x200, x0=b"IBM COMPATIBLE BIOS COPYRIGHT AWARD SOFTWARE INC.", x82=b"PowerBIOS Version 2.10\0Copyright X\0mS7SI0A\0", x120=b"PowerBIOS Setup"),
@@ -57,6 +77,18 @@ IMAGES: list[tuple[str, bytes | None, bytes, tuple[str, str, str, str, str] | No
      ("Award", "AST", "", "AST Premium 386\nRev 1.0", "")),
     ("award early", None, at(0x200, x0=b"XT BIOS V2.05 COPYRIGHT AWARD SOFTWARE INC.", x3c=b"Early machine\0"), ("Award", "v2.05", "", "Early machine", "")),
     ("quadtel", None, b"..Copyright 1985-1992 Quadtel Corp. Version 3.05".ljust(2 + 0xC8, b".") + b"QUADTEL 386 BIOS Version Q3.05.\0".ljust(0xC8, b"\0") + b" Hello 04/05/91 \0", ("Quadtel", "3.05 (Phoenix)", "04/05/91", "Hello 04/05/91", "")),
+    ("phoenix old", None, phoenix((4, 3), (1, 4), False), ("Phoenix", "4.03", "", "Board sign-on\nsecond line", "[Build] BUILD 12\n        03/04/97 01:02:03\n[ID] PhoenixBIOS 4.0 ID")),
+    ("phoenix middle", None, phoenix((4, 5), (1, 5), True, True), ("Phoenix", "4.05", "", "Board sign-on\nsecond line", "[Build] BUILD 12\n        03/04/97 01:02:03\n[ID] PhoenixBIOS 4.0 ID")),
+    ("phoenix release", None, phoenix((4, 6), (3, 2), True), ("Phoenix", "4.0 Release 6.0", "", "", "[Build] BUILD 12\n        03/04/97 01:02:03\n[ID] PhoenixBIOS 4.0 ID")),
+    ("phoenix tiano", None, b"Phoenix Technologies Ltd\0Phoenix BIOS SC-T v2.1 Build 3\0", ("Phoenix", "SecureCore Tiano v2.1", "", "", "[ID] Phoenix BIOS SC-T v2.1 Build 3")),
+    ("phoenix pentium", None, b"Phoenix Technologies Ltd\0PhoenixBIOS(TM) for Pentium(TM) CPU - 82430FX Version 1.03 patch\0", ("Phoenix", "Pentium 82430FX 1.03", "", "", "[ID] PhoenixBIOS(TM) for Pentium(TM) CPU - 82430FX Version 1.03 patch")),
+    ("phoenix a486", None, b"Phoenix Technologies Ltd\0PhoenixBIOS(TM) \1\2A486 Version 1.01\0\r\nAll Rights Reserved\r\n\n\0Old board\0", ("Phoenix", "A486 1.01", "", "Old board", "[ID] PhoenixBIOS(TM) A486 Version 1.01")),
+    ("phoenix rom bios", None, b"Phoenix Software Associates\x0080386 ROM BIOS PLUS Version 1.10 07\0(R)eboot, other keys to continue\0\xff\xffSign here\0", ("Phoenix", "386 PLUS 1.10", "", "Sign here", "[ID] 80386 ROM BIOS PLUS Version 1.10 07")),
+    ("phoenix dell", None, b"Phoenix Technologies Ltd\0Dell System Dimension XPS".ljust(25 + 32, b"\0") + b"A07\0", ("Phoenix", "Dell", "", "Dell System Dimension XPS\nBIOS Version: A07", "")),
+    ("phoenix hp", None, b"Phoenix Compatibility Corp\0ROM BIOS one Compatibility Software two Phoenix three\n\rVersion D.02.02\0Vectra ES (C)Copyright 1985-1988 Hewlett-Packard Company, All Rights Reserved.\0",
+     ("Phoenix", "HP", "Vectra ES", "Version D.02.02", "[ID] ROM BIOS one Compatibility Software two Phoenix three")),
+    ("phoenix only spoken of", None, b"Phoenix Technologies Ltd search=f000,0,ffff,S,\"x", None),
+    ("phoenix without version", None, b"Phoenix Technologies Ltd and no more", None),
     ("ami uefi", UEFI, b"$SGN$\x01abFirst line\0Board sign-on\r\0", ("AMI", "UEFI", "", "Board sign-on", "")),
     ("ami uefi maker", UEFI, b"ALASKAA M I..$MSESGN$Maker 1.2 Release\0", ("AMI", "UEFI", "", "Maker 1.2 Release", "")),
     ("ami color", None, at(0x400, **AMI_COLOR), ("AMI", "07/25/94", "40-0100-006259-00101111-072594-SIS3486-0", "Board X", "[ID] AMIBIOS (C)1994 American Megatrends Inc.,\n[Setup] Easy, WinBIOS\n[Table] Chip\n        Port")),
