@@ -8,7 +8,8 @@ priority that is satisfied and has a version wins. No Python runs on the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ class Rule:
     header: str | None = None  # what the artifact's header must be
     metadata: tuple[tuple[str, Take], ...] = ()
     find: Callable[[Column, Column | None], Column] | None = None
+    marks: tuple[str, ...] = ()  # plain texts, one of which is there if the rule holds: it is looked at only then
 
 
 def newest_date(text: Column, pattern: str) -> Column:
@@ -140,6 +142,17 @@ COMPAQ = (
 )
 ICL = r"(?:ROM|System) BIOS (#[\x20-\x7E]+) Version ([\x20-\x7E]+)\x0D\x0A\(c\) Copyright [\x20-\x7E]+(?:\x0D\x0A\x0A\x00([\x20-\x7E]+))?"
 
+#: Plain texts, parts of a rule's patterns, of which an artifact that the rule takes has one at least. They are far quicker to look
+#: for than patterns, and most artifacts have none.
+MARKS = {
+    2: ("PowerBIOS Setup",), 3: ("Toshiba",), 4: ("Software Inc.", "SSooffttwwaarree IInncc", "AWARD SOFTWARE INC.", "Award Decompression Bios"), 5: (" Quadtel Corp. Version",),
+    6: ("Phoenix", "PPhhooeenniixx"), 8: ("American Megatrends Inc", "AMIBIOSC", " Access Methods Inc.", "AMI- "), 10: ("Ver V", "Ver: V"), 11: ("Acer Incorporated 1990", "Acer Boot Block v1.0"),
+    12: ("Multitech Industrial Corp",), 13: ("AMPRO ",), 14: ("AMSTRAD plc", "Amstrad plc", "Amstrad Consumer Electronics plc"), 15: ("NCR'S VERSION IBM", " COMPUTER DEVICES INC. "),
+    16: ("Central Point Software, Inc.",), 17: (" Chips & Technologies",), 18: (" Rom Bios Version ",), 19: ("COMPAQ",), 20: ("THIS IS NOT IBM BIOS COPAM",), 21: ("coreboot-", "Jumping to LinuxBIOS."),
+    22: ("Datatech Enterprises", "DATATECH ENTERPRISES", "DTK Corp.", "GoldStar Co.,Ltd.", "GOLDSTAR  SYSTEM  SETUP"), 23: ("General Software",), 24: ("COPYRIGHT", "CCOOPPYYRRIIGGHHTT"),
+    25: ("COPR. IBM", "COPYRIGHT IBM CORPORATION", "CCOOPPRR", "CCOOPPYYRRIIGGHHTT"), 26: ("OKICL1", " BIOS #"), 29: ("Juko Electronics",), 31: ("MYLEX ",), 32: (V.OLIVETTI[0],), 33: ("Philips ROM BIOS Version",),
+    34: ("PROMAG SYSTEM BOARD",), 35: ("Schneider R",), 36: ("SystemSoft", "Insyde Software"), 37: ("IBM 1984 BIOS VERSION",), 38: ("tinyBIOS V",), 39: ("$PREPOST",), 40: ("(C)ZDS CORP",),
+}
 #: The signatures by which firmware of these vendors is known, in their order of precedence.
 RULES = (
     Rule(2, "Award", find=V.award_power),
@@ -181,6 +194,7 @@ RULES = (
     Rule(39, "Whizpro", text_at(lambda n: F.lit(0x0B), 8), needs=(r"\$PREPOST", r"\$BOOTBLK"), string=text_at(lambda n: F.shiftright(n, 2) + 0x30, 0x20), signon=text_at(lambda n: F.shiftright(n, 2) + 0x110, 0x20)),
     Rule(40, "Zenith", (r"([0-9]{2}/[0-9]{2}/[0-9]{2}) \(C\)ZDS CORP", 1), signon=(r"(?<![\x20-\x7E])[\x20-\x7E]+ Monitor, Version [\x20-\x7E]+", 0)),
 )
+RULES = tuple(replace(r, marks=MARKS.get(r.priority, ())) for r in RULES)
 #: The beginnings of files that are of no use here.
 DISCARD = (
     r"(?s)^(?:\x0A[\x00-\x05][\x00-\x01][\x01\x02\x04\x08]|BM|\xFF\xD8\xFF|GIF8|\x89PNG|%PDF|\xD0\xCF\x11\xE0\xA1\xB1\x1A\xE1|\x3F\x5F\x03\x00|"
@@ -201,7 +215,16 @@ def is_discarded(head: Column) -> Column:
 
 
 def _finding(rule: Rule, text: Column, header: Column | None) -> Column:
-    """The rule's finding, or null where it does not hold or has no version."""
+    """The rule's finding, or null where it does not hold or has no version. What is quick to see comes first: the header, then plain texts."""
+    made = _made(rule, text, header)
+    if rule.marks:
+        made = F.when(reduce(lambda a, m: a | text.contains(m), rule.marks[1:], text.contains(rule.marks[0])), made)
+    if rule.header:
+        made = F.lit(None) if header is None else F.when(header == F.encode(F.lit(rule.header), "ISO-8859-1"), made)
+    return made
+
+
+def _made(rule: Rule, text: Column, header: Column | None) -> Column:
 
     def take(what: Take | None) -> Column:
         if what is None:
@@ -223,8 +246,6 @@ def _finding(rule: Rule, text: Column, header: Column | None) -> Column:
     holds = all_match(text, rule.needs) & (F.length(text) >= rule.least_size) & version.isNotNull()
     if rule.also:
         holds &= rule.also(text)
-    if rule.header:
-        holds &= F.lit(False) if header is None else F.coalesce(header == F.encode(F.lit(rule.header), "ISO-8859-1"), F.lit(False))
     vendor = F.lit(rule.vendor) if isinstance(rule.vendor, str) else rule.vendor(text)
     return F.when(
         holds,

@@ -34,3 +34,16 @@ def test_whizpro(spark):
     image[4096 - (1024 + 0x110) : 4096 - (1024 + 0x110) + 5] = b"sign\0"
     f = C.classify(spark.createDataFrame([(image,)], "c binary"), C.as_latin1(F.col("c"))).first()["finding"]
     assert (f["vendor"], f["version"], f["string"], f["signon"]) == ("Whizpro", "1.23", "text", "sign")
+
+
+def test_marks_change_no_finding(spark, sf):
+    """The rules without their plain texts find the same, in every image alone and behind a document."""
+    from dataclasses import replace
+
+    images = spark.createDataFrame([(bytearray(h) if h is not None else None, bytearray(b)) for _, h, b, _ in IMAGES], "h binary, c binary")
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit(None).cast("binary").alias("h"), F.encode("text", "UTF-8").alias("c"))
+    behind = images.join(texts.limit(3).select(F.col("c").alias("t")), how="cross").select("h", F.concat("t", "c").alias("c"))
+    rows = images.unionByName(texts).unionByName(behind)
+    bare = [replace(r, marks=()) for r in C.RULES]
+    one, two = (C.classify(rows, C.as_latin1(F.col("c")), rules, header=F.col("h")).select(F.md5("c").alias("k"), "h", "finding.*") for rules in (C.RULES, bare))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
