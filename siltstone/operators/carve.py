@@ -44,6 +44,9 @@ RUN_MARK = r"(?s)SNIPAC([0-9A-F]{2})(.{4})"
 AST_MARK, AST_AT, AST_PAYLOAD, AST_HEAD, AST_TEXT = "This is a flash update from AST Research, Inc.", 0x4200, 0x9000, 0x83, "AST FLASH UPDATE"
 #: Most characters that the run marks of a text may stand for.
 RUNS_MOST = 64 << 20
+#: The texts of three flash tools, the marks around the image of the first, and the second's least size and boot mark.
+FLASH_TOOLS = ("Software\\AMI\\AFUWIN", "AOpen FLASH ROM Utility R", "Micro Firmware, Incorporated * ")
+FLASH_BEGIN, FLASH_END, FLASH_LEAST, FLASH_BOOT = "_EMBEDDED_ROM_START_\0", "_EMBEDDED_ROM_END_\0", 32_768, "*BBOO*"
 DUMP_VERSION, DUMP_ROW = r"CPU-Z version\t+([^\r\n]+)", r"[0-9A-F]+\t((?:[0-9A-F]{2} ){16})\t"
 
 
@@ -101,6 +104,26 @@ def strip_strides(text: Column) -> Column:
     return F.when(fits, F.substring(data, F.lit(AST_HEAD + 1), F.least(size, F.length(data)).cast("int")))
 
 
+def strip_flash_tool(text: Column) -> Column:
+    """The image inside an executable of a flash tool; null for other texts.
+
+    One kind of tool has marks around it. For the others it is the largest power of two of bytes at the end, for one of them
+    without a word of sum behind it, and only its first half where the second begins with the mark of a boot block.
+    """
+    begin = F.instr(text, FLASH_BEGIN)
+    rest = F.substring(text, F.when(begin > 0, begin + len(FLASH_BEGIN)).otherwise(1), F.length(text))
+    marked = F.when((begin > 0) & rest.contains(FLASH_END), F.substring_index(rest, FLASH_END, 1))
+    size = F.length(text)
+    whole = largest_power(size)
+    summed = F.when(text.contains(FLASH_TOOLS[1]) & (size % 16 == 2), 2).otherwise(0)
+    at = size - whole - summed
+    half = F.substring(text, (at + whole / 2 + 1).cast("int"), F.lit(len(FLASH_BOOT))) == FLASH_BOOT
+    kept = F.when(text.contains(FLASH_TOOLS[1]) & half, (whole / 2).cast("int")).otherwise(whole.cast("int"))
+    tail = F.when((at > 0) & (~text.contains(FLASH_TOOLS[1]) | (size >= FLASH_LEAST)), F.substring(text, (at + 1).cast("int"), kept))
+    other = F.when(text.contains(FLASH_TOOLS[1]) | text.contains(FLASH_TOOLS[2]), tail)
+    return F.when(text.startswith("MZ"), F.when(text.contains(FLASH_TOOLS[0]), marked).otherwise(other))
+
+
 def hex_dump(text: Column) -> Column:
     """(version, content) of a report with a dump of 16 bytes a row; null for other texts."""
     rows = F.regexp_extract_all(text, F.lit(DUMP_ROW), F.lit(1))
@@ -131,6 +154,12 @@ def places(text: Column, mark: str) -> Column:
     return F.slice(ends, 2, F.size(ends) - 2)
 
 
+def last_place(text: Column, mark: str, before: Column | None = None) -> Column:
+    """The offset of the last mark that ends at ``before`` or ahead of it (the end, without one), in a text of one character a byte; null with none."""
+    front = text if before is None else F.substring(text, F.lit(1), before.cast("int"))
+    return bind(front, lambda f: F.when(f.contains(mark), F.length(f) - F.length(F.substring_index(f, mark, -1)) - len(mark)))
+
+
 def volumes(text: Column) -> Column:
     """The offsets at which firmware volumes begin: their mark stands 40 bytes inside."""
     return F.filter(F.transform(places(text, "_FVH"), lambda x: x - 0x28), lambda x: x >= 0)

@@ -69,7 +69,7 @@ def offsets_of(data: Column, mark: str) -> Column:
     """The offsets of a mark in a binary column, in one pass."""
     n = F.octet_length(data) - len(mark)
     there = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(data, i + 1, F.lit(len(mark))) == F.lit(mark.encode()))
-    return F.when((n >= 0) & (F.position(F.lit(mark.encode()), data) > 0), there).otherwise(F.array().cast("array<int>"))
+    return F.when((n >= 0) & F.contains(data, F.lit(mark.encode())), there).otherwise(F.array().cast("array<int>"))
 
 
 def spaces(images: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def chains(spaces: DataFrame, folder: str) -> DataFrame:
     the segment's mark. A head that is cut off, has a further mark where its version and size belong, or a size below its own makes the
     chain invalid; then the next segment mark is tried. A segment mark without a record within reach ends the search.
     """
-    rows = spaces.filter(F.position(F.lit(SEGMENT.encode()), F.col("data")) > 0)
+    rows = spaces.filter(F.contains(F.col("data"), F.lit(SEGMENT.encode())))
     places = rows.select("path", "base", F.explode(offsets_of(F.col("data"), RECORD)).alias("at"), "data")
     head = F.substring("data", F.col("at") + 1, F.lit(HEAD_BYTES))
     size = word(head, 8)

@@ -26,6 +26,7 @@ from ..operators import classify as C
 from ..operators import features as X
 from ..operators import phoenix as P
 from ..operators import relations as R
+from ..operators import stores as O
 from ..operators import unpack as U
 from ..sources import files as T
 from ..sources import sinks as K
@@ -644,6 +645,92 @@ def overlay_pieces(spark, sf_dir):
     return R.overlaid(rows, "g", "b", "e", "l_linenumber", "l_suppkey")
 
 
+def with_updates(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """Texts with an update of 2 or 3 KB behind them, one in five with a wrong sum, and one in two with a second before."""
+
+    def update(i: int, size: int, right: bool) -> bytes:
+        date = (i % 9 + 1 << 24) | (i % 9 + 1 << 16) | 0x1999
+        words = [1, i, date, 0x600 + i % 16, 0, 1, i % 8, size - 48 if size > 2048 else 0, size]
+        words += [0] * 3 + [i * k & 0xFFFFFFFF for k in range(size // 4 - 12)]
+        words[4] = -sum(words) + (not right) & 0xFFFFFFFF
+        return b"".join(w.to_bytes(4, "little") for w in words)
+
+    def image(i: int, text: str) -> bytes:
+        front = (text or "").encode()[:3000]
+        first = update(i + 1, 2048, True) if i % 2 else b""
+        return front + first + b"..." + update(i, 3072 if i % 3 else 2048, i % 5 != 4)
+
+    return pd.Series([image(i, t) for i, t in zip(ids, texts)])
+
+
+@query("""
+WITH d AS (SELECT doc_id, least(octet_length(encode(text)), 3000) AS front FROM documents),
+u AS (SELECT doc_id, front AS place, doc_id + 1 AS i, 2048 AS size FROM d WHERE doc_id % 2 = 1
+      UNION ALL SELECT doc_id, front + doc_id % 2 * 2048 + 3, doc_id, CASE doc_id % 3 WHEN 0 THEN 2048 ELSE 3072 END FROM d WHERE doc_id % 5 <> 4)
+SELECT doc_id, place::BIGINT AS place, '1999-0' || (i % 9 + 1) || '-0' || (i % 9 + 1) AS date, (1536 + i % 16)::BIGINT AS signature, (i % 8)::BIGINT AS flags, size::BIGINT AS size FROM u
+""")
+def microcode_updates(spark, sf_dir):
+    """Processor updates behind the beginnings of documents, found by their dates and sums; wrong sums are none."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.pandas_udf(with_updates, BinaryType())("doc_id", "text").alias("content"))
+    return O.updates(files).withColumn("doc_id", F.col("path").cast("long")).drop("path")
+
+
+def stored(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """A text, then a store: three variables, of which the first is written again with the text's beginning, one deleted and one with a wrong sum for some."""
+
+    def variable(name: str, value: bytes, status: int, right: bool) -> bytes:
+        names = (name + "\0").encode("utf-16le")
+        head = lambda s, c: b"\xaa\x55" + s.to_bytes(2, "little") + (7).to_bytes(4, "little") + len(names).to_bytes(4, "little") + len(value).to_bytes(4, "little") + bytes(range(16)) + c.to_bytes(2, "little")
+        plain = head(0x7F, 0) + names + value
+        plain += b"\0" * (len(plain) % 2)
+        total = -sum(int.from_bytes(plain[k : k + 2], "little") for k in range(0, len(plain), 2)) + (not right) & 0xFFFF
+        return head(status, total) + names + value
+
+    def image(i: int, text: str) -> bytes:
+        log = variable("Boot", b"old", 0x3F if i % 2 else 0x7F, True) + variable("Setup", b"%d" % i, 0x7F, i % 3 != 0) + variable("Boot", (text or "").encode()[: i % 50], 0x7F, i % 4 != 1)
+        return b"front" + (text or "").encode()[:200] + b"$VSS" + (16 + len(log)).to_bytes(4, "little") + bytes(8) + log + b"\xff" * 64
+
+    return pd.Series([image(i, t) for i, t in zip(ids, texts)])
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 50 AS n, hex(encode(text)) AS t FROM documents)
+SELECT doc_id, 'Setup' AS name, hex(encode(doc_id::VARCHAR)) AS value FROM d WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, 'Boot', CASE WHEN doc_id % 4 <> 1 THEN left(t, 2 * n) ELSE hex(encode('old')) END FROM d WHERE doc_id % 4 <> 1 OR doc_id % 2 = 0
+""")
+def store_variables(spark, sf_dir):
+    """The variables of each store as they are after all writes: the last one in use with the right sum of each name."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.pandas_udf(stored, BinaryType())("doc_id", "text").alias("content"))
+    return O.variables(files, shared(spark)).filter("latest").select(F.col("path").cast("long").alias("doc_id"), "name", F.hex("value").alias("value"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(text, ' de ') THEN length(text) - strpos(reverse(text), ' ed ') - 3 END::BIGINT AS last_of,
+       CASE WHEN contains(left(text, 500), ' de ') THEN length(left(text, 500)) - strpos(reverse(left(text, 500)), ' ed ') - 3 END::BIGINT AS before_500 FROM documents
+""")
+def last_mark(spark, sf_dir):
+    """The last place of a mark, and the last before another place."""
+    places = [V.last_place(F.col("text"), " de ", b).cast("long") for b in (None, F.lit(500))]
+    return table(spark, sf_dir, "documents").select("doc_id", places[0].alias("last_of"), places[1].alias("before_500"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, left(regexp_replace(text, '[^ -~]', '', 'g') || repeat('.', 1024), 1024) AS t FROM documents)
+SELECT 'd' || doc_id || ':/payload' AS path, md5(CASE doc_id % 3 WHEN 0 THEN t WHEN 1 THEN repeat(t, 16) ELSE repeat(t, 32) END) AS md5 FROM d
+""")
+def flash_tools(spark, sf_dir):
+    """Images in the executables of three flash tools: between marks, in front of a boot block and a sum, and at the end."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    t = F.left(F.concat(F.regexp_replace("text", "[^ -~]", ""), F.repeat(F.lit("."), 1024)), F.lit(1024))
+    whole = F.when(i == 0, F.concat(F.lit("MZ Software\\AMI\\AFUWIN _EMBEDDED_ROM_START_\0"), t, F.lit("_EMBEDDED_ROM_END_\0 tail")))
+    whole = whole.when(i == 1, F.concat(F.rpad(F.lit("MZ AOpen FLASH ROM Utility R"), 64, "."), F.repeat(t, 16), F.rpad(F.lit("*BBOO*"), 16_384, "-"), F.lit("ab")))
+    whole = whole.otherwise(F.concat(F.rpad(F.lit("MZ Micro Firmware, Incorporated * "), 77, "."), F.repeat(t, 32)))
+    left = U.unpack(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode(whole, "ISO-8859-1").alias("content")), shared(spark), sets=False)
+    return left.select("path", F.md5("content").alias("md5"))
+
+
 SUMMARY = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL"
 
 

@@ -41,12 +41,12 @@ def test_members_over_a_limit(spark, tmp_path, monkeypatch):
                 z.writestr(f"m{k}", b"x" * n)
         return out.getvalue()
 
-    assert U.opened("p", None, 0, zipped(10, 200)) == [("p:/m0", "p", 1, b"x" * 10, None), ("p:/m1", "p", 1, None, U.TOO_LARGE), ("p", None, 0, zipped(10, 200), U.TOO_LARGE)]
-    rows = U.opened("p", None, 0, zipped(1, 2, 3, 4, 5))
+    assert list(U.opened("p", None, 0, zipped(10, 200))) == [("p:/m0", "p", 1, b"x" * 10, None), ("p:/m1", "p", 1, None, U.TOO_LARGE), ("p", None, 0, zipped(10, 200), U.TOO_LARGE)]
+    rows = list(U.opened("p", None, 0, zipped(1, 2, 3, 4, 5)))
     assert [r[0] for r in rows] == ["p:/m0", "p:/m1", "p:/m2", "p"] and rows[-1][4] == U.TOO_MANY
     big = gzip.compress(b"y" * 101)
-    assert U.opened("g", None, 0, big) == [("g:/content", "g", 1, None, U.TOO_LARGE), ("g", None, 0, big, U.TOO_LARGE)]
-    assert U.opened("g", None, 0, gzip.compress(b"y" * 100)) == [("g:/content", "g", 1, b"y" * 100, None)]
+    assert list(U.opened("g", None, 0, big)) == [("g:/content", "g", 1, None, U.TOO_LARGE), ("g", None, 0, big, U.TOO_LARGE)]
+    assert list(U.opened("g", None, 0, gzip.compress(b"y" * 100))) == [("g:/content", "g", 1, b"y" * 100, None)]
 
 
 def test_pci_tables(spark, tmp_path):

@@ -48,7 +48,7 @@ def record(name, body=b"", major=0, minor=0, size=None):
 def random_image(rng):
     out = bytearray()
     for _ in range(rng.randint(0, 4)):
-        out += bytes(rng.choices(b"xyB", k=rng.randint(0, 300))) + b"BCPSEGMENT" + bytes(rng.choice([0, 0, 5, 1010, 1012, 1014, 1022]))
+        out += bytes(rng.choices(b"xyB\xff\xc3", k=rng.randint(0, 300))) + b"BCPSEGMENT" + bytes(rng.choice([0, 0, 5, 1010, 1012, 1014, 1022]))
         for _ in range(rng.randint(0, 9)):
             body = bytes(rng.choices(b"abBC", k=rng.randint(0, 40)))
             out += record(rng.choice([b"BCPSYS", b"BCPIO ", b"BCPCHP", b"BCPBCP"]), body, rng.randint(0, 3), 1, rng.choice([None] * 8 + [3, len(body) + 4, len(body) + 14]))
