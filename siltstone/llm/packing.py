@@ -26,7 +26,7 @@ WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers, and the bytes that they take there, texts, ids and table slots together; others
 #: are encoded again. It bounds memory, not results.
-CACHE_WORDS, CACHE_BYTES = 800_000, 128 << 20
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 160 << 20
 #: What an entry takes besides its letters and ids: the heads of two objects and its share of the table.
 ENTRY_BYTES = 176
 #: A word is remembered when it is met in a second batch; one byte for each of so many hash values tells.
