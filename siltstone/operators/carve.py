@@ -42,6 +42,8 @@ INTEL_VOID, INTEL_HEADER_MOST, INTEL_MOST = "\xAA\x55\xAA\x55\x55\xAA\x55\xAA",
 OMF_HEAD, OMF_BYTES = r"(?s)^.(.{4})([\x1A\x20-\x7E]{32}).{14}([\x00\x20-\x7E]{8})", 112
 RUN_MARK = r"(?s)SNIPAC([0-9A-F]{2})(.{4})"
 AST_MARK, AST_AT, AST_PAYLOAD, AST_HEAD, AST_TEXT = "This is a flash update from AST Research, Inc.", 0x4200, 0x9000, 0x83, "AST FLASH UPDATE"
+#: Fixed value: the beginning of an archive with a date; most entries of a directory that are listed.
+ETI_HEAD, ENTRIES_MOST = r"^[0-9\.\x00]{10}[0-9]{2}/[0-9]{2}/[0-9]{2}\x00{2}[0-9]{2}:[0-9]{2}:[0-9]{2}\x00{3}", 4096
 #: Most characters that the run marks of a text may stand for.
 RUNS_MOST = 64 << 20
 #: The texts of three flash tools, the marks around the image of the first, and the second's least size and boot mark.
@@ -136,6 +138,57 @@ def ranges(text: Column, mark: str) -> Column:
     return bind(places(text, mark), lambda p: F.transform(p, lambda x, k: F.struct(x.alias("begin"), F.get(p, k + 1).alias("until"))))
 
 
+def entries(data: Column, first: int, head: int, read: Callable[[Column], tuple[Column, Column, Column]], most: int = ENTRIES_MOST) -> Column:
+    """(members, wrong): the members (name, begin, size) of a directory whose entries, of ``head`` bytes each and their data behind, follow each other from
+    ``first`` on; ``wrong`` where an entry or its data would go beyond the end, or there are more than ``most``.
+
+    ``read`` gives of an entry's bytes its name, its size (null: up to the end), and whether it ends the directory.
+    """
+    whole = F.octet_length(data).cast("long")
+    start = F.struct(F.lit(first).cast("long").alias("at"), F.lit(False).alias("over"), F.lit(False).alias("wrong"), F.array().cast("array<struct<name:string,begin:bigint,size:bigint>>").alias("members"))
+
+    def state(at: Column, over: Column, wrong: Column, members: Column) -> Column:
+        return F.struct(at.alias("at"), over.alias("over"), wrong.alias("wrong"), members.alias("members"))
+
+    def step(s: Column, _: Column) -> Column:
+        h = F.substring(data, s["at"].cast("int") + 1, F.lit(head))
+        name, size, end = read(h)
+        begin = s["at"] + head
+        size = F.coalesce(size, F.greatest(whole - begin, F.lit(0)))
+        lacks = F.octet_length(h) < head
+        ends = state(s["at"], F.lit(True), lacks & (F.octet_length(h) > 0), s["members"])
+        beyond = state(s["at"], F.lit(True), F.lit(True), s["members"])
+        member = F.struct(name.alias("name"), begin.alias("begin"), size.cast("long").alias("size"))
+        on = state(begin + size, F.lit(False), F.lit(False), F.concat(s["members"], F.array(member)))
+        return F.when(s["over"], s).when(lacks | end, ends).when(begin + size > whole, beyond).otherwise(on)
+
+    # No more entries than heads fit in; one step more tells whether there are too many.
+    steps = F.sequence(F.lit(0), F.least(F.floor(whole / head) + 1, F.lit(most)).cast("int"))
+    return bind(F.aggregate(steps, start, step), lambda s: F.struct(s["members"].alias("members"), (s["wrong"] | ~s["over"]).alias("wrong")))
+
+
+def _name_of(data: Column, at: int, size: int) -> Column:
+    """A file name of fixed width, up to its first zero; separators of folders can't be in one."""
+    return F.translate(F.substring_index(F.decode(F.substring(data, at + 1, size), "ISO-8859-1"), "\0", 1), "/", "\\")
+
+
+def ros_members(data: Column) -> Column:
+    """The directory of a network boot file system: entries of 32 bytes behind a header of 32; what one of an unsure size holds goes up to the end."""
+
+    def read(h: Column) -> tuple[Column, Column, Column]:
+        unsure = le_uint(h, 28, 1).bitwiseAND(0x10) > 0
+        stem, kind = _name_of(h, 17, 8), _name_of(h, 25, 3)
+        return F.concat(stem, F.lit("."), kind), F.when(~unsure, le_uint(h, 10, 2)), F.lit(False)
+
+    return F.when(F.substring(data, 1, 3) == F.lit(b"ROS"), entries(data, 32, 32, read))
+
+
+def eti_members(data: Column) -> Column:
+    """The directory of an archive of packed files: entries of a name, five bytes and a size behind a header with a date; an empty name ends it."""
+    read = lambda h: (_name_of(h, 0, 12), le_uint(h, 17, 4), _name_of(h, 0, 12) == "")
+    return F.when(F.decode(F.substring(data, 1, 31), "ISO-8859-1").rlike(ETI_HEAD), entries(data, 31, 21, read))
+
+
 def partitions(files: DataFrame, content: str = "content", sector: int = 512) -> DataFrame:
     """(path, partition, type, content) of the four entries of a boot sector that hold something; an entry that goes beyond the end is cut there."""
     data = F.col(content)

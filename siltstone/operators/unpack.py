@@ -36,7 +36,7 @@ from .groups import group_step
 DEPTH, MEMBER_BYTES, MEMBERS = 16, 64 << 20, 100_000
 #: Most bytes of a container's members together; they are read one by one and handed over in frames, never held at once.
 CONTAINER_BYTES = 1 << 30
-TOO_LARGE, TOO_MANY, TOO_MUCH = "too large", "too many members", "too large together"
+TOO_LARGE, TOO_MANY, TOO_MUCH, WRONG_LENGTH = "too large", "too many members", "too large together", "wrong lengths"
 #: Bytes of members handed over at once.
 FRAME_BYTES = 16 << 20
 SCHEMA = "path string, parent string, depth int, content binary, event string"
@@ -133,6 +133,22 @@ def stripped(content: Column) -> Column:
     return F.when(head.rlike(STRIP_MARKS) | head.rlike(V.OMF_HEAD) | head.rlike(V.OMF_HEAD.replace("^", "^.{112}")), F.encode(whole, "ISO-8859-1"))
 
 
+def listing(content: Column) -> Column:
+    """(members, wrong) of an artifact that is a directory of plain entries; null for others."""
+    return F.coalesce(V.ros_members(content), V.eti_members(content))
+
+
+def members_of(listed: DataFrame) -> DataFrame:
+    """The members of directories with plain entries, and the directories themselves: one whose lengths are wrong, or that is empty, with that event."""
+    member = F.col("m")
+    rows = listed.select("path", "depth", "content", F.explode("_list.members").alias("m")).select(
+        F.concat("path", F.lit(":/"), member["name"]).alias("path"), F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"),
+        F.substring("content", (member["begin"] + 1).cast("int"), member["size"].cast("int")).alias("content"), F.lit(None).cast("string").alias("event"),
+    )
+    event = F.when(F.col("_list.wrong"), WRONG_LENGTH).when(F.size("_list.members") == 0, "empty directory").otherwise("listed")
+    return rows.unionByName(listed.select("path", "parent", "depth", "content", event.alias("event")))
+
+
 def over_limits(content: Column) -> Column:
     """The event of an artifact whose layout says to make more than a limit; null for others."""
     head = as_latin1(F.substring(content, 1, HEAD_BYTES))
@@ -145,6 +161,7 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -
 
     A container that opens is replaced by its members, at ``path:/member``; one that does not stays, with the event
     that says why, as does one that breaks off or is over a limit; single members over the limit are rows without content.
+    Directories of plain entries stay, with their members beside them.
     Artifacts with a header or runs to strip are replaced by their payload, at ``path:/payload``. Sets of a folder's
     artifacts that make an image (unless ``sets`` is false) are replaced by it, below the first of them. Files of no use are
     dropped by their beginnings; null contents give no rows. ``work`` is a folder that all executors share.
@@ -172,14 +189,15 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -
     for level in range(depth + 1):
         now, whole = group_step(now, f"{folder}/sets") if sets else (now, None)
         head = as_latin1(F.substring("content", 1, HEAD_BYTES))
-        kept = now.filter(~is_discarded(head)).withColumn("_box", head.rlike(CONTAINER)).withColumn("_inner", F.when(~F.col("_box"), stripped(F.col("content"))))
-        boxes = kept.filter("_box").drop("_box", "_inner").mapInPandas(step, SCHEMA)
-        inner = F.col("_inner").isNotNull()
-        plain = kept.filter("not _box").select(
+        kept = now.filter(~is_discarded(head)).withColumn("_box", head.rlike(CONTAINER)).withColumn("_list", F.when(~F.col("_box"), listing(F.col("content"))))
+        kept = kept.withColumn("_inner", F.when(~F.col("_box") & F.col("_list").isNull(), stripped(F.col("content"))))
+        boxes = kept.filter("_box").select("path", "parent", "depth", "content").mapInPandas(step, SCHEMA)
+        inner, listed = F.col("_inner").isNotNull(), kept.filter("not _box and _list is not null")
+        plain = kept.filter("not _box and _list is null").select(
             F.when(inner, F.concat("path", F.lit(":/payload"))).otherwise(F.col("path")).alias("path"), F.when(inner, F.col("path")).otherwise(F.col("parent")).alias("parent"),
             (F.col("depth") + inner.cast("int")).alias("depth"), F.coalesce("_inner", "content").alias("content"), F.when(~inner, F.coalesce(over_limits(F.col("content")), F.lit("leaf"))).alias("event"),
         )
-        rows = [boxes, plain] if whole is None else [boxes, plain, whole]
+        rows = [boxes, plain, members_of(listed)] + ([] if whole is None else [whole])
         reduce(DataFrame.unionByName, rows).write.parquet(f"{folder}/{level}")
         made = spark.read.schema(SCHEMA).parquet(f"{folder}/{level}")
         done.append(made.filter("event is not null"))

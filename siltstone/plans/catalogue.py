@@ -731,6 +731,34 @@ def flash_tools(spark, sf_dir):
     return left.select("path", F.md5("content").alias("md5"))
 
 
+def listed(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """A text's first lines as the files of a directory, in one of two layouts; in one of seven the last is cut off."""
+
+    def image(i: int, text: str) -> bytes:
+        lines = [b"\1" + x.encode() for x in (text or "").split("\n")[:5]]
+        if i % 2:
+            body = b"".join(bytes(10) + len(x).to_bytes(2, "little") + bytes(5) + (b"FILE%d" % k).ljust(8, b"\0") + b"TXT" + bytes(4) + x for k, x in enumerate(lines))
+            out = b"ROS".ljust(32, b"\0") + body
+        else:
+            out = b"1.0".ljust(10, b"\0") + b"01/02/96\0\0" + b"10:11:12\0\0\0" + b"".join((b"FILE%d.TXT" % k).ljust(12, b"\0") + bytes(5) + len(x).to_bytes(4, "little") + x for k, x in enumerate(lines)) + bytes(21)
+        return out[: -22 if i % 2 == 0 else -1] if i % 7 == 6 else out
+
+    return pd.Series([image(i, t) for i, t in zip(ids, texts)])
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:5]) AS line, unnest(range(len(string_split(text, chr(10))[1:5]))) AS k, len(string_split(text, chr(10))[1:5]) AS n FROM documents)
+SELECT 'd' || doc_id || ':/FILE' || k || '.TXT' AS path, 'leaf' AS event, md5(chr(1) || line) AS md5 FROM l WHERE doc_id % 7 <> 6 OR k < n - 1
+UNION ALL SELECT 'd' || doc_id, CASE WHEN doc_id % 7 = 6 THEN 'wrong lengths' ELSE 'listed' END, NULL FROM documents
+""")
+def directory_members(spark, sf_dir):
+    """Files of directories with plain entries of two layouts; where lengths are wrong the rest is kept and the directory says so."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.pandas_udf(listed, BinaryType())("doc_id", "text").alias("content"))
+    left = U.unpack(files, shared(spark), sets=False)
+    return left.select("path", "event", F.when(F.col("event") == "leaf", F.md5("content")).alias("md5"))
+
+
 SUMMARY = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL"
 
 

@@ -63,3 +63,18 @@ def test_limits_of_a_container(monkeypatch):
     assert [r[0] for r in rows] == ["z:/m1", "z"] and rows[-1][4] == U.TOO_MUCH and rows[-1][3] == data
     monkeypatch.setattr(U, "MEMBERS", 1)
     assert [r[4] for r in U.opened("z", None, 0, data)] == [None, U.TOO_MANY]
+
+
+def test_directories_with_wrong_lengths(spark, tmp_path):
+    entry = lambda name, data, size=None, flag=0: bytes(10) + struct.pack("<H", len(data) if size is None else size) + bytes(5) + name.ljust(11, b"\0") + bytes([flag]) + bytes(3) + data
+    ros = lambda *e: b"ROS".ljust(32, b"\0") + b"".join(e)
+    rows = [
+        ("good", ros(entry(b"A/B     TXT", b"\1first"), entry(b"C       BIN", b"\1second"))), ("over", ros(entry(b"A", b"\1one"), entry(b"B", b"\1two", 999))), ("cut", ros(entry(b"A", b"\1one"))[:-20]),
+        ("empty", ros()), ("unsure", ros(entry(b"A", b"\1one"), entry(b"B", b"\1all the rest", 3, 0x10))), ("many", ros(*[entry(b"N%d" % k, b"") for k in range(5000)])), ("random", b"ROS" + random.Random(1).randbytes(5000)),
+    ]
+    got = {}
+    for r in U.unpack(frame(spark, rows), str(tmp_path), sets=False).collect():
+        got.setdefault(r.path.split(":")[0], {})[r.path.partition(":/")[2]] = (r.event, bytes(r.content))
+    assert got["good"]["A\\B     .TXT"] == ("leaf", b"\1first") and got["good"]["C       .BIN"][1] == b"\1second" and got["good"][""][0] == "listed"
+    assert got["over"][""][0] == got["cut"][""][0] == got["many"][""][0] == U.WRONG_LENGTH and got["over"]["A."][1] == b"\1one" and len(got["over"]) == 2
+    assert got["empty"][""][0] == "empty directory" and got["unsure"]["B."][1] == b"\1all the rest" and got["random"][""][0] == U.WRONG_LENGTH
