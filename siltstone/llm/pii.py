@@ -16,7 +16,7 @@ import hmac
 import ipaddress
 import re
 import string
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -160,17 +160,23 @@ def _mentions(text: str, names: list[tuple[int, int, str, str]], others: list[tu
     for _, _, g, who in names:
         if " " in who:
             genders.setdefault(who.casefold(), set()).add(g)
-    persons: dict[str, list[tuple[int, str, str]]] = {}  # words of a name: (place, gender, canonical value)
+    # Words of a name, and a gender: (place, gender, canonical value), in order.
+    persons: dict[str, dict[str, list[tuple[int, str, str]]]] = {}
 
     def known(key: str, place: int, gender: str) -> str | None:
-        fit = [p for p in persons.get(key, ()) if "n" in (gender, p[1]) or gender == p[1]]
-        return max((p for p in fit if p[0] <= place), default=min(fit, default=None))[2] if fit else None
+        before, after = [], []
+        for g, there in persons.get(key, {}).items():
+            if "n" in (gender, g) or gender == g:
+                k = bisect_left(there, (place + 1,))
+                before += there[k - 1 : k] if k else []
+                after.append(there[0])
+        return max(before, default=min(after, default=None))[2] if after else None
 
     def add(keys, place: int, gender: str, who: str) -> str:
         script = "cyrillic" if re.search("[А-яЁё]", who) else "latin"
         value = f"{gender}|{script}|{who}"
         for k in keys:
-            persons.setdefault(k, []).append((place, gender, value))
+            insort(persons.setdefault(k, {}).setdefault(gender, []), (place, gender, value))
         return value
 
     out = []

@@ -131,3 +131,23 @@ def test_small_spaces_settle(spark):
     out = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert len(out.pii_kinds) == 38 and "***" not in out.text and "---" not in out.text
     assert pii.render("123-45-6789", "ssn", pii.ranked("ssn", "123456789", "987654321", 1), "123456789") == "987-65-432100000000000000000001"
+
+
+def test_time_grows_with_the_text_and_not_its_square():
+    """Many mentions of one name: four times the text takes no sixteen times as long, and each mention is found."""
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        text = "Mr. John Smith met Smith. " * n
+        began = time.process_time()
+        found = pii.find(text)
+        took.append(time.process_time() - began)
+        assert len(found) == 2 * n and len({v for *_, v in found}) == 1
+    assert took[1] < 9 * took[0] + 0.5
+
+
+def test_mentions_join_the_last_person_that_fits():
+    text = "Mrs. Ann Smith came. Smith left. Mr. Bob Smith came. Smith left. Mrs. Smith stayed. Dr. Smith too. Smith."
+    names = [(text[a:b], v.split("|")[2]) for a, b, k, v in pii.find(text) if k == "name"]
+    assert names == [("Ann Smith", "ann smith"), ("Smith", "ann smith"), ("Bob Smith", "bob smith"), ("Smith", "bob smith"), ("Smith", "ann smith"), ("Smith", "bob smith"), ("Smith", "bob smith")]
