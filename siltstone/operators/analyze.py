@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_device, clean_vendor, pnp_id
-from ..sources.files import grouped, pci_names, scan_tree
+from ..sources.files import COMBINED, HEADER, grouped, pci_names, scan_tree
 from .assemble import combined
 from .classify import as_latin1, classify
 from .features import rom_ids, scanned, side_metadata
@@ -18,12 +18,28 @@ CONTENT_CAP = 16 << 20
 AGAIN = "\u2196"
 
 
+def peeled(paths: DataFrame, marks: DataFrame) -> DataFrame:
+    """(path, shown): each path without its last levels of unpacking whose folders are among ``marks`` (folder), up to the first that is not."""
+    parts = F.split("path", ":/")
+    levels = paths.select("path", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("k", "_"), parts.alias("s")).drop("_")
+    levels = levels.withColumn("folder", F.concat(F.array_join(F.slice("s", F.lit(1), F.col("k") + 1), ":/"), F.lit(":")))
+    kept = levels.join(marks.select("folder", F.lit(True).alias("_marked")), "folder", "left").filter("_marked is null")
+    kept = kept.groupBy("path").agg(F.max("k").alias("k"))
+    last = F.coalesce(F.col("k") + 2, F.lit(1))
+    return paths.join(kept, "path", "left").select("path", F.array_join(F.slice(parts, F.lit(1), last), ":/").alias("shown"))
+
+
 def artifacts(files: DataFrame) -> DataFrame:
-    """(path, interleave_parts, header, content, named) of a file tree's groups; ``named`` has the ids in the names of their ROM files."""
+    """(path, shown, interleave_parts, header, content, named) of a file tree's groups: ``shown`` is the path without the folders of
+    unpacking that are one artifact each, and ``named`` has the ids in the names of their ROM files."""
     marked = grouped(files)
     ids = marked.select("group_id", rom_ids(F.col("name")).alias("r")).filter("r is not null")
     ids = ids.groupBy("group_id").agg(F.array_distinct(F.collect_list("r")).alias("named"))
-    return combined(marked).join(ids, "group_id", "left").withColumnRenamed("group_id", "path")
+    made = combined(marked).join(ids, "group_id", "left").withColumnRenamed("group_id", "path")
+    # A group that is such a folder ends with the mark of one.
+    whole = made.select("path").distinct().withColumn("path", F.when(F.col("path").endswith(":"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
+    shown = peeled(whole, marked.filter(F.col("name").isin(COMBINED, HEADER)).select("folder").distinct()).withColumn("path", F.regexp_replace("path", ":/$", ":"))
+    return made.join(shown, "path", "left")
 
 
 def named_roms(roms: DataFrame, ids: DataFrame) -> DataFrame:
@@ -56,7 +72,7 @@ def shown_path(path: Column, root: str) -> Column:
 def results(items: DataFrame, ids: DataFrame, root: str = "") -> DataFrame:
     """(file, vendor, version, string, signon, metadata, roms), one row per artifact of ``items`` that a rule or a ROM is found in.
 
-    ``items`` has path, interleave_parts, header, content and named, as ``artifacts`` makes them. Side findings are made
+    ``items`` has path, interleave_parts, header, content and named, and maybe ``shown``, as ``artifacts`` makes them. Side findings are made
     for every artifact; one that no rule takes is a row only if it has ROMs, and then without metadata. Lines are
     distinct and sorted. Null contents give no rows.
     """
@@ -67,14 +83,14 @@ def results(items: DataFrame, ids: DataFrame, root: str = "") -> DataFrame:
     lines = F.concat(side_metadata(as_latin1(F.col("content")), F.col("_scan"), F.col("header")), F.coalesce("finding.metadata", F.array().cast("array<string>")), F.array(entry("ROM", parts)))
     lines = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.rtrim(x)), lambda x: x.isNotNull()))), "\n")
     made = made.select(
-        "path", "finding", F.array_sort(F.array_distinct(F.concat(own, "_scan.roms"))).alias("_roms"), F.when(F.col("finding").isNotNull(), lines).otherwise("").alias("metadata")
+        "path", (F.coalesce("shown", "path") if "shown" in items.columns else F.col("path")).alias("shown"), "finding", F.array_sort(F.array_distinct(F.concat(own, "_scan.roms"))).alias("_roms"), F.when(F.col("finding").isNotNull(), lines).otherwise("").alias("metadata")
     ).filter(F.col("finding").isNotNull() | (F.size("_roms") > 0))
-    rows = named_roms(made.select("path", "finding", "metadata", F.posexplode_outer("_roms").alias("k", "r")).select("path", "finding", "metadata", "k", "r.*"), ids)
+    rows = named_roms(made.select("path", "shown", "finding", "metadata", F.posexplode_outer("_roms").alias("k", "r")).select("path", "shown", "finding", "metadata", "k", "r.*"), ids)
     # An artifact's ROMs are those of at most CONTENT_CAP bytes.
     listed = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("k", "line"))))
-    out = rows.groupBy("path").agg(F.any_value("finding").alias("finding"), F.any_value("metadata").alias("metadata"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("roms"))
+    out = rows.groupBy("path").agg(F.any_value("shown").alias("shown"), F.any_value("finding").alias("finding"), F.any_value("metadata").alias("metadata"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("roms"))
     text = lambda c: F.trim(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\t"), F.lit(" "))).alias(c.rpartition(".")[2])
-    return out.select(shown_path(F.col("path"), root).alias("file"), *[text(f"finding.{c}") for c in ("vendor", "version", "string", "signon")], text("metadata"), text("roms"))
+    return out.select(shown_path(F.col("shown"), root).alias("file"), *[text(f"finding.{c}") for c in ("vendor", "version", "string", "signon")], text("metadata"), text("roms"))
 
 
 def analyze(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:

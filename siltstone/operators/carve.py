@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import at_offset, bind, found, le_uint, place, power_of_two
 
 #: Sizes of the headers that are stripped.
-CAPSULE_BYTES, APRICOT_MOST = 2048, 4096
+CAPSULE_BYTES, APRICOT_MOST, APRICOT_MARK = 2048, 4096, "@(#)Apricot "
+#: Fixed value: what a boot sector with partitions says where there is none to start.
+BOOT_MESSAGE = r"(?:Error loading|Missing) operating system"
 
 
 def largest_power(size: Column) -> Column:
@@ -126,6 +128,13 @@ def strip_flash_tool(text: Column) -> Column:
     return F.when(text.startswith("MZ"), F.when(text.contains(FLASH_TOOLS[0]), marked).otherwise(other))
 
 
+def strip_apricot(text: Column) -> Column:
+    """The last power of two of bytes of a recovery file with the maker's mark and a header of up to 4,096 bytes; null for other texts."""
+    size = F.length(text)
+    extra = size - largest_power(size)
+    return F.when(text.contains(APRICOT_MARK) & (size >= APRICOT_MOST) & (extra > 0) & (extra <= APRICOT_MOST), _rest(text, extra + 1))
+
+
 def hex_dump(text: Column) -> Column:
     """(version, content) of a report with a dump of 16 bytes a row; null for other texts."""
     rows = F.regexp_extract_all(text, F.lit(DUMP_ROW), F.lit(1))
@@ -183,6 +192,17 @@ def ros_members(data: Column) -> Column:
     return F.when(F.substring(data, 1, 3) == F.lit(b"ROS"), entries(data, 32, 32, read))
 
 
+def partition_members(data: Column, sector: int = 512) -> Column:
+    """The partitions of a disk image whose boot sector has the message of one, as members ``partition0`` to ``partition3``; wrong where one goes beyond the end."""
+    whole = F.octet_length(data).cast("long")
+    entry = lambda k: F.struct(F.lit(f"partition{k}").alias("name"), (le_uint(data, 446 + 16 * k + 8, 4) * sector).alias("begin"), (le_uint(data, 446 + 16 * k + 12, 4) * sector).alias("size"), le_uint(data, 446 + 16 * k + 4, 1).alias("type"))
+    used = F.filter(F.array(*[entry(k) for k in range(4)]), lambda e: (e["type"] > 0) & (e["size"] > 0))
+    here = F.filter(used, lambda e: e["begin"] + e["size"] <= whole)
+    listed = F.transform(here, lambda e: F.struct(e["name"].alias("name"), e["begin"].alias("begin"), e["size"].alias("size")))
+    boots = (F.hex(F.substring(data, 511, 2)) == "55AA") & F.decode(F.substring(data, 1, 510), "ISO-8859-1").rlike(BOOT_MESSAGE)
+    return F.when(boots & (whole > sector), F.struct(listed.alias("members"), (F.size(here) < F.size(used)).alias("wrong")))
+
+
 def eti_members(data: Column) -> Column:
     """The directory of an archive of packed files: entries of a name, five bytes and a size behind a header with a date; an empty name ends it."""
     read = lambda h: (_name_of(h, 0, 12), le_uint(h, 17, 4), _name_of(h, 0, 12) == "")

@@ -119,6 +119,12 @@ INTEL_CODE = (
     r"(?:\$(?:IBIOSI\$|FID|UBI)|Load Error\x00{2}Success\x00|S\x00l\x00o\x00t\x00 \x00\x30\x00:\x00 \x00+)([0-9A-Z]{8}\.[0-9A-Z]{3}(?:\.[0-9]{4}){4})",
     r"([A-Z]{2}[0-9A-Z]{3}[0-9]{2}[A-Z]\.[0-9]{2}[A-Z](?:\.[0-9]{4}){4})",
 )
+#: The older and the newer form of version and part number, and a maker's sign-on, in front of which older images have code.
+MR = (
+    r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)",
+    r"[A-Z ]{7} \((?:r|tm)\)  (V[\x21-\x26\x28-\x7E]+) \x09 ([\x21-\x7E]+)",
+    r"OEM SIGNON >>-->(?:[\x20-\x7E][\x00-\x1F\x7F-\xFF][\x00-\xFF]{14})?([\x20-\x7E]*?)\x00?<--<< OEM SIGNON",
+)
 QUADTEL = r"Copyright 19..-.... Quadtel Corp\. Version"
 SUREPATH = r"SurePath BIOS Version ([\x20-\x7E]+)(?:[\x0D\x0A\x00]+([\x20-\x7E]+)?)?"
 SUREPATH_ID = r"\xAA\x55VPD0RESERVE([0-9A-Z]{7})"
@@ -146,7 +152,7 @@ ICL = r"(?:ROM|System) BIOS (#[\x20-\x7E]+) Version ([\x20-\x7E]+)\x0D\x0A\(c\)
 #: for than patterns, and most artifacts have none.
 MARKS = {
     2: ("PowerBIOS Setup",), 3: ("Toshiba",), 4: ("Software Inc.", "SSooffttwwaarree IInncc", "AWARD SOFTWARE INC.", "Award Decompression Bios"), 5: (" Quadtel Corp. Version",),
-    6: ("Phoenix", "PPhhooeenniixx"), 8: ("American Megatrends Inc", "AMIBIOSC", " Access Methods Inc.", "AMI- "), 10: ("Ver V", "Ver: V"), 11: ("Acer Incorporated 1990", "Acer Boot Block v1.0"),
+    6: ("Phoenix", "PPhhooeenniixx"), 8: ("American Megatrends Inc", "AMIBIOSC", " Access Methods Inc.", "AMI- "), 10: ("Ver V", "Ver: V", ")  V"), 11: ("Acer Incorporated 1990", "Acer Boot Block v1.0"),
     12: ("Multitech Industrial Corp",), 13: ("AMPRO ",), 14: ("AMSTRAD plc", "Amstrad plc", "Amstrad Consumer Electronics plc"), 15: ("NCR'S VERSION IBM", " COMPUTER DEVICES INC. "),
     16: ("Central Point Software, Inc.",), 17: (" Chips & Technologies",), 18: (" Rom Bios Version ",), 19: ("COMPAQ",), 20: ("THIS IS NOT IBM BIOS COPAM",), 21: ("coreboot-", "Jumping to LinuxBIOS."),
     22: ("Datatech Enterprises", "DATATECH ENTERPRISES", "DTK Corp.", "GoldStar Co.,Ltd.", "GOLDSTAR  SYSTEM  SETUP"), 23: ("General Software",), 24: ("COPYRIGHT", "CCOOPPYYRRIIGGHHTT"),
@@ -163,7 +169,7 @@ RULES = (
     Rule(7, "AMI", find=V.ami_uefi),
     Rule(8, "AMI", find=V.ami),
     Rule(9, "Intel", find=V.ami_intel),
-    Rule(10, "MR", (r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 1), string=(r"Ver:? (V[\x21-\x2C\x2E-\x7E]+)(?:-| +Port )([\x21-\x7E]+)", 2), least_size=2048),
+    Rule(10, "MR", lambda t: F.coalesce(found(t, MR[0], 1), found(t, MR[1], 1)), string=lambda t: F.when(t.rlike(MR[0]), found(t, MR[0], 2)).otherwise(found(t, MR[1], 2)), signon=lambda t: F.trim(found(t, MR[2], 1)), least_size=2048),
     Rule(11, "Acer", find=V.acer),
     Rule(12, "Acer", "Multitech", needs=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)",), string=(r"(?d)Multitech Industrial Corp\..BIOS ([^\s]+ [^\s\x00]+)", 1)),
     Rule(13, "AMPRO", (r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 2), signon=(r"(?d)AMPRO (.+) Rom-Bios[^\n]+\nVersion ([^ ]+)", 1)),

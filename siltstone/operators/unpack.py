@@ -87,8 +87,8 @@ UNSUPPORTED = {"rar": b"Rar!", "7z": b"7z\xbc\xaf\x27\x1c", "cab": b"MSCF", "ins
 #: What only a container begins with; other artifacts never reach Python.
 CONTAINER = r"(?s)^(?:PK\x03\x04|\x1F\x8B|BZh|\xFD7zXZ\x00|Rar!|7z\xBC\xAF\x27\x1C|MSCF|ISc\(|.{257}ustar|:[0-9A-Fa-f]{10,}\r?\n)"
 #: What the head of an artifact with a payload to strip has, but for those whose header is all form.
-STRIP_MARKS = r"^MZ|\$IBI|SNIPAC[0-9A-F]|This is a flash update from AST|CPU-Z version\t"
-STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("flash tool", V.strip_flash_tool), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
+STRIP_MARKS = r"^MZ|@\(#\)Apricot |\$IBI|SNIPAC[0-9A-F]|This is a flash update from AST|CPU-Z version\t"
+STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("flash tool", V.strip_flash_tool), ("recovery file", V.strip_apricot), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
 
 
 #: What an opener may raise on hostile bytes: all but what ends the worker itself.
@@ -134,8 +134,8 @@ def stripped(content: Column) -> Column:
 
 
 def listing(content: Column) -> Column:
-    """(members, wrong) of an artifact that is a directory of plain entries; null for others."""
-    return F.coalesce(V.ros_members(content), V.eti_members(content))
+    """(members, wrong) of an artifact that is a directory of plain entries, or a disk with partitions; null for others."""
+    return F.coalesce(V.ros_members(content), V.eti_members(content), V.partition_members(content))
 
 
 def members_of(listed: DataFrame) -> DataFrame:

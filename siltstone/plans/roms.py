@@ -100,6 +100,9 @@ IMAGES: list[tuple[str, bytes | None, bytes, tuple[str, str, str, str, str] | No
     ("ami intel", FLASH, b"AMIBIOS 94 AMIBIOSC0632 and more", ("AMI", "063200", "", "1.00.05.CB0", "")),
     ("intel", FLASH, b"packed data only", ("Intel", "", "", "1.00.05.CB0", "")),
     ("mr", None, b"Ver: V1.65-B123" + b"\0" * 2048, ("MR", "V1.65", "B123", "", "")),
+    ("mr new", None, b"MR BIOS (r)  V2.01 \t ACER01" + b"\0" * 2048, ("MR", "V2.01", "ACER01", "", "")),
+    ("mr sign-on", None, b"Ver V1.44 Port OPT495 OEM SIGNON >>-->Maker of boards\0<--<< OEM SIGNON" + b"\0" * 2048, ("MR", "V1.44", "OPT495", "Maker of boards", "")),
+    ("mr code before sign-on", None, b"Ver V1.44 Port OPT495 OEM SIGNON >>-->P\x01" + b"c" * 14 + b"Other maker<--<< OEM SIGNON" + b"\0" * 2048, ("MR", "V1.44", "OPT495", "Other maker", "")),
     ("acer", None, b"Acer Boot Block v1.0\0ACER\0V3.0\0\0\x01\x02ACRF1M33-E00-960509-R02-A1 Hello there\0", ("Acer", "V3.0", "ACRF1M33-E00-960509-R02-A1", "Hello there", "")),
     ("acer first", None, b"Copyright (C) Acer Incorporated 1990\0\x01M1 ACER BIOS V1.0 R2\0\0\x02Acer ID text\0REV 1.00\0.J3abc\0", ("Acer", "V1.0 R2", "J3abc", "REV 1.00", "[ID] M1 ACER BIOS V1.0 R2\n[ID] Acer ID text")),
     ("multitech", None, b"Multitech Industrial Corp.,BIOS 01/02/86 ver.2.1\0", ("Acer", "Multitech", "01/02/86 ver.2.1", "", "")),

@@ -65,3 +65,26 @@ def test_long_streams(spark):
     data = zlib.compress(noise + b"the needle" + noise)
     assert V.decoded(memoryview(data), "zlib15", b"the needle") == (2 * len(noise) + 10, True)
     assert V.decoded(memoryview(data[: len(data) // 3]), "zlib15", b"the needle")[1] is False
+
+
+def test_levels_of_unpacking_are_peeled(spark):
+    paths = ["a.zip:/b.bin:/c", "a.zip:/b.bin:", "a.zip:/x", "file:/r/a.zip:/b.bin:/d.rom:/e", "plain/x", "z.zip:/y:/q"]
+    marks = ["a.zip:/b.bin:", "file:/r/a.zip:/b.bin:", "file:/r/a.zip:/b.bin:/d.rom:", "z.zip:", "z.zip:/y:"]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r.path: r.shown for r in A.peeled(frame, spark.createDataFrame([(m,) for m in marks], "folder string")).collect()}
+    assert got == {"a.zip:/b.bin:/c": "a.zip:/b.bin", "a.zip:/b.bin:": "a.zip:/b.bin:", "a.zip:/x": "a.zip:/x", "file:/r/a.zip:/b.bin:/d.rom:/e": "file:/r/a.zip:/b.bin", "plain/x": "plain/x", "z.zip:/y:/q": "z.zip"}
+
+
+def test_partitions_and_recovery_files_are_unpacked(spark, tmp_path):
+    import struct
+
+    boot = bytearray(b"Missing operating system".ljust(512, b"."))
+    boot[446:510] = bytes(64)
+    boot[446:462] = struct.pack("<4xB3xII", 6, 1, 2)
+    boot[478:494] = struct.pack("<4xB3xII", 1, 9, 2)
+    boot[510:] = b"\x55\xaa"
+    rows = [("disk", bytes(boot) + b"\1" * 1024), ("silent", bytes(boot).replace(b"Missing", b"missing") + b"\1" * 1024), ("rec", b"head @(#)Apricot X" + b"\2" * 8192), ("long", b"@(#)Apricot ".ljust(5000, b"h") + b"\2" * 8192)]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    got = {r.path: (r.event, bytes(r.content)) for r in U.unpack(df, str(tmp_path), sets=False).collect()}
+    assert got["disk:/partition0"] == ("leaf", b"\1" * 1024) and got["disk"][0] == U.WRONG_LENGTH and got["silent"][0] == "leaf"
+    assert got["rec:/payload"] == ("leaf", b"\2" * 8192) and got["long"][0] == "leaf" and len(got) == 5
