@@ -852,7 +852,8 @@ def rom_vendors(spark, sf_dir):
     rows = [(k, name, bytearray(h) if h is not None else None, bytearray(image)) for k, (name, h, image, _) in enumerate(IMAGES)]
     images = F.broadcast(spark.createDataFrame(rows, "k int, image string, header binary, tail binary"))  # IMAGES, whatever the input
     docs = table(spark, sf_dir, "documents").withColumn("k", (F.col("doc_id") % len(IMAGES)).cast("int")).join(images, "k")
-    docs = docs.withColumn("blob", F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("0A0000FF")), "tail"))
+    # So many bytes between that a text of a few letters is no footer of an image of whole blocks.
+    docs = docs.withColumn("blob", F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("00" * 32 + "0A0000FF")), "tail"))
     found = C.classify(docs.select("doc_id", "image", "header", "blob"), C.as_latin1(F.col("blob")), header=F.col("header"))
     full = lambda c: F.coalesce(F.col(f"finding.{c}"), F.lit("")).alias(c)
     return found.select("doc_id", "image", *[full(c) for c in ("vendor", "version", "string", "signon")], F.coalesce(F.array_join("finding.metadata", "\n"), F.lit("")).alias("metadata"))

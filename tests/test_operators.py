@@ -120,7 +120,7 @@ def test_unpack_to_the_end(spark, tmp_path):
 
 def test_hex_records():
     event, members = open_one(b":0400000001020304F2\r\n:02000600AABB93\r\n:0100000009F6\r\n:00000001FF\r\n")
-    assert event == "hex" and members == [("content", b"\x09\x02\x03\x04\0\0\xaa\xbb")]
+    assert event == "hex" and list(members) == [("content", b"\x09\x02\x03\x04\0\0\xaa\xbb")]
 
 
 def test_sources(spark, tmp_path):
