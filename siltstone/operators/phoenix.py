@@ -23,6 +23,8 @@ FOOTER, FOOTER_MOST = "BC", 16
 CATEGORIES = ("System", "Cache", "CPU", "I/O", "PM", "Bridge", "MCD", "Other")
 #: What an identification begins with.
 VALID_ID = r"^[\x20-\x7E][\x00\x20-\x7E]{7,}"
+#: Bytes of an image that are looked at together for a mark.
+BLOCK = 64
 #: Most bytes of a register table's pointers.
 POINTERS_MOST = 128
 
@@ -66,10 +68,17 @@ def laid_over(data: Column, segments: Column) -> Column:
 
 
 def offsets_of(data: Column, mark: str) -> Column:
-    """The offsets of a mark in a binary column, in one pass."""
-    n = F.octet_length(data) - len(mark)
-    there = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(data, i + 1, F.lit(len(mark))) == F.lit(mark.encode()))
-    return F.when((n >= 0) & F.contains(data, F.lit(mark.encode())), there).otherwise(F.array().cast("array<int>"))
+    """The offsets of a mark in a binary column: blocks of bytes that hold it are looked for first, then its places in these."""
+    size, literal = len(mark), F.lit(mark.encode())
+    blocks = F.sequence(F.lit(0), F.greatest(F.octet_length(data) - size, F.lit(0)), F.lit(BLOCK))
+    some = F.filter(blocks, lambda i: F.contains(F.substring(data, i + 1, F.lit(BLOCK + size - 1)), literal))
+    there = F.flatten(F.transform(some, lambda i: F.filter(F.sequence(i, i + BLOCK - 1), lambda j: F.substring(data, j + 1, F.lit(size)) == literal)))
+    return F.when(F.contains(data, literal), there).otherwise(F.array().cast("array<int>"))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns behind a generator, so that what uses them doesn't compute them again."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def spaces(images: DataFrame) -> DataFrame:
@@ -171,16 +180,17 @@ def register_tables(spaces: DataFrame, records: DataFrame) -> DataFrame:
     newer, middle = (major >= 3) & (size >= 0x6B), (major == 1) & (minor >= 5) & (size >= 0x6B)
     where = F.when(newer, F.struct(word(d, 0x65).alias("a"), word(d, 0x67).alias("b"), F.when((major == 3) & (minor <= 1), own).otherwise(late).alias("s")))
     where = where.when(middle, F.struct(word(d, 0x67).alias("a"), word(d, 0x69).alias("b"), F.shiftright("r.place", 4).bitwiseAND(0xF000).alias("s")))
-    rows = spaces.join(sys.join(post, "path", "left"), "path").withColumn("w", where).filter((F.col("w.s") != 0) & (F.col("w.b") > F.col("w.a")) & (F.col("w.b") - F.col("w.a") <= POINTERS_MOST))
-    at = lambda offset: offset + F.col("w.s") * 16 - F.col("base")
+    found = once(spaces.join(sys.join(post, "path", "left"), "path"), w=where).select("path", "data", F.col("w.a").alias("a"), F.col("w.b").alias("b"), (F.col("w.s") * 16 - F.col("base")).alias("shift"), "w.s")
+    rows = found.filter((F.col("s") != 0) & (F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= POINTERS_MOST))
     # Pairs of bytes up to the end of the space; what lies before the image is zero.
     value = lambda i: F.when(i < 0, 0).otherwise(byte(F.col("data"), i))
-    pointers = F.transform(F.sequence(F.col("w.a"), F.col("w.b") - 1, F.lit(2)), lambda p: value(at(p)) + 256 * value(at(p) + 1))
-    tables = F.transform(pointers, lambda p: F.struct(F.shiftright(value(at(p) + 2), 4).alias("category"), value(at(p) + 1).alias("model")))
+    places = once(rows, at=F.transform(F.sequence(F.col("a"), F.col("b") - 1, F.lit(2)), lambda p: p + F.col("shift")))
+    places = once(places, table=F.transform("at", lambda i: value(i) + 256 * value(i + 1) + F.col("shift")))
+    tables = once(places, tables=F.transform("table", lambda i: F.struct(F.shiftright(value(i + 2), 4).alias("category"), value(i + 1).alias("model"))))
     # A pointer that reads beyond the end ends the list.
-    ends = F.array_position(F.transform(tables, lambda t: F.coalesce(t["category"], F.lit(-1))), -1).cast("int")
-    tables = F.when(ends > 0, F.slice(tables, F.lit(1), F.greatest(ends - 1, F.lit(0)))).otherwise(tables)
-    out = rows.select("path", F.explode(tables).alias("t")).select("path", "t.category", "t.model")
+    ends = F.array_position(F.transform("tables", lambda t: F.coalesce(t["category"], F.lit(-1))), -1).cast("int")
+    whole = F.when(ends > 0, F.slice("tables", F.lit(1), F.greatest(ends - 1, F.lit(0)))).otherwise(F.col("tables"))
+    out = tables.select("path", F.explode(whole).alias("t")).select("path", "t.category", "t.model")
     devices = F.when((F.col("signature") == "BCPCHP") & (F.col("major") == 0), 0).when(F.col("signature") == "BCPIO ", 3).when(F.col("signature") == "BCPMCD", 6)
     named = records.filter(F.col("size") >= 11).select("path", devices.alias("category"), byte(F.col("data"), 10).alias("model")).filter("category is not null")
     return out.unionByName(named).distinct()

@@ -578,11 +578,14 @@ def chained(ids: pd.Series, texts: pd.Series, tables: pd.Series) -> pd.Series:
 
 
 def chained_images(spark, sf_dir) -> DataFrame:
-    """(path, content): each document as such an image, with pointers to one to four register tables."""
+    """(path, content): each document as such an image, with pointers to one to four register tables; a written table."""
     i = F.col("doc_id")
     tables = F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda k: F.array(((i + k) % 8).cast("int"), ((i * 7 + k * 31) % 256).cast("int")))
     made = F.pandas_udf(chained, BinaryType())("doc_id", "text", tables)
-    return table(spark, sf_dir, "documents").select(i.cast("string").alias("path"), made.alias("content"))
+    images = table(spark, sf_dir, "documents").select(i.cast("string").alias("path"), made.alias("content"))
+    place = f"{shared(spark)}/images-{uuid.uuid4().hex}"
+    images.write.parquet(place)
+    return spark.read.schema(images.schema).parquet(place)
 
 
 #: The addresses of what ``chained`` makes.
