@@ -81,6 +81,24 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int |
     return big.join(small, on, how)
 
 
+#: Pairs of a key's rows that one task makes.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: str, row_bytes: int | Column) -> DataFrame:
+    """Inner join of written tables. Where ``small`` is too large for a broadcast, a key with over PAIRS_AT_ONCE pairs of rows is
+    split: the rows of ``big`` are dealt to parts, and those of ``small`` go to each."""
+    row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    if (small.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on)
+    pairs, parts = F.col("_big") * F.col("_small"), F.coalesce(F.col("_parts"), F.lit(1))
+    hot = big.groupBy(on).agg(F.count(F.lit(1)).alias("_big")).join(small.groupBy(on).agg(F.count(F.lit(1)).alias("_small")), on)
+    hot = materialize(hot.filter(pairs > PAIRS_AT_ONCE).select(on, F.ceil(pairs / PAIRS_AT_ONCE).alias("_parts")))
+    left = sized_join(big, hot, on, "left", 64).withColumn("_part", F.pmod(F.xxhash64(*big.columns), parts)).drop("_parts")
+    right = sized_join(small, hot, on, "left", 64).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [on, "_part"]).drop("_part")
+
+
 def as_key(col: Column) -> Column:
     """A value as a text that is never null: pandas would turn whole numbers with a null among them into floats."""
     return F.when(col.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), col.cast("string")))

@@ -9,8 +9,9 @@ training counts adds nothing: the mixture ends at the longest one seen.
 Texts are cut into blocks. A block's distinct context strings, and its words, are dealt into buckets and packed, one row
 for each block and bucket; these rows meet the bucket's part of the model once, and come back to the block with its
 values. There are as many buckets as blocks, so what a task holds of either does not grow with the corpus, and a bucket
-has the trees of contexts that agree in their nearest three bytes. The
-nodes above a bucket's trees are summed over all buckets by key and joined to the trees' roots. No model is held whole
+has the trees of contexts that agree in their nearest three bytes. The packed
+bytes of a frequent context, which all blocks have, are dealt to parts: they are summed in rounds, and each part meets the
+bucket's model. The nodes above a bucket's trees are summed over all buckets by key and joined to the trees' roots. No model is held whole
 anywhere. The only tables that reach the driver are those of contexts of at most one byte: 257 times 255 nodes.
 """
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, materialize, mix64, range_hashes, small_batches
+from .common import as_key, from_key, materialize, mix64, range_hashes, sized_join, small_batches
 from .langid import held_out
 
 DEPTH = 5
@@ -41,6 +42,8 @@ BUCKETS, TOP = 64, 3
 FAN_IN = 32
 #: Bytes of text whose context strings are sorted at once.
 CHUNK_BYTES = 2 << 20
+#: Packed bytes of a bucket that meet its part of the model in one task.
+PART_BYTES = 64 << 20
 PACKED = "block long, kind int, bucket int, keys binary, n binary"
 
 
@@ -353,6 +356,19 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, "block long, ids array<string>, held array<boolean>, sizes array<int>, z binary")
 
 
+def hot_buckets(rows: DataFrame) -> DataFrame:
+    """(kind, bucket, parts) of the buckets of over PART_BYTES in several ``rows``; at least two rows a part."""
+    sizes = rows.groupBy("kind", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    parts = F.least(F.ceil(F.col("size") / PART_BYTES), F.ceil(F.col("rows") / 2))
+    return materialize(sizes.filter((F.col("size") > PART_BYTES) & (F.col("rows") > 1)).select("kind", "bucket", parts.alias("parts")))
+
+
+def in_parts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Packed rows with their ``part``, by block."""
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    return sized_join(rows, hot, ["kind", "bucket"], "left", 24).withColumn("part", F.pmod(F.xxhash64("block"), parts)).drop("parts")
+
+
 def _words(doc: bytes) -> list[bytes]:
     return [*doc[:-1].split(b" "), END] if len(doc) > 1 else [END]
 
@@ -378,13 +394,20 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
                 rows = packed_block(_unpacked(row), row["held"], depth, buckets, top)
                 yield pd.DataFrame([(row["block"], *r) for r in rows], columns=["block", "kind", "bucket", "keys", "n"])
 
-    found = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(counted, PACKED))
+    found = materialize(stored.select("block", "held", "sizes", "z").mapInPandas(counted, PACKED).withColumn("size", F.octet_length("keys") + F.octet_length("n")))
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = _packed_sum(rows)
-        return pd.DataFrame({"kind": rows["kind"].iloc[:1], "bucket": rows["bucket"].iloc[:1], "keys": [keys], "n": [n]})
+        return pd.DataFrame({"block": rows["part"].iloc[:1], "kind": rows["kind"].iloc[:1], "bucket": rows["bucket"].iloc[:1], "keys": [keys], "n": [n], "size": [len(keys) + len(n)]})
 
-    whole = materialize(found.groupBy("kind", "bucket").applyInPandas(summed, "kind int, bucket int, keys binary, n binary"))
+    hot = hot_buckets(found)
+    whole, many = found, hot
+    while True:
+        whole = materialize(in_parts(whole, many).groupBy("kind", "bucket", "part").applyInPandas(summed, f"{PACKED}, size long"))
+        if many.isEmpty():
+            break
+        many = hot_buckets(whole)
+    whole = whole.drop("block", "size")
 
     def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -440,7 +463,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     model = model.union(whole.filter("kind = 1"))
 
     def answer(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        """The model's values for the rows of all blocks of a bucket."""
+        """The model's values for the rows of a part of a bucket's blocks."""
         if rows["kind"].iloc[0] == 0:
             known, values = risen(part["keys"].iloc[0]), expand(part["n"].iloc[0], "f4")
             got = [squeeze(values[np.searchsorted(known, risen(z))]) for z in rows["keys"]]
@@ -449,8 +472,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
             got = [squeeze(np.array([table[w] for w in unpack_words(z)], np.int64)) for z in rows["keys"]]
         return rows[["block", "kind", "keys"]].assign(value=got)
 
-    by = ["kind", "bucket"]
-    back = found.drop("n").groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(answer, "block long, kind int, keys binary, value binary")
+    by = ["kind", "bucket", "part"]
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    model = sized_join(model, hot, ["kind", "bucket"], "left", 24).withColumn("part", F.explode(copies)).drop("parts")
+    back = in_parts(found.drop("n"), hot).drop("size").groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(answer, "block long, kind int, keys binary, value binary")
 
     def scores(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         docs, out, known = _unpacked(block.iloc[0]), [], {}

@@ -5,19 +5,22 @@ substitutions at the ignored places. Training texts keep the hashes that pass a
 the test hashes; these are joined with the test hashes, and around each hit the two token sequences are laid side by
 side: a stretch counts if at least ``SIMILARITY`` of its words are equal. The masks fit somewhere in every stretch of 8
 words or more that counts; shorter passages have masks of their own, which leave out each word that may differ.
+
+Surroundings of hits that are alike, word for word, are one class: a class is compared with a passage once, however many
+documents hold it. A hash that many classes and passages share is split over tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, from_key, materialize, mix64, range_hashes, sized_join, small_batches, tidy, word_spans
+from .common import as_key, from_key, materialize, mix64, range_hashes, salted_join, sized_join, small_batches, tidy, word_spans
 
 #: 1 for the words that are compared; five each.
 MASKS = ("111011", "1101011", "11001101", "101100101")
@@ -126,7 +129,7 @@ def contaminated(
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = filters.value
         there = lambda table, at: table[at >> 3] >> (at & 7).astype(np.uint8) & 1
-        run, longest = TaskContext.get().partitionId() << 40, max(map(len, masks))
+        longest = max(map(len, masks))
         for b in batches:
             out = []
             for key, text in zip(b["id"], b["t"]):
@@ -143,32 +146,39 @@ def contaminated(
                     if group and h[0] > group[-1][0] + longest:
                         begin = max(0, group[0][0] - STRETCH)
                         upto = group[-1][0] + longest + STRETCH
-                        out.append((run, key, begin, tokens[begin:upto].tobytes(), [g[0] for g in group], [g[1] for g in group]))
-                        run, group = run + 1, []
+                        around, at = tokens[begin:upto].tobytes(), [g[0] - begin for g in group]
+                        alike = hashlib.blake2b(len(around).to_bytes(8, "little") + around + np.array(at, np.int64).tobytes(), digest_size=16)
+                        out.append((alike.digest(), key, begin, around, at, [g[1] for g in group]))
+                        group = []
                     group.append(h)
-            yield pd.DataFrame(out, columns=["run", "id", "begin", "tokens", "at", "h"])
+            yield pd.DataFrame(out, columns=["class", "id", "begin", "tokens", "at", "h"])
 
     texts = df.select(as_key(F.col(id_col)).alias("id"), F.col(text_col).alias("t"))
-    runs = materialize(texts.mapInPandas(tidy(find), "run long, id string, begin long, tokens binary, at array<long>, h array<long>"))
-    hits = runs.select("run", F.explode(F.arrays_zip("at", "h")).alias("x")).select("run", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
-    pairs = sized_join(hits, tests.select("h", "p", "item"), "h", "inner", 40)
-    pairs = pairs.select("run", "item", (F.col("at") - F.col("p")).alias("shift")).distinct()
+    runs = materialize(texts.mapInPandas(tidy(find), "class binary, id string, begin long, tokens binary, at array<long>, h array<long>"))
+    hits = runs.select("class", F.explode(F.arrays_zip("at", "h")).alias("x")).select("class", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
+    hits = materialize(sized_join(hits, tests.select("h").distinct(), "h", "left_semi", 16).distinct())
+    pairs = salted_join(hits, tests.select("h", "p", "item"), "h", F.octet_length("item") + 40)
+    pairs = materialize(pairs.select("class", "item", (F.col("at") - F.col("p")).alias("shift")).distinct())
+    classes = sized_join(runs.select("class", "tokens"), pairs.select("class").distinct(), "class", "left_semi", 48).dropDuplicates(["class"])
     pairs = sized_join(pairs, tests.groupBy("item").agg(F.max("item_tokens").alias("item_tokens")), "item", "inner", F.octet_length("item_tokens") + 64)
-    pairs = pairs.join(runs.select("run", "id", "begin", "tokens"), "run")
+    pairs = pairs.join(classes, "class")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, item, begin, shift, doc, passage in zip(b["id"], b["item"], b["begin"], b["shift"], b["tokens"], b["item_tokens"]):
+            for alike, item, shift, doc, passage in zip(b["class"], b["item"], b["shift"], b["tokens"], b["item_tokens"]):
                 passage = np.frombuffer(passage, np.uint64)
-                if found := overlap(np.frombuffer(doc, np.uint64), passage, shift - begin):
-                    out.append((key, item, found[0], len(passage), begin + found[1], begin + found[2]))
-            yield pd.DataFrame(out, columns=["id", "item", "equal_words", "item_words", "first_word", "end_word"])
+                if found := overlap(np.frombuffer(doc, np.uint64), passage, shift):
+                    out.append((alike, item, found[0], len(passage), found[1], found[2]))
+            yield pd.DataFrame(out, columns=["class", "item", "equal_words", "item_words", "first_word", "end_word"])
 
-    fields = "id string, item string, equal_words long, item_words long, first_word long, end_word long"
-    found = pairs.select("id", "item", "begin", "shift", "tokens", "item_tokens").mapInPandas(tidy(verify), fields)
+    fields = "class binary, item string, equal_words long, item_words long, first_word long, end_word long"
+    found = pairs.select("class", "item", "shift", "tokens", "item_tokens").mapInPandas(tidy(verify), fields)
     best = F.max(F.struct("equal_words", "item_words", (-F.col("first_word")).alias("f"), "end_word")).alias("b")
-    found = found.withColumn("item", F.regexp_replace("item", r"\|[0-9a-f]{32}$", "")).groupBy("id", "item").agg(best)
+    found = materialize(found.withColumn("item", F.regexp_replace("item", r"\|[0-9a-f]{32}$", "")).groupBy("class", "item").agg(best).select("class", "item", "b.*"))
+    members = salted_join(runs.select("class", "id", "begin"), found, "class", F.octet_length("item") + 80)
+    members = members.withColumns({"first_word": F.col("begin") - F.col("f"), "end_word": F.col("begin") + F.col("end_word")})
+    found = members.groupBy("id", "item").agg(best)
     return found.select(
         from_key(F.col("id"), kind).alias(id_col), from_key(F.col("item"), item_kind).alias(item_col), "b.equal_words", "b.item_words", (-F.col("b.f")).alias("first_word"), "b.end_word"
     )

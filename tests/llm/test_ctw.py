@@ -104,6 +104,13 @@ def test_blocks_do_not_matter(documents, monkeypatch):
     monkeypatch.setattr(ctw, "FAN_IN", 2)
     many = {r.doc_id: r.score for r in ctw.score(some.repartition(3), depth=4).collect()}
     assert many == pytest.approx(one)
+    seen, real = [], ctw.hot_buckets
+    monkeypatch.setattr(ctw, "PART_BYTES", 300)  # of most buckets several parts
+    monkeypatch.setattr(ctw, "hot_buckets", lambda rows: seen.append(real(rows)) or seen[-1])
+    assert {r.doc_id: r.score for r in ctw.score(some.repartition(3), depth=4).collect()} == pytest.approx(one)
+    assert seen[0].count() > 64
+    monkeypatch.undo()
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 20_000)
     for top in (2, 4):  # trees below two and four bytes
         monkeypatch.setattr(ctw, "TOP", top)
         assert {r.doc_id: r.score for r in ctw.score(some.repartition(3), depth=4).collect()} == pytest.approx(one)

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
+from siltstone.llm import common
 from siltstone.llm import decontaminate as dc
 
 
@@ -86,3 +87,17 @@ def test_odd_rows(odd, empty):
     assert not {r.doc_id for r in rows} & {2, 3, 7} and {r.item_id for r in rows if r.doc_id == 8} == {8}
     assert dc.contaminated(empty, items).count() == 0
     assert dc.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_shared_hashes_and_copies(spark, monkeypatch):
+    """Copies of a document are one class, and what many share is split over parts; the pairs are the same."""
+    same = "alpha beta gamma delta epsilon zeta eta theta"
+    items = spark.createDataFrame([(k, f"{same} own{k} tail{k} words{k} here{k} now{k}") for k in range(12)], "item_id long, text string")
+    texts = [f"lead{k % 3} {same} " + (f"own{k % 12} tail{k % 12} words{k % 12} here{k % 12} now{k % 12}" if k % 2 else "something else that is nowhere") for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {tuple(r) for r in dc.contaminated(docs, items).collect()}
+    whole = {(k, k % 12) for k in range(40) if k % 2}
+    assert whole == {(r[0], r[1]) for r in rows if r[2] == 13} and {(r[4], r[5]) for r in rows if r[2] == 13} == {(1, 14)}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "PAIRS_AT_ONCE", 20)
+    assert {tuple(r) for r in dc.contaminated(docs, items).collect()} == rows
