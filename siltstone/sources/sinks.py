@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +41,27 @@ def link_cell(url: Column, formula: str = "HYPERLINK") -> Column:
     return F.when(url != "", F.concat(F.lit(f'"={formula}(""'), url, F.lit('"";""\U0001f53d"")"'))).otherwise(F.lit('""'))
 
 
-def json_list(df: DataFrame, header: bool = False) -> DataFrame:
+def json_list(df: DataFrame, folder: str, header: bool = False) -> DataFrame:
     """Lines of one JSON array of objects, or of arrays with the names in front where there is a ``header``; lines are numbered
-    by position, so that they can be written in order."""
+    by position, so that they can be written in order. The numbered rows are written in ``folder`` first, so that the line
+    that begins the array is the same however often they are read."""
     row = json_row(df) if header else json_object(df)
     rows = tidy(df).select(F.monotonically_increasing_id().alias("n"), row.alias("value")).filter("value <> '{}'")
+    place = f"{folder}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(place)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(place)
     first = rows.agg(F.min("n")).first()[0]
-    names = "[" + ",".join(f'"{c}"' for c in df.columns) + "]"
-    lines = rows.select("n", F.when((F.col("n") == F.lit(first)) & F.lit(not header), F.concat(F.lit("["), "value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
-    head = [(-1, "[" + names)] if header else [(-1, "[")] if first is None else []
-    edge = df.sparkSession.createDataFrame([*head, (1 << 62, "]")], "n long, value string")
-    return lines.unionByName(edge)
+    head = json.dumps(df.columns, ensure_ascii=False) if header else ""
+    mark = F.when((F.col("n") == F.lit(first)) & F.lit(not header), "[").otherwise(",")
+    edges = [(-1, "[" + head)] if header or first is None else []
+    lines = rows.select("n", F.concat(mark, "value").alias("value"))
+    return lines.unionByName(df.sparkSession.createDataFrame([*edges, (1 << 62, "]")], "n long, value string"))
 
 
-def write_json_list(df: DataFrame, path: str, header: bool = False) -> None:
+def write_json_list(df: DataFrame, path: str, folder: str, header: bool = False) -> None:
     """One JSON array as text; its parts, taken in order of their names, are the whole."""
-    json_list(df, header).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n").sortWithinPartitions("n").select("value").write.text(path)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    json_list(df, folder, header).repartitionByRange(parts, "n").sortWithinPartitions("n").select("value").write.text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
