@@ -66,8 +66,7 @@ def write(df: DataFrame, folder: str) -> DataFrame:
 
 
 def facts(now: DataFrame) -> DataFrame:
-    """(path, folder, name, stem, ext, size, part, shares) of artifacts: the fields of a part's header, and which shares of interleaved
-    texts the beginning has. Narrow: contents are not among them."""
+    """(path, folder, name, stem, ext, size, part) of artifacts: names, sizes and the fields of a part's header. Narrow: contents are not among them."""
     content = F.col("content")
     head = F.decode(F.substring(content, 1, 608), "ISO-8859-1")
     at = F.when(F.substring(head, PART_MARK_AT + 1, 5) == PART_MARK, 0).when(F.substring(head, PART_MARK_AT + 513, 5) == PART_MARK, 512)
@@ -76,15 +75,32 @@ def facts(now: DataFrame) -> DataFrame:
     part = F.when(
         at.isNotNull(), F.struct(at.alias("start"), (at + header).alias("data"), F.length(version).alias("version"), (F.upper(F.substring(head, 41, 10)) == BOOT_BLOCK).alias("boot"))
     )
-    probe = F.decode(F.substring(content, 1, PROBE), "ISO-8859-1")
-    has = lambda step, first: reduce(lambda a, t: a | F.col("_p").contains(t[first::step]), WOVEN_TEXTS, F.lit(False))
-    shares = F.filter(F.array(*[F.when(has(*s), k) for k, s in enumerate(SHARES)]), lambda x: x.isNotNull())
     rows = now.filter("content is not null").select(
-        "path", F.regexp_extract("path", r"^(.*/)?", 0).alias("folder"), F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.octet_length(content).cast("long").alias("size"), part.alias("part"), probe.alias("_p")
+        "path", F.regexp_extract("path", r"^(.*/)?", 0).alias("folder"), F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.octet_length(content).cast("long").alias("size"), part.alias("part")
     )
     lower = F.lower("name")
     known = F.regexp_extract(lower, r"\.(...)$", 1)
-    return rows.select("path", "folder", "name", F.when(known != "", F.expr("left(lower(name), length(name) - 3)")).alias("stem"), known.alias("ext"), "size", "part", shares.alias("shares"))
+    return rows.select("path", "folder", "name", F.when(known != "", F.expr("left(lower(name), length(name) - 3)")).alias("stem"), known.alias("ext"), "size", "part")
+
+
+def shown_shares(now: DataFrame, known: DataFrame, folder: str) -> DataFrame:
+    """``known`` with ``shares``: which shares of interleaved texts the beginnings have. Only artifacts that could be parts of one are
+    looked into: those with another of their size in their folder, which no such step has made."""
+    done = known.filter(F.col("name") == COMBINED).select("folder").distinct()
+    sizes = known.groupBy("folder", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").join(done, "folder", "left_anti")
+    maybe = write(known.select("path", "folder", "size").join(sizes, ["folder", "size"], "left_semi").select("path"), folder)
+    some = maybe.count()
+    if not some:
+        return known.withColumn("shares", F.array().cast("array<int>"))
+    rows = now.filter("content is not null")
+    # Where few are left the contents of the others need not be read through; where most are, a join would only move them.
+    rows = rows if 2 * some > known.count() else rows.join(maybe, "path", "left_semi")
+    has = lambda step, first: reduce(lambda a, t: a | F.col("_p").contains(t[first::step]), WOVEN_TEXTS, F.lit(False))
+    shares = F.filter(F.array(*[F.when(has(*s), k) for k, s in enumerate(SHARES)]), lambda x: x.isNotNull())
+    rows = rows.select("path", F.decode(F.substring("content", 1, PROBE), "ISO-8859-1").alias("_p")).select("path", shares.alias("shares"))
+    # A path may stand in several rows, which show what they show each.
+    found = write(rows.filter(F.size("shares") > 0).groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shares")))).alias("shares")), folder)
+    return write(known.join(found.join(maybe, "path", "left_semi"), "path", "left").withColumn("shares", F.coalesce("shares", F.array().cast("array<int>"))), folder)
 
 
 def part_claims(known: DataFrame) -> DataFrame:
@@ -159,7 +175,9 @@ def closest_other(bases: DataFrame, candidates: DataFrame) -> DataFrame:
     both = both.unionByName(rest.select("g", F.col("base").alias("name"), F.lit(None).cast("array<string>").alias("near"), "without"))
     order = Window.partitionBy("g").orderBy("name", F.col("without").isNotNull())
     before = F.last("near", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("near", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # From the end on, as a window that looks ahead begins anew for each row.
+    back = Window.partitionBy("g").orderBy(F.col("name").desc(), F.col("without").isNull())
+    after = F.last("near", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     found = both.withColumn("near", F.coalesce(before, after)).filter("without is not null").withColumn("near", others(F.col("near")))
     name = F.coalesce(F.get(F.filter("near", lambda x: x > F.col("name")), 0), F.element_at(F.col("near"), F.when(F.size("near") > 0, -1)))
     return single.unionByName(found.select("g", F.col("name").alias("base"), name.alias("name")).filter("name is not null"))
@@ -311,7 +329,7 @@ def made(now: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
 def group_step(now: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
     """A generation (path, parent, depth, content) without the artifacts that sets of it take, and what the sets make: rows
     of the next, and, with an event, those of sets over a limit. Null if there is no set."""
-    known = write(facts(now), folder)
+    known = shown_shares(now, write(facts(now), folder), folder)
     claims = part_claims(known).unionByName(tail_claims(known, folder)).unionByName(woven_claims(known, folder))
     taken = granted(claims, folder)
     if taken.isEmpty():

@@ -19,7 +19,7 @@ import tarfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -86,8 +86,9 @@ OPENERS = (
 UNSUPPORTED = {"rar": b"Rar!", "7z": b"7z\xbc\xaf\x27\x1c", "cab": b"MSCF", "installshield": b"ISc("}
 #: What only a container begins with; other artifacts never reach Python.
 CONTAINER = r"(?s)^(?:PK\x03\x04|\x1F\x8B|BZh|\xFD7zXZ\x00|Rar!|7z\xBC\xAF\x27\x1C|MSCF|ISc\(|.{257}ustar|:[0-9A-Fa-f]{10,}\r?\n)"
-#: What the head of an artifact with a payload to strip has, but for those whose header is all form.
-STRIP_MARKS = r"^MZ|@\(#\)Apricot |\$IBI|SNIPAC[0-9A-F]|This is a flash update from AST|CPU-Z version\t"
+#: What the head of an artifact with a payload to strip begins with or has, but for those whose header is all form. Plain texts, as they
+#: are far quicker to look for than a pattern.
+STRIP_START, STRIP_MARKS = "MZ", (V.APRICOT_MARK, "$IBI", "SNIPAC", "This is a flash update from AST", "CPU-Z version\t")
 STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("flash tool", V.strip_flash_tool), ("recovery file", V.strip_apricot), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
 
 
@@ -128,9 +129,9 @@ def opened(path: str, parent: str | None, level: int, data: bytes) -> Iterator[t
 
 def stripped(content: Column) -> Column:
     """The payload of an artifact that is packed by layout alone, as binary; null for others."""
-    head = as_latin1(F.substring(content, 1, HEAD_BYTES))
     whole = bind(as_latin1(content), lambda t: F.coalesce(*[strip(t) for _, strip in STRIPS]))
-    return F.when(head.rlike(STRIP_MARKS) | head.rlike(V.OMF_HEAD) | head.rlike(V.OMF_HEAD.replace("^", "^.{112}")), F.encode(whole, "ISO-8859-1"))
+    marked = lambda h: reduce(lambda a, m: a | h.contains(m), STRIP_MARKS, h.startswith(STRIP_START)) | h.rlike(V.OMF_HEAD) | h.rlike(V.OMF_HEAD.replace("^", "^.{112}"))
+    return F.when(bind(as_latin1(F.substring(content, 1, HEAD_BYTES)), marked), F.encode(whole, "ISO-8859-1"))
 
 
 def listing(content: Column) -> Column:
@@ -184,7 +185,16 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -
             yield pd.DataFrame(rows, columns=names)
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content").filter("content is not null")
+    # Written once, and only then filtered: what makes the contents may be costly, and would be called again for each look at them.
+    now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content")
+    now.write.parquet(f"{folder}/files")
+    now = spark.read.schema(now.schema).parquet(f"{folder}/files").filter("content is not null")
+    return reduce(DataFrame.unionByName, generations(now, folder, step, depth, sets))
+
+
+def generations(now: DataFrame, folder: str, step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], depth: int, sets: bool) -> list[DataFrame]:
+    """What is left by each generation from ``now`` on; ``step`` opens containers."""
+    spark = now.sparkSession
     done = []
     for level in range(depth + 1):
         now, whole = group_step(now, f"{folder}/sets") if sets else (now, None)
@@ -206,4 +216,4 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -
             break
     else:
         done.append(now.withColumn("event", F.lit("too deep")))
-    return reduce(DataFrame.unionByName, done)
+    return done
