@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import alnum_key, power_of_two
+from ..functions.scalar import power_of_two
 
 
 def size_pairs(df: DataFrame, group: str, key: str, size: str) -> DataFrame:
@@ -27,6 +27,32 @@ def equal_size_pairs(df: DataFrame, group: str, key: str, size: str) -> DataFram
     return df.select(F.col(group).alias("g"), F.col(size).alias("size"), F.col(key).alias("a"), F.lead(key).over(w).alias("b")).filter("b is not null")
 
 
+def common_length(a: Column, b: Column) -> Column:
+    """The letters that two texts share from the beginning; null if one is."""
+    n = F.least(F.length(a), F.length(b))
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(n > 0, shared).otherwise(0))
+
+
+def around(asks: DataFrame, there: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+    """``asks`` with ``before`` and ``after``: the ``value`` of the nearest row of ``there`` at ``at`` or before it, and of the nearest behind it,
+    of those that are alike in ``by``; null where there is none.
+
+    Both are sorted together, once each way, so rows are never paired, and a task streams over narrow rows.
+    """
+    rows = asks.unionByName(there.select(*by, at, F.col(value).alias("_v")), allowMissingColumns=True)
+    window = lambda *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.last("_v", ignorenulls=True).over(window(F.col(at), F.col("_v").isNull())))
+    rows = rows.withColumn("after", F.last("_v", ignorenulls=True).over(window(F.col(at).desc(), F.col("_v").isNotNull())))
+    return rows.filter("_v is null").drop("_v")
+
+
+def _by_letter(df: DataFrame, group: str, name: str, alias: str) -> DataFrame:
+    """(g, p, alias), distinct: the names of each group and their first letters."""
+    rows = df.select(F.col(group).alias("g"), F.col(name).alias(alias)).filter(F.col("g").isNotNull() & F.col(alias).isNotNull())
+    return rows.distinct().withColumn("p", F.substring(alias, 1, 1))
+
+
 def closest_name(bases: DataFrame, candidates: DataFrame, group: str, base: str, name: str) -> DataFrame:
     """For each base the candidate of its group with the longest common prefix; ties go to the first by name.
 
@@ -44,23 +70,32 @@ def closest_prefix(bases: DataFrame, candidates: DataFrame, group: str, base: st
     """(g, base, name): the candidate that is found by shortening the base letter by letter until just one begins with what is left.
 
     A group's only candidate is taken as it is. Where the letters never leave just one, the candidate whose leading
-    number is nearest to the base's is taken, of those that share the first letter if there are some, and then the
-    first by the rest of its name. Candidates are counted by prefix, so a group's rows are never all paired; only where
-    numbers must decide do bases meet the candidates of their first letter.
+    number is nearest to the base's is taken, of those that share the first letter, and then the first by the rest of its
+    name. Among sorted names just one is left if a neighbour of the base shares more letters with it than the other
+    neighbour and than the name behind; numbers are looked up among sorted numbers. So a group's rows are never paired.
     """
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(c, 1, k))
-    left = bases.select(F.col(group).alias("g"), F.col(base).alias("base")).distinct()
-    right = candidates.select(F.col(group).alias("g"), F.col(name).alias("name")).distinct()
+    left, right = _by_letter(bases, group, base, "base"), _by_letter(candidates, group, name, "name")
     only = right.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("name").alias("one"))
     left = left.join(only, "g")
-    counts = right.withColumn("p", F.explode(prefixes(F.col("name")))).groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
-    unique = left.filter("all > 1").withColumn("p", F.explode(prefixes(F.col("base")))).join(counts.filter("n = 1"), ["g", "p"])
-    unique = unique.groupBy("g", "base").agg(F.max_by("name", F.length("p")).alias("name"))
-    rest = left.filter("all > 1").join(unique, ["g", "base"], "left_anti").withColumn("p", F.substring("base", 1, 1))
-    number = F.coalesce(F.regexp_extract("base", "^[0-9]+", 0).try_cast("decimal(38,0)"), F.lit(0))
-    near = rest.join(right.withColumn("p", F.substring("name", 1, 1)), ["g", "p"]).groupBy("g", "base").agg(F.min(F.struct(alnum_key(F.col("name"), number).alias("k"), "name")).alias("m"))
-    out = left.filter("all = 1").select("g", "base", F.col("one").alias("name")).unionByName(unique)
-    return out.unionByName(near.select("g", "base", F.col("m.name").alias("name")))
+    w = Window.partitionBy("g", "p").orderBy("name")
+    there = right.select("g", "p", F.col("name").alias("at"), F.struct("name", F.lag("name").over(w).alias("further_before"), F.lead("name").over(w).alias("further_after")).alias("v"))
+    near = around(left.filter("all > 1").select("g", "p", "base", F.col("base").alias("at")), there, ["g", "p"], "at", "v").filter("before is not null or after is not null")
+    length = lambda c: F.coalesce(common_length(F.col("base"), F.col(c)), F.lit(-1))
+    near = near.select("g", "p", "base", F.col("before.name").alias("b"), F.col("after.name").alias("a"), length("before.name").alias("nb"), length("after.name").alias("na"), length("before.further_before").alias("fb"), length("after.further_after").alias("fa"))
+    # Where both names before share as many letters as the nearest, or both neighbours do, more than one is left.
+    near = near.withColumn("name", F.when((F.col("nb") > F.col("na")) & (F.col("nb") > F.col("fb")), F.col("b")).when((F.col("na") > F.col("nb")) & (F.col("na") > F.col("fa")), F.col("a")))
+    rest = near.filter("name is null").select("g", "p", "base")
+    # Of names that share a first letter all begin with a number or none does.
+    digits = F.regexp_extract("name", "^[0-9]+", 0)
+    number = F.when(digits != "", digits.cast("decimal(38,0)")).otherwise(F.lit(0)).cast("decimal(38,0)")
+    key = F.struct(F.expr("substring(name, length(digits) + 1)").alias("rest"), "name")
+    there = right.withColumn("digits", digits).withColumn("at", number).groupBy("g", "p", "at").agg(F.min(key).alias("m")).select("g", "p", "at", F.struct("at", "m").alias("v"))
+    asked = F.coalesce(F.regexp_extract("base", "^[0-9]+", 0).try_cast("decimal(38,0)"), F.lit(0)).cast("decimal(38,0)")
+    close = around(rest.withColumn("at", asked), there, ["g", "p"], "at", "v")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] - F.col("at")).alias("d"), F.col(c)["m"].alias("m")))
+    close = close.select("g", "base", F.least(far("before"), far("after"))["m"]["name"].alias("name"))
+    out = left.filter("all = 1").select("g", "base", F.col("one").alias("name")).unionByName(near.filter("name is not null").select("g", "base", "name"))
+    return out.unionByName(close)
 
 
 def common_prefixes(df: DataFrame, group: str, words: str) -> DataFrame:
@@ -161,9 +196,9 @@ def nearest_after(asks: DataFrame, places: DataFrame, group: str, at: str, place
     both = asks.withColumn("_at", F.col(at).cast("long")).withColumn("_place", F.lit(None).cast("long"))
     there = places.select(group, F.col(place).cast("long").alias("_at"), F.col(place).cast("long").alias("_place"))
     rows = both.unionByName(there, allowMissingColumns=True)
-    # Of equal ones those who ask come first.
-    order = Window.partitionBy(group).orderBy("_at", F.col("_place").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.first("_place", ignorenulls=True).over(order))
+    # From the end on, as a window that looks ahead begins anew for each row; of equal ones those who ask come last.
+    order = Window.partitionBy(group).orderBy(F.col("_at").desc(), F.col("_place").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.last("_place", ignorenulls=True).over(order))
     return rows.filter("_place is null and next is not null").drop("_at", "_place")
 
 
