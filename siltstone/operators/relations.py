@@ -56,14 +56,15 @@ def _by_letter(df: DataFrame, group: str, name: str, alias: str) -> DataFrame:
 def closest_name(bases: DataFrame, candidates: DataFrame, group: str, base: str, name: str) -> DataFrame:
     """For each base the candidate of its group with the longest common prefix; ties go to the first by name.
 
-    Candidates meet bases on each prefix of theirs, longest first wins, so a group's rows are never all paired.
+    What shares most letters with a base stands next to it among the sorted names of its first letter, and the first
+    that shares as many stands next to these letters, so names are neither paired nor taken apart.
     """
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(c, 1, k))
-    left = bases.select(F.col(group).alias("g"), F.col(base).alias("base")).distinct().withColumn("p", F.explode(prefixes(F.col("base"))))
-    right = candidates.select(F.col(group).alias("g"), F.col(name).alias("name")).withColumn("p", F.explode(prefixes(F.col("name"))))
-    right = right.groupBy("g", "p").agg(F.min("name").alias("name"))
-    hits = left.join(right, ["g", "p"]).withColumn("shared", F.length("p"))
-    return hits.groupBy("g", "base").agg(F.min(F.struct((-F.col("shared")).alias("s"), "name")).alias("m")).select("g", "base", F.col("m.name").alias("name"), (-F.col("m.s")).alias("shared"))
+    left, right = _by_letter(bases, group, base, "base"), _by_letter(candidates, group, name, "name")
+    there = right.select("g", "p", F.col("name").alias("at"), "name")
+    near = around(left.withColumn("at", F.col("base")), there, ["g", "p"], "at", "name").filter("before is not null or after is not null")
+    near = near.select("g", "p", "base", F.greatest(common_length(F.col("base"), F.col("before")), common_length(F.col("base"), F.col("after"))).alias("shared"))
+    first = around(near.withColumn("at", F.expr("left(base, shared)")), there, ["g", "p"], "at", "name")
+    return first.select("g", "base", F.when(F.col("before") == F.col("at"), F.col("before")).otherwise(F.col("after")).alias("name"), "shared")
 
 
 def closest_prefix(bases: DataFrame, candidates: DataFrame, group: str, base: str, name: str) -> DataFrame:

@@ -51,6 +51,8 @@ def test_closest_by_sorted_names(spark, seed):
             shortened[g, b] = left_over[0][0]
         elif alike:
             shortened[g, b] = min(alike, key=lambda c: (abs(int(digits(c) or 0) - int(digits(b) or 0)), c[len(digits(c)) :], c))
+    got = R.closest_name(left, right, "g", "base", "name")
+    assert {(r.g, r.base): (r.name, -r.shared) for r in got.collect()} == near
     got = R.closest_prefix(left, right, "g", "base", "name")
     assert {(r.g, r.base): r.name for r in got.collect()} == shortened
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
