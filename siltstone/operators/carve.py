@@ -69,7 +69,7 @@ def strip_intel(text: Column) -> Column:
     sizes, at = F.regexp_extract(text, INTEL_MARK, 1), place(text, INTEL_MARK)
     header, payload = _number(F.substring(sizes, 1, 4)), _number(F.substring(sizes, 5, 4))
     fits = (at > 0) & (sizes != INTEL_VOID) & (header <= INTEL_HEADER_MOST) & (payload <= INTEL_MOST)
-    return F.when(fits, F.substring(text, (at + header).cast("int"), payload.cast("int")))
+    return F.when(text.contains("$IBI"), F.when(fits, F.substring(text, (at + header).cast("int"), payload.cast("int"))))
 
 
 def strip_omf(text: Column) -> Column:
@@ -94,7 +94,7 @@ def expand_runs(text: Column, most: int = RUNS_MOST) -> Column:
     length = lambda h: F.least(_number(F.substring(h, 9, 4)), F.lit(most)).cast("int")
     run = lambda h: F.repeat(F.char(F.conv(F.substring(h, 7, 2), 16, 10).cast("int")), length(h))
     whole = F.array_join(F.zip_with(between, hits, lambda b, h: F.concat(b, F.coalesce(run(h), F.lit("")))), "")
-    return F.when((F.size(hits) > 0) & (runs_size(text) <= most), whole)
+    return F.when(text.contains("SNIPAC"), F.when((F.size(hits) > 0) & (runs_size(text) <= most), whole))
 
 
 def strip_strides(text: Column) -> Column:
@@ -104,8 +104,8 @@ def strip_strides(text: Column) -> Column:
     size = _number(F.substring(head, AST_HEAD - 4, 4))
     tracks = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - AST_PAYLOAD) / (18 * 512)).cast("int") - 1, F.lit(0)))
     data = F.array_join(F.transform(tracks, lambda k: F.substring(text, k * (18 * 512) + AST_PAYLOAD + 1, F.lit(15 * 512))), "")
-    fits = (F.length(text) > AST_PAYLOAD + AST_HEAD) & (at_offset(text, at, AST_AT, len(AST_MARK)) == AST_MARK) & head.startswith(AST_TEXT)
-    return F.when(fits, F.substring(data, F.lit(AST_HEAD + 1), F.least(size, F.length(data)).cast("int")))
+    fits = text.contains(AST_MARK) & (F.length(text) > AST_PAYLOAD + AST_HEAD) & (at_offset(text, at, AST_AT, len(AST_MARK)) == AST_MARK) & head.startswith(AST_TEXT)
+    return F.when(fits, bind(data, lambda d: F.substring(d, F.lit(AST_HEAD + 1), F.least(size, F.length(d)).cast("int"))))
 
 
 def strip_flash_tool(text: Column) -> Column:
@@ -139,7 +139,7 @@ def hex_dump(text: Column) -> Column:
     """(version, content) of a report with a dump of 16 bytes a row; null for other texts."""
     rows = F.regexp_extract_all(text, F.lit(DUMP_ROW), F.lit(1))
     content = F.unhex(F.replace(F.array_join(rows, ""), F.lit(" "), F.lit("")))
-    return F.when(text.rlike(DUMP_VERSION), F.struct(found(text, DUMP_VERSION).alias("version"), content.alias("content")))
+    return F.when(text.contains("CPU-Z version") & text.rlike(DUMP_VERSION), F.struct(found(text, DUMP_VERSION).alias("version"), content.alias("content")))
 
 
 def ranges(text: Column, mark: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.types import BinaryType
 
 from siltstone.operators import relations as R
 from siltstone.operators import unpack as U
+from siltstone.plans.catalogue import QUERIES
 
 
 def test_contents_are_made_once(spark, tmp_path):
@@ -56,3 +57,10 @@ def test_closest_by_sorted_names(spark, seed):
     got = R.closest_prefix(left, right, "g", "base", "name")
     assert {(r.g, r.base): r.name for r in got.collect()} == shortened
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["payloads"])
+def test_packed_tables_are_dealt_to_tasks(spark, sf, name):
+    """A table of one row group is no single task's work."""
+    got = QUERIES[name](spark, sf)
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
