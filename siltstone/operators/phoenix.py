@@ -46,12 +46,16 @@ def part(data: Column, begin: Column | int, end: Column | int) -> Column:
     return F.decode(F.substring(data, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")), "ISO-8859-1")
 
 
-def tail(content: Column) -> Column:
-    """The last megabyte of an image, without a footer behind its whole blocks of 64 KB."""
+def has_footer(content: Column) -> Column:
+    """Whether what an image has behind its whole blocks of 64 KB is a footer."""
     extra = F.octet_length(content) % 65536
     last = F.octet_length(content) - extra
-    footer = (extra > 0) & ((extra <= FOOTER_MOST) | (part(content, last, last + 2) == FOOTER))
-    bare = F.when(footer, F.substring(content, F.lit(1), last)).otherwise(content)
+    return (extra > 0) & ((extra <= FOOTER_MOST) | (part(content, last, last + 2) == FOOTER))
+
+
+def tail(content: Column) -> Column:
+    """The last megabyte of an image, without a footer behind its whole blocks of 64 KB."""
+    bare = F.when(has_footer(content), F.substring(content, F.lit(1), F.octet_length(content) - F.octet_length(content) % 65536)).otherwise(content)
     return F.when(F.octet_length(bare) > MEMORY, F.substring(bare, F.octet_length(bare) - MEMORY + 1, F.lit(MEMORY))).otherwise(bare)
 
 

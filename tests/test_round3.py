@@ -10,6 +10,7 @@ from pyspark.sql.types import BinaryType
 from siltstone.operators import relations as R
 from siltstone.operators import unpack as U
 from siltstone.plans.catalogue import QUERIES
+from siltstone.plans.roms import IMAGES
 
 
 def test_contents_are_made_once(spark, tmp_path):
@@ -23,6 +24,14 @@ def test_contents_are_made_once(spark, tmp_path):
     assert U.unpack(files, str(tmp_path)).count() == 20 and made.value == 20
 
 
+def test_broadcasts_go_by_measured_bytes(spark, tmp_path, monkeypatch):
+    key, seen, step = "spark.sql.autoBroadcastJoinThreshold", [], U.group_step
+    before = spark.conf.get(key)
+    monkeypatch.setattr(U, "group_step", lambda *a: (seen.append(spark.conf.get(key)), step(*a))[1])
+    U.unpack(spark.createDataFrame([("a", bytearray(b"\0x"))], "path string, content binary"), str(tmp_path)).collect()
+    assert set(seen) == {"-1"} and spark.conf.get(key) == before
+
+
 def names(n, seed, letters="ab12é"):
     rng = random.Random(seed)
     return [(rng.choice([1, 2, 3, None]), "".join(rng.choice(letters) for _ in range(rng.randrange(6)))) for _ in range(n)]
@@ -59,8 +68,23 @@ def test_closest_by_sorted_names(spark, seed):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["payloads"])
+@pytest.mark.parametrize("name", ["payloads", "flash_tools", "rom_names", "rom_vendors"])
 def test_packed_tables_are_dealt_to_tasks(spark, sf, name):
     """A table of one row group is no single task's work."""
     got = QUERIES[name](spark, sf)
-    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+    if name == "flash_tools":  # of its written tables
+        assert all(r.n > 0 for r in got.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect())
+        assert len(got.inputFiles()) > 3
+    else:
+        assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_images_behind_texts_of_any_length(spark, tmp_path):
+    """Null texts, and lengths at which the end of an image of 64 KB looks like a footer."""
+    names = [name for name, *_ in IMAGES]
+    old, award = names.index("phoenix old"), names.index("award")
+    lengths = [65_516, 49_116, 49_084, 65_501, 32_764]
+    rows = [(k * len(IMAGES) + old, "w" * n) for k, n in enumerate(lengths)] + [(9 * len(IMAGES) + award, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.vendor, r.version, r.string, r.signon, r.metadata) for r in QUERIES["rom_vendors"](spark, str(tmp_path)).collect()}
+    assert got == {i: IMAGES[i % len(IMAGES)][3] for i, _ in rows}
