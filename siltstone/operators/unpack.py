@@ -20,10 +20,11 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import carve as V
@@ -157,6 +158,21 @@ def over_limits(content: Column) -> Column:
     return F.when(head.rlike(V.RUN_MARK), F.when(runs > V.RUNS_MOST, TOO_LARGE))
 
 
+@contextmanager
+def no_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """No side of a join is held whole by the driver. Files say too little of tables' sizes: paths of a folder are packed to a few bytes
+    each, so that a table of millions looks small enough; and each of the many joins of a generation would leave its table behind."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -> DataFrame:
     """All artifacts that remain: (path, parent, depth, content, event), of ``files`` (path, content).
 
@@ -189,7 +205,8 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -
     now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content")
     now.write.parquet(f"{folder}/files")
     now = spark.read.schema(now.schema).parquet(f"{folder}/files").filter("content is not null")
-    return reduce(DataFrame.unionByName, generations(now, folder, step, depth, sets))
+    with no_broadcasts(spark):
+        return reduce(DataFrame.unionByName, generations(now, folder, step, depth, sets))
 
 
 def generations(now: DataFrame, folder: str, step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], depth: int, sets: bool) -> list[DataFrame]:

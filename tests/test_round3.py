@@ -9,6 +9,7 @@ from pyspark.sql.types import BinaryType
 
 from siltstone.operators import relations as R
 from siltstone.operators import unpack as U
+from siltstone.plans import catalogue
 from siltstone.plans.catalogue import QUERIES
 from siltstone.plans.roms import IMAGES
 
@@ -24,7 +25,7 @@ def test_contents_are_made_once(spark, tmp_path):
     assert U.unpack(files, str(tmp_path)).count() == 20 and made.value == 20
 
 
-def test_broadcasts_go_by_measured_bytes(spark, tmp_path, monkeypatch):
+def test_nothing_is_broadcast_while_unpacking(spark, tmp_path, monkeypatch):
     key, seen, step = "spark.sql.autoBroadcastJoinThreshold", [], U.group_step
     before = spark.conf.get(key)
     monkeypatch.setattr(U, "group_step", lambda *a: (seen.append(spark.conf.get(key)), step(*a))[1])
@@ -88,3 +89,13 @@ def test_images_behind_texts_of_any_length(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.vendor, r.version, r.string, r.signon, r.metadata) for r in QUERIES["rom_vendors"](spark, str(tmp_path)).collect()}
     assert got == {i: IMAGES[i % len(IMAGES)][3] for i, _ in rows}
+
+
+def test_images_leave_python_in_small_frames(spark, sf):
+    """However large the batches are that come in."""
+    assert catalogue.IMAGES_AT_ONCE * 8192 <= 4 << 20
+    got = catalogue.chained_images(spark, sf)
+    want = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    tables = [[((i + k) % 8, (i * 7 + k * 31) % 256) for k in range(i % 4 + 1)] for i in want["doc_id"]]
+    want = dict(zip(want["doc_id"].astype(str), catalogue.chained(want["doc_id"], want["text"], tables)))
+    assert {r.path: bytes(r.content) for r in got.collect()} == want
