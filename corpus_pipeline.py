@@ -31,7 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each class of texts at 0.8 or more: that of the smallest id, null ids last. Of rows that repeat outright one stays."""
+    """Keep one row of each class of texts that SimHash fingerprints link, or that are alike at 0.8 or more: that of the smallest id, null ids
+    last. Of rows that repeat outright one stays."""
     return simhash.one_of_each(docs)
 
 

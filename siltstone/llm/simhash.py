@@ -393,9 +393,19 @@ def verified(members: DataFrame, shingle: int, similarity: float, distance: int
     return rows.mapInPandas(tidy(run), "u string, v string").distinct()
 
 
-def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: int | None, similarity: float) -> DataFrame:
+def fingerprint_links(docs: DataFrame) -> DataFrame:
+    """Links (u, v) between the digests of ``docs`` (digest, fp) whose fingerprints are equal or at most DISTANCE bits apart, by the
+    trie join; they connect them all."""
+    prints = materialize(docs.groupBy("fp").agg(F.min("digest").alias("low")))
+    roots = connected(linked(prints.select("fp"))).withColumnRenamed("node", "fp")
+    prints = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lows = prints.groupBy("root").agg(F.min("low").alias("v"))
+    return docs.select("digest", "fp").distinct().join(prints.select("fp", "root"), "fp").join(lows, "root").select(F.col("digest").alias("u"), "v").filter("u <> v").distinct()
+
+
+def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: int | None, similarity: float, prints: bool = False) -> DataFrame:
     """(key, hash, digest, class): for each row of ``df``, its id as a key, its text's hash, that of its set of shingles, and the
-    smallest digest of the class that it belongs to."""
+    smallest digest of the class that it belongs to. With ``prints`` texts are also linked by their fingerprints."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,11 +413,12 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distan
             sets = [distinct(shingle_hashes(t, (shingle,))[0]) for t in b["text"]]
             out = pd.DataFrame({"key": b["key"], "hash": b["hash"], "digest": [xxhash.xxh128_hexdigest(x.tobytes()) for x in sets]})
             out["bands"] = [band_keys(x).view(np.int64) for x in sets]
+            out["fp"] = np.array([text_fingerprint(t) if prints else 0 for t in b["text"]], np.uint64).view(np.int64)
             yield out
 
     text = F.col(text_col)
     rows = df.select(as_key(F.col(id_col)).alias("key"), F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("-")).alias("hash"), text.alias("text"))
-    docs = materialize(rows.mapInPandas(tidy(run), "key string, hash string, digest string, bands array<long>"))
+    docs = materialize(rows.mapInPandas(tidy(run), "key string, hash string, digest string, bands array<long>, fp long"))
     first = F.min(F.struct("key", "hash")).alias("first")
     nodes = materialize(docs.groupBy("digest").agg(first, F.any_value("bands").alias("bands")).select("digest", "first.*", "bands"))
     keys = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("band"))
@@ -418,9 +429,10 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, distan
     # One row for each node, with its text: written once, as the rows are then read for the sizes and for the sets.
     maybe = materialize(nodes.select(F.col("digest").alias("node"), "key", "hash").join(maybe, "node"))
     members = sized_join(rows, maybe, ["key", "hash"], "inner", 160).select("node", "root", "text").dropDuplicates(["node"])
-    roots = materialize(connected(verified(materialize(members), shingle, similarity, distance)))
+    links = verified(materialize(members), shingle, similarity, distance)
+    roots = materialize(connected(links.union(fingerprint_links(docs)) if prints else links))
     roots = roots.select(F.col("node").alias("digest"), F.col("root").alias("class"))
-    return sized_join(docs.drop("bands"), roots, "digest", "left", 80).withColumn("class", F.coalesce("class", "digest"))
+    return sized_join(docs.drop("bands", "fp"), roots, "digest", "left", 80).withColumn("class", F.coalesce("class", "digest"))
 
 
 def near_texts(
@@ -444,13 +456,14 @@ def near_texts(
 def one_of_each(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int | None = None, similarity: float = 0.8
 ) -> DataFrame:
-    """``df`` with one row of each class of ``near_texts``: that of the smallest id, null ids last, and then of the least text hash.
+    """``df`` with one row of each near-duplicate class: that of the smallest id, null ids last, and then of the least text hash.
 
-    A class is a component: where a text is like a second and that like a third, one of the three stays even if the first and
-    the third are not alike.     Of rows that repeat both id and text one stays. A row alone in its class stays whatever its id or text. Columns of
+    Texts are linked where their fingerprints are, as in ``near_duplicates``, by the trie join; and where ``near_texts`` links them, so
+    that edits that turn more bits lose none. A class is a component of both kinds of links: where a text is like a second and that like a
+    third, one of the three stays even if the first and the third are not alike. Of rows that repeat both id and text one stays. A row alone in its class stays whatever its id or text. Columns of
     ``df`` stay as they are. An empty table gives no rows.
     """
-    docs = materialize(near_classes(df, id_col, text_col, shingle, distance, similarity))
+    docs = materialize(near_classes(df, id_col, text_col, shingle, distance, similarity, prints=True))
     kind = df.schema[id_col].dataType.simpleString()
     place = F.struct(F.col("key") == "-", from_key(F.col("key"), kind).alias("id"), "hash")
     stay = docs.groupBy("class").agg(F.min(place).alias("stay"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from siltstone.llm import simhash
 from siltstone.operators import relations as R
 from siltstone.operators import unpack as U
 from siltstone.plans import catalogue
@@ -99,3 +100,17 @@ def test_images_leave_python_in_small_frames(spark, sf):
     tables = [[((i + k) % 8, (i * 7 + k * 31) % 256) for k in range(i % 4 + 1)] for i in want["doc_id"]]
     want = dict(zip(want["doc_id"].astype(str), catalogue.chained(want["doc_id"], want["text"], tables)))
     assert {r.path: bytes(r.content) for r in got.collect()} == want
+
+
+def test_one_of_each_goes_by_fingerprints_too(spark):
+    """Texts whose fingerprints are close are one class, whatever their sets of shingles: a line that repeats outweighs the rest."""
+    line = " ".join(f"w{k}" for k in range(7))
+    texts = [" ".join([line] * 40 + [f"a{n}x{k}" for k in range(12)]) for n in range(2)] + [" ".join(f"c{k}" for k in range(90))]
+    bits = [simhash.text_fingerprint(t) for t in texts]
+    close = (bits[0] ^ bits[1]).bit_count() <= simhash.DISTANCE
+    sets = [simhash.distinct(simhash.shingle_hashes(t, (5,))[0]) for t in texts]
+    assert close and len(set(sets[0]) & set(sets[1])) < 0.8 * len(set(sets[0]) | set(sets[1]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [0, 2]
+    want = {r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert want == {0, 2}
