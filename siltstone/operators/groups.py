@@ -16,7 +16,7 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from ..sources.files import COMBINED, HEADER
 from .relations import closest_prefix
@@ -54,6 +54,8 @@ WOVEN_TEXTS = (
 PROBE = 128 << 10
 #: The shares by their numbers: (step, first). 0 and 1 are of pairs, 2 to 5 of quads.
 SHARES = ((2, 1), (2, 0), (4, 0), (4, 1), (4, 2), (4, 3))
+#: What of the texts each share has.
+SHOWN = [[t[first::step].encode("ascii") for t in WOVEN_TEXTS] for step, first in SHARES]
 #: Entry points that an image may end with.
 ENTRY_POINT = re.compile(rb"(?s)\xEA.{2}\x00\xF0|\x0F\x09\xE9|\xE9.{2}\x00{5}")
 
@@ -69,7 +71,8 @@ def facts(now: DataFrame) -> DataFrame:
     """(path, folder, name, stem, ext, size, part) of artifacts: names, sizes and the fields of a part's header. Narrow: contents are not among them."""
     content = F.col("content")
     head = F.decode(F.substring(content, 1, 608), "ISO-8859-1")
-    at = F.when(F.substring(head, PART_MARK_AT + 1, 5) == PART_MARK, 0).when(F.substring(head, PART_MARK_AT + 513, 5) == PART_MARK, 512)
+    marked = lambda at: F.substring(content, PART_MARK_AT + at, 5) == F.lit(PART_MARK.encode("ascii"))
+    at = F.when(marked(1), 0).when(marked(513), 512)
     version = F.substring_index(F.decode(F.substring(content, at + 113, F.lit(4096)), "ISO-8859-1"), "\0", 1)
     header = F.ceil((113 + F.length(version)) / 32).cast("int") * 32
     part = F.when(
@@ -83,6 +86,12 @@ def facts(now: DataFrame) -> DataFrame:
     return rows.select("path", "folder", "name", F.when(known != "", F.expr("left(lower(name), length(name) - 3)")).alias("stem"), known.alias("ext"), "size", "part")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def shares_in(beginnings: pd.Series) -> pd.Series:
+    """The numbers of the shares that each beginning has. Bytes are searched as they are, which is far quicker than a text made of them."""
+    return beginnings.map(lambda b: [k for k, texts in enumerate(SHOWN) if any(t in b for t in texts)])
+
+
 def shown_shares(now: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """``known`` with ``shares``: which shares of interleaved texts the beginnings have. Only artifacts that could be parts of one are
     looked into: those with another of their size in their folder, which no such step has made."""
@@ -95,9 +104,7 @@ def shown_shares(now: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     rows = now.filter("content is not null")
     # Where few are left the contents of the others need not be read through; where most are, a join would only move them.
     rows = rows if 2 * some > known.count() else rows.join(maybe, "path", "left_semi")
-    has = lambda step, first: reduce(lambda a, t: a | F.col("_p").contains(t[first::step]), WOVEN_TEXTS, F.lit(False))
-    shares = F.filter(F.array(*[F.when(has(*s), k) for k, s in enumerate(SHARES)]), lambda x: x.isNotNull())
-    rows = rows.select("path", F.decode(F.substring("content", 1, PROBE), "ISO-8859-1").alias("_p")).select("path", shares.alias("shares"))
+    rows = rows.select("path", shares_in(F.substring("content", 1, PROBE)).alias("shares"))
     # A path may stand in several rows, which show what they show each.
     found = write(rows.filter(F.size("shares") > 0).groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shares")))).alias("shares")), folder)
     return write(known.join(found.join(maybe, "path", "left_semi"), "path", "left").withColumn("shares", F.coalesce("shares", F.array().cast("array<int>"))), folder)
@@ -143,7 +150,7 @@ def tail_claims(known: DataFrame, folder: str) -> DataFrame:
     bases = there.filter((F.col("size") >= LEAST_HEAD) & gap.isin(*TAILS)).select(group(gap), key.alias("base"), "path")
     tails = there.filter(F.col("size").isin(*TAILS)).select(group(F.col("size")), key.alias("name"), F.col("path").alias("tail"))
     if bases.isEmpty():
-        return known.sparkSession.createDataFrame([], "claim string, kind int, k int, path string")
+        return known.select(F.col("path").alias("claim"), F.lit(TAIL).alias("kind"), F.lit(0).alias("k"), "path").filter(F.lit(False))
     pairs = assigned(bases.select("g", "base"), tails.select("g", "name"), folder).join(bases, ["g", "base"]).join(tails, ["g", "name"])
     return pairs.select(F.col("path").alias("claim"), F.lit(TAIL).alias("kind"), F.posexplode(F.array("path", "tail")).alias("k", "path"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import carve as V
 from ..functions.scalar import bind
-from .classify import HEAD_BYTES, as_latin1, is_discarded
+from .classify import DISCARD, DISCARD_LONGER, HEAD_BYTES, as_latin1, begins
 from .groups import group_step
 
 #: Limits against hostile input. What passes them is reported: a member as a row with an event and no content, beside the
@@ -89,7 +89,8 @@ UNSUPPORTED = {"rar": b"Rar!", "7z": b"7z\xbc\xaf\x27\x1c", "cab": b"MSCF", "ins
 CONTAINER = r"(?s)^(?:PK\x03\x04|\x1F\x8B|BZh|\xFD7zXZ\x00|Rar!|7z\xBC\xAF\x27\x1C|MSCF|ISc\(|.{257}ustar|:[0-9A-Fa-f]{10,}\r?\n)"
 #: What the head of an artifact with a payload to strip begins with or has, but for those whose header is all form. Plain texts, as they
 #: are far quicker to look for than a pattern.
-STRIP_START, STRIP_MARKS = "MZ", (V.APRICOT_MARK, "$IBI", "SNIPAC", "This is a flash update from AST", "CPU-Z version\t")
+STRIP_START, RUNS = "MZ", "SNIPAC"
+STRIP_MARKS = (V.APRICOT_MARK, "$IBI", RUNS, "This is a flash update from AST", "CPU-Z version\t")
 STRIPS = (("intel update", V.strip_intel), ("omf", V.strip_omf), ("runs", V.expand_runs), ("ast floppy", V.strip_strides), ("flash tool", V.strip_flash_tool), ("recovery file", V.strip_apricot), ("hex dump", lambda t: F.decode(V.hex_dump(t)["content"], "ISO-8859-1")))
 
 
@@ -128,11 +129,17 @@ def opened(path: str, parent: str | None, level: int, data: bytes) -> Iterator[t
         yield path, parent, level, data, lost or (event if event and event.startswith("unsupported") else f"empty {event}" if event else "leaf")
 
 
+def head_has(content: Column, mark: str) -> Column:
+    """Whether an artifact's head has an ASCII mark; in its bytes, of which no text is made."""
+    return F.contains(F.substring(content, 1, HEAD_BYTES), F.lit(mark.encode("ascii")))
+
+
 def stripped(content: Column) -> Column:
     """The payload of an artifact that is packed by layout alone, as binary; null for others."""
     whole = bind(as_latin1(content), lambda t: F.coalesce(*[strip(t) for _, strip in STRIPS]))
-    marked = lambda h: reduce(lambda a, m: a | h.contains(m), STRIP_MARKS, h.startswith(STRIP_START)) | h.rlike(V.OMF_HEAD) | h.rlike(V.OMF_HEAD.replace("^", "^.{112}"))
-    return F.when(bind(as_latin1(F.substring(content, 1, HEAD_BYTES)), marked), F.encode(whole, "ISO-8859-1"))
+    marked = reduce(lambda a, m: a | head_has(content, m), STRIP_MARKS, F.startswith(content, F.lit(STRIP_START.encode("ascii"))))
+    marked = marked | begins(content, V.OMF_HEAD, ()) | begins(content, V.OMF_HEAD.replace("^", "^.{112}"), ())
+    return F.when(marked, F.encode(whole, "ISO-8859-1"))
 
 
 def listing(content: Column) -> Column:
@@ -140,22 +147,31 @@ def listing(content: Column) -> Column:
     return F.coalesce(V.ros_members(content), V.eti_members(content), V.partition_members(content))
 
 
-def members_of(listed: DataFrame) -> DataFrame:
-    """The members of directories with plain entries, and the directories themselves: one whose lengths are wrong, or that is empty, with that event."""
-    member = F.col("m")
-    rows = listed.select("path", "depth", "content", F.explode("_list.members").alias("m")).select(
-        F.concat("path", F.lit(":/"), member["name"]).alias("path"), F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"),
-        F.substring("content", (member["begin"] + 1).cast("int"), member["size"].cast("int")).alias("content"), F.lit(None).cast("string").alias("event"),
+def without_boxes(rows: DataFrame) -> DataFrame:
+    """What artifacts that are no containers give, in one pass: themselves or their payload, and of directories with plain entries the
+    members beside them; a directory whose lengths are wrong, or that is empty, with that event."""
+    content, member = F.col("content"), F.col("_member")
+    rows = rows.withColumn("_list", listing(content))
+    # Entries first, contents cut out behind them: those of a directory together may be far larger than it. The artifact itself is the null among them.
+    itself = F.array(F.lit(None))
+    rows = rows.withColumn("_member", F.explode(F.when(F.col("_list").isNull(), itself).otherwise(F.concat("_list.members", itself))))
+    rows = rows.withColumn("_inner", F.when(F.col("_list").isNull(), stripped(content)))
+    is_member, inner = member.isNotNull(), F.col("_inner").isNotNull()
+    directory = F.when(F.col("_list.wrong"), WRONG_LENGTH).when(F.size("_list.members") == 0, "empty directory").otherwise("listed")
+    plain = F.coalesce(over_limits(content), F.lit("leaf"))
+    return rows.select(
+        F.when(is_member, F.concat("path", F.lit(":/"), member["name"])).when(inner, F.concat("path", F.lit(":/payload"))).otherwise(F.col("path")).alias("path"),
+        F.when(is_member | inner, F.col("path")).otherwise(F.col("parent")).alias("parent"), (F.col("depth") + (is_member | inner).cast("int")).alias("depth"),
+        F.when(is_member, F.substring("content", (member["begin"] + 1).cast("int"), member["size"].cast("int"))).otherwise(F.coalesce("_inner", "content")).alias("content"),
+        F.when(is_member | inner, F.lit(None)).when(F.col("_list").isNotNull(), directory).otherwise(plain).alias("event"),
     )
-    event = F.when(F.col("_list.wrong"), WRONG_LENGTH).when(F.size("_list.members") == 0, "empty directory").otherwise("listed")
-    return rows.unionByName(listed.select("path", "parent", "depth", "content", event.alias("event")))
 
 
 def over_limits(content: Column) -> Column:
     """The event of an artifact whose layout says to make more than a limit; null for others."""
     head = as_latin1(F.substring(content, 1, HEAD_BYTES))
     runs = bind(as_latin1(content), lambda t: V.runs_size(t))
-    return F.when(head.rlike(V.RUN_MARK), F.when(runs > V.RUNS_MOST, TOO_LARGE))
+    return F.when(head_has(content, RUNS) & head.rlike(V.RUN_MARK), F.when(runs > V.RUNS_MOST, TOO_LARGE))
 
 
 @contextmanager
@@ -215,16 +231,10 @@ def generations(now: DataFrame, folder: str, step: Callable[[Iterator[pd.DataFra
     done = []
     for level in range(depth + 1):
         now, whole = group_step(now, f"{folder}/sets") if sets else (now, None)
-        head = as_latin1(F.substring("content", 1, HEAD_BYTES))
-        kept = now.filter(~is_discarded(head)).withColumn("_box", head.rlike(CONTAINER)).withColumn("_list", F.when(~F.col("_box"), listing(F.col("content"))))
-        kept = kept.withColumn("_inner", F.when(~F.col("_box") & F.col("_list").isNull(), stripped(F.col("content"))))
+        content = F.col("content")
+        kept = now.filter(~begins(content, DISCARD, DISCARD_LONGER)).withColumn("_box", begins(content, CONTAINER, (b":",)))
         boxes = kept.filter("_box").select("path", "parent", "depth", "content").mapInPandas(step, SCHEMA)
-        inner, listed = F.col("_inner").isNotNull(), kept.filter("not _box and _list is not null")
-        plain = kept.filter("not _box and _list is null").select(
-            F.when(inner, F.concat("path", F.lit(":/payload"))).otherwise(F.col("path")).alias("path"), F.when(inner, F.col("path")).otherwise(F.col("parent")).alias("parent"),
-            (F.col("depth") + inner.cast("int")).alias("depth"), F.coalesce("_inner", "content").alias("content"), F.when(~inner, F.coalesce(over_limits(F.col("content")), F.lit("leaf"))).alias("event"),
-        )
-        rows = [boxes, plain, members_of(listed)] + ([] if whole is None else [whole])
+        rows = [boxes, without_boxes(kept.filter("not _box"))] + ([] if whole is None else [whole])
         reduce(DataFrame.unionByName, rows).write.parquet(f"{folder}/{level}")
         made = spark.read.schema(SCHEMA).parquet(f"{folder}/{level}")
         done.append(made.filter("event is not null"))
