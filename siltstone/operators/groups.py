@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
@@ -25,6 +26,8 @@ from .relations import closest_prefix
 PARTS, TAIL, WOVEN = 0, 1, 2
 #: Most bytes of the artifacts of a claim together, and of an image: 512 and 64 MB.
 CLAIM_BYTES, IMAGE_BYTES = 512 << 20, 64 << 20
+#: Bytes of contents that Python hands over at once.
+FRAME_BYTES = 16 << 20
 #: Event of a set that is over a limit; it is not taken.
 SET_TOO_LARGE = "set too large"
 ROWS = "path string, parent string, depth int, content binary, event string"
@@ -63,8 +66,16 @@ ENTRY_POINT = re.compile(rb"(?s)\xEA.{2}\x00\xF0|\x0F\x09\xE9|\xE9.{2}\x00{5}")
 def write(df: DataFrame, folder: str) -> DataFrame:
     """``df`` as a table below ``folder``, which all executors share."""
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression="zstd")
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this package's own that nothing will read again."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(table, True)
 
 
 def facts(now: DataFrame) -> DataFrame:
@@ -287,25 +298,53 @@ def part_image(sets: pd.Series) -> pd.Series:
     return sets.map(one)
 
 
-@F.pandas_udf(BinaryType())
-def woven(parts: pd.Series, order: pd.Series) -> pd.Series:
-    """Parts of one size put together byte by byte, in an order."""
+def orders_of(parts: list[bytes]) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of what an interleaved set makes: the parts of one size put together byte by byte, in all orders, and the parts."""
+    for order in permutations(range(2 if len(parts) == 2 else 4)):
+        whole = bytearray(len(parts) * len(parts[0]))
+        for k, which in enumerate(order):
+            whole[k :: len(parts)] = parts[which]
+        yield f"deinterleaved_{''.join(map(str, order))}.bin", bytes(whole)
+    for k, part in enumerate(parts):
+        yield f"interleaved_{k}.bin", part
+
+
+def images(sets: DataFrame) -> DataFrame:
+    """What interleaved ``sets`` make, as rows of the next generation. They are made as they are read: written, the orders of a set
+    would take up to 24 times its bytes, while its parts tell them all."""
 
-    def one(contents, at) -> bytes:
-        whole = bytearray(len(contents) * len(contents[0]))
-        for k, which in enumerate(at):
-            whole[k :: len(contents)] = contents[which]
-        return bytes(whole)
+    def weave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, size = [], 0
+            for claim, depth, members in zip(b["claim"], b["depth"], b["c"]):
+                for name, content in orders_of([bytes(c) for c in members]):
+                    rows.append((f"{claim}:/{name}", claim, depth, content))
+                    size += len(content)
+                    if size > FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
-    return pd.Series([one(p, o) for p, o in zip(parts, order)])
+    names = ["path", "parent", "depth", "content"]
+    return sets.select("claim", "depth", F.transform("m", lambda p: p["content"]).alias("c")).mapInPandas(weave, ROWS.replace(", event string", ""))
 
 
-def made(now: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
-    """What granted claims make, as rows of the next generation: an image, or all orders of an interleaved one beside the parts, and marks."""
-    rows = taken.join(known.select("path", "part", "name"), "path").join(now.select("path", "parent", "depth", "content"), "path")
+def beside_flashers(now: DataFrame, sets: DataFrame) -> bool:
+    """Whether a folder of the images of ``sets`` has a flasher's files too. But for those no set takes such images: their folders are
+    marked, and their names' extension is none of an update's part."""
+    folders = now.select(F.regexp_extract("path", r"^(.*/)?", 0).alias("folder"), F.lower(F.regexp_extract("path", r"[^/]*$", 0)).alias("name")).filter(F.col("name").isin(*FLASHER))
+    return not folders.join(sets.select(F.concat("claim", F.lit(":/")).alias("folder")), "folder", "left_semi").isEmpty()
+
+
+def gathered(taken: DataFrame) -> DataFrame:
+    """The artifacts of granted claims, a row a claim."""
     member = F.struct("k", "part.start", "part.data", "part.version", "part.boot", "name", "path", "parent", "depth", "content")
-    sets = rows.groupBy("kind", "claim").agg(F.array_sort(F.collect_list(member), lambda a, b: a["k"] - b["k"]).alias("m"))
-    sets = sets.withColumn("depth", F.get("m", 0)["depth"] + 1)
+    sets = taken.groupBy("kind", "claim").agg(F.array_sort(F.collect_list(member), lambda a, b: a["k"] - b["k"]).alias("m"))
+    return sets.withColumn("depth", F.get("m", 0)["depth"] + 1)
+
+
+def made(sets: DataFrame) -> DataFrame:
+    """What granted claims make, as rows of the next generation, but for ``images``: an image, and marks."""
     row = lambda name, content: [F.concat("claim", F.lit(":/"), name).alias("path"), F.col("claim").alias("parent"), "depth", content.alias("content")]
     empty = F.lit(b"")
 
@@ -316,37 +355,42 @@ def made(now: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
     large = parts.filter("image is null").select(F.explode("m").alias("p")).select("p.path", "p.parent", "p.depth", "p.content", F.lit(SET_TOO_LARGE).alias("event"))
     tails = sets.filter(F.col("kind") == TAIL)
     joined = F.concat(F.get("m", 0)["content"], F.get("m", 1)["content"])
-    sets = sets.filter(F.col("kind") == WOVEN).withColumn("n", F.size("m"))
-    orders = {n: list(permutations(range(n))) for n in (2, 4)}
-    listed = F.when(F.col("n") == 2, F.lit([list(o) for o in orders[2]])).otherwise(F.lit([list(o) for o in orders[4]]))
-    images = sets.select("claim", "depth", F.transform("m", lambda p: p["content"]).alias("c"), F.explode(listed).alias("order"))
-    parts_too = sets.select("claim", "depth", F.posexplode(F.transform("m", lambda p: p["content"])).alias("k", "c"))
     out = [
         whole.select(*row(F.lit("intel.bin"), F.col("image"))),
         whole.select(*row(F.lit(HEADER), head)),
         tails.select(*row(F.get("m", 1)["name"], joined)),
         tails.select(*row(F.lit(HEADER), empty)),
-        images.select(*row(F.concat(F.lit("deinterleaved_"), F.array_join("order", ""), F.lit(".bin")), woven("c", "order"))),
-        parts_too.select(*row(F.concat(F.lit("interleaved_"), F.col("k").cast("string"), F.lit(".bin")), F.col("c"))),
-        sets.select(*row(F.lit(COMBINED), F.unhex(F.repeat(F.lit("00"), F.col("n"))))),
+        sets.filter(F.col("kind") == WOVEN).select(*row(F.lit(COMBINED), F.unhex(F.repeat(F.lit("00"), F.size("m"))))),
     ]
     return reduce(DataFrame.unionByName, out).withColumn("event", F.lit(None).cast("string")).unionByName(large)
 
 
-def group_step(now: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
-    """A generation (path, parent, depth, content) without the artifacts that sets of it take, and what the sets make: rows
-    of the next, and, with an event, those of sets over a limit. Null if there is no set."""
+def group_step(now: DataFrame, folder: str, spent: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, str | None]:
+    """A generation (path, parent, depth, content) without the artifacts that sets of it take; what the sets make: rows of the next,
+    and, with an event, those of sets over a limit; the interleaved sets, of whose ``images`` the next has to take care; and the
+    table that the first is read from. All but the first are null where there is no set, the third where none is interleaved.
+    ``spent`` is a table that nothing but ``now`` reads; it is removed as soon as there is another of its contents."""
     known = shown_shares(now, write(facts(now), folder), folder)
     claims = part_claims(known).unionByName(tail_claims(known, folder)).unionByName(woven_claims(known, folder))
     taken = granted(claims, folder)
     if taken.isEmpty():
-        return now, None
+        return now, None, None, None
     sizes = taken.join(known.select("path", "size"), "path").groupBy("kind", "claim").agg(F.sum("size").alias("all"))
     fits = sizes.filter(F.col("all") <= CLAIM_BYTES).select("kind", "claim")
-    large = write(taken.join(fits, ["kind", "claim"], "left_anti"), folder)
+    large = write(taken.join(fits, ["kind", "claim"], "left_anti").select("path").distinct(), folder)
     taken = write(taken.join(fits, ["kind", "claim"], "left_semi"), folder)
     # Files without a header that lie beside an update's parts are of no use.
     beside = known.filter(F.col("ext").isin(*LITTER)).join(known.join(taken.filter(F.col("kind") == PARTS), "path", "left_semi").select("folder").distinct(), "folder", "left_semi")
-    gone = write(taken.select("path").union(large.select("path")).union(beside.select("path")).distinct(), folder)
-    over = now.join(large.select("path"), "path", "left_semi").select("path", "parent", "depth", "content", F.lit(SET_TOO_LARGE).alias("event"))
-    return now.join(gone, "path", "left_anti"), made(now, known, taken).unionByName(over)
+    beside = beside.select("path").distinct().join(large, "path", "left_anti").join(taken, "path", "left_anti")
+    # What becomes of the artifacts that don't stay, in one narrow table: contents are joined with it once.
+    fates = taken.join(known.select("path", "part", "name"), "path").withColumn("fate", F.lit("taken"))
+    for rows, fate in ((large, "large"), (beside, "gone")):
+        fates = fates.unionByName(rows.withColumn("fate", F.lit(fate)), allowMissingColumns=True)
+    told = write(now.select("path", "parent", "depth", "content").join(write(fates, folder), "path", "left"), folder)
+    if spent:
+        remove(now.sparkSession, spent)
+    over = told.filter("fate = 'large'").select("path", "parent", "depth", "content", F.lit(SET_TOO_LARGE).alias("event"))
+    sets = write(gathered(told.filter("fate = 'taken'")), folder)
+    woven = sets.filter(F.col("kind") == WOVEN)
+    rest = told.filter("fate is null").select("path", "parent", "depth", "content")
+    return rest, made(sets).unionByName(over), None if woven.isEmpty() else woven, told._written

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import carve as V
 from ..functions.scalar import bind
 from .classify import DISCARD, DISCARD_LONGER, HEAD_BYTES, as_latin1, begins
-from .groups import group_step
+from .groups import FRAME_BYTES, beside_flashers, group_step, images, remove, write
 
 #: Limits against hostile input. What passes them is reported: a member as a row with an event and no content, beside the
 #: container itself, which then stays.
@@ -38,8 +38,6 @@ DEPTH, MEMBER_BYTES, MEMBERS = 16, 64 << 20, 100_000
 #: Most bytes of a container's members together; they are read one by one and handed over in frames, never held at once.
 CONTAINER_BYTES = 1 << 30
 TOO_LARGE, TOO_MANY, TOO_MUCH, WRONG_LENGTH = "too large", "too many members", "too large together", "wrong lengths"
-#: Bytes of members handed over at once.
-FRAME_BYTES = 16 << 20
 SCHEMA = "path string, parent string, depth int, content binary, event string"
 Member = tuple[str, bytes | None]
 
@@ -175,20 +173,31 @@ def over_limits(content: Column) -> Column:
 
 
 @contextmanager
-def no_broadcasts(spark: SparkSession) -> Iterator[None]:
-    """No side of a join is held whole by the driver. Files say too little of tables' sizes: paths of a folder are packed to a few bytes
-    each, so that a table of millions looks small enough; and each of the many joins of a generation would leave its table behind."""
-    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = [spark.conf.get(k, None) for k in keys]
-    for k in keys:
-        spark.conf.set(k, "-1")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it the session has other settings."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        for k, v in zip(keys, before):
+        for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def shuffles_dropped(spark: SparkSession):
+    """Shuffled rows leave the disk with the job that they were for, not when the driver happens to collect its garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+@contextmanager
+def no_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """No side of a join is held whole by the driver. Files say too little of tables' sizes: paths of a folder are packed to a few bytes
+    each, so that a table of millions looks small enough; and each of the many joins of a generation would leave its table behind."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        yield
+
+
 def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -> DataFrame:
     """All artifacts that remain: (path, parent, depth, content, event), of ``files`` (path, content).
 
@@ -219,28 +228,48 @@ def unpack(files: DataFrame, work: str, depth: int = DEPTH, sets: bool = True) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     # Written once, and only then filtered: what makes the contents may be costly, and would be called again for each look at them.
     now = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "content")
-    now.write.parquet(f"{folder}/files")
+    with shuffles_dropped(spark):
+        now.write.parquet(f"{folder}/files", compression="zstd")
     now = spark.read.schema(now.schema).parquet(f"{folder}/files").filter("content is not null")
-    with no_broadcasts(spark):
+    with no_broadcasts(spark), shuffles_dropped(spark):
         return reduce(DataFrame.unionByName, generations(now, folder, step, depth, sets))
 
 
+def plain(content: Column) -> Column:
+    """Whether an artifact stays as it is: it is no container, has no members and nothing to strip."""
+    return ~begins(content, CONTAINER, (b":",)) & listing(content).isNull() & stripped(content).isNull()
+
+
 def generations(now: DataFrame, folder: str, step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], depth: int, sets: bool) -> list[DataFrame]:
-    """What is left by each generation from ``now`` on; ``step`` opens containers."""
-    spark = now.sparkSession
-    done = []
+    """What is left by each generation from ``now`` on; ``step`` opens containers.
+
+    Images of interleaved sets are made as they are read, now and by whoever reads the result: written are those among them of which
+    something is to be made. ``folder``/files, which ``now`` reads, is removed when the first generation is written.
+    """
+    spark, content, files = now.sparkSession, F.col("content"), f"{folder}/files"
+    useful = ~begins(content, DISCARD, DISCARD_LONGER)
+    done, woven = [], None
     for level in range(depth + 1):
-        now, whole = group_step(now, f"{folder}/sets") if sets else (now, None)
-        content = F.col("content")
-        kept = now.filter(~begins(content, DISCARD, DISCARD_LONGER)).withColumn("_box", begins(content, CONTAINER, (b":",)))
+        others = None
+        if woven is not None and beside_flashers(now, woven):
+            now = now.unionByName(images(woven))
+        elif woven is not None:
+            done.append(images(woven).filter(useful & plain(content)).withColumn("event", F.coalesce(over_limits(content), F.lit("leaf"))))
+            others = write(images(woven).filter(useful & ~plain(content)), f"{folder}/sets")
+        now, whole, woven, table = group_step(now, f"{folder}/sets", None if level else files) if sets else (now, None, None, None)
+        now = now if others is None else now.unionByName(others)
+        kept = now.filter(useful).withColumn("_box", begins(content, CONTAINER, (b":",)))
         boxes = kept.filter("_box").select("path", "parent", "depth", "content").mapInPandas(step, SCHEMA)
         rows = [boxes, without_boxes(kept.filter("not _box"))] + ([] if whole is None else [whole])
-        reduce(DataFrame.unionByName, rows).write.parquet(f"{folder}/{level}")
+        reduce(DataFrame.unionByName, rows).write.parquet(f"{folder}/{level}", compression="zstd")
+        for path in ([] if level else [files]) + ([table] if table else []):
+            remove(spark, path)
         made = spark.read.schema(SCHEMA).parquet(f"{folder}/{level}")
         done.append(made.filter("event is not null"))
         now = made.filter("event is null").select("path", "parent", "depth", "content")
-        if now.isEmpty():
+        if woven is None and now.isEmpty():
             break
     else:
+        now = now if woven is None else now.unionByName(images(woven))
         done.append(now.withColumn("event", F.lit("too deep")))
     return done
