@@ -84,6 +84,8 @@ AWARD_VERSION = r" (?:v([^-\s]+)|V(?:ersion )?[^0-9]*([0-9]\.[0-9][0-9A-Z]?))(?:
 AWARD_NET = ("CPLRESELLERID", "BINCPUTBL", "BINIDETBL")
 AWARD_MAKERS, AWARD_TURN = ("Award Software Inc. ", "Phoenix Technologies, Ltd "), 6
 POWER = (r"PowerBIOS Setup", r"IBM COMPATIBLE BIOS COPYRIGHT AWARD SOFTWARE INC\.", r"[\x01-\xFF]+\x00", r"Version ([\x21-\x7E]+)", r"- [\x20-\x7E]+\x0D\x0A\x00")
+#: How far in front of its mark the sign-on stands.
+POWER_SIGNON = 0xE00E
 ENTRY_DATE = r"(?s)(?:\xEA..\x00\xF0|\xE9..)((?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/[0-9]{2})"
 OLIVETTI = ("COPYRIGHT (C)   OLIVETTI", r"No ROM BASIC available - RESET|ROM BASIC Not Available,", r"^(?:COPYRIGHT \(C\) OLIVETTI )?([0-9]{2}/[0-9]{2}/[0-9]{2})$", r"^Version ([^\s]+)")
 SYSTEMSOFT = (
@@ -335,7 +337,7 @@ def award_power(t: Column, header: Column | None = None) -> Column:
         names = F.when(several, F.slice(e, F.lit(1), F.size(e) - 1)).otherwise(e)
         name = F.array_join(F.filter(F.transform(names, lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), "\n")
         version = F.concat_ws(" ", F.lit("PowerBIOS"), found(name, POWER[3], 1))
-        return finding("Award", version, last, read_string(at_offset(t, at, -0xE00E, 0x100)), F.when(F.size(e) > 0, entry("ID", name)))
+        return finding("Award", version, last, read_string(at_offset(t, at, -POWER_SIGNON, 0x100)), F.when(F.size(e) > 0, entry("ID", name)))
 
     return F.when(t.contains(POWER[0]) & (at > 0), bind(entries, made))
 

@@ -10,6 +10,8 @@ import pytest
 
 from siltstone.operators import groups as G
 from siltstone.operators import unpack as U
+from siltstone.plans.catalogue import QUERIES
+from siltstone.plans.roms import IMAGES
 
 MARK = G.WOVEN_TEXTS[0].encode()
 
@@ -64,3 +66,12 @@ def test_images_that_are_containers_are_opened(spark, tmp_path, depth):
     assert set(got) == {*made, f"{image}:/m"} - {image, "b/p0.bin:/deinterleaved_01.bin"}
     assert bytes(got[f"{image}:/m"].content) == b"\0" + MARK and got[f"{image}:/m"].depth == 2
     assert {r.event for r in got.values()} == {"leaf"}
+
+
+def test_an_image_with_a_far_sign_on_behind_long_texts(spark, tmp_path):
+    """Texts longer than the way from its mark back to its sign-on, which is none of the text."""
+    power = [name for name, *_ in IMAGES].index("power")
+    rows = [(k * len(IMAGES) + power, "w" * n) for k, n in enumerate([57_300, 57_340, 57_400, 65_500, 122_698])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.vendor, r.version, r.string, r.signon, r.metadata) for r in QUERIES["rom_vendors"](spark, str(tmp_path)).collect()}
+    assert got == {i: IMAGES[power][3] for i, _ in rows}
